@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planline.llm.shared import documents
@@ -14,6 +14,36 @@ def _tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; null ids count as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.language import identify, train_profiles
+
+    docs = documents(spark, sf_dir)
+    profiles = train_profiles(docs.where(_remainder(3) != 1))
+    return identify(docs, profiles).select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(4) != 2)
+    lexicon = train(docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"))
+    return score(docs, lexicon).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.fingerprint import fingerprint_neighbours
+
+    return fingerprint_neighbours(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planline.llm.decontaminate import decontaminate
 
@@ -53,5 +83,5 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language, op4_decontamination, op5_toxicity, op6_fingerprints, op7_token_files)}
 SQL = {"op4_decontamination": OP4_SQL}
