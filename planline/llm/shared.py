@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +57,6 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, vectorised."""
     x = x ^ (x >> np.uint64(30))
@@ -69,36 +66,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        up = np.full(size, _BASE, dtype=np.uint64)
-        down = np.full(size, _INV, dtype=np.uint64)
-        up[0] = down[0] = 1
-        _POWERS.clear()
-        _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
+#: Longer spans are hashed one by one.
+_LONG = 64
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end) of an array, eight bytes a step."""
+    padded = np.concatenate((raw, np.zeros(8, dtype=np.uint8)))
+    words = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    at, done = np.arange(len(start)), 0
+    while len(at) and done < _LONG:
+        left = size[at] - done
+        word = words[start[at] + done]
+        short = left < 8
+        drop = np.where(short, (8 - np.maximum(left, 0)) * 8, 0).astype(np.uint64)
+        word = np.where(left > 0, (word << drop) >> drop, 0) if short.any() else word
+        out[at] = mix64(out[at] ^ word)
+        done += 8
+        at = at[size[at] > done]
+    for k in at:
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]].tobytes())
+    return out
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of UTF-8 bytes, in order (A-Z folded to a-z).
-
-    A polynomial over the word's bytes, from prefix sums modulo 2**64, so that a
-    whole text costs a few array passes and no loop over words.
-    """
+    """64-bit hashes of the words of UTF-8 bytes, in order (A-Z folded to a-z)."""
     if not data:
         return np.zeros(0, dtype=np.uint64)
     raw = _FOLD[np.frombuffer(data, dtype=np.uint8)]
-    inside = _WORD[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _WORD[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return span_hashes(raw, edge[::2], edge[1::2])
 
 
 def shingles(data: bytes, width: int = 5) -> np.ndarray:

@@ -17,16 +17,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planline.llm.shared import dropped, only, written
+from planline.llm.shared import dropped, only, span_hashes, written
 
 BLOCK_IDS = 1 << 20
-CACHE_WORDS = 1_000_000
+#: most chunks that a worker keeps
+CACHE_CHUNKS = 1_000_000
+#: texts whose unknown chunks are learned together
+TEXTS = 1000
 
+_ASCII_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 #: byte count of each of the four values of a control byte
 _SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
@@ -56,13 +61,15 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class CachedEncoder:
-    """The tokenizer's ids as packed bytes, by way of caches of chunks and pre-tokens.
+    """The tokenizer's ids of many texts, each distinct chunk encoded once.
 
     Byte-level BPE never merges across pre-tokens, so the ids of a text are those of
-    its pre-tokens in a row. Where no two white-space characters are neighbours,
-    every space begins a pre-token, and so a text may also be cut before each space.
-    Other texts are cut by the pre-token pattern; a text that holds a special
-    token's string goes to the tokenizer whole.
+    its pre-tokens in a row. Where no two white-space characters are neighbours every
+    space or line end begins a pre-token, and so does a comma or full stop after a
+    letter: a text is cut before each of these. Chunks are told
+    apart by 64-bit hashes; known ones are looked up in sorted arrays, unknown ones
+    are encoded in one call. Other texts, and those that hold a special token's
+    string, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -74,60 +81,87 @@ class CachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.loose = re.compile(r"\s\s").search
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _learn_words(self, fresh: list[str]) -> None:
-        """Letters after a space stay pre-tokens when joined, so that one call encodes them all."""
-        plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
-        if plain:
-            e = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype=self.dtype)
+
+    def _encode(self, chunks: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(chunks, their ids in a row, ids of each): those that may stand in one text, then the others."""
+        joined = [c for c in chunks if c[0] in " \n" and len(c) > 1 and not c[-1].isspace()]
+        parts = []
+        if joined:
+            count = np.array([(1 if c[0] == " " else 2) if c[1:].isalpha() else len(self.pieces(c)) for c in joined])
+            e = self.tokenizer.encode("".join(joined), add_special_tokens=False)
             at = np.array(e.word_ids, dtype=np.int64)
-            ids = np.array(e.ids, dtype=self.dtype)
-            if len(at) and at[-1] == len(plain) - 1 and (np.diff(at) >= 0).all():
-                bounds = np.searchsorted(at, np.arange(len(plain) + 1)) * ids.itemsize
-                raw, bounds = ids.tobytes(), bounds.tolist()
-                self.words.update(zip(plain, (raw[a:b] for a, b in zip(bounds, bounds[1:]))))
-        rest = [w for w in fresh if w not in self.words]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            self.words[w] = self.pack(e.ids)
-
-    def _of_words(self, words: list[str]) -> bytes:
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if fresh:
-            self._learn_words(fresh)
-        return b"".join([known[w] for w in words])
-
-    def _learn_chunks(self, fresh: list[str]) -> None:
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        cut = [[" " + c] if c.isalpha() else self.pieces(" " + c) for c in fresh]
-        self._of_words([w for words in cut for w in words])
-        known = self.words
-        for c, words in zip(fresh, cut):
-            self.chunks[c] = b"".join([known[w] for w in words])
-
-    def packed(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if self.loose(text):
-            return self._of_words(self.pieces(text))
-        first, *rest = text.split(" ")
-        head = self._of_words(self.pieces(first)) if first else b""
-        known = self.chunks
-        fresh = [c for c in set(rest) if c not in known]
-        if fresh:
-            self._learn_chunks(fresh)
-            if len(known) == len(fresh):  # it was emptied
-                self._learn_chunks([c for c in set(rest) if c not in known])
-        return head + b"".join([known[c] for c in rest])
+            if len(at) and at[-1] + 1 == count.sum() and (np.diff(at) >= 0).all():
+                ends = np.searchsorted(at, np.cumsum(count))
+                parts.append((joined, np.array(e.ids, dtype=self.dtype), np.diff(ends, prepend=0)))
+            else:
+                joined = []
+        have = set(joined)
+        rest = [c for c in chunks if c not in have]
+        if rest:
+            ids = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+            parts.append((rest, np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids])))
+        return parts
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        of = dict(zip(chunks, hashes.tolist()))
+        for names, ids, size in self._encode(chunks):
+            begin = np.cumsum(size) - size + len(self.pool)
+            self.pool = np.concatenate((self.pool, ids))
+            self.hashes = np.concatenate((self.hashes, np.array([of[c] for c in names], dtype=np.uint64)))
+            self.begin = np.concatenate((self.begin, begin))
+            self.size = np.concatenate((self.size, size))
+        order = np.argsort(self.hashes)
+        self.hashes, self.begin, self.size = self.hashes[order], self.begin[order], self.size[order]
+
+    def _tidy(self, texts: list[str]) -> list[np.ndarray]:
+        data = [t.encode("utf-8", "replace") for t in texts]
+        whole = b"".join(data)
+        first = np.cumsum([0, *map(len, data)])
+        if not whole:
+            return [self.pool[:0]] * len(texts)
+        raw = np.frombuffer(whole, dtype=np.uint8)
+        cut = (raw == 32) | (raw == 10)
+        cut[1:] |= ((raw[1:] == 44) | (raw[1:] == 46)) & _ASCII_LETTER[raw[:-1]]
+        cut[first[:-1][first[:-1] < len(raw)]] = True
+        start = np.flatnonzero(cut)
+        end = np.concatenate((start[1:], [len(raw)]))
+        inverse, known = pd.factorize(span_hashes(raw, start, end))
+        if len(self.hashes) > CACHE_CHUNKS:
+            self._forget()
+        at = np.searchsorted(self.hashes, known)
+        miss = np.ones(len(known), dtype=bool)
+        inside = at < len(self.hashes)
+        miss[inside] = self.hashes[at[inside]] != known[inside]
+        if miss.any():
+            some = np.zeros(len(known), dtype=np.int64)
+            some[inverse] = np.arange(len(inverse))  # any place of each
+            places = some[miss]
+            self._learn(known[miss], [whole[a:b].decode() for a, b in zip(start[places].tolist(), end[places].tolist())])
+            at = np.searchsorted(self.hashes, known)
+        size, begin = self.size[at][inverse], self.begin[at][inverse]
+        stop = np.cumsum(size)
+        ids = self.pool[np.repeat(begin - (stop - size), size) + np.arange(stop[-1])]
+        cuts = np.concatenate(([0], stop))[np.searchsorted(start, first)]
+        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        whole = [k for k, t in enumerate(texts) if self.loose(t) or any(s in t for s in self.special)]
+        out: list = [None] * len(texts)
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=self.dtype)
+        tidy = [k for k, o in enumerate(out) if o is None]
+        for k, ids in zip(tidy, self._tidy([texts[k] for k in tidy])):
+            out[k] = ids
+        return out
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -143,10 +177,14 @@ def encoder_for(path: str) -> CachedEncoder:
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        end, size = encoder.pack([end_id]), np.dtype(encoder.dtype).itemsize
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
-            packed = [encoder.packed(t or "") + end for t in batch.column(1).to_pylist()]
-            count = [len(p) // size for p in packed]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            packed, count = [], []
+            for k in range(0, len(texts), TEXTS):
+                for ids in encoder.all(texts[k : k + TEXTS]):
+                    packed.append(ids.tobytes() + end)
+                    count.append(len(ids) + 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary()), pa.array(count, pa.int64())], ["doc_id", "ids", "n"]
             )
