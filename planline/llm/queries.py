@@ -56,6 +56,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_token_files(documents(spark, sf_dir), _tokenizer_path()).documents()
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(documents(spark, sf_dir))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -83,5 +89,5 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_decontamination, op5_toxicity, op6_fingerprints, op7_token_files)}
+QUERIES = {f.__name__: f for f in (op1_language, op4_decontamination, op5_toxicity, op6_fingerprints, op7_token_files, op9_jaccard_join)}
 SQL = {"op4_decontamination": OP4_SQL}
