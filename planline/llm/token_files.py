@@ -53,11 +53,11 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
     end = np.cumsum(sizes)
     start = end - sizes
-    out = np.zeros((n, 4), dtype=np.uint8)
-    for k in range(4):
-        has = sizes > k
-        out[has, k] = raw[start[has] + k]
-    return out.reshape(-1).view("<u4")
+    out = raw[start].astype("<u4")
+    for k in range(1, int(sizes.max(initial=1))):
+        has = np.flatnonzero(sizes > k)
+        out[has] |= raw[start[has] + k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 class CachedEncoder:
@@ -199,11 +199,13 @@ def _unpack(ids: bytes, n: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.bincount(_unpack(ids, n))
-            if len(own) > len(total):
-                total = np.concatenate((total, np.zeros(len(own) - len(total), dtype=np.int64)))
-            total[: len(own)] += own
+        packed, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        if not packed:
+            continue
+        own = np.bincount(np.concatenate([_unpack(ids, n) for ids, n in zip(packed, sizes)]))
+        if len(own) > len(total):
+            total = np.concatenate((total, np.zeros(len(own) - len(total), dtype=np.int64)))
+        total[: len(own)] += own
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
