@@ -44,6 +44,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planline.llm.decontaminate import decontaminate
 
@@ -89,5 +95,5 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_decontamination, op5_toxicity, op6_fingerprints, op7_token_files, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_suffix_dedup, op4_decontamination, op5_toxicity, op6_fingerprints, op7_token_files, op9_jaccard_join)}
 SQL = {"op4_decontamination": OP4_SQL}
