@@ -2,14 +2,67 @@
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planline.llm.shared import DOCUMENT_COLUMNS, documents, only, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the lexicon, learned from labels, scores 0.3 or more."""
+    from planline.llm.toxicity import Lexicon, score_column, train
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    lexicon: Lexicon = train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return only(docs, *DOCUMENT_COLUMNS).where(score_column(lexicon)(F.col("text")) < 0.3)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each class of near copies."""
+    from planline.llm.jaccard_join import jaccard_join
+
+    classes = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return only(docs, *DOCUMENT_COLUMNS).join(classes, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that benchmark windows make up a twentieth of."""
+    from planline.llm.decontaminate import decontaminate
 
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return only(docs, *DOCUMENT_COLUMNS).join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix says."""
+    from planline.llm.mixing import mix
+    from planline.llm.queries import DOMAIN_WEIGHTS, MIX, domain
+
+    mixed = mix(only(docs, *DOCUMENT_COLUMNS), domain(), DOMAIN_WEIGHTS, **MIX).where("mix_copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy")
+    return mixed.select(*DOCUMENT_COLUMNS, copies).select(*DOCUMENT_COLUMNS)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the ids and return what the files hold of each document."""
+    from planline.llm.queries import tokenizer_path
+    from planline.llm.token_files import write_token_files
+
+    return write_token_files(docs, tokenizer_path()).documents()
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_files", token_files),
+]
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    from planline.llm.shared import documents, written
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written as Parquet and read again."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planline.llm.shared import documents
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+#: The production key comes from the deployment's own secrets; this one is for the registered query.
+PSEUDONYM_KEY = b"registered-query"
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.private_data import KINDS, pseudonyms
+
+    found = pseudonyms(documents(spark, sf_dir), PSEUDONYM_KEY)
+    numbers = [F.coalesce(F.col("counts")[k], F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
+    total = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select("doc_id", total.alias("n_values"), *numbers, "text")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planline.llm.decontaminate import decontaminate
 
@@ -59,7 +72,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planline.llm.token_files import write_token_files
 
-    return write_token_files(documents(spark, sf_dir), _tokenizer_path()).documents()
+    return write_token_files(documents(spark, sf_dir), tokenizer_path()).documents()
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +81,32 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir))
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.language_model import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs))
+
+
+#: Domains of the production mix: the bulk source, and two kinds of others by their number.
+DOMAIN_WEIGHTS = {("bulk",): 0.3, ("web",): 0.5, ("books",): 0.2} | {
+    (d, lang): w for d in ("bulk", "web", "books") for lang, w in (("en", 0.5), ("fr", 0.2), ("de", 0.2), ("es", 0.1))
+}
+MIX = {"share": 0.8, "epochs": 3, "seed": 1}
+
+
+def domain() -> Column:
+    number = F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) AS int)"), F.lit(1))
+    return F.when(number == 0, "bulk").when(number % 2 == 1, "web").otherwise("books")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.mixing import mix
+
+    mixed = mix(documents(spark, sf_dir), domain(), DOMAIN_WEIGHTS, **MIX)
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("n_copies"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -95,5 +134,19 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_suffix_dedup, op4_decontamination, op5_toxicity, op6_fingerprints, op7_token_files, op9_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language,
+        op2_suffix_dedup,
+        op3_pseudonyms,
+        op4_decontamination,
+        op5_toxicity,
+        op6_fingerprints,
+        op7_token_files,
+        op8_pseudo_likelihood,
+        op9_jaccard_join,
+        op10_mixing,
+    )
+}
 SQL = {"op4_decontamination": OP4_SQL}

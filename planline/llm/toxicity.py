@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +172,16 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
     return Lexicon(weights, exceptions, _fit_curve(x, np.array([t for _, t in local], dtype=float)))
 
 
+def score_column(lexicon: Lexicon):
+    """The score as a function of a text column, for use beside other columns."""
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([lexicon.score(t) for t in texts], dtype="float64")
+
+    return of
+
+
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Per document: doc_id, score (0 to 1), from the whole text alone.
 
