@@ -35,7 +35,9 @@ RECALL = 0.9999
 SMALL = 256
 DEEPEST = 6
 #: Sets and bytes of one side of a block.
-BLOCK_SETS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+#: A set must meet others on so many of its first paths, or be too small to have more.
+LEAST_MEETINGS = 4
 
 
 def runs_for(recall: float, similarity: float, branch: float = BRANCH, depth: int = DEEPEST) -> int:
@@ -90,13 +92,11 @@ def _sketch(runs: int, branch: float, width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = batch.column(0).to_pylist()
             sets = [shingles((t or "").encode("utf-8", "replace"), width) for t in batch.column(1).to_pylist()]
+            meant = [(k, s.tobytes()) for k, s in zip(wanted, sets) if _set_key(s) == k]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([_set_key(s) for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["key", "tokens"],
+                [pa.array([m[0] for m in meant], pa.binary()), pa.array([m[1] for m in meant], pa.binary())], ["key", "tokens"]
             )
 
     return run
@@ -217,12 +217,17 @@ def jaccard_join(
     )
     reps = written(reps, "sets")
     members = reps.select(F.explode("paths").alias("path"), "key")
-    alive = written(_shared(members), "members")
+    shared = _shared(members)
+    # A pair at the least similarity shares runs * branch * similarity paths on average
+    # (14 or more), near Poisson: fewer than LEAST_MEETINGS is rarer than the runs' own
+    # misses. A set that meets others on a stray path or two has no partner.
+    enough = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST_MEETINGS, runs)).select("key")
+    alive = written(_shared(shared.select("path", "key").join(enough, "key")), "members")
 
     wanted = alive.select("key").distinct().join(reps.select("key", "rep"), "key").select(F.col("rep").alias("doc_id"), F.col("key").alias("want"))
     # a doc_id may stand on several rows: the set's key tells which is meant
-    tokens = docs.join(wanted.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(_sets(width), "key binary, tokens binary")
-    tokens = written(tokens.dropDuplicates(["key"]).join(wanted.select(F.col("want").alias("key")), "key", "left_semi"), "tokens")
+    tokens = docs.join(wanted, "doc_id").select("doc_id", "want", "text").dropDuplicates()
+    tokens = written(tokens.select("want", "text").mapInArrow(_sets(width), "key binary, tokens binary"), "tokens")
 
     final = None
     depth = 1
