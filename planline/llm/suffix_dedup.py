@@ -279,14 +279,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = MOST_CONTE
     """
     docs = only(docs, "doc_id", "text")
     found = written(docs.mapInArrow(_find(window), _ANCHORS), "anchors")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    alive = written(found.join(often, "anchor"), "anchors")
-    dropped(found)
-    distinct = alive.groupBy("anchor", "context").agg(
+    # one row for each different context: copies are counted before the shuffle
+    distinct = found.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("weight"), F.min_by(F.struct("row", "begin", "windows", "offset"), F.struct("row", "begin")).alias("at")
     )
     distinct = written(distinct, "contexts")
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum("weight").alias("n")).where("n > 1")
     # an anchor with one context: its windows repeat if it stands twice
     alone = distinct.join(several.where("contexts = 1"), "anchor").where("weight > 1")
     results = alone.select("context", F.lit(0).alias("low"), (F.col("at.windows") - 1).alias("high"))
@@ -315,11 +313,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = MOST_CONTE
             results = results.unionByName(single.join(twice, "string").select("context", "low", F.col("low").alias("high")))
         else:
             level = written(level.select(*_CONTEXT_NAMES).mapInArrow(_parts(window, width), _CONTEXT_DDL), "parts")
-    results = written(results, "repeats")
-    spans = alive.select("row", "begin", "context").join(results, "context")
-    return spans.groupBy("row").agg(
-        F.collect_set(F.struct((F.col("begin") + F.col("low")).alias("low"), (F.col("begin") + F.col("high")).alias("high"))).alias("spans")
+    # runs of one context are joined up, so that each place of it meets one row
+    merged = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("low", "high"))),
+        F.array().cast("array<struct<low:int,high:int>>"),
+        lambda acc, x: F.when(
+            (F.size(acc) > 0) & (x["low"] <= F.element_at(acc, -1)["high"] + 1),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.struct(F.element_at(acc, -1)["low"].alias("low"), F.greatest(F.element_at(acc, -1)["high"], x["high"]).alias("high"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(x))),
     )
+    results = written(results.groupBy("context").agg(merged.alias("runs")), "repeats")
+    places = found.select("row", "begin", "context").join(results, "context")
+    placed = F.transform("runs", lambda r: F.struct((F.col("begin") + r["low"]).alias("low"), (F.col("begin") + r["high"]).alias("high")))
+    return places.groupBy("row").agg(F.flatten(F.collect_list(placed)).alias("spans"))
 
 
 def _sorted(level: DataFrame, window: int) -> DataFrame:
