@@ -32,7 +32,7 @@ WIDTH = 5
 BRANCH = 2.0
 #: Wanted share of found pairs at the least similarity.
 RECALL = 0.9999
-SMALL = 256
+SMALL = 512
 DEEPEST = 6
 #: Sets and bytes of one side of a block.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
