@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +85,6 @@ def box_pairs(a: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
 
 def ring_overlap_area(pairs: DataFrame) -> DataFrame:
     """Add ``overlap``: shared area of a_ring and b_ring (both convex or not), in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     def clip(subject: np.ndarray, triangle: np.ndarray) -> np.ndarray:
         for k in range(3):
             if not len(subject):
