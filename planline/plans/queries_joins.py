@@ -186,7 +186,7 @@ def predecessor_match(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 97).alias("name"))
     e = c.select(F.col("id").alias("earlier"), "name")
     m = c.join(e, "name").where("earlier < id").groupBy("id").agg(F.count(F.lit(1)).alias("candidates"), F.min("earlier").alias("first"))
-    return m.select("id", "candidates", F.when(F.col("candidates") == 1, F.col("first")).alias("predecessor"))
+    return m.select("id", "candidates", F.when(F.col("candidates") == 1, F.col("first")).otherwise(-1).alias("predecessor"))
 
 
 def revision_diff(spark, d):
@@ -344,7 +344,7 @@ SQL = {
         SELECT l.layer, coalesce(tag, CASE WHEN contains(configured, 'STEEL') THEN 'industrial' END, 'none') AS effective, tag IS NOT NULL AS by_user FROM l LEFT JOIN t ON l.layer = t.layer""",
     "selection_comments": f"""{E}, s AS (SELECT CAST(i * 60 AS BIGINT) AS handle FROM range(1, 40) t(i)), c AS (SELECT user_id % 2500 AS handle, count(*) AS comments FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1)
         SELECT s.handle, layer, coalesce(comments, 0) AS comments, layer IS NULL AS missing FROM s LEFT JOIN parcels p ON p.handle = s.handle LEFT JOIN c ON c.handle = s.handle""",
-    "predecessor_match": "SELECT a.c_custkey AS id, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(b.c_custkey) END AS predecessor FROM customer a JOIN customer b ON a.c_custkey % 97 = b.c_custkey % 97 AND b.c_custkey < a.c_custkey GROUP BY 1",
+    "predecessor_match": "SELECT a.c_custkey AS id, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(b.c_custkey) ELSE -1 END AS predecessor FROM customer a JOIN customer b ON a.c_custkey % 97 = b.c_custkey % 97 AND b.c_custkey < a.c_custkey GROUP BY 1",
     "revision_diff": f"""{E}, b AS (SELECT layer, block, round(sum(length), 4) AS v FROM paths WHERE block % 11 <> 0 GROUP BY 1, 2), a AS (SELECT layer, block, round(sum(CASE WHEN block % 5 = 0 THEN length + 1 ELSE length END), 4) AS v FROM paths WHERE block % 13 <> 0 GROUP BY 1, 2)
         SELECT coalesce(a.layer, b.layer) AS layer, coalesce(a.block, b.block) AS block, b.v AS before, a.v AS after,
         CASE WHEN b.block IS NULL THEN 'added' WHEN a.block IS NULL THEN 'removed' WHEN abs(a.v - b.v) <= 1e-6 OR (a.v IS NULL AND b.v IS NULL) THEN 'same' ELSE 'changed' END AS status, round(a.v - b.v, 4) AS delta FROM b FULL OUTER JOIN a ON a.layer = b.layer AND a.block = b.block""",

@@ -68,7 +68,7 @@ def nearest_edge_distance(spark, d):
 
 def printed_value(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.printed_value(F.col("text")).alias("v"))
-    return docs.select("doc_id", "v.value", "v.decimals")
+    return docs.select("doc_id", "v.value", F.coalesce("v.decimals", F.lit(-1)).alias("decimals"))
 
 
 def annotation_census(spark, d):
@@ -184,7 +184,7 @@ SQL = {
     "utm_to_latlon": _utm_sql(),
     "nearest_edge_distance": f"{E} SELECT handle, round(least(w, h) / 2, 4) AS distance FROM parcels",
     "printed_value": f"""WITH n AS (SELECT doc_id, replace(regexp_extract(text, '{_N}', 1), ',', '') AS v FROM documents)
-        SELECT doc_id, CASE WHEN v <> '' THEN CAST(v AS DOUBLE) END AS value, CASE WHEN v <> '' THEN length(regexp_extract(v, '\\.([0-9]+)$', 1)) END AS decimals FROM n""",
+        SELECT doc_id, CASE WHEN v <> '' THEN CAST(v AS DOUBLE) END AS value, CASE WHEN v <> '' THEN length(regexp_extract(v, '\\.([0-9]+)$', 1)) ELSE -1 END AS decimals FROM n""",
     "annotation_census": f"""{E}, t AS (SELECT CASE WHEN handle % 3 = 0 THEN text || '.5 m' WHEN handle % 7 = 0 THEN layer ELSE text END AS text FROM labels),
         c AS (SELECT text, CASE WHEN regexp_full_match(text, '[0-9]+') THEN 'integer' WHEN regexp_full_match(text, '[0-9]+\\.5 m') THEN 'dimension' ELSE 'other' END AS class FROM t)
         SELECT class, count(*) AS n, count(DISTINCT text) AS different, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS digits FROM c GROUP BY class""",
