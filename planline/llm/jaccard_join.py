@@ -224,9 +224,9 @@ def jaccard_join(
     enough = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST_MEETINGS, runs)).select("key")
     alive = written(_shared(shared.select("path", "key").join(enough, "key")), "members")
 
-    wanted = alive.select("key").distinct().join(reps.select("key", "rep"), "key").select(F.col("rep").alias("doc_id"), F.col("key").alias("want"))
+    wanted = alive.select("key").distinct().join(reps.select("key", "rep"), "key").select("rep", F.col("key").alias("want"))
     # a doc_id may stand on several rows: the set's key tells which is meant
-    tokens = docs.join(wanted, "doc_id").select("doc_id", "want", "text").dropDuplicates()
+    tokens = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("doc_id", "want", "text").dropDuplicates()
     tokens = written(tokens.select("want", "text").mapInArrow(_sets(width), "key binary, tokens binary"), "tokens")
 
     final = None

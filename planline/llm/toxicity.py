@@ -42,18 +42,26 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 _WORD = re.compile(r"[^\W_]+")
-#: signs between two letters of which at least one is a letter beside them
-_INSIDE = re.compile(r"(?<=[^\W\d_])[013457 8@$!|](?=[^\W\d_])|(?<![\w@$!|])[01345788@$](?=[^\W\d_]{2})".replace(" ", ""))
+#: words with a digit or sign that may stand for a letter
+_MIXED = re.compile(r"[\w@$|!]*[0-9@$|!][\w@$|!]*")
+_SIGNS = str.maketrans(SUBSTITUTES)
 _MARKS = re.compile("[̀-ͯ]")
 _LOOKS = str.maketrans(HOMOGLYPHS)
 
 
+def _letters_for_signs(m: re.Match) -> str:
+    """A word with some letter gets letters for its digits and signs, but for signs at its end."""
+    word = m[0]
+    core = word.rstrip("!|$@")
+    return core.translate(_SIGNS) + word[len(core) :] if any(c.isalpha() for c in core) else word
+
+
 def fold(text: str) -> str:
     """Lower case, no accents, look-alikes and digit substitutions as Latin letters."""
     text = text.lower()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).translate(_LOOKS)
-    return _INSIDE.sub(lambda m: SUBSTITUTES[m[0]], text)
+    return _MIXED.sub(_letters_for_signs, text)
 
 
 def folded_words(text: str | None) -> list[str]:
