@@ -77,9 +77,9 @@ class Lexicon:
         self.weights, self.exceptions, self.curve = weights, exceptions, curve
         self.automaton = ahocorasick.Automaton()
         for term, weight in weights.items():
-            self.automaton.add_word(term, (len(term), weight))
+            self.automaton.add_word(term, (term, weight))
         for phrase in exceptions:
-            self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, 0.0))
+            self.automaton.add_word(f" {phrase} ", (f" {phrase} ", 0.0))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -90,21 +90,21 @@ class Lexicon:
         """log(1 + weight of the matches), and the same for weight by 100 words.
 
         Of matches that begin at one place the heaviest counts; those inside an
-        exception phrase do not.
+        exception phrase do not. A term counts in full once, and by the logarithm of
+        its number after that, so one repeated line cannot stand for many terms.
         """
         if not words or not len(self.automaton):
             return 0.0, 0.0
-        best: dict[int, float] = {}
+        best: dict[int, tuple[float, str]] = {}
         free: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton.iter(" " + " ".join(words) + " "):
-            begin = end - size + 1
+        for end, (term, weight) in self.automaton.iter(" " + " ".join(words) + " "):
+            begin = end - len(term) + 1
             if weight:
-                best[begin] = max(best.get(begin, 0.0), weight)
+                best[begin] = max(best.get(begin, (0.0, "")), (weight, term))
             else:
                 free.append((begin, end))
-        if free:
-            best = {b: w for b, w in best.items() if not any(x <= b < y for x, y in free)}
-        total = sum(best.values())
+        found = Counter(b for at, b in best.items() if not any(x <= at < y for x, y in free))
+        total = sum(weight * (1 + math.log(n)) for (weight, _), n in found.items())
         return math.log1p(total), math.log1p(100 * total / len(words))
 
     def score(self, text: str | None) -> float:
@@ -116,6 +116,7 @@ class Lexicon:
 def learn_weights(rows: list[tuple[list[str], int]]) -> tuple[dict[str, float], tuple[str, ...]]:
     """Lexicon and exception phrases from folded documents and labels."""
     seen = [Counter(), Counter()]
+    places: dict[str, set[str]] = {}
     size = [0, 0]
     for words, toxic in rows:
         size[toxic] += 1
@@ -123,9 +124,20 @@ def learn_weights(rows: list[tuple[list[str], int]]) -> tuple[dict[str, float],
         for w in list(terms):
             terms.update(w[:n] + "*" for n in STEMS if len(w) > n)
         seen[toxic].update(terms)
+        if toxic:
+            for before, w in zip(["", *words], words):
+                for t in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)):
+                    places.setdefault(t, set()).add(before)
     clean, bad = seen
+    # copies of one document repeat a term in one place: as many places as documents are asked for
+    bad = Counter({t: min(n, len(places[t])) for t, n in bad.items()})
     odds = lambda t: math.log((bad[t] + 0.5) / (size[1] + 1)) - math.log((clean[t] + 0.5) / (size[0] + 1))
-    fit = {t: w for t, n in bad.items() if n >= LEAST_DOCS and n > 2 * clean[t] and (w := odds(t)) >= LEAST_WEIGHT}
+    often = {t: n for t, n in bad.items() if n >= LEAST_DOCS and n > 2 * clean[t]}
+    tried = sum(n + clean[t] >= LEAST_DOCS for t, n in bad.items())
+    base, chance = math.log(size[1] / (size[0] + size[1])), -math.log(max(tried, 1))
+    # a term's documents must not all be toxic by chance, however many terms are tried
+    luck = lambda t: often[t] * base + math.lgamma(often[t] + clean[t] + 1) - math.lgamma(often[t] + 1) - math.lgamma(clean[t] + 1)
+    fit = {t: w for t in often if luck(t) <= chance and (w := odds(t)) >= LEAST_WEIGHT}
     # a shorter beginning that is as telling stands for the longer ones and the words
     kept: dict[str, float] = {}
     for t in sorted(fit, key=lambda t: (len(t.rstrip("*")), t)):
