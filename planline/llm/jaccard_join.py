@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planline.llm.components import components
-from planline.llm.shared import mix64, only, shingles, written
+from planline.llm.shared import mix64, only, shingles, slices, written
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -72,7 +72,7 @@ def _sketch(runs: int, branch: float, width: int):
     seeds = [_seed(r) for r in range(runs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, paths = [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles((text or "").encode("utf-8", "replace"), width)
@@ -91,7 +91,7 @@ def _sketch(runs: int, branch: float, width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             wanted = batch.column(0).to_pylist()
             sets = [shingles((t or "").encode("utf-8", "replace"), width) for t in batch.column(1).to_pylist()]
             meant = [(k, s.tobytes()) for k, s in zip(wanted, sets) if _set_key(s) == k]
@@ -104,7 +104,7 @@ def _sets(width: int):
 
 def _split(branch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parent, path, key = [], [], []
             for p, k, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 node = np.array([p], dtype=np.int64).astype(np.uint64)[0]

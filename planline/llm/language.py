@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planline.llm.shared import only
+from planline.llm.shared import only, slices
 
 PROFILE = 400
 #: Most training documents of a language; a keyed hash of the id picks them.
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
     model = Profiles(profiles, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

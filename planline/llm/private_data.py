@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planline.llm.shared import only
+from planline.llm.shared import only, slices
 
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
@@ -214,7 +214,7 @@ def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
         raise ValueError("a key is needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(None, {}, []) if t is None else pseudonymise(t, key) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

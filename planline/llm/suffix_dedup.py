@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planline.llm.shared import dropped, mix64, only, written
+from planline.llm.shared import dropped, mix64, only, slices, written
 from planline.llm.suffix_sort import deep_shallow_sort
 
 WINDOW = 400
@@ -82,7 +82,7 @@ _ANCHORS = "row binary, begin long, windows int, offset int, anchor long, contex
 
 def _find(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             held: list[tuple[bytes, int, bytes]] = []  # row, place in its text, bytes
             size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -129,7 +129,7 @@ def _cut(window: int):
     """Bytes of contexts, from texts and the places asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = text.encode("utf-8", "replace")
@@ -206,7 +206,7 @@ def _parts(window: int, width: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for anchor, context, offset, weight, data, shift in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 windows = len(data) - window + 1
@@ -230,7 +230,7 @@ _CONTEXT_DDL = "anchor long, context binary, offset int, weight long, bytes bina
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for _, context, _, weight, data, shift in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 for t in range(len(data) - window + 1):
@@ -245,7 +245,7 @@ def _windows(window: int):
 
 def _strip(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 data = (text or "").encode("utf-8", "replace")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planline.llm.shared import dropped, only, span_hashes, written
+from planline.llm.shared import dropped, only, slices, span_hashes, written
 
 BLOCK_IDS = 1 << 20
 #: most chunks that a worker keeps
@@ -178,13 +178,11 @@ def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, TEXTS):
             packed, count = [], []
-            for k in range(0, len(texts), TEXTS):
-                for ids in encoder.all(texts[k : k + TEXTS]):
-                    packed.append(ids.tobytes() + end)
-                    count.append(len(ids) + 1)
+            for ids in encoder.all([t or "" for t in batch.column(1).to_pylist()]):
+                packed.append(ids.tobytes() + end)
+                count.append(len(ids) + 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary()), pa.array(count, pa.int64())], ["doc_id", "ids", "n"]
             )
@@ -222,7 +220,7 @@ def _write_blocks(ranked: np.ndarray, block_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, start, held, docs, values = TaskContext.get().partitionId(), 0, 0, 0, [], []
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 docs.append(doc)
                 values.append(_unpack(ids, n))
@@ -255,7 +253,7 @@ def _read_blocks(ranked: np.ndarray, starts: dict[int, int]):
     table = ranked.astype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 ids = table[decode_block(row["control"], row["data"], row["n"])]
                 lengths = np.array(row["lengths"], dtype=np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planline.llm.shared import only
+from planline.llm.shared import only, slices
 
 #: Most labelled documents that are learned from; a hash of the id picks them.
 TRAIN_DOCS = 6_000
@@ -211,7 +211,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [lexicon.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
