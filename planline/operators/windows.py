@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,20 @@ def top_n(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
 
 
 def cumulative_share(counts: DataFrame, n: str, key: str, share: float) -> DataFrame:
-    """The largest groups that together first reach ``share`` of all."""
-    total = counts.agg(F.sum(n).alias("total"))
-    before = F.coalesce(F.sum(n).over(Window.orderBy(F.desc(n), key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.crossJoin(F.broadcast(total)).withColumn("before", before).where(F.col("before") < share * F.col("total"))
+    """The largest groups that together first reach ``share`` of all; equal ones by key.
+
+    Only the different sizes are put in order, not the groups: all groups above the size
+    where the share is reached are in, and of those of that size the first few by key.
+    """
+    sizes = counts.groupBy(F.col(n).alias("size")).agg(F.count(F.lit(1)).alias("groups"))
+    part = F.col("size") * F.col("groups")
+    w = Window.orderBy(F.desc("size"))
+    sizes = sizes.select("size", F.coalesce(F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    edge = sizes.where(F.col("before") < share * F.col("total")).orderBy("size").limit(1).first()
+    if edge is None:
+        return counts.limit(0)
+    some = max(0, math.ceil((share * edge.total - edge.before) / edge["size"]))
+    return counts.where(F.col(n) > edge["size"]).unionByName(counts.where(F.col(n) == edge["size"]).orderBy(key).limit(some))
 
 
 def islands(df: DataFrame, group: list[str], low: str, high: str, order: list[str], gap: float) -> DataFrame:
