@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from planline.llm.shared import only, slices
 
 #: Most labelled documents that are learned from; a hash of the id picks them.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 4_000
 #: A term stands in this many toxic documents at least, and has this log odds.
 LEAST_DOCS, LEAST_WEIGHT = 3, 2.5
 STEMS = range(4, 9)
@@ -180,7 +180,8 @@ def train(rows: DataFrame, train_docs: int = TRAIN_DOCS) -> Lexicon:
     n = rows.count()
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, train_docs / max(n, 1)) * 1_000_000)
 
-    local = [(folded_words(r.text), int(r.toxic)) for r in picked.orderBy("doc_id").toLocalIterator()]
+    known: dict[str, str] = {}  # one string for each word, however often it stands
+    local = [([known.setdefault(w, w) for w in folded_words(r.text)], int(r.toxic)) for r in picked.orderBy("doc_id").toLocalIterator()]
     if len({t for _, t in local}) < 2:
         return Lexicon({})
     weights, exceptions = learn_weights(local)
