@@ -30,6 +30,8 @@ TRAIN_DOCS = 4_000
 LEAST_DOCS, LEAST_WEIGHT = 3, 2.5
 STEMS = range(4, 9)
 FOLDS = 4
+#: Share of a beginning's documents that may be those of one word.
+ONE_WORD = 0.7
 MOST_TERMS = 5_000
 
 # Look-alike letters (Cyrillic, Greek) and their Latin letters.
@@ -132,7 +134,14 @@ def learn_weights(rows: list[tuple[list[str], int]]) -> tuple[dict[str, float],
     # copies of one document repeat a term in one place: as many places as documents are asked for
     bad = Counter({t: min(n, len(places[t])) for t, n in bad.items()})
     odds = lambda t: math.log((bad[t] + 0.5) / (size[1] + 1)) - math.log((clean[t] + 0.5) / (size[0] + 1))
-    often = {t: n for t, n in bad.items() if n >= LEAST_DOCS and n > 2 * clean[t]}
+    # a beginning that is nearly always one word stands back for that word
+    single: dict[str, int] = {}
+    for w, n in bad.items():
+        if not w.endswith("*"):
+            for k in STEMS:
+                if len(w) > k:
+                    single[w[:k] + "*"] = max(single.get(w[:k] + "*", 0), n)
+    often = {t: n for t, n in bad.items() if n >= LEAST_DOCS and n > 2 * clean[t] and single.get(t, 0) < ONE_WORD * n}
     tried = sum(n + clean[t] >= LEAST_DOCS for t, n in bad.items())
     base, chance = math.log(size[1] / (size[0] + size[1])), -math.log(max(tried, 1))
     # a term's documents must not all be toxic by chance, however many terms are tried
@@ -147,10 +156,10 @@ def learn_weights(rows: list[tuple[list[str], int]]) -> tuple[dict[str, float],
     top = sorted(kept, key=lambda t: (-bad[t], t))[:MOST_TERMS]
     weights = {f" {t[:-1]}" if t.endswith("*") else f" {t} ": kept[t] for t in top}
     # pairs with a lexicon word that only clean documents hold
-    single = {t for t in top if not t.endswith("*")}
+    whole = {t for t in top if not t.endswith("*")}
     pairs = [Counter(), Counter()]
     for words, toxic in rows:
-        pairs[toxic].update({f"{a} {b}" for a, b in zip(words, words[1:]) if a in single or b in single})
+        pairs[toxic].update({f"{a} {b}" for a, b in zip(words, words[1:]) if a in whole or b in whole})
     exceptions = tuple(sorted(p for p, n in pairs[0].items() if n >= 5 and not pairs[1][p]))
     return weights, exceptions
 
