@@ -177,11 +177,21 @@ _FIND = re.compile(
     r"|(?P<date>(?<!\d)(?:\d{4}(?P<mark1>[\-/.])\d{1,2}(?P=mark1)\d{1,2}|\d{1,2}(?P<mark2>[\-/.])\d{1,2}(?P=mark2)\d{4})(?!\d))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|(?<!\d)\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<!\d)\+\d{10,14}(?!\d))"
-    r"|(?P<card>(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d))"
+    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<mark3>[ \-])\d{4}(?P=mark3)\d{4}(?P=mark3)\d{1,7}|\d{4}(?P<mark4>[ \-])\d{6}(?P=mark4)\d{5})(?!\d))"
+    r"|(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9\-]{16,80}(?![A-Za-z0-9]))"
 )
-_WORK = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
+#: The start of an access key names its kind and stays.
+_KEY_START = re.compile(r"AKIA|ASIA|ghp_|sk-|xox[bp]-")
+
+
+def _access(text: str, key: bytes) -> str:
+    start = _KEY_START.match(text)[0]
+    return start + _letters(text[len(start) :], key, b"access")
+
+
+_WORK = {"access": _access, "email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
 #: Without one of these no pattern can match.
-_HINT = re.compile(r"[@0-9]|(?i:token|secret|passw|key)")
+_HINT = re.compile(r"[@0-9]|(?i:token|secret|passw|key)|AKIA|ASIA|ghp_|sk-|xox")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str, int, int]]]:
@@ -192,13 +202,14 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple
         return text, counts, spans
 
     def put(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m[k] is not None)
-        old = m[kind]
-        new = _WORK[kind](old, key)
+        group = next(k for k in (*KINDS, "access") if m[k] is not None)
+        kind = "secret" if group == "access" else group
+        old = m[group]
+        new = _WORK[group](old, key)
         if new is None:
             return m[0]
         counts[kind] = counts.get(kind, 0) + 1
-        spans.append((kind, m.start(kind), m.end(kind)))
+        spans.append((kind, m.start(group), m.end(group)))
         return (m["secret_at"] or "") + new
 
     return _FIND.sub(put, text), counts, spans
