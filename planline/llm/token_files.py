@@ -12,7 +12,6 @@ The container is a Parquet table in the shared folder, one row a block:
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +26,13 @@ from planline.llm.shared import dropped, only, slices, span_hashes, written
 
 BLOCK_IDS = 1 << 20
 #: most chunks that a worker keeps
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 2_000_000
 #: texts whose unknown chunks are learned together
-TEXTS = 1000
+TEXTS = 2000
 
+_BLANK = np.array([i < 128 and chr(i).isspace() for i in range(256)])
+_OTHER_BLANKS = {chr(i).encode() for i in range(128, 0x3001) if chr(i).isspace()}
+_LEAD = np.isin(np.arange(256), [b[0] for b in _OTHER_BLANKS])
 _ASCII_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 #: byte count of each of the four values of a control byte
 _SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -80,7 +82,6 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.loose = re.compile(r"\s\s").search
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._forget()
 
@@ -112,16 +113,35 @@ class CachedEncoder:
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
         of = dict(zip(chunks, hashes.tolist()))
-        for names, ids, size in self._encode(chunks):
-            begin = np.cumsum(size) - size + len(self.pool)
+        fresh, begin, size = [], [], []
+        for names, ids, sizes in self._encode(chunks):
+            fresh += [of[c] for c in names]
+            begin.append(np.cumsum(sizes) - sizes + len(self.pool))
+            size.append(sizes)
             self.pool = np.concatenate((self.pool, ids))
-            self.hashes = np.concatenate((self.hashes, np.array([of[c] for c in names], dtype=np.uint64)))
-            self.begin = np.concatenate((self.begin, begin))
-            self.size = np.concatenate((self.size, size))
-        order = np.argsort(self.hashes)
-        self.hashes, self.begin, self.size = self.hashes[order], self.begin[order], self.size[order]
+        fresh = np.array(fresh, dtype=np.uint64)
+        order = np.argsort(fresh)
+        at = np.searchsorted(self.hashes, fresh[order])
+        self.hashes = np.insert(self.hashes, at, fresh[order])
+        self.begin = np.insert(self.begin, at, np.concatenate(begin)[order])
+        self.size = np.insert(self.size, at, np.concatenate(size)[order])
+
+    def _whole(self, raw: np.ndarray, whole: bytes, first: np.ndarray) -> list[int]:
+        """Texts with neighbouring white space, white space beyond ASCII or a special token's string."""
+        blank = _BLANK[raw]
+        at = np.flatnonzero(blank[1:] & blank[:-1]) + 1
+        places = [at[~np.isin(at, first)]]  # not where two texts meet
+        lead = np.flatnonzero(_LEAD[raw])  # first bytes of the blanks beyond ASCII; rare in most texts
+        places.append(np.array([k for k in lead.tolist() if whole[k : k + 2] in _OTHER_BLANKS or whole[k : k + 3] in _OTHER_BLANKS], dtype=np.int64))
+        for sign in self.special:
+            k = whole.find(sign.encode())
+            while k >= 0:
+                places.append(np.array([k]))
+                k = whole.find(sign.encode(), k + 1)
+        return np.unique(np.searchsorted(first, np.concatenate(places), side="right") - 1).tolist()
 
-    def _tidy(self, texts: list[str]) -> list[np.ndarray]:
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         data = [t.encode("utf-8", "replace") for t in texts]
         whole = b"".join(data)
         first = np.cumsum([0, *map(len, data)])
@@ -136,6 +156,8 @@ class CachedEncoder:
         inverse, known = pd.factorize(span_hashes(raw, start, end))
         if len(self.hashes) > CACHE_CHUNKS:
             self._forget()
+        order = np.argsort(known)
+        inverse, known = np.argsort(order)[inverse], known[order]
         at = np.searchsorted(self.hashes, known)
         miss = np.ones(len(known), dtype=bool)
         inside = at < len(self.hashes)
@@ -149,18 +171,10 @@ class CachedEncoder:
         size, begin = self.size[at][inverse], self.begin[at][inverse]
         stop = np.cumsum(size)
         ids = self.pool[np.repeat(begin - (stop - size), size) + np.arange(stop[-1])]
-        cuts = np.concatenate(([0], stop))[np.searchsorted(start, first)]
-        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-
-    def all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        whole = [k for k, t in enumerate(texts) if self.loose(t) or any(s in t for s in self.special)]
-        out: list = [None] * len(texts)
-        for k in whole:
+        cuts = np.concatenate(([0], stop))[np.searchsorted(start, first)].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in self._whole(raw, whole, first):
             out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, dtype=self.dtype)
-        tidy = [k for k, o in enumerate(out) if o is None]
-        for k, ids in zip(tidy, self._tidy([texts[k] for k in tidy])):
-            out[k] = ids
         return out
 
 
