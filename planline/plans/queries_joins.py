@@ -333,6 +333,11 @@ SQL = {
     "distance_matrix": f"{E}, {_C} SELECT c.handle AS a, o.handle AS b, round({_DIST}, 6) AS distance FROM c JOIN c o ON c.handle < o.handle AND o.handle <= 40",
     "adjacency": f"{E} SELECT a.handle AS a_handle, b.handle AS b_handle FROM parcels a JOIN parcels b ON {_BOX.format(p=1)}",
     "box_overlap_area": f"{E} SELECT a.handle AS a_handle, b.handle AS b_handle, round((least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)), 4) AS overlap FROM parcels a JOIN parcels b ON {_BOX.format(p=0)}",
+    # all parcels are turned by one angle, so in the turned frame their rings are boxes
+    "overlap_scan": f"""{E}, t AS (SELECT handle, area, w, h, 8e-1 * x1 + 6e-1 * y1 AS u, 8e-1 * y1 - 6e-1 * x1 AS v FROM parcels),
+        o AS (SELECT a.handle AS a_handle, b.handle AS b_handle, least(a.area, b.area) AS least_area,
+        greatest(0, least(a.u + a.w, b.u + b.w) - greatest(a.u, b.u)) * greatest(0, least(a.v + a.h, b.v + b.h) - greatest(a.v, b.v)) AS overlap FROM t a JOIN t b ON a.handle < b.handle)
+        SELECT a_handle, b_handle, round(overlap, 4) AS overlap, round(overlap / least_area, 6) AS share FROM o WHERE overlap > 1e-6""",
     "frontage_check": f"""{E}, f AS (SELECT c.handle, min(sqrt((o.cx - c.cx) * (o.cx - c.cx) + (o.cy - c.cy) * (o.cy - c.cy))) AS distance FROM parcels c JOIN parcels o ON c.size_code > 1 AND o.size_code = 1 AND sqrt((o.cx - c.cx) * (o.cx - c.cx) + (o.cy - c.cy) * (o.cy - c.cy)) <= 60 GROUP BY 1)
         SELECT p.handle, round(distance, 6) AS distance, CASE WHEN round(distance, 6) <= 30 THEN 'established' WHEN distance IS NOT NULL THEN 'unproven' ELSE 'none' END AS frontage FROM parcels p LEFT JOIN f ON p.handle = f.handle WHERE size_code > 1""",
     "corridor_ranking": f"{H}, i AS (SELECT r_layer, count(DISTINCT p_handle) AS inside FROM hit GROUP BY 1) SELECT layer, coalesce(max(inside), 0) AS inside, count(*) AS parcels, round(coalesce(max(inside), 0) / count(*), 6) AS score FROM parcels LEFT JOIN i ON r_layer = layer GROUP BY layer ORDER BY score DESC, layer LIMIT 10",
@@ -368,4 +373,4 @@ SQL = {
         l AS (SELECT *, CAST(sum(CASE WHEN seen_y IS NULL OR miny - seen_y > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY layer, body_x ORDER BY miny, maxy, handle ROWS UNBOUNDED PRECEDING) AS BIGINT) AS body_y FROM j)
         SELECT layer, body_x, body_y, count(*) AS members FROM l GROUP BY 1, 2, 3""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "overlap_scan"]}
+QUERIES = {name: globals()[name] for name in SQL}
