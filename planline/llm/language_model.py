@@ -1,14 +1,16 @@
 """LM scoring by masked pseudo-likelihood.
 
 A network predicts every word of a document from the ``SPAN`` words on both sides,
-the word itself masked: position-wise embeddings of the neighbours are summed, passed
-through tanh, and a two-level softmax (class, then word within the class) gives the
+the word itself masked: the neighbours' embeddings, each through the matrix of its
+place, are summed, passed through tanh, and a hierarchical softmax (a class of word
+ranks from one power of two to the next, then a binary tree within the class) gives the
 word's conditional probability. The sum of the log-probabilities scores a document.
 
-The vocabulary comes from word counts over the whole corpus. Training runs over a
-fixed share of all documents, so it grows with the corpus: in each round every
-partition trains from the common weights on its own rows in numpy, and the weights are
-averaged, by the number of words, in a shuffle.
+The vocabulary comes from word counts over the whole corpus: every word that occurs
+``LEAST_COUNT`` times, so it grows with the corpus, and a quarter at least of buckets
+for the rarer words. In each training round every partition trains from the common
+weights on its own rows in numpy and gives the rows of weights that moved; each row is
+averaged in a shuffle, by the number of words, over the partitions that moved it.
 """
 
 from __future__ import annotations
@@ -22,55 +24,52 @@ from pyspark.sql import functions as F
 
 from planline.llm.shared import mix64, only, slices, word_hashes, written
 
-SPAN, DIM, CLASSES = 2, 16, 32
-VOCABULARY = CLASSES * CLASSES  # the last quarter: buckets of rarer words
-KNOWN = VOCABULARY * 3 // 4
+SPAN, DIM = 2, 16
+VOCABULARY = 1024  # the least size; sizes are powers of two
+KNOWN = VOCABULARY * 3 // 4  # so many words are known even if they are rare
+LEAST_COUNT = 10
 ROUNDS, RATE, BATCH = 3, 0.1, 1024
 TRAIN_SHARE = 0.05
 CHUNK = 4096
 
 
-def _shapes() -> dict[str, tuple[int, ...]]:
-    return {
-        "near": (2 * SPAN, VOCABULARY + 1, DIM),
-        "of_class": (CLASSES, DIM),
-        "class_bias": (CLASSES,),
-        "of_word": (CLASSES, CLASSES, DIM),
-        "word_bias": (CLASSES, CLASSES),
-    }
+def _shapes(size: int) -> dict[str, int]:
+    """Rows of DIM + 1 weights by table (the last weight of a row: the bias)."""
+    return {"word": size + 1, "tree": size, "of_class": size.bit_length() - 1, "place": 2 * SPAN * DIM}
 
 
-SIZE = sum(int(np.prod(s)) for s in _shapes().values())
-
-
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unpack(flat: np.ndarray, size: int = VOCABULARY) -> dict[str, np.ndarray]:
     """Views into the flat weights."""
-    out, at = {}, 0
-    for name, shape in _shapes().items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
+    every = flat.reshape(-1, DIM + 1)
+    out, at = {"every": every}, 0
+    for name, n in _shapes(size).items():
+        out[name] = every[at : at + n]
         at += n
     return out
 
 
-def first_weights(seed: int = 1) -> np.ndarray:
-    flat = np.random.default_rng(seed).normal(0, 0.1, SIZE).astype(np.float32)
-    w = unpack(flat)
-    w["class_bias"][:] = 0
-    w["word_bias"][:] = 0
+def first_weights(seed: int = 1, size: int = VOCABULARY) -> np.ndarray:
+    flat = np.random.default_rng(seed).standard_normal(sum(_shapes(size).values()) * (DIM + 1), dtype=np.float32)
+    flat *= 0.1
+    w = unpack(flat, size)
+    w["every"][:, DIM] = 0
+    w["place"][:, :DIM] += np.tile(np.eye(DIM, dtype=np.float32), (2 * SPAN, 1))
     return flat
 
 
 class Vocabulary:
-    """Ids by count; a rarer word gets one of the buckets by its hash."""
+    """Ids by count; a rarer word gets one of the buckets, the ids beyond, by its hash."""
 
     def __init__(self, hashes: np.ndarray):
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
+        self.size = VOCABULARY
+        while self.size * 3 // 4 < len(hashes):
+            self.size *= 2
 
     def ids(self, text: str | None) -> np.ndarray:
         h = word_hashes((text or "").encode("utf-8", "replace"))
-        out = KNOWN + (mix64(h) % np.uint64(VOCABULARY - KNOWN)).astype(np.int64)
+        out = len(self.hashes) + (mix64(h) % np.uint64(self.size - len(self.hashes))).astype(np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             known = self.hashes[at] == h
@@ -78,11 +77,11 @@ class Vocabulary:
         return out
 
 
-def _neighbours(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _neighbours(ids: np.ndarray, ends: np.ndarray, size: int = VOCABULARY) -> np.ndarray:
     """Neighbour ids (rows: words, columns: places) within each document; outside: the edge id."""
     n = len(ids)
     doc = np.searchsorted(ends, np.arange(n), side="right")
-    out = np.full((n, 2 * SPAN), VOCABULARY, dtype=np.int64)
+    out = np.full((n, 2 * SPAN), size, dtype=np.int64)
     for k, d in enumerate([*range(-SPAN, 0), *range(1, SPAN + 1)]):
         to = np.arange(n) + d
         good = (to >= 0) & (to < n)
@@ -98,105 +97,143 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hidden(w: dict, near: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(w["near"][k][near[:, k]] for k in range(2 * SPAN)))
+def _hidden(w: dict, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours' embeddings side by side; the hidden values and a 1 for the bias."""
+    x = np.take(w["word"], near.ravel(), axis=0)[:, :DIM].reshape(len(near), 2 * SPAN * DIM)
+    h = np.ones((len(near), DIM + 1), dtype=np.float32)
+    h[:, :DIM] = np.tanh(x @ w["place"][:, :DIM])
+    return x, h
+
+
+def _path(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class of each id (ids 0 and 1, then from each power of two to the next); for each step
+    down the class's tree: place of the id, node, and branch; and where each id's steps start."""
+    c = np.frexp(np.maximum(ids, 1).astype(np.float64))[1].astype(np.int64) - 1
+    base = np.where(c > 0, np.left_shift(1, c), 0)
+    steps = np.maximum(c, 1)
+    starts = np.cumsum(steps) - steps
+    of = np.repeat(np.arange(len(ids)), steps)
+    depth = np.arange(len(of)) - starts[of]
+    left = (steps[of] - depth) - 1
+    to = (ids - base)[of] >> left
+    return c, of, base[of] + np.left_shift(1, depth) + (to >> 1), to & 1, starts
 
 
 def log_probabilities(w: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
     """log p(word | words on both sides) of each word."""
     out = np.empty(len(ids))
-    for s in range(0, len(ids), CHUNK * 4):
-        own, h = ids[s : s + CHUNK * 4], _hidden(w, near[s : s + CHUNK * 4])
-        c, v = own // CLASSES, own % CLASSES
-        rows = np.arange(len(own))
-        p = _softmax(h @ w["of_class"].T + w["class_bias"])[rows, c]
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at):
-                p[at] *= _softmax(h[at] @ w["of_word"][k].T + w["word_bias"][k])[np.arange(len(at)), v[at]]
-        out[s : s + CHUNK * 4] = np.log(np.maximum(p, 1e-30))
+    for s in range(0, len(ids), CHUNK):
+        own, h = ids[s : s + CHUNK], _hidden(w, near[s : s + CHUNK])[1]
+        c, of, node, branch, starts = _path(own)
+        p = np.log(np.maximum(_softmax(h @ w["of_class"].T)[np.arange(len(own)), c], 1e-30))
+        x = np.einsum("nd,nd->n", np.take(w["tree"], node, axis=0), np.take(h, of, axis=0)) * (2 * branch - 1).astype(np.float32)
+        out[s : s + CHUNK] = p + np.add.reduceat(np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x))), starts)
     return out
 
 
-def gradient(w: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Gradient of the mean negative log-probability, flat."""
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    first = np.concatenate(([True], rows[1:] != rows[:-1]))
+    at = np.empty(len(rows), dtype=np.int64)
+    at[order] = np.cumsum(first) - 1
+    rows = rows[first]
+    out = np.empty((len(rows), values.shape[1]), dtype=np.float32)
+    for d, column in enumerate(values.T.astype(np.float64)):
+        out[:, d] = np.bincount(at, column, len(rows))
+    return rows, out
+
+
+def _moves(w: dict, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean negative log-probability: the rows of weights it touches, and it."""
     n = len(ids)
-    flat = np.zeros(SIZE, dtype=np.float32)
-    out = unpack(flat)
-    h = _hidden(w, near)
-    c, v = ids // CLASSES, ids % CLASSES
-    g = _softmax(h @ w["of_class"].T + w["class_bias"])
+    x, h = _hidden(w, near)
+    c, of, node, branch, starts = _path(ids)
+    g = _softmax(h @ w["of_class"].T)
     g[np.arange(n), c] -= 1
-    back = g @ w["of_class"]
-    out["of_class"][:] = g.T @ h
-    out["class_bias"][:] = g.sum(axis=0)
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[cuts[k] : cuts[k + 1]]
-        if len(at):
-            g = _softmax(h[at] @ w["of_word"][k].T + w["word_bias"][k])
-            g[np.arange(len(at)), v[at]] -= 1
-            back[at] += g @ w["of_word"][k]
-            out["of_word"][k] = g.T @ h[at]
-            out["word_bias"][k] = g.sum(axis=0)
-    back *= 1 - h * h
-    for k in range(2 * SPAN):
-        for d in range(DIM):
-            out["near"][k][:, d] = np.bincount(near[:, k], back[:, d], VOCABULARY + 1)
-    flat /= n
-    return flat
+    nodes, hs = np.take(w["tree"], node, axis=0), np.take(h, of, axis=0)
+    e = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nd->n", nodes, hs), -60, 60))) - branch.astype(np.float32)
+    nodes *= e[:, None]
+    hs *= e[:, None]
+    back = (g @ w["of_class"] + np.add.reduceat(nodes, starts, axis=0))[:, :DIM] * (1 - h[:, :DIM] ** 2)
+    words, of_word = _sums(near.ravel(), (back @ w["place"][:, :DIM].T).reshape(-1, DIM))
+    trees, of_tree = _sums(node, hs)
+    dense = np.arange(len(w["word"]) + len(w["tree"]), len(w["every"]))
+    rows = np.concatenate((words, trees + len(w["word"]), dense))
+    out = np.zeros((len(rows), DIM + 1), dtype=np.float32)
+    out[: len(words), :DIM] = of_word
+    out[len(words) : len(words) + len(trees)] = of_tree
+    at = len(words) + len(trees)
+    out[at : at + len(w["of_class"])] = g.T @ h
+    out[at + len(w["of_class"]) :, :DIM] = x.T @ back
+    out /= n
+    return rows, out
+
+
+def gradient(w: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Gradient of the mean negative log-probability, flat."""
+    out = np.zeros_like(w["every"])
+    rows, g = _moves(w, ids, near)
+    out[rows] = g
+    return out.ravel()
 
 
 def _train(flat: np.ndarray, vocabulary: Vocabulary, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = flat.copy(), 0
-        w, squares = unpack(own), np.full(SIZE, 1e-8, dtype=np.float32)
+        own, seen, size = flat.copy(), 0, vocabulary.size
+        w = unpack(own, size)
+        every, squares = w["every"], np.full(w["every"].shape, 1e-8, dtype=np.float32)
+        moved = np.zeros(len(every), dtype=bool)
         for batch in slices(batches):
             texts = [vocabulary.ids(t) for t in batch.column(0).to_pylist()]
             if not texts or not sum(map(len, texts)):
                 continue
-            ids, near = np.concatenate(texts), _neighbours(np.concatenate(texts), np.cumsum([len(t) for t in texts]))
+            ids = np.concatenate(texts)
+            near = _neighbours(ids, np.cumsum([len(t) for t in texts]), size)
             shuffled = np.argsort(mix64(np.arange(len(ids), dtype=np.uint64)), kind="stable")
             for s in range(0, len(ids), BATCH):
                 at = shuffled[s : s + BATCH]
-                g = gradient(w, ids[at], near[at])
-                squares += g * g  # steps shrink with what each weight has seen (Adagrad)
-                own -= rate * g / np.sqrt(squares)
+                rows, g = _moves(w, ids[at], near[at])
+                square = np.take(squares, rows, axis=0) + g * g  # steps shrink with what each weight has seen (Adagrad)
+                squares[rows] = square
+                every[rows] = np.take(every, rows, axis=0) - rate * g / np.sqrt(square)
+                moved[rows] = True
             seen += len(ids)
         if seen:
-            parts = np.array_split(own, -(-SIZE // CHUNK))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(len(parts)), pa.int32()),
-                    pa.array([seen] * len(parts), pa.int64()),
-                    pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()),
-                ],
-                ["part", "seen", "weights"],
-            )
+            before = flat.reshape(every.shape)
+            for part in range(-(-len(every) // CHUNK)):
+                rows = np.flatnonzero(moved[part * CHUNK : (part + 1) * CHUNK])
+                if len(rows):
+                    by = (every[rows + part * CHUNK] - before[rows + part * CHUNK]).astype("<f2")
+                    yield _part(part, rows, by, seen)
 
     return run
 
 
+def _part(part: int, rows: np.ndarray, by: np.ndarray, seen: int) -> pa.RecordBatch:
+    """Rows of one part of the weights, and by how much they move."""
+    columns = [pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([rows.astype("<u2").tobytes()], pa.binary()), pa.array([by.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "seen", "rows", "moves"])
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean of the parts in this partition, one part at a time (rows are sorted by part)."""
-    part, total, seen = None, None, 0
+    """Mean move of each row in this partition, one part at a time (sorted by part)."""
+    part, total, seen = None, None, None
 
     def done():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["part", "weights"]
-        )
+        rows = np.flatnonzero(seen)
+        return _part(part, rows, (total[rows] / seen[rows, None]).astype("<f4"), 0)
 
     for batch in batches:
-        for p, n, w in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for p, n, rows, by in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if p != part:
                 if part is not None:
                     yield done()
-                part, total, seen = p, 0.0, 0
-            total = total + n * np.frombuffer(w, dtype="<f4").astype(np.float64)
-            seen += n
+                part, total, seen = p, np.zeros((CHUNK, DIM + 1)), np.zeros(CHUNK)
+            rows = np.frombuffer(rows, dtype="<u2")
+            total[rows] += n * np.frombuffer(by, dtype="<f2").reshape(-1, DIM + 1).astype(np.float64)
+            seen[rows] += n
     if part is not None:
         yield done()
 
@@ -217,16 +254,19 @@ def train(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rat
     """Vocabulary from all documents, weights from ``share`` of them (by a hash of the id)."""
     docs = only(docs, "doc_id", "text")
     counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    vocabulary = Vocabulary(np.array([r.word for r in top], dtype=np.int64).astype(np.uint64))
+    top = written(counts.where(F.col("n") >= LEAST_COUNT), "vocabulary")
+    if top.count() < KNOWN:
+        top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
+    hashes = top.orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_numpy()
+    vocabulary = Vocabulary(hashes.astype(np.int64).astype(np.uint64))
     rows = written(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < int(share * 10_000)).select("text"), "training")
-    flat = first_weights()
+    flat = first_weights(size=vocabulary.size)
+    ddl = "part int, seen long, rows binary, moves binary"
     for r in range(rounds):
-        ddl = "part int, seen long, weights binary"
         trained = rows.mapInArrow(_train(flat, vocabulary, rate / (1 + r)), ddl).repartition(F.col("part")).sortWithinPartitions("part")
-        parts = trained.mapInArrow(_average, "part int, weights binary").collect()  # the weights: SIZE numbers
-        if parts:
-            flat = np.concatenate([np.frombuffer(p.weights, dtype="<f4") for p in sorted(parts, key=lambda p: p.part)])
+        every = flat.reshape(-1, DIM + 1)
+        for p in trained.mapInArrow(_average, ddl).collect():  # the weights: some 140 bytes for each word of the vocabulary
+            every[p.part * CHUNK + np.frombuffer(p.rows, dtype="<u2").astype(np.int64)] += np.frombuffer(p.moves, dtype="<f4").reshape(-1, DIM + 1)
     return Model(vocabulary, flat)
 
 
@@ -239,7 +279,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     vocabulary, flat = model.vocabulary, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpack(flat)
+        w = unpack(flat, vocabulary.size)
         for batch in slices(batches):
             sums, sizes = [], []
             texts = batch.column(1).to_pylist()
@@ -248,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 size = [len(i) for i in ids]
                 flat_ids = np.concatenate(ids)
                 ends = np.cumsum(size)
-                p = np.concatenate(([0.0], np.cumsum(log_probabilities(w, flat_ids, _neighbours(flat_ids, ends)))))
+                p = np.concatenate(([0.0], np.cumsum(log_probabilities(w, flat_ids, _neighbours(flat_ids, ends, vocabulary.size)))))
                 sums += (p[ends] - p[ends - np.array(size)]).tolist()
                 sizes += size
             mean = [None if not n else x / n for x, n in zip(sums, sizes)]
