@@ -29,7 +29,7 @@ VOCABULARY = 1024  # the least size; sizes are powers of two
 KNOWN = VOCABULARY * 3 // 4  # so many words are known even if they are rare
 LEAST_COUNT = 10
 ROUNDS, RATE, BATCH = 3, 0.1, 1024
-TRAIN_SHARE = 0.05
+TRAIN_SHARE = 1.0  # below 1 for trials
 CHUNK = 4096
 
 
@@ -251,7 +251,7 @@ class Model:
 
 
 def train(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """Vocabulary from all documents, weights from ``share`` of them (by a hash of the id)."""
+    """Vocabulary from all documents, weights from them all, or from a ``share`` (by a hash of the id)."""
     docs = only(docs, "doc_id", "text")
     counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = written(counts.where(F.col("n") >= LEAST_COUNT), "vocabulary")
@@ -259,7 +259,9 @@ def train(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rat
         top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     hashes = top.orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_numpy()
     vocabulary = Vocabulary(hashes.astype(np.int64).astype(np.uint64))
-    rows = written(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < int(share * 10_000)).select("text"), "training")
+    rows = docs.select("text")
+    if share < 1:
+        rows = written(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < int(share * 10_000)).select("text"), "training")
     flat = first_weights(size=vocabulary.size)
     ddl = "part int, seen long, rows binary, moves binary"
     for r in range(rounds):

@@ -1,6 +1,7 @@
 """The language model learns from the whole corpus."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from planline.llm import language_model
 
@@ -16,3 +17,10 @@ def test_vocabulary_grows_with_the_corpus(spark):
     every = np.arange(4096)
     near = np.repeat(language_model._neighbours(ids[:5], np.array([5]), 4096)[:1], 4096, axis=0)
     assert abs(np.exp(language_model.log_probabilities(w, every, near)).sum() - 1) < 1e-4
+
+
+def test_every_document_trains(spark):
+    docs = spark.range(2000).withColumn("text", F.lit("one two three four")).withColumnRenamed("id", "doc_id")
+    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) >= 500).limit(5)
+    model = language_model.train(few)
+    assert not np.array_equal(model.weights, language_model.first_weights(size=model.vocabulary.size))
