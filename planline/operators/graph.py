@@ -38,16 +38,22 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reachable(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes reachable from roots over directed edges (a, b), roots included: a recursive query."""
-    edges.createOrReplaceTempView("planline_edges")
-    roots.createOrReplaceTempView("planline_roots")
-    return spark.sql(
-        """WITH RECURSIVE reach AS (
-             SELECT node, 0 AS depth FROM planline_roots
-             UNION ALL
-             SELECT e.b, r.depth + 1 FROM reach r JOIN planline_edges e ON e.a = r.node WHERE r.depth < 20)
-           SELECT node, min(depth) AS depth FROM reach GROUP BY node"""
-    )
+    """(node, depth): all nodes reachable from roots over directed edges (a, b), roots included.
+
+    Each round takes one step from the nodes found last and keeps those not yet reached,
+    until there are none; every round is checkpointed in the shared folder.
+    """
+    edges = _checkpointed(edges.select("a", "b").distinct())
+    reached = _checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    last, depth = reached, 0
+    while True:
+        depth += 1
+        step = edges.join(last.select(F.col("node").alias("a")), "a").select(F.col("b").alias("next")).distinct()
+        fresh = step.join(reached.select("node"), F.col("next").eqNullSafe(F.col("node")), "left_anti")
+        last = _checkpointed(fresh.select(F.col("next").alias("node"), F.lit(depth).alias("depth")))
+        if not last.limit(1).count():
+            return reached
+        reached = _checkpointed(reached.unionByName(last))
 
 
 def revision(before: DataFrame, after: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
