@@ -37,7 +37,7 @@ DEEPEST = 6
 #: Sets and bytes of one side of a block.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 #: A set must meet others on so many of its first paths, or be too small to have more.
-LEAST_MEETINGS = 4
+LEAST_MEETINGS = 2
 
 
 def runs_for(recall: float, similarity: float, branch: float = BRANCH, depth: int = DEEPEST) -> int:
@@ -219,8 +219,8 @@ def jaccard_join(
     members = reps.select(F.explode("paths").alias("path"), "key")
     shared = _shared(members)
     # A pair at the least similarity shares runs * branch * similarity paths on average
-    # (14 or more), near Poisson: fewer than LEAST_MEETINGS is rarer than the runs' own
-    # misses. A set that meets others on a stray path or two has no partner.
+    # (14 or more), near Poisson: fewer than LEAST_MEETINGS has a chance of about 1e-5,
+    # well within RECALL. A set that meets others on a stray path has no partner.
     enough = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST_MEETINGS, runs)).select("key")
     alive = written(_shared(shared.select("path", "key").join(enough, "key")), "members")
 
