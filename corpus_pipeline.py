@@ -17,20 +17,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return only(docs, *DOCUMENT_COLUMNS).where(score_column(lexicon)(F.col("text")) < 0.3)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row: an id may be null or stand on several rows."""
+    return written(only(docs, *DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each class of near copies."""
+    """Keep one row of each class of near copies: of the least id (null last), then by text."""
     from planline.llm.jaccard_join import jaccard_join
 
-    classes = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return only(docs, *DOCUMENT_COLUMNS).join(classes, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    docs = _numbered(docs)
+    classes = jaccard_join(docs.select(F.col("row").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.md5("text").alias("text"), "row")
+    linked = written(docs.join(classes, "row").select("row", "class_id", order.alias("place")), "linked")
+    kept = linked.groupBy("class_id").agg(F.min("place").alias("place")).select("place.row")
+    return docs.join(linked.select("row").join(kept, "row", "left_anti"), "row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that benchmark windows make up a twentieth of."""
     from planline.llm.decontaminate import decontaminate
 
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return only(docs, *DOCUMENT_COLUMNS).join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    docs = _numbered(docs)
+    found = decontaminate(docs.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
