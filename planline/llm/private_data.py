@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +45,11 @@ def permute(value: int, size: int, key: bytes, tweak: bytes, back: bool = False)
 
 def _round(x: int, r: int, bits: int, key: bytes, tweak: bytes) -> int:
     width = (bits + 7) // 8
-    out = hashlib.blake2b(bytes([r]) + x.to_bytes(width, "big") + tweak, key=key, digest_size=min(64, width)).digest()
-    return int.from_bytes(out, "big") & ((1 << bits) - 1)
+    data = bytes([r]) + x.to_bytes(width, "big") + tweak
+    out = hashlib.blake2b(data, key=key, digest_size=min(64, width)).digest()
+    for k in range(1, -(-width // 64)):  # a half wider than one digest, else its high bits would stay
+        out += hashlib.blake2b(out[:64] + k.to_bytes(4, "big"), key=key, digest_size=64).digest()
+    return int.from_bytes(out[:width], "big") & ((1 << bits) - 1)
 
 
 def luhn(digits: str) -> bool:
@@ -90,10 +93,23 @@ def _letters(text: str, key: bytes, tweak: bytes) -> str:
 _HEX = "0123456789abcdef"
 
 
+#: A longer secret is permuted in blocks of so many characters.
+_BLOCK = 512
+
+
+def _blocks(text: str, tweak: bytes, work: Callable[[str, bytes], str]) -> str:
+    """``work`` on each block, under a tweak chained from the new blocks before it."""
+    out, chain = [], tweak
+    for at in range(0, len(text), _BLOCK):
+        out.append(work(text[at : at + _BLOCK], chain))
+        chain = tweak + hashlib.blake2b(chain + out[-1].encode(), digest_size=16).digest()
+    return "".join(out)
+
+
 def _secret(text: str, key: bytes) -> str:
     if all(c in _HEX for c in text):
-        return f"{permute(int(text, 16), 16 ** len(text), key, b'hex'):0{len(text)}x}"
-    return _letters(text, key, b"secret")
+        return _blocks(text, b"hex", lambda t, tweak: f"{permute(int(t, 16), 16 ** len(t), key, tweak):0{len(t)}x}")
+    return _blocks(text, b"secret", lambda t, tweak: _letters(t, key, tweak))
 
 
 def _card(text: str, key: bytes) -> str | None:
@@ -142,9 +158,18 @@ def _phone(text: str, key: bytes) -> str | None:
     return _digits(text, d[:keep] + f"{permute(int(tail), 10 ** len(tail), key, b'phone%d' % len(tail)):0{len(tail)}d}")
 
 
-#: Days a date is moved within: 1900-01-01 to 2099-12-31.
+#: Days a date is moved within: 1900-01-01 to 2099-12-31. Other dates are moved among the other days.
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
+_OTHERS = datetime.date.max.toordinal() - _DAYS
+
+
+def _moved_day(day: int, key: bytes) -> int:
+    """Another day (day 1: 0001-01-01), by a permutation."""
+    if _FIRST <= day < _FIRST + _DAYS:
+        return permute(day - _FIRST, _DAYS, key, b"date") + _FIRST
+    new = permute(day - 1 if day < _FIRST else day - 1 - _DAYS, _OTHERS, key, b"far date") + 1
+    return new if new < _FIRST else new + _DAYS
 
 
 def _date(text: str, key: bytes) -> str | None:
@@ -153,12 +178,10 @@ def _date(text: str, key: bytes) -> str | None:
     orders = [(a, b, c)] if year_first else [(c, b, a), (c, a, b)]
     for k, (y, m, d) in enumerate(orders):
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal() - _FIRST
+            day = datetime.date(int(y), int(m), int(d)).toordinal()
         except ValueError:
             continue
-        if not 0 <= day < _DAYS:
-            return None
-        new = datetime.date.fromordinal(permute(day, _DAYS, key, b"date") + _FIRST)
+        new = datetime.date.fromordinal(_moved_day(day, key))
         y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
         return mark.join((y, m, d) if year_first else (d, m, y) if k == 0 else (m, d, y))
     return None
@@ -171,14 +194,14 @@ def _email(text: str, key: bytes) -> str:
 
 _FIND = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24})"
-    r"|(?P<secret_at>(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?))(?P<secret>[A-Za-z0-9_\-+/.]{8,512})"
+    r"|(?P<secret_at>(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?))(?P<secret>[A-Za-z0-9_\-+/.]{8,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<date>(?<!\d)(?:\d{4}(?P<mark1>[\-/.])\d{1,2}(?P=mark1)\d{1,2}|\d{1,2}(?P<mark2>[\-/.])\d{1,2}(?P=mark2)\d{4})(?!\d))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|(?<!\d)\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<!\d)\+\d{10,14}(?!\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<mark3>[ \-])\d{4}(?P=mark3)\d{4}(?P=mark3)\d{1,7}|\d{4}(?P<mark4>[ \-])\d{6}(?P=mark4)\d{5})(?!\d))"
-    r"|(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9\-]{16,80}(?![A-Za-z0-9]))"
+    r"|(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9\-]{16,}(?![A-Za-z0-9]))"
 )
 #: The start of an access key names its kind and stays.
 _KEY_START = re.compile(r"AKIA|ASIA|ghp_|sk-|xox[bp]-")
@@ -186,7 +209,7 @@ _KEY_START = re.compile(r"AKIA|ASIA|ghp_|sk-|xox[bp]-")
 
 def _access(text: str, key: bytes) -> str:
     start = _KEY_START.match(text)[0]
-    return start + _letters(text[len(start) :], key, b"access")
+    return start + _blocks(text[len(start) :], b"access", lambda t, tweak: _letters(t, key, tweak))
 
 
 _WORK = {"access": _access, "email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
