@@ -36,21 +36,28 @@ SMALL = 512
 DEEPEST = 6
 #: Sets and bytes of one side of a block.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
-#: A set must meet others on so many of its first paths, or be too small to have more.
-LEAST_MEETINGS = 2
+#: A set must meet others on so many of its first paths; :func:`runs_for` counts what this may lose.
+LEAST_MEETINGS = 4
 
 
-def runs_for(recall: float, similarity: float, branch: float = BRANCH, depth: int = DEEPEST) -> int:
+def runs_for(recall: float, similarity: float, branch: float = BRANCH, depth: int = DEEPEST, least: int = LEAST_MEETINGS) -> int:
     """Runs until pairs at the least similarity are found with probability ``recall``.
 
     Sets of equal size share 2s/(1+s) of their shingles, of unequal size at least s of
     the larger one's, so ``branch * s`` children hold both on average; the number is
-    near Poisson. Meeting at each depth is a branching process.
+    near Poisson. Meeting at each depth is a branching process. A pair is also lost if
+    it shares fewer than ``least`` of all first paths.
     """
     meet = 1.0
     for _ in range(depth):
         meet = 1 - math.exp(-branch * similarity * meet)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+    runs = 1
+    while True:
+        mean = runs * branch * similarity
+        few = sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
+        if (1 - meet) ** runs + few <= 1 - recall:
+            return runs
+        runs += 1
 
 
 def _children(node: np.uint64, tokens: np.ndarray, branch: float) -> np.ndarray:
@@ -218,9 +225,7 @@ def jaccard_join(
     reps = written(reps, "sets")
     members = reps.select(F.explode("paths").alias("path"), "key")
     shared = _shared(members)
-    # A pair at the least similarity shares runs * branch * similarity paths on average
-    # (14 or more), near Poisson: fewer than LEAST_MEETINGS has a chance of about 1e-5,
-    # well within RECALL. A set that meets others on a stray path has no partner.
+    # a set that meets others on a stray path alone has no partner; a small set enters all its paths
     enough = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST_MEETINGS, runs)).select("key")
     alive = written(_shared(shared.select("path", "key").join(enough, "key")), "members")
 
