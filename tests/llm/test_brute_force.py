@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from planline.llm import jaccard_join, language_model, mixing, private_data, suffix_dedup, suffix_sort, token_files
+from planline.llm import jaccard_join, private_data, suffix_dedup, suffix_sort, token_files
 from planline.llm import queries as Q
 from planline.llm.shared import shingles, span_hashes, word_hashes
 
@@ -123,62 +123,6 @@ def test_join_equals_brute_force(spark):
         assert got == {k: (root[k], links[k]) for k in sets}
 
 
-def test_shares():
-    f = Fraction
-    assert mixing.shares(100, [(f(1), 10), (f(1), 1000), (f(2), 1000)]) == [10, 30, 60]
-    assert mixing.shares(100, [(f(1), 10), (f(1), 20)]) == [10, 20]
-    assert mixing.shares(10, [(f(1), 99), (f(1), 99), (f(1), 99)]) == [4, 3, 3]
-
-
-def test_shortage_goes_to_siblings_first():
-    leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "1"): 1000, ("b", "x", "1"): 1000}
-    got = mixing.plan(leaves, {}, 400, 1)
-    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 90, ("a", "y", "1"): 100, ("b", "x", "1"): 200}
-    assert sum(mixing.plan(leaves, {("a",): 9.0}, 2900, 1).values()) == 2900
-
-
-def test_prefixes_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = mixing.mix(docs, Q.domain(), Q.DOMAIN_WEIGHTS, **Q.MIX).collect()
-    leaf = lambda r: (r.mix_domain, r.mix_lang, r.mix_source)
-    rows = defaultdict(list)
-    for r in got:
-        rows[leaf(r)].append(r)
-    sizes = {k: sum(r.mix_tokens for r in v) for k, v in rows.items()}
-    taken = mixing.plan(sizes, Q.DOMAIN_WEIGHTS, int(sum(sizes.values()) * Q.MIX["share"]), Q.MIX["epochs"])
-    for k, v in rows.items():
-        full, rest = divmod(taken[k], sizes[k])
-        at = 0
-        for r in sorted(v, key=lambda r: md5(f"1|{full}|{r.doc_id}".encode()).hexdigest()):
-            at += r.mix_tokens
-            assert r.mix_copies == full + (at <= rest)
-
-
-def test_probabilities_sum_to_one_and_gradient():
-    rng = np.random.default_rng(0)
-    flat = language_model.first_weights()
-    w = language_model.unpack(flat)
-    ids = rng.integers(0, language_model.VOCABULARY, 5)
-    near = language_model._neighbours(ids, np.array([5]))
-    every = np.arange(language_model.VOCABULARY)
-    p = language_model.log_probabilities(w, every, np.repeat(near[:1], len(every), axis=0))
-    assert abs(np.exp(p).sum() - 1) < 1e-4
-    g = language_model.gradient(w, ids, near)
-    for k in rng.choice(np.flatnonzero(g), 5):
-        loss = []
-        for d in (1e-2, -1e-2):
-            moved = flat.copy()
-            moved[k] += d
-            loss.append(-language_model.log_probabilities(language_model.unpack(moved), ids, near).mean())
-        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[k], abs=2e-3)
-
-
-def test_training_helps(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") < 3000)
-    mean = lambda rounds: language_model.score(docs, language_model.train(docs, share=0.5, rounds=rounds)).agg(F.avg("mean_log_likelihood")).first()[0]
-    assert mean(2) > mean(0) + 0.5
-
-
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
