@@ -1,212 +1,352 @@
 """LM scoring by masked pseudo-likelihood.
 
-A network predicts every word of a document from the ``SPAN`` words on both sides,
-the word itself masked: the neighbours' embeddings, each through the matrix of its
-place, are summed, passed through tanh, and a hierarchical softmax (a class of word
-ranks from one power of two to the next, then a binary tree within the class) gives the
-word's conditional probability. The sum of the log-probabilities scores a document.
-
-The vocabulary comes from word counts over the whole corpus: every word that occurs
-``LEAST_COUNT`` times, so it grows with the corpus, and a quarter at least of buckets
-for the rarer words. In each training round every partition trains from the common
-weights on its own rows in numpy and gives the rows of weights that moved; each row is
-averaged in a shuffle, by the number of words, over the partitions that moved it.
+A network predicts every token of a document from the ``SPAN`` tokens on both sides,
+the token itself masked: the neighbours' embeddings, side by side, go through one
+matrix and tanh, and a hierarchical softmax (a class of ranks from one power of two to
+the next, then a binary tree within the class) gives the token's conditional
+probability. The sum of the log-probabilities scores a document.
+
+Tokens are words that occur often enough in all documents; a rarer word is spelled in
+pieces of ``PIECE`` bytes that occur as often, or in single bytes, so no word is
+folded into another. What counts as often rises more slowly than the corpus, so the
+vocabulary grows about as the cube root of it (:func:`least_count`).
+
+Documents are dealt by a hash of id and text to blocks of about ``BLOCK`` tokens, and
+blocks to rounds, so every document trains once, and the result does not depend on how
+the table is partitioned. In a round each block trains in numpy from the common
+weights and gives the rows of weights that moved; each row is averaged, by the number
+of tokens, over the blocks that moved it, in a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from planline.llm.shared import mix64, only, slices, word_hashes, written
+from planline.llm.shared import folded_spans, mix64, only, slices, span_hashes, written
 
-SPAN, DIM = 2, 16
-VOCABULARY = 1024  # the least size; sizes are powers of two
-KNOWN = VOCABULARY * 3 // 4  # so many words are known even if they are rare
-LEAST_COUNT = 10
-ROUNDS, RATE, BATCH = 3, 0.1, 1024
-TRAIN_SHARE = 1.0  # below 1 for trials
-CHUNK = 4096
+SPAN, DIM = 2, 15
+#: Levels of a class's tree that are computed whole.
+TOP = 6
+#: Weights of a row: DIM and a bias.
+ROW = DIM + 1
+PIECE = 3
+LEAST_COUNT = 5
+BLOCK = 1_000_000
+ROUNDS, RATE, BATCH = 3, 0.2, 8192
+#: Rows of weights that are averaged together.
+PART = 4096
+_AROUND = np.array([*range(-SPAN, 0), *range(1, SPAN + 1)])
 
 
-def _shapes(size: int) -> dict[str, int]:
-    """Rows of DIM + 1 weights by table (the last weight of a row: the bias)."""
-    return {"word": size + 1, "tree": size, "of_class": size.bit_length() - 1, "place": 2 * SPAN * DIM}
+def least_count(tokens: int) -> int:
+    """Occurrences that make a word or piece a token: (tokens / 300,000) to the power 2/3, 5 at least."""
+    return max(LEAST_COUNT, math.ceil((tokens / 300_000) ** (2 / 3)))
 
 
-def unpack(flat: np.ndarray, size: int = VOCABULARY) -> dict[str, np.ndarray]:
-    """Views into the flat weights."""
-    every = flat.reshape(-1, DIM + 1)
-    out, at = {"every": every}, 0
-    for name, n in _shapes(size).items():
-        out[name] = every[at : at + n]
-        at += n
-    return out
+# --- tokens
+
 
+def _piece_keys(code: np.ndarray) -> np.ndarray:
+    """Keys of pieces, apart from those of words: of up to PIECE bytes and, in the bits above, their number."""
+    return mix64(code.astype(np.uint64) ^ np.uint64(0x5D1C3A7700000000))
 
-def first_weights(seed: int = 1, size: int = VOCABULARY) -> np.ndarray:
-    flat = np.random.default_rng(seed).standard_normal(sum(_shapes(size).values()) * (DIM + 1), dtype=np.float32)
-    flat *= 0.1
-    w = unpack(flat, size)
-    w["every"][:, DIM] = 0
-    w["place"][:, :DIM] += np.tile(np.eye(DIM, dtype=np.float32), (2 * SPAN, 1))
-    return flat
+
+def _pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pieces of byte spans, in order, and the number of pieces of each span."""
+    number = -(-(end - start) // PIECE)
+    of = np.repeat(np.arange(len(start)), number)
+    at = start[of] + PIECE * (np.arange(len(of)) - (np.cumsum(number) - number)[of])
+    size = np.minimum(end[of] - at, PIECE)
+    wide = np.concatenate((raw, np.zeros(PIECE, dtype=np.uint8))).astype(np.uint32)
+    code = wide[at]
+    for k in range(1, PIECE):
+        code |= np.where(size > k, wide[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    return code | size.astype(np.uint32) << np.uint32(8 * PIECE), number
 
 
 class Vocabulary:
-    """Ids by count; a rarer word gets one of the buckets, the ids beyond, by its hash."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.size = VOCABULARY
-        while self.size * 3 // 4 < len(hashes):
-            self.size *= 2
-
-    def ids(self, text: str | None) -> np.ndarray:
-        h = word_hashes((text or "").encode("utf-8", "replace"))
-        out = len(self.hashes) + (mix64(h) % np.uint64(self.size - len(self.hashes))).astype(np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            known = self.hashes[at] == h
-            out[known] = self.order[at[known]]
-        return out
-
-
-def _neighbours(ids: np.ndarray, ends: np.ndarray, size: int = VOCABULARY) -> np.ndarray:
-    """Neighbour ids (rows: words, columns: places) within each document; outside: the edge id."""
-    n = len(ids)
-    doc = np.searchsorted(ends, np.arange(n), side="right")
-    out = np.full((n, 2 * SPAN), size, dtype=np.int64)
-    for k, d in enumerate([*range(-SPAN, 0), *range(1, SPAN + 1)]):
-        to = np.arange(n) + d
-        good = (to >= 0) & (to < n)
-        good[good] = doc[to[good]] == doc[good]
-        out[good, k] = ids[to[good]]
+    """Ids by count: frequent words and pieces, then every single byte."""
+
+    def __init__(self, keys: np.ndarray):
+        single = _piece_keys(np.arange(256, dtype=np.uint64) | np.uint64(1 << 8 * PIECE))
+        every = np.concatenate((keys, single[~np.isin(single, keys)]))
+        self.size = len(every)
+        self.order = np.argsort(every).astype(np.int32)
+        self.keys = every[self.order]
+        self.bits = max(1, self.size.bit_length())
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Ids, -1 for keys that are no token."""
+        at = np.minimum(np.searchsorted(self.keys, keys), self.size - 1)
+        return np.where(self.keys[at] == keys, self.order[at], -1).astype(np.int32)
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other; tokens and words of each text."""
+        data = [(t or "").encode("utf-8", "replace") for t in texts]
+        raw, start, end = folded_spans(b" ".join(data))
+        ends = np.cumsum([len(d) + 1 for d in data])
+        of = np.searchsorted(ends, start, side="right")
+        ids = self.find(span_hashes(raw, start, end))
+        number = np.ones(len(ids), dtype=np.int64)
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            code, n = _pieces(raw, start[rare], end[rare])
+            known = self.find(_piece_keys(code))
+            width = np.where(known < 0, code >> np.uint32(8 * PIECE), 1).astype(np.int64)
+            piece = np.repeat(np.arange(len(code)), width)
+            spelled = known[piece]
+            lone = np.flatnonzero(spelled < 0)
+            depth = lone - (np.cumsum(width) - width)[piece[lone]]
+            byte = code[piece[lone]] >> (8 * depth).astype(np.uint32) & np.uint32(255)
+            spelled[lone] = self.find(_piece_keys(byte | np.uint32(1 << 8 * PIECE)))
+            number[rare] = np.add.reduceat(width, np.cumsum(n) - n)
+            out = np.repeat(ids, number)
+            out[out < 0] = spelled
+            ids = out
+        return ids, np.bincount(of, number, len(texts)).astype(np.int64), np.bincount(of, minlength=len(texts))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, words): counts of words and pieces; words is n for words and 0 for pieces."""
+    for batch in slices(batches, 4000):
+        raw, start, end = folded_spans(b" ".join((t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()))
+        words, first, n = np.unique(span_hashes(raw, start, end), return_index=True, return_counts=True)
+        code, number = _pieces(raw, start[first], end[first])
+        code, at = np.unique(code, return_inverse=True)
+        each = np.bincount(at, np.repeat(n, number), len(code)).astype(np.int64)
+        keys = np.concatenate((words, _piece_keys(code))).astype(np.int64)
+        counts = np.concatenate((n, each))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(np.concatenate((n, np.zeros_like(each))))], ["key", "n", "words"])
+
+
+# --- network
+
+
+class Network:
+    """Views into flat float32 weights: rows of ``ROW`` for tokens (and the edge), trees, classes and places."""
+
+    def __init__(self, flat: np.ndarray, size: int, bits: int):
+        self.flat, self.size, self.bits = flat, size, bits
+        self.every = flat.reshape(-1, ROW)
+        at = np.cumsum([size + 1, 1 << bits, bits, len(_AROUND) * ROW])
+        self.word, self.tree, self.of_class, self.place, _ = np.split(self.every, at)
+        self.dense = np.arange(at[1], at[3])
+        self.tree_at = at[0]
+
+    @staticmethod
+    def first(size: int, bits: int, seed: int = 1) -> Network:
+        rows = size + 1 + (1 << bits) + bits + len(_AROUND) * ROW
+        net = Network(np.random.default_rng(seed).standard_normal(rows * ROW, dtype=np.float32) * np.float32(0.1), size, bits)
+        net.tree[:] = 0
+        net.of_class[:] = 0
+        net.place += np.tile(np.eye(ROW, dtype=np.float32), (len(_AROUND), 1))
+        return net
+
+    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours' rows side by side; the hidden values and a 1 for the bias."""
+        x = np.take(self.word, near.ravel(), axis=0).reshape(len(near), -1)
+        h = np.tanh(x @ self.place)
+        h[:, DIM] = 1
+        return x, h
+
+
+def padded(ids: np.ndarray, sizes: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' ids with SPAN edges around each, and the places of the ids in it."""
+    place = np.arange(len(ids)) + SPAN * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    out = np.full(len(ids) + SPAN * (len(sizes) + 1), edge, dtype=np.int32)
+    out[place] = ids
+    return out, place
+
+
+def _classes(ids: np.ndarray) -> np.ndarray:
+    """The class of each id: the bits below the leading one of id + 1."""
+    return (np.frexp((ids + 1).astype(np.float32))[1] - 1).astype(np.uint8)
+
+
+class Paths:
+    """The steps from the root of class k down to each id: nodes and branches (-1, 1), and the scores that decide.
+
+    All ids share the first ``TOP`` levels, so these are dense products; the levels below are looked up.
+    """
+
+    def __init__(self, net: Network, h: np.ndarray, ids: np.ndarray, k: int):
+        self.h, top = h, min(k, TOP)
+        inner = ids[:, None] + np.int32(1 - (1 << k))
+        depth = np.arange(k, dtype=np.int32)
+        self.branch = (2 * (inner >> (k - 1 - depth) & 1) - 1).astype(np.float32)
+        heap = (1 << depth) + (inner >> (k - depth))
+        self.first, self.shared = (1 << k) + 1, net.tree[(1 << k) + 1 : (1 << k) + (1 << top)]
+        self.column, self.node = heap[:, :top] - 1, heap[:, top:] + (1 << k)
+        z = np.take_along_axis(h @ self.shared.T, self.column, axis=1)
+        if k > top:
+            self.below = np.take(net.tree, self.node, axis=0)
+            z = np.concatenate((z, np.matmul(self.below, h[:, :, None])[:, :, 0]), axis=1)
+        self.z = z * self.branch
+
+    def log_probability(self) -> np.ndarray:
+        return (np.minimum(self.z, 0) - np.log1p(np.exp(-np.abs(self.z)))).sum(axis=1)
+
+    def gradient(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By the hidden values; by the shared nodes; by the nodes below, a column for each weight, and these nodes."""
+        e = -self.branch / (1 + np.exp(np.minimum(self.z, 60)))
+        top = self.column.shape[1]
+        spread = np.zeros((len(e), len(self.shared)), dtype=np.float32)
+        np.put_along_axis(spread, self.column, e[:, :top], axis=1)
+        back, of_shared = spread @ self.shared, spread.T @ self.h
+        if not self.node.shape[1]:
+            return back, of_shared, np.zeros((ROW, 0)), self.node.ravel()
+        e = e[:, top:]
+        back += np.matmul(e[:, None, :], self.below)[:, 0, :]
+        return back, of_shared, (self.h.T.astype(np.float64)[:, :, None] * e[None]).reshape(ROW, -1), self.node.ravel()
+
+
+def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, and (class, begin, end) of each class in it."""
+    c = _classes(ids)
+    order = np.argsort(c, kind="stable")
+    edge = np.concatenate(([0], np.cumsum(np.bincount(c))))
+    return order, [(k, edge[k], edge[k + 1]) for k in range(len(edge) - 1) if edge[k] < edge[k + 1]]
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def log_probabilities(net: Network, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """log p(token | tokens on both sides) of each token."""
+    out = np.empty(len(ids))
+    for s in range(0, len(ids), BATCH):
+        order, classes = _by_class(ids[s : s + BATCH])
+        own = ids[s : s + BATCH][order]
+        h = net.hidden(near[s : s + BATCH][order])[1]
+        p = _log_softmax(h @ net.of_class.T)
+        sums = np.empty(len(own), dtype=np.float32)
+        for k, a, b in classes:
+            sums[a:b] = p[a:b, k]
+            if k:
+                sums[a:b] += Paths(net, h[a:b], own[a:b], k).log_probability()
+        out[s + order] = sums
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+def _sums(rows: np.ndarray, columns: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (below ``most``) and the sums of their values, which are given by column."""
+    distinct = np.flatnonzero(np.bincount(rows, minlength=most))
+    place = np.zeros(most, dtype=np.int64)
+    place[distinct] = np.arange(len(distinct))
+    at = place[rows]
+    return distinct, np.stack([np.bincount(at, c, len(distinct)) for c in columns], axis=1).astype(np.float32)
 
 
-def _hidden(w: dict, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The neighbours' embeddings side by side; the hidden values and a 1 for the bias."""
-    x = np.take(w["word"], near.ravel(), axis=0)[:, :DIM].reshape(len(near), 2 * SPAN * DIM)
-    h = np.ones((len(near), DIM + 1), dtype=np.float32)
-    h[:, :DIM] = np.tanh(x @ w["place"][:, :DIM])
-    return x, h
+def moves(net: Network, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the mean negative log-probability: the rows of weights it touches, each once, and it."""
+    n = len(ids)
+    order, classes = _by_class(ids)
+    ids, near = ids[order], near[order]
+    x, h = net.hidden(near)
+    g = np.exp(_log_softmax(h @ net.of_class.T))
+    back = np.zeros_like(h)
+    rows, grads = [net.dense], []
+    nodes, of_nodes = [np.zeros(0, dtype=np.int64)], [np.zeros((ROW, 0))]
+    for k, a, b in classes:
+        g[a:b, k] -= 1
+        if k:
+            paths = Paths(net, h[a:b], ids[a:b], k)
+            back[a:b], of_shared, by_column, below = paths.gradient()
+            rows.append(net.tree_at + paths.first + np.arange(len(of_shared)))
+            grads.append(of_shared)
+            nodes.append(below)
+            of_nodes.append(by_column)
+    back += g @ net.of_class
+    back *= 1 - h * h  # 0 for the bias, whose h is 1
+    by_place = (net.place @ back.T).reshape(len(_AROUND), ROW, n).transpose(1, 0, 2).astype(np.float64)
+    words, of_word = _sums(near.T.ravel(), by_place.reshape(ROW, -1), net.size + 1)
+    trees, of_tree = _sums(np.concatenate(nodes), np.concatenate(of_nodes, axis=1), 1 << net.bits)
+    rows = np.concatenate((*rows, words, trees + net.tree_at))
+    return rows, np.concatenate((g.T @ h, x.T @ back, *grads, of_word, of_tree)) / np.float32(n)
+
+
+def train_block(net: Network, ids: np.ndarray, sizes: np.ndarray, rate: float) -> np.ndarray:
+    """Train the network in place on one block, tokens in a fixed mixed order; the rows that moved."""
+    every, squares = net.every, np.full(len(net.every), 1e-8, dtype=np.float32)
+    moved = np.zeros(len(every), dtype=bool)
+    row, place = padded(ids, sizes, net.size)
+    mixed = np.argsort(mix64(np.arange(len(ids), dtype=np.uint64)), kind="stable")
+    for s in range(0, len(ids), BATCH):
+        at = place[mixed[s : s + BATCH]]
+        rows, g = moves(net, row[at], row[at[:, None] + _AROUND])
+        square = np.take(squares, rows) + np.einsum("nd,nd->n", g, g) / np.float32(ROW)
+        squares[rows] = square  # steps shrink with what each row has seen (Adagrad by row)
+        g *= (np.float32(rate) / np.sqrt(square))[:, None]
+        every[rows] -= g
+        moved[rows] = True
+    return np.flatnonzero(moved)
+
+
+# --- Spark
+
+
+_BLOCKS = "round int, doc_ids array<long>, words binary, sizes binary, ids binary"
+_MOVES = "part int, seen long, rows binary, moves binary"
+
+
+def _encode(vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, sizes, words = vocabulary.ids(batch.column(2).to_pylist())
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            tokens = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words), pa.array(tokens, pa.binary())], ["doc_id", "place", "words", "ids"])
 
+    return run
 
-def _path(ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class of each id (ids 0 and 1, then from each power of two to the next); for each step
-    down the class's tree: place of the id, node, and branch; and where each id's steps start."""
-    c = np.frexp(np.maximum(ids, 1).astype(np.float64))[1].astype(np.int64) - 1
-    base = np.where(c > 0, np.left_shift(1, c), 0)
-    steps = np.maximum(c, 1)
-    starts = np.cumsum(steps) - steps
-    of = np.repeat(np.arange(len(ids)), steps)
-    depth = np.arange(len(of)) - starts[of]
-    left = (steps[of] - depth) - 1
-    to = (ids - base)[of] >> left
-    return c, of, base[of] + np.left_shift(1, depth) + (to >> 1), to & 1, starts
 
+def _blocks(rounds: int, shards: int):
+    """Blocks of the rows of one partition, which come in order of their places."""
 
-def log_probabilities(w: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """log p(word | words on both sides) of each word."""
-    out = np.empty(len(ids))
-    for s in range(0, len(ids), CHUNK):
-        own, h = ids[s : s + CHUNK], _hidden(w, near[s : s + CHUNK])[1]
-        c, of, node, branch, starts = _path(own)
-        p = np.log(np.maximum(_softmax(h @ w["of_class"].T)[np.arange(len(own)), c], 1e-30))
-        x = np.einsum("nd,nd->n", np.take(w["tree"], node, axis=0), np.take(h, of, axis=0)) * (2 * branch - 1).astype(np.float32)
-        out[s : s + CHUNK] = p + np.add.reduceat(np.minimum(x, 0) - np.log1p(np.exp(-np.abs(x))), starts)
-    return out
+    def row(held: list, shard: int) -> pa.RecordBatch:
+        doc_ids, words, ids = zip(*held)
+        numbers = [np.array(words, dtype="<i8"), np.array([len(i) // 4 for i in ids], dtype="<i8")]
+        columns = [pa.array([shard % rounds], pa.int32()), pa.array([list(doc_ids)], pa.list_(pa.int64()))]
+        columns += [pa.array([v.tobytes()], pa.binary()) for v in numbers] + [pa.array([b"".join(ids)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["round", "doc_ids", "words", "sizes", "ids"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            for shard, doc_id, words, ids in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if held and (shard != last or size >= 2 * BLOCK):
+                    yield row(held, last)
+                    held, size = [], 0
+                held.append((doc_id, words, ids))
+                size, last = size + len(ids) // 4 + 16, shard
+        if held:
+            yield row(held, last)
 
-def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of their values."""
-    order = np.argsort(rows)
-    rows = rows[order]
-    first = np.concatenate(([True], rows[1:] != rows[:-1]))
-    at = np.empty(len(rows), dtype=np.int64)
-    at[order] = np.cumsum(first) - 1
-    rows = rows[first]
-    out = np.empty((len(rows), values.shape[1]), dtype=np.float32)
-    for d, column in enumerate(values.T.astype(np.float64)):
-        out[:, d] = np.bincount(at, column, len(rows))
-    return rows, out
+    return run
 
 
-def _moves(w: dict, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the mean negative log-probability: the rows of weights it touches, and it."""
-    n = len(ids)
-    x, h = _hidden(w, near)
-    c, of, node, branch, starts = _path(ids)
-    g = _softmax(h @ w["of_class"].T)
-    g[np.arange(n), c] -= 1
-    nodes, hs = np.take(w["tree"], node, axis=0), np.take(h, of, axis=0)
-    e = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nd->n", nodes, hs), -60, 60))) - branch.astype(np.float32)
-    nodes *= e[:, None]
-    hs *= e[:, None]
-    back = (g @ w["of_class"] + np.add.reduceat(nodes, starts, axis=0))[:, :DIM] * (1 - h[:, :DIM] ** 2)
-    words, of_word = _sums(near.ravel(), (back @ w["place"][:, :DIM].T).reshape(-1, DIM))
-    trees, of_tree = _sums(node, hs)
-    dense = np.arange(len(w["word"]) + len(w["tree"]), len(w["every"]))
-    rows = np.concatenate((words, trees + len(w["word"]), dense))
-    out = np.zeros((len(rows), DIM + 1), dtype=np.float32)
-    out[: len(words), :DIM] = of_word
-    out[len(words) : len(words) + len(trees)] = of_tree
-    at = len(words) + len(trees)
-    out[at : at + len(w["of_class"])] = g.T @ h
-    out[at + len(w["of_class"]) :, :DIM] = x.T @ back
-    out /= n
-    return rows, out
-
-
-def gradient(w: dict, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Gradient of the mean negative log-probability, flat."""
-    out = np.zeros_like(w["every"])
-    rows, g = _moves(w, ids, near)
-    out[rows] = g
-    return out.ravel()
-
-
-def _train(flat: np.ndarray, vocabulary: Vocabulary, rate: float):
+def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
+    for doc_ids, words, sizes, ids in zip(*(batch.column(k) for k in ("doc_ids", "words", "sizes", "ids"))):
+        yield doc_ids.values, *(np.frombuffer(v.as_buffer(), dtype=t) for v, t in ((words, "<i8"), (sizes, "<i8"), (ids, "<i4")))
+
+
+def _train(net: Network, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, size = flat.copy(), 0, vocabulary.size
-        w = unpack(own, size)
-        every, squares = w["every"], np.full(w["every"].shape, 1e-8, dtype=np.float32)
-        moved = np.zeros(len(every), dtype=bool)
-        for batch in slices(batches):
-            texts = [vocabulary.ids(t) for t in batch.column(0).to_pylist()]
-            if not texts or not sum(map(len, texts)):
-                continue
-            ids = np.concatenate(texts)
-            near = _neighbours(ids, np.cumsum([len(t) for t in texts]), size)
-            shuffled = np.argsort(mix64(np.arange(len(ids), dtype=np.uint64)), kind="stable")
-            for s in range(0, len(ids), BATCH):
-                at = shuffled[s : s + BATCH]
-                rows, g = _moves(w, ids[at], near[at])
-                square = np.take(squares, rows, axis=0) + g * g  # steps shrink with what each weight has seen (Adagrad)
-                squares[rows] = square
-                every[rows] = np.take(every, rows, axis=0) - rate * g / np.sqrt(square)
-                moved[rows] = True
-            seen += len(ids)
-        if seen:
-            before = flat.reshape(every.shape)
-            for part in range(-(-len(every) // CHUNK)):
-                rows = np.flatnonzero(moved[part * CHUNK : (part + 1) * CHUNK])
-                if len(rows):
-                    by = (every[rows + part * CHUNK] - before[rows + part * CHUNK]).astype("<f2")
-                    yield _part(part, rows, by, seen)
+        for batch in batches:
+            for _, _, sizes, ids in _read(batch):
+                own = Network(net.flat.copy(), net.size, net.bits)
+                moved = train_block(own, ids, sizes, rate)
+                for part in np.unique(moved // PART):
+                    rows = moved[np.searchsorted(moved, part * PART) : np.searchsorted(moved, (part + 1) * PART)]
+                    yield _part(part, rows - part * PART, (own.every[rows] - net.every[rows]).astype("<f2"), len(ids))
 
     return run
 
@@ -230,73 +370,82 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != part:
                 if part is not None:
                     yield done()
-                part, total, seen = p, np.zeros((CHUNK, DIM + 1)), np.zeros(CHUNK)
+                part, total, seen = p, np.zeros((PART, ROW)), np.zeros(PART)
             rows = np.frombuffer(rows, dtype="<u2")
-            total[rows] += n * np.frombuffer(by, dtype="<f2").reshape(-1, DIM + 1).astype(np.float64)
+            total[rows] += n * np.frombuffer(by, dtype="<f2").reshape(-1, ROW).astype(np.float64)
             seen[rows] += n
     if part is not None:
         yield done()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        every = np.concatenate([np.zeros(0, dtype=np.uint64), *(word_hashes((t or "").encode("utf-8", "replace")) for t in batch.column(0).to_pylist())])
-        words, n = np.unique(every, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n)], ["word", "n"])
-
-
 class Model:
-    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray):
-        self.vocabulary, self.weights = vocabulary, weights
-
-
-def train(docs: DataFrame, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """Vocabulary from all documents, weights from them all, or from a ``share`` (by a hash of the id)."""
-    docs = only(docs, "doc_id", "text")
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = written(counts.where(F.col("n") >= LEAST_COUNT), "vocabulary")
-    if top.count() < KNOWN:
-        top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
-    hashes = top.orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_numpy()
-    vocabulary = Vocabulary(hashes.astype(np.int64).astype(np.uint64))
-    rows = docs.select("text")
-    if share < 1:
-        rows = written(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < int(share * 10_000)).select("text"), "training")
-    flat = first_weights(size=vocabulary.size)
-    ddl = "part int, seen long, rows binary, moves binary"
+    """A trained network with its vocabulary, and the blocks of the documents it was trained on."""
+
+    def __init__(self, vocabulary: Vocabulary, net: Network, blocks: DataFrame):
+        self.vocabulary, self.net, self.blocks = vocabulary, net, blocks
+
+
+def vocabulary_of(docs: DataFrame) -> tuple[Vocabulary, int]:
+    """Vocabulary from the counts of all documents, and the number of their words."""
+    observed = Observation()
+    counts = docs.select("text").mapInArrow(_counts, "key long, n long, words long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    often = written(counts.observe(observed, F.sum("words").alias("words")).where(F.col("n") >= LEAST_COUNT), "counts")
+    words = observed.get["words"] or 0
+    # some 100,000 keys on a gigabyte, ten times as many on a thousand
+    top = often.where(F.col("n") >= least_count(words)).orderBy(F.desc("n"), "key").select("key").toArrow()
+    return Vocabulary(top.column("key").to_numpy().astype(np.int64).astype(np.uint64)), words
+
+
+def blocks_of(docs: DataFrame, vocabulary: Vocabulary, words: int, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """Documents as ids in blocks of about ``block`` words, dealt by a hash of id and text; rows of :data:`_BLOCKS`."""
+    shards = max(rounds, -(-words // block))
+    place = F.xxhash64("doc_id", "text")
+    encoded = only(docs, "doc_id", "text").select("doc_id", place.alias("place"), "text")
+    encoded = encoded.mapInArrow(_encode(vocabulary), "doc_id long, place long, words long, ids binary")
+    dealt = encoded.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    dealt = dealt.sortWithinPartitions("shard", "place", "doc_id").select("shard", "doc_id", "words", "ids")
+    return written(dealt.mapInArrow(_blocks(rounds, shards), _BLOCKS), "blocks")
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, block: int = BLOCK) -> Model:
+    """Vocabulary and weights from all documents; each document trains once, in one of ``rounds`` rounds."""
+    vocabulary, words = vocabulary_of(docs)
+    blocks = blocks_of(docs, vocabulary, words, max(rounds, 1), block)
+    net = Network.first(vocabulary.size, vocabulary.bits)
     for r in range(rounds):
-        trained = rows.mapInArrow(_train(flat, vocabulary, rate / (1 + r)), ddl).repartition(F.col("part")).sortWithinPartitions("part")
-        every = flat.reshape(-1, DIM + 1)
-        for p in trained.mapInArrow(_average, ddl).collect():  # the weights: some 140 bytes for each word of the vocabulary
-            every[p.part * CHUNK + np.frombuffer(p.rows, dtype="<u2").astype(np.int64)] += np.frombuffer(p.moves, dtype="<f4").reshape(-1, DIM + 1)
-    return Model(vocabulary, flat)
+        moved = blocks.where(F.col("round") == r).select("doc_ids", "words", "sizes", "ids").mapInArrow(_train(net, rate / (1 + r)), _MOVES)
+        moved = moved.repartition(F.col("part")).sortWithinPartitions("part", "seen", F.xxhash64("moves"))
+        for p in moved.mapInArrow(_average, _MOVES).collect():  # rows of weights, some 200 bytes for each token of the vocabulary
+            net.every[p.part * PART + np.frombuffer(p.rows, dtype="<u2").astype(np.int64)] += np.frombuffer(p.moves, dtype="<f4").reshape(-1, ROW)
+    return Model(vocabulary, net, blocks)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, n_words, log_likelihood (sum, 0 without words), mean_log_likelihood (null without words).
+    """Per document: doc_id, n_words, n_tokens, log_likelihood (sum, 0 without words), mean_log_likelihood (by word, null without).
 
     Null and wordless texts have no words. Repeated rows and null ids are kept; other
     columns are ignored. Whole texts are scored, whatever their length.
     """
-    vocabulary, flat = model.vocabulary, model.weights
+    return score_blocks(blocks_of(docs, model.vocabulary, docs.count() * 500), model)
+
+
+def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
+    """:func:`score` of documents that are in blocks already."""
+    net = model.net
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpack(flat, vocabulary.size)
-        for batch in slices(batches):
-            sums, sizes = [], []
-            texts = batch.column(1).to_pylist()
-            for s in range(0, len(texts), 256):
-                ids = [vocabulary.ids(t) for t in texts[s : s + 256]]
-                size = [len(i) for i in ids]
-                flat_ids = np.concatenate(ids)
-                ends = np.cumsum(size)
-                p = np.concatenate(([0.0], np.cumsum(log_probabilities(w, flat_ids, _neighbours(flat_ids, ends, vocabulary.size)))))
-                sums += (p[ends] - p[ends - np.array(size)]).tolist()
-                sizes += size
-            mean = [None if not n else x / n for x, n in zip(sums, sizes)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())],
-                ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
-            )
-
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+        for batch in batches:
+            for doc_ids, words, sizes, ids in _read(batch):
+                row, place = padded(ids, sizes, net.size)
+                p = np.zeros(len(ids) + 1)
+                for s in range(0, len(ids), 8 * BATCH):
+                    at = place[s : s + 8 * BATCH]
+                    p[s + 1 : s + 1 + len(at)] = log_probabilities(net, row[at], row[at[:, None] + _AROUND])
+                p = np.cumsum(p)
+                ends = np.cumsum(sizes)
+                sums = p[ends] - p[ends - sizes]
+                mean = pa.array(sums / np.maximum(words, 1), mask=words == 0)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(words), pa.array(sizes), pa.array(sums), mean], ["doc_id", "n_words", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+    columns = blocks.select("doc_ids", "words", "sizes", "ids")
+    return columns.mapInArrow(run, "doc_id long, n_words long, n_tokens long, log_likelihood double, mean_log_likelihood double")

@@ -82,10 +82,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from planline.llm.language_model import score, train
+    from planline.llm.language_model import score_blocks, train
 
-    docs = documents(spark, sf_dir)
-    return score(docs, train(docs))
+    model = train(documents(spark, sf_dir))
+    return score_blocks(model.blocks, model)
 
 
 #: Domains of the production mix: the bulk source, and two kinds of others by their number.

@@ -66,6 +66,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, vectorised."""
     x = x ^ (x >> np.uint64(30))
@@ -100,15 +102,18 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of UTF-8 bytes, in order (A-Z folded to a-z)."""
-    if not data:
-        return np.zeros(0, dtype=np.uint64)
+def folded_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes with A-Z folded to a-z, and begin and end of each word in them."""
     raw = _FOLD[np.frombuffer(data, dtype=np.uint8)]
     inside = np.zeros(len(raw) + 2, dtype=bool)
     inside[1:-1] = _WORD[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return span_hashes(raw, edge[::2], edge[1::2])
+    return raw, edge[::2], edge[1::2]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 bytes, in order (A-Z folded to a-z)."""
+    return span_hashes(*folded_spans(data))
 
 
 def shingles(data: bytes, width: int = 5) -> np.ndarray:

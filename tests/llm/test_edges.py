@@ -99,12 +99,15 @@ def test_token_files(spark, odd, empty):
 
 
 def test_language_model(spark, odd, empty):
-    model = language_model.train(odd, share=1.0, rounds=1)
+    model = language_model.train(odd, rounds=1)
     out = language_model.score(odd, model)
     by = {r.doc_id: r for r in out.collect()}
-    assert ids(out) == ids(odd) and by[2].n_words == 0 and by[2].log_likelihood == 0 and by[2].mean_log_likelihood is None
-    assert by[5].n_words == 60_000 and by[5].mean_log_likelihood < 0
-    assert language_model.score(odd, language_model.train(empty)).count() == odd.count()
+    assert ids(out) == ids(odd) == ids(language_model.score_blocks(model.blocks, model))
+    assert by[2].n_words == by[3].n_words == 0 and by[2].log_likelihood == 0 and by[2].mean_log_likelihood is None
+    assert by[5].n_words == 60_000 and by[5].n_tokens >= 60_000 and by[5].mean_log_likelihood < 0
+    assert by[8].log_likelihood == by[9].log_likelihood
+    none = language_model.train(empty)
+    assert language_model.score(odd, none).count() == odd.count() and language_model.score_blocks(none.blocks, none).count() == 0
 
 
 def test_jaccard_join(spark, odd, empty):
