@@ -105,7 +105,7 @@ def test_language_model(spark, odd, empty):
     assert ids(out) == ids(odd) == ids(language_model.score_blocks(model.blocks, model))
     assert by[2].n_words == by[3].n_words == 0 and by[2].log_likelihood == 0 and by[2].mean_log_likelihood is None
     assert by[5].n_words == 60_000 and by[5].n_tokens >= 60_000 and by[5].mean_log_likelihood < 0
-    assert by[8].log_likelihood == by[9].log_likelihood
+    assert abs(by[8].log_likelihood - by[9].log_likelihood) < 1e-4
     none = language_model.train(empty)
     assert language_model.score(odd, none).count() == odd.count() and language_model.score_blocks(none.blocks, none).count() == 0
 
