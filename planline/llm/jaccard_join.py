@@ -33,6 +33,8 @@ BRANCH = 2.0
 #: Wanted share of found pairs at the least similarity.
 RECALL = 0.9999
 SMALL = 512
+#: One set in so many tells whether a split parts a bucket.
+PROBE = 8
 DEEPEST = 6
 #: Sets and bytes of one side of a block.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
@@ -61,10 +63,14 @@ def runs_for(recall: float, similarity: float, branch: float = BRANCH, depth: in
 
 
 def _children(node: np.uint64, tokens: np.ndarray, branch: float) -> np.ndarray:
-    """Nodes below ``node`` that a set enters; a set of few shingles enters them all."""
-    mixed = mix64(tokens ^ node)
+    """Nodes below ``node`` that a set enters; a set of few shingles enters them all.
+
+    Shingles are hashes already: a product with an odd number of the node's own picks them.
+    """
     limit = branch / len(tokens)
-    return mixed if limit >= 1 else mixed[mixed < np.uint64(int(limit * 2**64))]
+    if limit < 1:
+        tokens = tokens[tokens * (node | np.uint64(1)) < np.uint64(int(limit * 2**64))]
+    return mix64(tokens ^ node)
 
 
 def _seed(run: int) -> np.uint64:
@@ -242,17 +248,17 @@ def jaccard_join(
         if depth >= DEEPEST or not large.limit(1).count():
             final = alive if final is None else final.unionByName(alive)
             break
-        below = large.select(F.col("path"), "key").join(tokens, "key").select("path", "key", "tokens")
-        below = written(below.mapInArrow(_split(branch), "parent long, path long, key binary"), "split")
-        sizes = below.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        work = sizes.groupBy("parent").agg(F.sum(F.col("size") * F.col("size")).alias("work"))
-        # a bucket that a split would hardly part stays whole
-        judged = large.groupBy("path").agg(F.first("size").alias("size")).join(work, F.col("parent") == F.col("path"), "left")
-        stays = judged.where(F.col("work") > 0.5 * F.col("size") * F.col("size")).select("path")
-        stays = written(stays, "whole")
+        # a bucket that a split would hardly part stays whole; a hash picks sets of each that tell
+        some = _below(large.where(F.pmod(F.xxhash64("key"), F.lit(PROBE)) == 0), tokens, branch)
+        size = some.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("size"))
+        together = size.groupBy("parent").agg(F.sum(F.col("size") * (F.col("size") - 1)).alias("together"))
+        probed = large.where(F.pmod(F.xxhash64("key"), F.lit(PROBE)) == 0).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        judged = probed.join(together, F.col("parent") == F.col("path"), "left")
+        stays = written(judged.where(F.col("together") > 0.5 * F.col("n") * (F.col("n") - 1)).select("path"), "whole")
         kept = done.unionByName(large.join(stays, "path"))
         final = kept if final is None else final.unionByName(kept)
-        alive = written(_shared(below.join(stays.select(F.col("path").alias("parent")), "parent", "left_anti").select("path", "key")), "members")
+        split = written(_below(large.join(stays, "path", "left_anti"), tokens, branch), "split")
+        alive = written(_shared(split.select("path", "key")), "members")
         depth += 1
 
     # buckets of the same sets are one
@@ -303,6 +309,11 @@ def jaccard_join(
     )
 
 
+def _below(members: DataFrame, tokens: DataFrame, branch: float) -> DataFrame:
+    """(parent, path, key): the children that the sets of buckets enter."""
+    return members.select("path", "key").join(tokens, "key").select("path", "key", "tokens").mapInArrow(_split(branch), "parent long, path long, key binary")
+
+
 def _shared(members: DataFrame) -> DataFrame:
     """(path, key, size) of buckets with at least two sets."""
     size = members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
