@@ -10,6 +10,8 @@ taken out of the likeness.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from planline.llm.decontaminate import pieces
 from planline.llm.shared import only
 
 BINS, BIN_BITS, BITS, WIDTH = 128, 7, 8, 5
-#: Rows meant for one bucket of neighbours, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2048, 65_536
+#: Rows meant for one bucket of neighbours, and the most buckets: beyond these a bucket holds more rows.
+BUCKET_ROWS, MOST_BUCKETS = 2048, 8192
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -65,13 +67,38 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
-    """Add ``bucket``: doc_id ranges of equal width, -1 for null ids."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if low is None:
-        return docs.withColumn("bucket", F.lit(-1))
+    """Add ``bucket``, which falls along the order of descending doc_id (nulls last), then tie.
+
+    Borders are quantiles of doc_id, so any ids give even buckets. An id that fills more
+    than one bucket alone is parted by its ties, which are hashes; so are null ids.
+    """
+    n, known = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     count = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    width = -(-(high - low + 1) // count)
-    return docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - low) / width).cast("int"), F.lit(-1)))
+    at = [k / count for k in range(1, count)]
+    borders = docs.agg(F.percentile_approx("doc_id", at, 20 * count)).first()[0] if at and known else []
+    own = Counter(borders)
+    parts = {x: k + 1 for x, k in own.items() if k > 1}
+    edges = sorted(own)
+    # ids above the k-th edge and up to the next one have place k + 1; so a place holds one heavy id at most, at its end
+    place = F.lit(0)
+    if edges:
+        found = F.aggregate(  # halves the range of edges until one place is left
+            F.sequence(F.lit(1), F.lit(len(edges).bit_length())),
+            F.struct(F.lit(0).alias("low"), F.lit(len(edges)).alias("high")),
+            lambda r, _: F.when(r["low"] >= r["high"], r).when(
+                F.get(F.lit(edges), ((r["low"] + r["high"]) / 2).cast("int")) < F.col("doc_id"), F.struct((((r["low"] + r["high"]) / 2).cast("int") + 1).alias("low"), r["high"].alias("high"))
+            ).otherwise(F.struct(r["low"].alias("low"), ((r["low"] + r["high"]) / 2).cast("int").alias("high"))),
+        )
+        place = found["low"]
+    heavy = F.create_map(*[F.lit(v) for x, k in parts.items() for v in (x, k)]) if parts else None
+    spread = F.coalesce(heavy[F.col("doc_id")], F.lit(1)) if parts else F.lit(1)
+    nulls = max(1, -(-(n - known) // BUCKET_ROWS))
+    spread = F.when(F.col("doc_id").isNull(), F.lit(min(nulls, MOST_BUCKETS))).otherwise(spread)
+    part = F.floor((F.shiftright("tie", 32) + F.lit(1 << 31)) * spread / F.lit(1 << 32)).cast("long") if parts or nulls > 1 else F.lit(0)
+    # within a place: lighter ids first, then the heavy id in its parts
+    alone = F.coalesce(F.col("doc_id").isin(list(parts)), F.lit(False)).cast("long") if parts else F.lit(0).cast("long")
+    first = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(2 * place.cast("long") + alone)
+    return docs.withColumn("bucket", first * F.lit(MOST_BUCKETS + 1) + part)
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
@@ -88,13 +115,12 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     empty table gives no rows. Other columns are ignored.
     """
     docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    docs = _bucketed(docs).withColumn("tie", F.xxhash64("text"))
+    docs = _bucketed(docs.withColumn("tie", F.xxhash64("text")))
     heads = docs.groupBy("bucket").agg(F.max_by("text", F.struct("doc_id", "tie", "text")).alias("text"))
-    # at most MOST_BUCKETS + 1 rows
-    order = Window.orderBy(F.desc("bucket"))
-    top = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    heads = heads.select("bucket", F.coalesce(F.lead("text").over(order), top).alias("head"))
-    heads = with_sketch(heads, "head", "head_sketch")
+    # the filled buckets in order, about MOST_BUCKETS numbers at most; each looks up the head of the next
+    filled = sorted((r.bucket for r in docs.select("bucket").distinct().collect()), reverse=True)
+    follows = docs.sparkSession.createDataFrame(list(zip(filled, filled[1:] + filled[:1])), "before long, bucket long")
+    heads = with_sketch(heads, "text", "head_sketch").join(follows, "bucket").select(F.col("before").alias("bucket"), F.col("text").alias("head"), "head_sketch")
 
     rows = with_sketch(docs, "text", "sketch")
     near = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), F.desc("tie"), F.desc("text"))
