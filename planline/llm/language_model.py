@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from planline.llm.shared import folded_spans, mix64, only, slices, span_hashes, written
@@ -38,7 +39,7 @@ ROW = DIM + 1
 PIECE = 3
 LEAST_COUNT = 5
 BLOCK = 1_000_000
-ROUNDS, RATE, BATCH = 3, 0.2, 8192
+ROUNDS, RATE, BATCH = 3, 0.2, 16384
 #: Rows of weights that are averaged together.
 PART = 4096
 _AROUND = np.array([*range(-SPAN, 0), *range(1, SPAN + 1)])
@@ -146,8 +147,13 @@ class Network:
         net.tree[:] = 0
         net.of_class[:] = 0
         net.place += np.tile(np.eye(ROW, dtype=np.float32), (len(_AROUND), 1))
+        net.flat[:] = net.flat.astype("<f2")
         return net
 
+    def shipped(self, spark: SparkSession) -> Broadcast:
+        """The weights for the executors, in half precision, which they keep between rounds; some 100 bytes for each token."""
+        return spark.sparkContext.broadcast(self.flat.astype("<f2"))
+
     def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The neighbours' rows side by side; the hidden values and a 1 for the bias."""
         x = np.take(self.word, near.ravel(), axis=0).reshape(len(near), -1)
@@ -192,18 +198,21 @@ class Paths:
     def log_probability(self) -> np.ndarray:
         return (np.minimum(self.z, 0) - np.log1p(np.exp(-np.abs(self.z)))).sum(axis=1)
 
-    def gradient(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By the hidden values; by the shared nodes; by the nodes below, a column for each weight, and these nodes."""
+    def gradient(self, h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the hidden values, and by the shared nodes; ``out`` gets that by the nodes below, a row for each weight.
+
+        ``h``: the hidden values as columns.
+        """
         e = -self.branch / (1 + np.exp(np.minimum(self.z, 60)))
         top = self.column.shape[1]
         spread = np.zeros((len(e), len(self.shared)), dtype=np.float32)
         np.put_along_axis(spread, self.column, e[:, :top], axis=1)
-        back, of_shared = spread @ self.shared, spread.T @ self.h
-        if not self.node.shape[1]:
-            return back, of_shared, np.zeros((ROW, 0)), self.node.ravel()
-        e = e[:, top:]
-        back += np.matmul(e[:, None, :], self.below)[:, 0, :]
-        return back, of_shared, (self.h.T.astype(np.float64)[:, :, None] * e[None]).reshape(ROW, -1), self.node.ravel()
+        back = spread @ self.shared
+        if self.node.shape[1]:
+            e = e[:, top:]
+            back += np.matmul(e[:, None, :], self.below)[:, 0, :]
+            np.multiply(h[:, :, None], e, out=out.reshape(ROW, *e.shape))
+        return back, spread.T @ self.h
 
 
 def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -251,24 +260,25 @@ def moves(net: Network, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
     order, classes = _by_class(ids)
     ids, near = ids[order], near[order]
     x, h = net.hidden(near)
+    columns = h.T.astype(np.float64)
     g = np.exp(_log_softmax(h @ net.of_class.T))
     back = np.zeros_like(h)
     rows, grads = [net.dense], []
-    nodes, of_nodes = [np.zeros(0, dtype=np.int64)], [np.zeros((ROW, 0))]
-    for k, a, b in classes:
+    steps = np.cumsum([0, *((b - a) * max(k - TOP, 0) for k, a, b in classes)])
+    nodes, of_nodes = np.empty(steps[-1], dtype=np.int64), np.empty((ROW, steps[-1]))
+    for (k, a, b), i, j in zip(classes, steps, steps[1:]):
         g[a:b, k] -= 1
         if k:
             paths = Paths(net, h[a:b], ids[a:b], k)
-            back[a:b], of_shared, by_column, below = paths.gradient()
+            back[a:b], of_shared = paths.gradient(columns[:, a:b], of_nodes[:, i:j])
+            nodes[i:j] = paths.node.ravel()
             rows.append(net.tree_at + paths.first + np.arange(len(of_shared)))
             grads.append(of_shared)
-            nodes.append(below)
-            of_nodes.append(by_column)
     back += g @ net.of_class
     back *= 1 - h * h  # 0 for the bias, whose h is 1
-    by_place = (net.place @ back.T).reshape(len(_AROUND), ROW, n).transpose(1, 0, 2).astype(np.float64)
-    words, of_word = _sums(near.T.ravel(), by_place.reshape(ROW, -1), net.size + 1)
-    trees, of_tree = _sums(np.concatenate(nodes), np.concatenate(of_nodes, axis=1), 1 << net.bits)
+    by_weight = net.place.reshape(len(_AROUND), ROW, ROW).transpose(1, 0, 2).reshape(-1, ROW).astype(np.float64) @ back.T.astype(np.float64)
+    words, of_word = _sums(near.T.ravel(), by_weight.reshape(ROW, -1), net.size + 1)
+    trees, of_tree = _sums(nodes, of_nodes, 1 << net.bits)
     rows = np.concatenate((*rows, words, trees + net.tree_at))
     return rows, np.concatenate((g.T @ h, x.T @ back, *grads, of_word, of_tree)) / np.float32(n)
 
@@ -338,8 +348,9 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield doc_ids.values, *(np.frombuffer(v.as_buffer(), dtype=t) for v, t in ((words, "<i8"), (sizes, "<i8"), (ids, "<i4")))
 
 
-def _train(net: Network, rate: float):
+def _train(shipped: Broadcast, size: int, bits: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(shipped.value.astype(np.float32), size, bits)
         for batch in batches:
             for _, _, sizes, ids in _read(batch):
                 own = Network(net.flat.copy(), net.size, net.bits)
@@ -413,10 +424,13 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, block: int
     blocks = blocks_of(docs, vocabulary, words, max(rounds, 1), block)
     net = Network.first(vocabulary.size, vocabulary.bits)
     for r in range(rounds):
-        moved = blocks.where(F.col("round") == r).select("doc_ids", "words", "sizes", "ids").mapInArrow(_train(net, rate / (1 + r)), _MOVES)
+        shipped = net.shipped(docs.sparkSession)
+        moved = blocks.where(F.col("round") == r).select("doc_ids", "words", "sizes", "ids").mapInArrow(_train(shipped, net.size, net.bits, rate / (1 + r)), _MOVES)
         moved = moved.repartition(F.col("part")).sortWithinPartitions("part", "seen", F.xxhash64("moves"))
-        for p in moved.mapInArrow(_average, _MOVES).collect():  # rows of weights, some 200 bytes for each token of the vocabulary
+        for p in moved.mapInArrow(_average, _MOVES).collect():  # rows of weights, some 140 bytes for each token of the vocabulary
             net.every[p.part * PART + np.frombuffer(p.rows, dtype="<u2").astype(np.int64)] += np.frombuffer(p.moves, dtype="<f4").reshape(-1, ROW)
+        net.flat[:] = net.flat.astype("<f2")
+        shipped.destroy()
     return Model(vocabulary, net, blocks)
 
 
@@ -431,9 +445,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_blocks(blocks: DataFrame, model: Model) -> DataFrame:
     """:func:`score` of documents that are in blocks already."""
-    net = model.net
+    shipped, size, bits = model.net.shipped(blocks.sparkSession), model.net.size, model.net.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(shipped.value.astype(np.float32), size, bits)
         for batch in batches:
             for doc_ids, words, sizes, ids in _read(batch):
                 row, place = padded(ids, sizes, net.size)
