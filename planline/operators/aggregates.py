@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planline.operators import windows
+
 
 def measure(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """matched, measured, zeros, sum of the measured; a total only where all matched were measured.
@@ -44,19 +46,16 @@ def mode_binned(df: DataFrame, group: list[str], value: str, decimals: int = 2)
 def describe(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, sd of the population, least, quartiles (interpolated), greatest and sum, rounded to 4."""
     v = F.col(value)
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(*group) if group else df.groupBy()
-    return out.agg(
-        F.count(v).alias("n"),
-        F.round(F.avg(v), 4).alias("mean"),
-        F.round(F.stddev_pop(v), 4).alias("sd"),
-        F.min(v).alias("least"),
-        F.round(q[0], 4).alias("p25"),
-        F.round(q[1], 4).alias("median"),
-        F.round(q[2], 4).alias("p75"),
-        F.max(v).alias("greatest"),
-        F.round(F.sum(v), 4).alias("total"),
+    out = df.groupBy(*group).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.sum(v).alias("total")
     )
+    q = windows.quantiles(df, group, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).drop("n")
+    keys = [F.col(c).alias(f"q_{c}") for c in group]
+    q = q.select(*keys, "p25", "median", "p75")
+    # a group without values has no quartiles
+    both = out.join(q, [out[c].eqNullSafe(q[f"q_{c}"]) for c in group], "left") if group else out.join(q, F.lit(True), "left")
+    r = lambda c: F.round(c, 4).alias(c)
+    return both.select(*group, "n", r("mean"), r("sd"), "least", r("p25"), r("median"), r("p75"), "greatest", r("total"))
 
 
 def classify(names: DataFrame, name: str, rules: list[tuple[str, str]], overrides: dict[str, str], default: str | None = None) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows in the folder that ``spark.checkpoint.dir`` names; a session on one machine may name none."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="planline-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = base or "file://" + tempfile.mkdtemp(prefix="planline-")
         spark.sparkContext.setCheckpointDir(f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}")
     return df.checkpoint()
 
@@ -23,14 +27,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels fall to the least neighbour's, and then to that label's own label, so paths
     halve in each round; every round is checkpointed in the shared folder.
     """
-    both = _checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _checkpointed(nodes.select("node", F.col("node").alias("component")))
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = checkpointed(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("low"))
         fresh = label.join(near, label.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("next"))
         after = fresh.join(jump, "low", "left").select("node", F.coalesce("next", "low").alias("after"), "component")
-        after = _checkpointed(after)
+        after = checkpointed(after)
         changed = after.where("after <> component").limit(1).count()
         label = after.select("node", F.col("after").alias("component"))
         if not changed:
@@ -43,17 +47,17 @@ def reachable(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     Each round takes one step from the nodes found last and keeps those not yet reached,
     until there are none; every round is checkpointed in the shared folder.
     """
-    edges = _checkpointed(edges.select("a", "b").distinct())
-    reached = _checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges = checkpointed(edges.select("a", "b").distinct())
+    reached = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     last, depth = reached, 0
     while True:
         depth += 1
         step = edges.join(last.select(F.col("node").alias("a")), "a").select(F.col("b").alias("next")).distinct()
         fresh = step.join(reached.select("node"), F.col("next").eqNullSafe(F.col("node")), "left_anti")
-        last = _checkpointed(fresh.select(F.col("next").alias("node"), F.lit(depth).alias("depth")))
+        last = checkpointed(fresh.select(F.col("next").alias("node"), F.lit(depth).alias("depth")))
         if not last.limit(1).count():
             return reached
-        reached = _checkpointed(reached.unionByName(last))
+        reached = checkpointed(reached.unionByName(last))
 
 
 def revision(before: DataFrame, after: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

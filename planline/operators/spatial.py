@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,46 +11,50 @@ from pyspark.sql import functions as F
 
 from planline.errors import refuse_oversize
 from planline.functions import geometry as G
+from planline.operators.graph import checkpointed
 
-#: Cells of one target beyond which it is wide and joined apart.
-WIDE_CELLS = 256
+def _cell(v: Column, size: Column | float) -> Column:
+    return F.floor(v / size).cast("long")
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / size).cast("long")
+def _level(cell: float, pad: float = 0.0) -> Column:
+    """Grids double in width from ``cell`` on; a box belongs to the first whose cells are as wide as it is."""
+    wide = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")) + 2 * pad
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide / cell, F.lit(1.0))))).cast("int")
 
 
-def with_cells(df: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """One row for each grid cell (gx, gy) that the row's padded box meets."""
-    xs = F.sequence(_cell(F.col("minx") - pad, size), _cell(F.col("maxx") + pad, size))
-    ys = F.sequence(_cell(F.col("miny") - pad, size), _cell(F.col("maxy") + pad, size))
+def _width(cell: float) -> Column:
+    return F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+
+
+def with_cells(df: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+    """One row for each grid cell (gx, gy) of its ``level`` that the row's padded box meets: four at most on its own level."""
+    xs = F.sequence(_cell(F.col("minx") - pad, _width(cell)), _cell(F.col("maxx") + pad, _width(cell)))
+    ys = F.sequence(_cell(F.col("miny") - pad, _width(cell)), _cell(F.col("maxy") + pad, _width(cell)))
     return df.withColumn("gx", F.explode(xs)).withColumn("gy", F.explode(ys))
 
 
-def cells_of_box(size: float) -> Column:
-    wide = (_cell(F.col("maxx"), size) - _cell(F.col("minx"), size) + 1) * (_cell(F.col("maxy"), size) - _cell(F.col("miny"), size) + 1)
-    return wide
+def _levels(df: DataFrame, cell: float, pad: float = 0.0) -> list[int]:
+    """The levels in use: some fifty at most, as each doubles the last."""
+    return sorted(r[0] for r in df.select(_level(cell, pad)).distinct().collect() if r[0] is not None)
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 40.0, budget: int | None = None) -> DataFrame:
     """Every (point, ring) with the point inside, prefixes ``p_`` and ``r_``.
 
-    Rings are filed under the grid cells of their boxes and points under their one cell,
-    so the join is by key. A ring that would fill more than ``WIDE_CELLS`` cells is filed
-    on a grid 64 times as coarse. ``budget`` refuses before the exact test.
+    Rings are filed under the cells of their boxes, each on the grid that fits its
+    width, and points under their one cell of every grid in use, so the join is by key.
+    ``budget`` refuses before the exact test.
     """
     p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
-    narrow = cells_of_box(cell) <= WIDE_CELLS
-    parts = []
-    for keep, size in ((narrow, cell), (~narrow, cell * 64)):
-        filed = with_cells(rings.where(keep), size)
-        filed = filed.select("gx", "gy", *[F.col(c).alias(f"r_{c}") for c in rings.columns])
-        at = p.withColumns({"gx": _cell(F.col("p_x"), size), "gy": _cell(F.col("p_y"), size)})
-        near = at.join(filed, ["gx", "gy"]).drop("gx", "gy")
-        parts.append(
-            near.where(F.col("p_x").between(F.col("r_minx"), F.col("r_maxx")) & F.col("p_y").between(F.col("r_miny"), F.col("r_maxy")))
-        )
-    pairs = parts[0].unionByName(parts[1])
+    filed = with_cells(rings.withColumn("level", _level(cell)), cell).select("level", "gx", "gy", *[F.col(c).alias(f"r_{c}") for c in rings.columns])
+    levels = _levels(rings, cell)
+    if not levels:
+        return p.crossJoin(rings.select(*[F.col(c).alias(f"r_{c}") for c in rings.columns]).limit(0))
+    at = p.withColumn("level", F.explode(F.lit(levels)))
+    at = at.withColumns({"gx": _cell(F.col("p_x"), _width(cell)), "gy": _cell(F.col("p_y"), _width(cell))})
+    near = at.join(filed, ["level", "gx", "gy"]).drop("level", "gx", "gy")
+    pairs = near.where(F.col("p_x").between(F.col("r_minx"), F.col("r_maxx")) & F.col("p_y").between(F.col("r_miny"), F.col("r_maxy")))
     if budget is not None:
         refuse_oversize("point and ring pairs", pairs.limit(budget + 1).count(), budget, "narrow the layers")
     return pairs.where(G.point_in_ring(F.col("p_x"), F.col("p_y"), F.col("r_ring")))
@@ -65,66 +71,118 @@ def within_radius(centres: DataFrame, others: DataFrame, radius: float) -> DataF
     return near.withColumn("distance", F.hypot(F.col("o_x") - F.col("c_x"), F.col("o_y") - F.col("c_y"))).where(F.col("distance") <= radius)
 
 
+def nearest(centres: DataFrame, others: DataFrame, first: float) -> DataFrame:
+    """For each of ``centres`` (handle, x, y) the nearest of ``others`` with another handle, the least handle on a tie.
+
+    (handle, nearest, distance, rounded to 6.) Looks within ``first``, and for those that
+    found none within four times as far, until that spans everything; one without any
+    other is left out.
+    """
+    points = centres.select("x", "y").unionByName(others.select("x", "y"))
+    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    span = math.hypot(box.x1 - box.x0, box.y1 - box.y0) if box.x0 is not None else 0.0
+    left, out, radius = centres.select("handle", "x", "y"), None, first
+    while True:
+        pairs = within_radius(left, others.select("handle", "x", "y"), radius).where("c_handle <> o_handle")
+        best = pairs.groupBy(F.col("c_handle").alias("handle")).agg(F.min(F.struct(F.round("distance", 6).alias("distance"), F.col("o_handle").alias("nearest"))).alias("best"))
+        best = checkpointed(best.select("handle", "best.nearest", "best.distance"))
+        out = best if out is None else out.unionByName(best)
+        left = checkpointed(left.join(best.select("handle"), "handle", "left_anti"))
+        if radius > span or not left.limit(1).count():
+            return out
+        radius *= 4
+
+
 def box_pairs(a: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
-    """Pairs a.handle < b.handle whose boxes overlap; each is found in one cell only."""
-    filed = with_cells(a, cell, pad)
-    left = filed.select("gx", "gy", *[F.col(c).alias(f"a_{c}") for c in a.columns])
-    right = filed.select("gx", "gy", *[F.col(c).alias(f"b_{c}") for c in a.columns])
-    near = left.join(right, ["gx", "gy"]).where(
-        (F.col("a_handle") < F.col("b_handle"))
-        & (F.col("a_minx") - pad <= F.col("b_maxx"))
-        & (F.col("b_minx") - pad <= F.col("a_maxx"))
-        & (F.col("a_miny") - pad <= F.col("b_maxy"))
-        & (F.col("b_miny") - pad <= F.col("a_maxy"))
+    """Pairs a.handle < b.handle whose boxes, each widened by ``pad``, overlap; each is found in one cell only.
+
+    A box is filed on the grid that fits its width and looked up on its own and every
+    wider grid in use, so boxes of any width fill few cells.
+    """
+    boxes = a.withColumn("own", _level(cell, pad))
+    filed = with_cells(boxes.withColumn("level", F.col("own")), cell, pad).select("level", "gx", "gy", *[F.col(c).alias(f"f_{c}") for c in a.columns])
+    levels = _levels(a, cell, pad)
+    wider = boxes.withColumn("level", F.explode(F.filter(F.lit(levels or [0]), lambda x: x >= F.col("own"))))
+    asked = with_cells(wider, cell, pad).select("level", "gx", "gy", "own", *[F.col(c).alias(f"q_{c}") for c in a.columns])
+    near = asked.join(filed, ["level", "gx", "gy"]).where(
+        ((F.col("own") < F.col("level")) | (F.col("f_handle") < F.col("q_handle")))
+        & (F.col("f_minx") - pad <= F.col("q_maxx") + pad)
+        & (F.col("q_minx") - pad <= F.col("f_maxx") + pad)
+        & (F.col("f_miny") - pad <= F.col("q_maxy") + pad)
+        & (F.col("q_miny") - pad <= F.col("f_maxy") + pad)
     )
     # the cell of the overlap's least corner answers for the pair
-    home_x = F.greatest(_cell(F.col("a_minx") - pad, cell), _cell(F.col("b_minx") - pad, cell))
-    home_y = F.greatest(_cell(F.col("a_miny") - pad, cell), _cell(F.col("b_miny") - pad, cell))
-    return near.where((F.col("gx") == home_x) & (F.col("gy") == home_y)).drop("gx", "gy")
+    home = lambda c: F.greatest(_cell(F.col(f"f_{c}") - pad, _width(cell)), _cell(F.col(f"q_{c}") - pad, _width(cell)))
+    near = near.where((F.col("gx") == home("minx")) & (F.col("gy") == home("miny")))
+    swap = F.col("q_handle") < F.col("f_handle")
+    side = lambda x, y: [F.when(swap, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")) for c in a.columns]
+    named = [*zip(side("q", "f"), [f"a_{c}" for c in a.columns]), *zip(side("f", "q"), [f"b_{c}" for c in a.columns])]
+    return near.select(*[c.alias(n) for c, n in named])
+
+
+def _clipped(shape: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex shapes (n, m, 2), of ``size`` vertices each, cut to the left of the lines from p to q."""
+    m = shape.shape[1]
+    at = np.arange(m)
+    real = at < size[:, None]
+    after = np.where(at + 1 < size[:, None], at + 1, 0)
+    way = q - p
+    side = way[:, None, 0] * (shape[:, :, 1] - p[:, None, 1]) - way[:, None, 1] * (shape[:, :, 0] - p[:, None, 0])
+    next_side = np.take_along_axis(side, after, axis=1)
+    crosses = real & (side * next_side < 0)
+    part = side / np.where(crosses, side - next_side, 1.0)
+    cut = shape + (np.take_along_axis(shape, after[:, :, None], axis=1) - shape) * part[:, :, None]
+    both = np.stack((shape, cut), axis=2).reshape(len(shape), 2 * m, 2)
+    keep = np.stack((real & (side >= 0), crosses), axis=2).reshape(len(shape), 2 * m)
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : m + 1]
+    return np.take_along_axis(both, order[:, :, None], axis=1), keep.sum(axis=1)
+
+
+def _areas(shape: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Signed areas of shapes of ``size`` vertices."""
+    at = np.arange(shape.shape[1])
+    after = np.take_along_axis(shape, np.where(at + 1 < size[:, None], at + 1, 0)[:, :, None], axis=1)
+    cross = shape[:, :, 0] * after[:, :, 1] - after[:, :, 0] * shape[:, :, 1]
+    return np.where(at < size[:, None], cross, 0).sum(axis=1) / 2
+
+
+def _fan(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles from the first corner of each ring, and the ring of each."""
+    size = np.array([len(v) for v in x])
+    start = np.cumsum(size) - size
+    ring = np.repeat(np.arange(len(size)), np.maximum(size - 2, 0))
+    k = np.arange(len(ring)) - np.searchsorted(ring, ring) + 1
+    xy = np.column_stack((np.concatenate(x), np.concatenate(y))).astype(float) if len(x) else np.zeros((0, 2))
+    return np.stack((xy[start[ring]], xy[start[ring] + k], xy[start[ring] + k + 1]), axis=1), ring
+
+
+def _shared_areas(ax: list, ay: list, bx: list, by: list) -> np.ndarray:
+    """Shared area of each pair of rings: the signed sum over pairs of their fans' triangles."""
+    s, of_s = _fan(ax, ay)
+    t, of_t = _fan(bx, by)
+    n = np.bincount(of_t, minlength=len(ax))
+    first = np.cumsum(n) - n
+    left = np.repeat(np.arange(len(s)), n[of_s])
+    right = first[of_s[left]] + np.arange(len(left)) - np.searchsorted(left, left)
+    s, t, pair = s[left], t[right], of_s[left]
+    shift = np.minimum(s.min(axis=1), t.min(axis=1))[:, None, :]
+    s, t = s - shift, t - shift
+    three = np.full(len(s), 3)
+    sa, ta = _areas(s, three), _areas(t, three)
+    s = np.where((sa < 0)[:, None, None], s[:, ::-1], s)
+    t = np.where((ta < 0)[:, None, None], t[:, ::-1], t)
+    shape, size = s, three
+    for k in range(3):
+        shape, size = _clipped(shape, size, t[:, k], t[:, (k + 1) % 3])
+    return np.abs(np.bincount(pair, np.sign(sa) * np.sign(ta) * np.abs(_areas(shape, size)), len(ax)))
 
 
 def ring_overlap_area(pairs: DataFrame) -> DataFrame:
-    """Add ``overlap``: shared area of a_ring and b_ring (both convex or not), in Arrow batches."""
-    def clip(subject: np.ndarray, triangle: np.ndarray) -> np.ndarray:
-        for k in range(3):
-            if not len(subject):
-                return subject
-            p, q = triangle[k], triangle[(k + 1) % 3]
-            side = (q[0] - p[0]) * (subject[:, 1] - p[1]) - (q[1] - p[1]) * (subject[:, 0] - p[0])
-            out = []
-            for m in range(len(subject)):
-                n = (m + 1) % len(subject)
-                if side[m] >= 0:
-                    out.append(subject[m])
-                if (side[m] > 0 > side[n]) or (side[m] < 0 < side[n]):
-                    out.append(subject[m] + (subject[n] - subject[m]) * side[m] / (side[m] - side[n]))
-            subject = np.array(out).reshape(-1, 2)
-        return subject
-
-    def area(r: np.ndarray) -> float:
-        if len(r) < 3:
-            return 0.0
-        x, y = (r - r[0]).T
-        return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) / 2)
-
-    def shared(a: list, b: list) -> float:
-        a, b = (np.array([(p["x"], p["y"]) for p in r], dtype=float) for r in (a, b))
-        shift = np.minimum(a.min(axis=0), b.min(axis=0))
-        a, b = a - shift, b - shift
-        fan_a = [a[[0, k, k + 1]] for k in range(1, len(a) - 1)]
-        fan_b = [b[[0, k, k + 1]] for k in range(1, len(b) - 1)]
-        total = 0.0
-        for s in fan_a:
-            for t in fan_b:
-                sign = np.sign(area(s)) * np.sign(area(t))
-                if sign:
-                    s1 = s if area(s) > 0 else s[::-1]
-                    t1 = t if area(t) > 0 else t[::-1]
-                    total += sign * abs(area(clip(s1, t1)))
-        return abs(total)
+    """Add ``overlap``: shared area of a_ring and b_ring (both convex or not), all pairs of a batch at once; null rings share none."""
 
     @F.pandas_udf("double")
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([shared(x, y) for x, y in zip(a, b)], dtype="float64")
+    def overlap(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series(_shared_areas(list(ax), list(ay), list(bx), list(by)), dtype="float64")
 
-    return pairs.withColumn("overlap", overlap("a_ring", "b_ring"))
+    side = lambda r, c: F.coalesce(F.col(f"{r}_ring.{c}").cast("array<double>"), F.array().cast("array<double>"))
+    return pairs.withColumn("overlap", overlap(side("a", "x"), side("a", "y"), side("b", "x"), side("b", "y")))

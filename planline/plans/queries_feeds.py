@@ -14,7 +14,9 @@ from planline.operators import filters as O
 def page_with_truncation(spark, d):
     """A page of 100 and whether more rows follow: one row more is read, never the whole."""
     one_more = O.page(O.query_entities(paths(spark, d), layer="N").select("handle", "layer"), ["handle"], 101)
-    return one_more.withColumn("truncated", F.lit(one_more.count() > 100)).orderBy("handle").limit(100)
+    rows = F.sort_array(F.collect_list(F.struct("handle", "layer"))).alias("rows")  # 101 at most
+    page = one_more.agg(rows).select(F.explode(F.slice("rows", 1, 100)).alias("r"), (F.size("rows") > 100).alias("truncated"))
+    return page.select("r.handle", "r.layer", "truncated")
 
 
 def text_near_misses(spark, d):
@@ -59,16 +61,15 @@ def zoom_resolutions(spark, d):
 
 def bulged_area(spark, d):
     """Area of each parcel with one side bulged to a half circle, flattened to within 0.001."""
-    p = parcels(spark, d).where("handle <= 200")
+    p = parcels(spark, d)
     flat = C.flatten_bulges(F.col("ring"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)), 0.001)
     p = p.withColumn("flat", flat)
-    near = F.abs(G.signed_area(F.col("flat")) - (F.col("area") + F.lit(3.141592653589793) * F.col("w") * F.col("w") / 8)) < 0.1
-    return p.select("handle", near.alias("as_expected"))
+    return p.select("handle", F.round(G.signed_area(F.col("flat")), 4).alias("flat_area"), F.size("flat").cast("long").alias("points"))
 
 
 def simplified_rings(spark, d):
     """Parcel outlines with a vertex added in the middle of each side, simplified: the corners stay."""
-    p = parcels(spark, d).where("handle <= 200")
+    p = parcels(spark, d)
     after = F.concat(F.slice("ring", 2, 4), F.slice("ring", 1, 1))
     mid = F.zip_with("ring", after, lambda a, b: F.array(F.struct(a["x"].alias("x"), a["y"].alias("y")), F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"))))
     dense = F.concat(F.flatten(mid), F.slice("ring", 1, 1))
@@ -84,13 +85,13 @@ def geojson_rings(spark, d):
 
 def answer_handles(spark, d):
     """Numbers named in texts that are handles of parcels."""
-    found = labels(spark, d).where("handle <= 2000").select("text").distinct()
+    found = labels(spark, d).select("text").distinct()
     return found.join(parcels(spark, d).select(F.col("handle").cast("string").alias("text"), "layer"), "text").select("text", "layer")
 
 
 def role_of_layout(spark, d):
     """Layers whose paths stand on one layout only, and on which."""
-    p = paths(spark, d).where("price < 3000").groupBy("layer", "block").agg(F.countDistinct("layout").alias("layouts"), F.min("layout").alias("layout"))
+    p = paths(spark, d).groupBy("layer", "block").agg(F.countDistinct("layout").alias("layouts"), F.min("layout").alias("layout"))
     return p.groupBy("layer", F.when(F.col("layouts") == 1, F.col("layout")).otherwise("several").alias("stands_on")).agg(F.count(F.lit(1)).alias("blocks"))
 
 
@@ -109,11 +110,13 @@ SQL = {
     "layers_in_scope": f"{E} SELECT layer, count(CASE WHEN type = 'LWPOLYLINE' THEN 1 END) AS path, count(CASE WHEN type IN ('LINE', 'ARC') THEN 1 END) AS segment, count(CASE WHEN type = 'CIRCLE' THEN 1 END) AS ring FROM paths GROUP BY layer",
     "extents_by_layer": f"{E} SELECT layer, round(min(minx), 4) AS minx, round(min(miny), 4) AS miny, round(max(maxx), 4) AS maxx, round(max(maxy), 4) AS maxy FROM parcels GROUP BY layer",
     "zoom_resolutions": "SELECT CAST(n_nationkey AS DOUBLE) AS zoom, CAST(greatest(0, least(13, floor(n_nationkey * 0.75))) AS BIGINT) AS resolution, round(360e0 / (256 * 2e0 ** n_nationkey), 9) AS degrees FROM nation",
-    "bulged_area": f"{E} SELECT handle, true AS as_expected FROM parcels WHERE handle <= 200",
-    "simplified_rings": f"{E} SELECT handle, CAST(5 AS BIGINT) AS vertices FROM parcels WHERE handle <= 200",
+    # a half circle of n chords has the area n r r sin(pi / n) / 2; n follows from the tolerance
+    "bulged_area": f"""{E}, b AS (SELECT handle, area, w / 2 AS r, ceil(pi() / (2 * acos(1 - 1e-3 / (w / 2)))) AS n FROM parcels)
+        SELECT handle, round(area + n * r * r * sin(pi() / n) / 2, 4) AS flat_area, CAST(n + 3 AS BIGINT) AS points FROM b""",
+    "simplified_rings": f"{E} SELECT handle, CAST(5 AS BIGINT) AS vertices FROM parcels",
     "geojson_rings": f"{E} SELECT handle, 'Polygon' AS type, CAST(5 AS BIGINT) AS points, true AS closed FROM parcels",
-    "answer_handles": f"{E} SELECT DISTINCT l.text, p.layer FROM labels l JOIN parcels p ON l.text = CAST(p.handle AS VARCHAR) WHERE l.handle <= 2000",
-    "role_of_layout": f"{E}, b AS (SELECT layer, block, CASE WHEN count(DISTINCT layout) = 1 THEN min(layout) ELSE 'several' END AS stands_on FROM paths WHERE price < 3000 GROUP BY 1, 2) SELECT layer, stands_on, count(*) AS blocks FROM b GROUP BY 1, 2",
+    "answer_handles": f"{E} SELECT DISTINCT l.text, p.layer FROM labels l JOIN parcels p ON l.text = CAST(p.handle AS VARCHAR)",
+    "role_of_layout": f"{E}, b AS (SELECT layer, block, CASE WHEN count(DISTINCT layout) = 1 THEN min(layout) ELSE 'several' END AS stands_on FROM paths GROUP BY 1, 2) SELECT layer, stands_on, count(*) AS blocks FROM b GROUP BY 1, 2",
     "anomaly_duplicates": f"{E} SELECT layer, type, length, count(*) AS n, count(DISTINCT block) AS blocks FROM paths GROUP BY 1, 2, 3 HAVING count(*) > 1",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -53,7 +53,7 @@ def distinct_count(spark, d):
 
 
 def declared_but_absent(spark, d):
-    used = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey")).where("n_nationkey % 4 <> 0").distinct()
+    used = table(spark, d, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("n_nationkey")).distinct()
     return table(spark, d, "nation").join(used, "n_nationkey", "left_anti").select(F.col("n_name").alias("layer"))
 
 
@@ -84,7 +84,7 @@ def mode_binned(spark, d):
 
 def above_median(spark, d):
     p = parcels(spark, d)
-    median = p.agg(F.round(F.percentile("area", 0.5), 2).alias("median"))
+    median = W.quantiles(p, [], "area", {"median": 0.5}).select(F.round("median", 2).alias("median"))
     return p.crossJoin(F.broadcast(median)).agg(F.count_if(F.round("area", 2) > F.col("median")).alias("above"), F.first("median").alias("median"))
 
 
@@ -190,11 +190,11 @@ def outliers_z(spark, d):
 
 def cumulative_share_98(spark, d):
     n = labels(spark, d).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    return W.cumulative_share(n, "n", "text", 0.5).select("text", "n")
+    return W.cumulative_share(n, "n", "text", 0.98).select("text", "n")
 
 
 def quantile_classes(spark, d):
-    q = W.nearest_rank(parcels(spark, d), ["layer"], "area", ["handle"], {"q20": 0.2, "q40": 0.4, "q60": 0.6, "q80": 0.8, "q100": 1.0})
+    q = W.nearest_rank(parcels(spark, d), ["layer"], "area", {"q20": 0.2, "q40": 0.4, "q60": 0.6, "q80": 0.8, "q100": 1.0})
     return q.select("layer", *[F.round(c, 4).alias(c) for c in ("q20", "q40", "q60", "q80", "q100")])
 
 
@@ -206,7 +206,7 @@ def step_lookup(spark, d):
 
 def tukey_fence(spark, d):
     p = paths(spark, d).where("length is not null")
-    q = W.nearest_rank(p, ["layer"], "length", ["handle"], {"p25": 0.25, "p75": 0.75})
+    q = W.nearest_rank(p, ["layer"], "length", {"p25": 0.25, "p75": 0.75})
     width = F.col("p75") - F.col("p25")
     return q.select("layer", "p25", "p75", (F.col("p25") - 1.5 * width).alias("low"), (F.col("p75") + 1.5 * width).alias("high"))
 
@@ -217,8 +217,7 @@ def top_n_per_group(spark, d):
 
 
 def gap_islands(spark, d):
-    p = parcels(spark, d).where("handle % 3 = 0")
-    i = W.islands(p, ["layer"], "minx", "maxx", ["handle"], 40.0)
+    i = W.islands(parcels(spark, d), ["layer"], "minx", "maxx", ["handle"], 40.0)
     return i.groupBy("layer", F.col("island").cast("long").alias("island")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("minx"), 4).alias("low"), F.round(F.max("maxx"), 4).alias("high"))
 
 
@@ -240,9 +239,9 @@ def rank_profiles(spark, d):
 
 def network_measure(spark, d):
     p = paths(spark, d).where("type IN ('LINE', 'ARC')")
-    return p.groupBy("layer").agg(
-        F.round(F.sum("length"), 4).alias("length"), F.round(F.percentile("length", 0.5) * 0.001, 6).alias("snap_tolerance"), F.count_if(F.col("length").isNull()).alias("unmeasured")
-    )
+    sums = p.groupBy("layer").agg(F.round(F.sum("length"), 4).alias("length"), F.count_if(F.col("length").isNull()).alias("unmeasured"))
+    median = W.quantiles(p, ["layer"], "length", {"median": 0.5}).select("layer", F.round(F.col("median") * 0.001, 6).alias("snap_tolerance"))
+    return sums.join(median, "layer", "left")
 
 
 def grade_spread(spark, d):
@@ -276,7 +275,7 @@ SQL = {
     "types_and_layouts": f"{E} SELECT type, NULL AS layout, count(*) AS n FROM paths GROUP BY type UNION ALL SELECT NULL, layout, count(*) FROM paths GROUP BY layout",
     "distinct_values": f"{E} SELECT text, count(*) AS n FROM labels WHERE text IS NOT NULL AND text <> '' GROUP BY text ORDER BY n DESC, text LIMIT 25",
     "distinct_count": f"{E} SELECT layer, count(DISTINCT text) AS n_distinct, count(text) AS total FROM labels GROUP BY layer",
-    "declared_but_absent": "SELECT n_name AS layer FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 4 <> 0)",
+    "declared_but_absent": "SELECT n_name AS layer FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900)",
     "empty_result_diagnosis": f"{E} SELECT count(CASE WHEN layer = 'A' AND type = 'line' AND layout = 'F' THEN 1 END) AS as_asked, count(CASE WHEN layer = 'A' AND layout = 'F' THEN 1 END) AS without_type, count(CASE WHEN type = 'line' AND layout = 'F' THEN 1 END) AS without_layer, count(CASE WHEN layer = 'A' AND lower(type) = 'line' AND layout = 'F' THEN 1 END) AS any_case FROM paths",
     "stats_describe": f"{E} SELECT {_D.format(v='area')} FROM parcels",
     "stats_by_layer_pooled": f"{E} SELECT layer, {_D.format(v='length')} FROM paths GROUP BY GROUPING SETS ((layer), ())",
@@ -305,7 +304,7 @@ SQL = {
     "outliers_z": f"""{E}, s AS (SELECT layer, avg(area) AS m, stddev_pop(area) AS sd FROM parcels GROUP BY layer)
         SELECT handle, p.layer, round(area, 4) AS area, round((area - m) / sd, 6) AS z FROM parcels p JOIN s ON p.layer = s.layer WHERE sd <> 0 AND abs((area - m) / nullif(sd, 0)) > 1.8""",
     "cumulative_share_98": f"""{E}, c AS (SELECT text, count(*) AS n FROM labels GROUP BY text), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, text ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER () AS total FROM c)
-        SELECT text, n FROM r WHERE before < 0.5 * total""",
+        SELECT text, n FROM r WHERE before < 0.98 * total""",
     "quantile_classes": f"""{E}, r AS (SELECT layer, area, row_number() OVER (PARTITION BY layer ORDER BY area, handle) AS rn, count(*) OVER (PARTITION BY layer) AS n FROM parcels)
         SELECT layer, {', '.join(f"round({_NR.format(s=f'{k}e-2', v='area')}, 4) AS q{k}" for k in (20, 40, 60, 80, 100))} FROM r GROUP BY layer""",
     "step_lookup": f"{E} SELECT CAST(area > 300 AS BIGINT) + CAST(area > 500 AS BIGINT) + CAST(area > 800 AS BIGINT) + CAST(area > 1200 AS BIGINT) AS step, count(*) AS n FROM parcels GROUP BY 1",
@@ -313,7 +312,7 @@ SQL = {
         q AS (SELECT layer, {_NR.format(s='25e-2', v='length')} AS p25, {_NR.format(s='75e-2', v='length')} AS p75 FROM r GROUP BY layer)
         SELECT layer, p25, p75, p25 - 1.5e0 * (p75 - p25) AS low, p75 + 1.5e0 * (p75 - p25) AS high FROM q""",
     "top_n_per_group": f"{E} SELECT layer, type, handle, place FROM (SELECT *, row_number() OVER (PARTITION BY layer, type ORDER BY handle) AS place FROM paths) WHERE place <= 10",
-    "gap_islands": f"""{E}, g AS (SELECT *, max(maxx) OVER (PARTITION BY layer ORDER BY minx, maxx, handle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM parcels WHERE handle % 3 = 0),
+    "gap_islands": f"""{E}, g AS (SELECT *, max(maxx) OVER (PARTITION BY layer ORDER BY minx, maxx, handle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM parcels),
         i AS (SELECT *, CAST(sum(CASE WHEN seen IS NULL OR minx - seen > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY layer ORDER BY minx, maxx, handle ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM g)
         SELECT layer, island, count(*) AS n, round(min(minx), 4) AS low, round(max(maxx), 4) AS high FROM i GROUP BY layer, island""",
     "widest_feature": f"""{E}, r AS (SELECT layer, handle, maxx - minx AS width, row_number() OVER (PARTITION BY layer ORDER BY round(maxx - minx, 6) DESC, handle) AS rn FROM parcels)

@@ -56,7 +56,7 @@ def place_in_ring(spark, d):
 
 def utm_to_latlon(spark, d):
     """Parcel corners moved to a zone 38 north frame, in degrees."""
-    p = parcels(spark, d).where("handle <= 500")
+    p = parcels(spark, d)
     at = G.utm_to_lat_lon(F.col("x1") + 691942.0, F.col("y1") + 2750756.0, G.utm_zone(F.lit(32638)), F.lit(False))
     return p.select("handle", at.alias("at")).select("handle", F.round("at.lat", 6).alias("lat"), F.round("at.lon", 6).alias("lon"))
 
@@ -168,7 +168,7 @@ def _utm_sql() -> str:
     xi = "xi" + "".join(f" - {b!r} * sin({2 * j} * xi) * {cosh(f'{2 * j} * eta')}" for j, b in enumerate(beta, 1))
     eta = "eta" + "".join(f" - {b!r} * cos({2 * j} * xi) * {sinh(f'{2 * j} * eta')}" for j, b in enumerate(beta, 1))
     lat = "chi" + "".join(f" + {x!r} * sin({2 * j} * chi)" for j, x in enumerate(delta, 1))
-    return f"""{E}, u AS (SELECT handle, (y1 + 2750756e0) / (0.9996e0 * {radius!r}) AS xi, (x1 + 691942e0 - 500000e0) / (0.9996e0 * {radius!r}) AS eta FROM parcels WHERE handle <= 500),
+    return f"""{E}, u AS (SELECT handle, (y1 + 2750756e0) / (0.9996e0 * {radius!r}) AS xi, (x1 + 691942e0 - 500000e0) / (0.9996e0 * {radius!r}) AS eta FROM parcels),
     v AS (SELECT handle, {xi} AS xi1, {eta} AS eta1 FROM u), w AS (SELECT handle, asin(sin(xi1) / {cosh('eta1')}) AS chi, atan2({sinh('eta1')}, cos(xi1)) AS lam FROM v)
     SELECT handle, round(degrees({lat}), 6) AS lat, round(degrees(lam) + 38 * 6 - 183, 6) AS lon FROM w"""
 
