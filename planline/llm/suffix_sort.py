@@ -1,7 +1,7 @@
 """Deep-shallow sorting of byte strings.
 
-Strings are sorted by multikey quicksort on 8-byte characters to a shallow depth, all
-subproblems of a depth at once in numpy. Groups that still agree there are ordered by
+Strings are sorted by multikey quicksort on 8-byte characters to a shallow depth: groups
+are parted in three by a pivot's next character, all of a round at once in numpy. Groups that still agree there are ordered by
 a blind trie: it branches on single bytes, finds a string's place by a blind descent
 and one comparison with a leaf, and so reads a long common prefix once, not once a byte.
 """
@@ -86,53 +86,84 @@ class BlindTrie:
         return order, lcp
 
 
+class _Characters:
+    """The 8-byte characters of strings: a number, and how many of its bytes the string has."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(s) for s in strings], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        raw = np.frombuffer(b"".join(strings) + bytes(8), dtype=np.uint8)
+        self.words = np.ndarray(len(raw) - 7, dtype=">u8", buffer=raw, strides=(1,))
+
+    def at(self, who: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = np.clip(self.size[who] - depth, 0, 8)
+        word = self.words[np.minimum(self.begin[who] + depth, len(self.words) - 1)].astype(np.uint64)
+        drop = np.minimum((8 - left) * 8, 63).astype(np.uint64)
+        return np.where(left > 0, (word >> drop) << drop, np.uint64(0)), left
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of strings a and b, which are not deep."""
+        out, open_, depth = np.zeros(len(a), dtype=np.int64), np.arange(len(a)), 0
+        while len(open_):
+            (wa, la), (wb, lb) = self.at(a[open_], depth), self.at(b[open_], depth)
+            xor, equal = wa ^ wb, np.zeros(len(open_), dtype=np.int64)
+            for k in range(8):
+                equal += (equal == k) & ((xor >> np.uint64(56 - 8 * k)) & np.uint64(255) == 0)
+            out[open_] = depth + np.minimum(equal, np.minimum(la, lb))
+            open_ = open_[(equal == 8) & (la == 8) & (lb == 8)]
+            depth += 8
+        return out
+
+
+def multikey_quicksort(chars: _Characters, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the strings by their first ``shallow`` bytes, where a new group begins, and whether its strings go on.
+
+    Each round parts every unsettled group in three by its middle string's next
+    character; the part that equals it goes on to the character after.
+    """
+    n = len(chars.size)
+    order, begins, deep, depth = np.arange(n), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+    begins[0] = True
+    open_ = np.arange(n) if n > 1 else np.zeros(0, dtype=np.int64)
+    while len(open_):
+        who = order[open_]
+        word, left = chars.at(who, depth[open_])
+        first = np.flatnonzero(begins[open_])
+        run = np.cumsum(begins[open_]) - 1
+        pivot = ((first + np.append(first[1:], len(open_))) // 2)[run]
+        less = (word < word[pivot]) | ((word == word[pivot]) & (left < left[pivot]))
+        same = (word == word[pivot]) & (left == left[pivot])
+        part = 3 * run + np.where(less, 0, np.where(same, 1, 2))
+        ranks = np.argsort(part, kind="stable")
+        part, same, left = part[ranks], same[ranks], left[ranks]
+        order[open_] = who[ranks]
+        depth[open_] = depth[open_][ranks] + 8 * same
+        new = np.concatenate(([True], part[1:] != part[:-1]))
+        begins[open_] = new
+        count = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        goes_on = (count > 1) & ~(same & (left < 8))  # equal strings that end here agree wholly
+        deep[open_] = goes_on & (depth[open_] >= shallow)
+        open_ = open_[goes_on & (depth[open_] < shallow)]
+    return order, begins, deep
+
+
 def deep_shallow_sort(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings, and each one's common prefix with the one before it (the first: -1)."""
     n = len(strings)
     if not n:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    size = np.array([len(s) for s in strings], dtype=np.int64)
-    begin = np.cumsum(size) - size
-    raw = np.frombuffer(b"".join(strings) + bytes(8), dtype=np.uint8)
-    words = np.ndarray(len(raw) - 7, dtype=">u8", buffer=raw, strides=(1,))
-    order, lcp = np.arange(n), np.full(n, -1, dtype=np.int64)
-    group = np.zeros(n, dtype=np.int64)  # of the place; places of one group are neighbours
-    open_ = np.arange(n) if n > 1 else np.zeros(0, dtype=np.int64)  # places not yet settled
-    depth = 0
-    while len(open_) and depth < shallow:
-        who = order[open_]
-        left = np.clip(size[who] - depth, 0, 8)
-        word = words[np.minimum(begin[who] + depth, len(words) - 1)].astype(np.uint64)
-        drop = ((8 - left) * 8).astype(np.uint64)
-        word = np.where(left > 0, (word >> np.minimum(drop, np.uint64(63))) << np.minimum(drop, np.uint64(63)), np.uint64(0))
-        ranks = np.lexsort((left, word, group[open_]))
-        who, word, left = who[ranks], word[ranks], left[ranks]
-        order[open_] = who
-        own = group[open_]
-        same_group = own[1:] == own[:-1]
-        differ = same_group & ((word[1:] != word[:-1]) | (left[1:] != left[:-1]))
-        xor = word[1:] ^ word[:-1]
-        equal = np.zeros(len(xor), dtype=np.int64)
-        for k in range(8):
-            equal += equal == k
-            equal -= (equal == k + 1) & ((xor >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0)
-        prefix = depth + np.minimum(equal, np.minimum(left[1:], left[:-1]))
-        lcp[open_[1:][differ]] = prefix[differ]
-        new = np.concatenate(([True], ~same_group | differ))
-        fresh = np.cumsum(new)
-        count = np.bincount(fresh)
-        group[open_] = fresh
-        ended = left < 8  # equal strings that end here agree wholly
-        twin = np.concatenate(([False], same_group & ~differ)) & ended
-        lcp[open_[twin]] = size[who[twin]]
-        open_ = open_[(count[fresh] > 1) & ~ended]
-        depth += 8
-    if len(open_):
-        cuts = np.flatnonzero(np.diff(group[open_])) + 1
-        for places in np.split(open_, cuts):
-            first = lcp[places[0]]
-            members, prefixes = BlindTrie(strings, order[places].tolist()).ordered()
-            order[places] = members
-            lcp[places] = prefixes
-            lcp[places[0]] = first
+    chars = _Characters(strings)
+    if shallow > 0:
+        order, begins, deep = multikey_quicksort(chars, shallow)
+    else:
+        order, begins, deep = np.arange(n), np.arange(n) == 0, np.ones(n, dtype=bool)
+    lcp = np.full(n, -1, dtype=np.int64)
+    twin = ~begins & ~deep
+    lcp[twin] = chars.size[order[twin]]
+    deep_places = np.flatnonzero(deep)
+    for places in np.split(deep_places, np.flatnonzero(begins[deep_places])[1:]) if len(deep_places) else []:
+        order[places], lcp[places] = BlindTrie(strings, order[places].tolist()).ordered()
+    after = np.flatnonzero(begins)[1:]
+    lcp[after] = chars.common(order[after - 1], order[after])
+    lcp[0] = -1
     return order, lcp
