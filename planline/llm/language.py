@@ -20,13 +20,15 @@ from planline.llm.shared import only, slices
 PROFILE = 400
 #: Most training documents of a language; a keyed hash of the id picks them.
 TRAIN_DOCS = 4000
+#: Most languages with a profile, the commonest; rarer values of lang are taken for errors.
+MOST_LANGS = 500
 
 _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.frombuffer(bytes(chr(i).isalpha() for i in range(0x30000)), dtype=bool))
+        _LETTERS.append(np.frombuffer(bytes(chr(i).isalpha() for i in range(0x110000)), dtype=bool))
     return _LETTERS[0]
 
 
@@ -74,12 +76,10 @@ def train_profiles(rows: DataFrame, size: int = PROFILE, train_docs: int = TRAIN
     Rows without lang or text are left out. No rows give no profiles.
     """
     rows = only(rows, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    # one row for each language
-    have = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not have:
-        return {}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(have.items()) for x in (k, min(1.0, train_docs / n))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    # the commonest languages alone; some 400 rows of each come to the driver
+    have = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    known = rows.join(F.broadcast(have), "lang")
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("count").cast("double") < F.lit(train_docs * 1e6)).select("lang", "text")
     counts = picked.select("lang", "text").mapInArrow(_train, "lang string, code long, n long")
     counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
