@@ -20,7 +20,7 @@ from planline.llm.shared import only
 
 #: Whatever is no word: ASCII but 0-9 and a-z, once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows beyond this many are joined by a shuffle in place of a broadcast.
+#: Pairs of window and item beyond this many are joined by a shuffle in place of a broadcast.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -82,8 +82,8 @@ def decontaminate(
     pairs = pairs.withColumn("window_id", F.md5(F.concat_ws(" ", "window")))
     windows = pairs.select("window_id", "window").distinct()
 
-    # The side that is broadcast is counted first; both paths give the same rows.
-    small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    # What is broadcast is counted first: of it only the words, ``width`` for each, are more than the pairs. Both paths give the same rows.
+    small = pairs.limit(broadcast_windows + 1).count() <= broadcast_windows
     side = F.broadcast if small else (lambda df: df)
 
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
