@@ -13,8 +13,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,6 @@ STEMS = range(4, 9)
 FOLDS = 4
 #: Share of a beginning's documents that may be those of one word.
 ONE_WORD = 0.7
-MOST_TERMS = 5_000
 
 # Look-alike letters (Cyrillic, Greek) and their Latin letters.
 HOMOGLYPHS = {
@@ -105,7 +106,11 @@ class Lexicon:
                 best[begin] = max(best.get(begin, (0.0, "")), (weight, term))
             else:
                 free.append((begin, end))
-        found = Counter(b for at, b in best.items() if not any(x <= at < y for x, y in free))
+        if free:  # ends rise; the least begin of the phrases that end beyond a place tells whether one covers it
+            ends = [y for _, y in free]
+            begins = list(accumulate((x for x, _ in reversed(free)), min))[::-1]
+            best = {at: b for at, b in best.items() if (k := bisect_right(ends, at)) == len(ends) or begins[k] > at}
+        found = Counter(best.values())
         total = sum(weight * (1 + math.log(n)) for (weight, _), n in found.items())
         return math.log1p(total), math.log1p(100 * total / len(words))
 
@@ -153,7 +158,7 @@ def learn_weights(rows: list[tuple[list[str], int]]) -> tuple[dict[str, float],
         body = t.rstrip("*")
         if not any(body[:n] + "*" in kept and kept[body[:n] + "*"] >= fit[t] - 0.5 for n in STEMS if n < len(body) or (n == len(body) and t == body)):
             kept[t] = fit[t]
-    top = sorted(kept, key=lambda t: (-bad[t], t))[:MOST_TERMS]
+    top = sorted(kept, key=lambda t: (-bad[t], t))
     weights = {f" {t[:-1]}" if t.endswith("*") else f" {t} ": kept[t] for t in top}
     # pairs with a lexicon word that only clean documents hold
     whole = {t for t in top if not t.endswith("*")}
