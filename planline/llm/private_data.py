@@ -10,10 +10,13 @@ domain the permutation is walked until it is back inside (cycle walking).
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,31 +161,54 @@ def _phone(text: str, key: bytes) -> str | None:
     return _digits(text, d[:keep] + f"{permute(int(tail), 10 ** len(tail), key, b'phone%d' % len(tail)):0{len(tail)}d}")
 
 
-#: Days a date is moved within: 1900-01-01 to 2099-12-31. Other dates are moved among the other days.
-_FIRST = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
-_OTHERS = datetime.date.max.toordinal() - _DAYS
+#: Dates of these years are moved among themselves, and so are all others.
+_RECENT = (1900, 2099)
 
 
-def _moved_day(day: int, key: bytes) -> int:
-    """Another day (day 1: 0001-01-01), by a permutation."""
-    if _FIRST <= day < _FIRST + _DAYS:
-        return permute(day - _FIRST, _DAYS, key, b"date") + _FIRST
-    new = permute(day - 1 if day < _FIRST else day - 1 - _DAYS, _OTHERS, key, b"far date") + 1
-    return new if new < _FIRST else new + _DAYS
+@lru_cache
+def _days(leap: bool, month_digits: int, day_digits: int, late: bool) -> list[tuple[int, int]]:
+    """(month, day) that a form can write: of one digit below 10; ``late``: days from 13 on alone."""
+    out = []
+    for m in range(1, 10 if month_digits == 1 else 13):
+        length = 29 if leap and m == 2 else calendar.monthrange(1999, m)[1]
+        out += [(m, d) for d in range(13 if late else 1, min(length, 9 if day_digits == 1 else 31) + 1)]
+    return out
+
+
+def _moved_date(y: int, m: int, d: int, form: tuple[int, int, bool], key: bytes) -> tuple[int, int, int]:
+    """Another date of the same form, by a permutation; one of a recent year stays recent."""
+    usual, leap = _days(False, *form), _days(True, *form)
+
+    def before(year: int) -> int:
+        leaps = (year - 1) // 4 - (year - 1) // 100 + (year - 1) // 400
+        return len(usual) * (year - 1) + (len(leap) - len(usual)) * leaps
+
+    low, high, end = before(_RECENT[0]), before(_RECENT[1] + 1), before(10_000)
+    at = before(y) + (leap if calendar.isleap(y) else usual).index((m, d))
+    tweak = b"date%d%d%d" % form
+    if low <= at < high:
+        at = low + permute(at - low, high - low, key, tweak)
+    else:
+        at = permute(at if at < low else at - (high - low), end - (high - low), key, tweak + b"far")
+        at += (high - low) * (at >= low)
+    y = bisect_right(range(1, 10_000), at, key=before)
+    m, d = (leap if calendar.isleap(y) else usual)[at - before(y)]
+    return y, m, d
 
 
 def _date(text: str, key: bytes) -> str | None:
+    """Year first, or day, month, year; where that is no date month, day, year. Each part keeps its digits."""
     a, mark, b, _, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", text).groups()
     year_first = len(a) == 4
     orders = [(a, b, c)] if year_first else [(c, b, a), (c, a, b)]
     for k, (y, m, d) in enumerate(orders):
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal()
+            datetime.date(int(y), int(m), int(d))
         except ValueError:
             continue
-        new = datetime.date.fromordinal(_moved_day(day, key))
-        y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        form = (len(m), len(d), k == 1)  # month before day only where the day is beyond 12
+        new_y, new_m, new_d = _moved_date(int(y), int(m), int(d), form, key)
+        y, m, d = f"{new_y:04d}", f"{new_m:0{len(m)}d}", f"{new_d:0{len(d)}d}"
         return mark.join((y, m, d) if year_first else (d, m, y) if k == 0 else (m, d, y))
     return None
 

@@ -1,9 +1,15 @@
 """Found values are replaced whole, whatever their length or year."""
 
+import calendar
 import datetime
 import random
+import re
+from collections import Counter
+
+import pytest
 
 from planline.llm import private_data
+from planline.llm import queries as Q
 
 
 def test_long_secrets_have_no_tail_in_clear():
@@ -22,9 +28,59 @@ def test_long_secrets_have_no_tail_in_clear():
 def test_dates_of_every_year():
     new, counts, _ = private_data.pseudonymise("born 1850-03-04, until 2150-12-31 and 31/12/9999", b"key")
     assert counts == {"date": 3} and not any(d in new for d in ("1850-03-04", "2150-12-31", "31/12/9999"))
-    days = [*range(1, 400), *range(private_data._FIRST - 200, private_data._FIRST + 200), *range(datetime.date.max.toordinal() - 400, datetime.date.max.toordinal() + 1)]
-    moved = {private_data._moved_day(d, b"key") for d in days}
-    assert len(moved) == len(days) and min(moved) >= 1 and max(moved) <= datetime.date.max.toordinal()
+
+
+def test_dates_are_permuted_within_their_form():
+    """One to one, the digits of each part kept, recent years kept recent; day first and month first never meet."""
+    first = datetime.date(2019, 1, 1)
+    days = [first + datetime.timedelta(k) for k in range(4000)]
+    for write in (
+        lambda d: f"{d:%Y-%m-%d}",
+        lambda d: f"{d.day}/{d.month}/{d.year}",
+        lambda d: f"{d.month}/{d.day}/{d.year}",
+        lambda d: f"{d.day:02d}.{d.month}.{d.year}",
+    ):
+        old = [write(d) for d in days]
+        new = [private_data._date(t, b"key") for t in old]
+        assert len(set(new)) == len(set(old)) and sum(a == b for a, b in zip(old, new)) < 40
+        assert all([len(p) for p in re.split(r"\D", a)] == [len(p) for p in re.split(r"\D", b)] for a, b in zip(old, new))
+        assert all(1900 <= int(re.search(r"\d{4}", t)[0]) <= 2099 for t in new)
+    assert private_data._date("1999-02-28", b"key").split("-") == private_data._date("28/02/1999", b"key").split("/")[::-1]
+
+
+@pytest.mark.parametrize("form", [(2, 2, False), (1, 2, False), (1, 1, False), (2, 2, True)])
+def test_moved_dates_cover_their_domain(form):
+    domain = [(y, m, d) for y in (*range(1, 9), *range(1896, 1905), *range(2096, 2105), *range(9990, 10_000)) for m, d in private_data._days(calendar.isleap(y), *form)]
+    moved = {private_data._moved_date(*t, form, b"key") for t in domain}
+    assert len(moved) == len(domain)
+    for (y, m, d), new in zip(domain, (private_data._moved_date(*t, form, b"key") for t in domain)):
+        datetime.date(*new)
+        assert (1900 <= y <= 2099) == (1900 <= new[0] <= 2099) and new[1:] in private_data._days(calendar.isleap(new[0]), *form)
+
+
+def plain_pseudonyms(text, key):
+    """Each found value replaced on its own, by its kind."""
+    out, at = "", 0
+    for m in private_data._FIND.finditer(text):
+        group = next(k for k in (*private_data.KINDS, "access") if m[k] is not None)
+        new = private_data._WORK[group](m[group], key)
+        out += text[at : m.start(group)] + (m[group] if new is None else new)
+        at = m.end(group)
+    return out + text[at:]
+
+
+def test_query_equals_the_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = Counter((r.doc_id, None if r.text is None else plain_pseudonyms(r.text, Q.PSEUDONYM_KEY)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = Q.op3_pseudonyms(spark, sf).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == texts and sum(r.n_values for r in rows) > 20
+
+
+def test_every_position_of_a_secret_changes():
+    for n in (8, 63, 600, 4096):
+        old = "".join("0123456789abcdef"[(k * 7 + k // 5) % 16] for k in range(n))
+        seen = [private_data._secret(old, b"%d" % k) for k in range(12)]
+        assert all(any(new[at] != old[at] for new in seen) for at in range(n)) and all(len(new) == n for new in seen)
 
 
 def test_wide_values_are_permuted_whole():
