@@ -18,11 +18,13 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    made once and set on the session.
+    Where a session on one machine names none a temporary folder is made once and
+    set on the session; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
         base = "file://" + tempfile.mkdtemp(prefix="planline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
