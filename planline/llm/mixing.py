@@ -38,7 +38,8 @@ def _prefix(rows: DataFrame, group: list[str], limit: str, amount: str) -> DataF
         sums = rows.where("left > 0").groupBy(*group, "range").agg(F.sum(amount).alias("n"), F.first("left").alias("room"))
         upto = F.sum("n").over(Window.partitionBy(*group).orderBy("range"))
         cut = sums.withColumn("before", upto - F.col("n")).where("before <= room and before + n > room").select(*group, F.col("range").alias("cut"), "before")
-        rows = rows.join(cut, group, "left")
+        # written, so that Spark knows its size: a row for each group, sent to the rows where it is small
+        rows = rows.join(written(cut, "cut"), group, "left")
         # without a cut the limit is 0 or holds the whole group
         inside = F.when(F.col("cut").isNull(), F.col("left") > 0).otherwise(F.col("range") < F.col("cut"))
         edge = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
