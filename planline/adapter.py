@@ -33,12 +33,18 @@ _PATH = (
     "l_orderkey * 8 + l_linenumber AS handle, l_orderkey AS block, l_returnflag AS layer, l_linestatus AS layout, "
     "CASE l_linenumber % 4 WHEN 0 THEN 'LINE' WHEN 1 THEN 'ARC' WHEN 2 THEN 'LWPOLYLINE' ELSE 'CIRCLE' END AS type, "
     "CASE WHEN l_discount > 2e-2 THEN l_quantity END AS length, l_extendedprice AS price, "
-    "l_orderkey % 997 AS node_a, (l_orderkey * 7 + l_linenumber * 13) % 997 AS node_b"
+    "l_orderkey * 8 + l_linenumber AS node_a, l_orderkey * 8 + l_linenumber + 1 AS node_b"
+)
+# ends near the nodes of a lattice, off by up to 0.002; a sixth path ends in the middle of the fourth
+_PATH_ENDS = (
+    "*, (node_a % 4096) * 5e0 + ((handle * 7) % 5 - 2) * 1e-3 AS ax, floor(node_a / 4096e0) * 5e0 AS ay, "
+    "CASE WHEN handle % 8 = 6 THEN ((handle - 2) % 4096) * 5e0 + 25e-1 ELSE (node_b % 4096) * 5e0 + ((handle * 3) % 5 - 2) * 1e-3 END AS bx, "
+    "CASE WHEN handle % 8 = 6 THEN floor((handle - 2) / 4096e0) * 5e0 ELSE floor(node_b / 4096e0) * 5e0 END AS b_y"
 )
 
 SQL_ENTITIES = f"""WITH parcels AS (SELECT {_PARCEL_BOX} FROM (SELECT {_PARCEL_CORNERS} FROM (SELECT {_PARCEL_BASE} FROM part))),
 labels AS (SELECT {_LABEL} FROM orders),
-paths AS (SELECT {_PATH} FROM lineitem)"""
+paths AS (SELECT {_PATH_ENDS} FROM (SELECT {_PATH} FROM lineitem))"""
 
 
 def _split(text: str) -> list[str]:
@@ -69,5 +75,5 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open paths: handle, block, layer, layout, type, length (null: not measurable), price and end nodes."""
-    return table(spark, sf_dir, "lineitem").selectExpr(*_split(_PATH))
+    """Open paths: handle, block, layer, layout, type, length (null: not measurable), price, end nodes and where the ends are."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*_split(_PATH)).selectExpr(*_split(_PATH_ENDS))

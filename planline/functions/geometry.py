@@ -155,6 +155,20 @@ def rings_cross(a: Column, b: Column) -> Column:
     return F.exists(pairs(a), lambda e: F.exists(pairs(b), lambda f: segments_cross(e["p"], e["q"], f["p"], f["q"])))
 
 
+def ring_to_ring(a: Column, b: Column) -> Column:
+    """0 where the rings touch, cross or one holds the other, else the least distance of their boundaries.
+
+    Both are moved to the first corner of ``a`` before, so that large coordinates cost no digits.
+    """
+    x0, y0 = F.get(a, F.lit(0))["x"], F.get(a, F.lit(0))["y"]
+    moved = lambda r: F.transform(r, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y")))
+    a, b = moved(a), moved(b)
+    corner = lambda r, c: F.get(r, F.lit(0))[c]
+    meet = rings_cross(a, b) | point_in_ring(corner(a, "x"), corner(a, "y"), b) | point_in_ring(corner(b, "x"), corner(b, "y"), a)
+    away = lambda r, s: F.array_min(F.transform(r, lambda p: ring_distance(p["x"], p["y"], s)))
+    return F.when(meet, 0.0).otherwise(F.least(away(a, b), away(b, a)))
+
+
 def box_crosses_polygon(minx: Column, miny: Column, maxx: Column, maxy: Column, ring: Column) -> Column:
     """A ring vertex in the box, a box corner in the ring, or crossing edges."""
     vertex = F.exists(ring, lambda p: p["x"].between(minx, maxx) & p["y"].between(miny, maxy))

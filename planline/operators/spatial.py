@@ -39,35 +39,43 @@ def _levels(df: DataFrame, cell: float, pad: float = 0.0) -> list[int]:
     return sorted(r[0] for r in df.select(_level(cell, pad)).distinct().collect() if r[0] is not None)
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 40.0, budget: int | None = None) -> DataFrame:
-    """Every (point, ring) with the point inside, prefixes ``p_`` and ``r_``.
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 40.0, pad: float = 0.0) -> DataFrame:
+    """Every (point, box) with the point in the box widened by ``pad``, prefixes ``p_`` and ``r_``.
 
-    Rings are filed under the cells of their boxes, each on the grid that fits its
+    Boxes are filed under the cells that they meet, each on the grid that fits its
     width, and points under their one cell of every grid in use, so the join is by key.
-    ``budget`` refuses before the exact test.
     """
     p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
-    filed = with_cells(rings.withColumn("level", _level(cell)), cell).select("level", "gx", "gy", *[F.col(c).alias(f"r_{c}") for c in rings.columns])
-    levels = _levels(rings, cell)
+    named = [F.col(c).alias(f"r_{c}") for c in boxes.columns]
+    levels = _levels(boxes, cell, pad)
     if not levels:
-        return p.crossJoin(rings.select(*[F.col(c).alias(f"r_{c}") for c in rings.columns]).limit(0))
+        return p.crossJoin(boxes.select(*named).limit(0))
+    filed = with_cells(boxes.withColumn("level", _level(cell, pad)), cell, pad).select("level", "gx", "gy", *named)
     at = p.withColumn("level", F.explode(F.lit(levels)))
     at = at.withColumns({"gx": _cell(F.col("p_x"), _width(cell)), "gy": _cell(F.col("p_y"), _width(cell))})
     near = at.join(filed, ["level", "gx", "gy"]).drop("level", "gx", "gy")
-    pairs = near.where(F.col("p_x").between(F.col("r_minx"), F.col("r_maxx")) & F.col("p_y").between(F.col("r_miny"), F.col("r_maxy")))
+    inside = lambda v, low, high: F.col(v).between(F.col(low) - pad, F.col(high) + pad)
+    return near.where(inside("p_x", "r_minx", "r_maxx") & inside("p_y", "r_miny", "r_maxy"))
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 40.0, budget: int | None = None) -> DataFrame:
+    """Every (point, ring) with the point inside, prefixes ``p_`` and ``r_``. ``budget`` refuses before the exact test."""
+    pairs = points_in_boxes(points, rings, cell)
     if budget is not None:
         refuse_oversize("point and ring pairs", pairs.limit(budget + 1).count(), budget, "narrow the layers")
     return pairs.where(G.point_in_ring(F.col("p_x"), F.col("p_y"), F.col("r_ring")))
 
 
-def within_radius(centres: DataFrame, others: DataFrame, radius: float) -> DataFrame:
-    """Pairs (c_*, o_*) of points at most ``radius`` apart; cells are as wide as the radius."""
+def within_radius(centres: DataFrame, others: DataFrame, radius: float, same: list[str] | None = None) -> DataFrame:
+    """Pairs (c_*, o_*) of points at most ``radius`` apart, and equal in the columns ``same``; cells are as wide as the radius."""
     c = centres.select(*[F.col(x).alias(f"c_{x}") for x in centres.columns])
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     c = c.withColumn("d", around).withColumns({"gx": _cell(F.col("c_x"), radius) + F.col("d.i"), "gy": _cell(F.col("c_y"), radius) + F.col("d.j")})
     o = others.select(*[F.col(x).alias(f"o_{x}") for x in others.columns])
     o = o.withColumns({"gx": _cell(F.col("o_x"), radius), "gy": _cell(F.col("o_y"), radius)})
-    near = c.join(o, ["gx", "gy"]).drop("gx", "gy", "d")
+    keys = {f"same{k}": x for k, x in enumerate(same or [])}
+    c, o = c.withColumns({k: F.col(f"c_{x}") for k, x in keys.items()}), o.withColumns({k: F.col(f"o_{x}") for k, x in keys.items()})
+    near = c.join(o, ["gx", "gy", *keys]).drop("gx", "gy", "d", *keys)
     return near.withColumn("distance", F.hypot(F.col("o_x") - F.col("c_x"), F.col("o_y") - F.col("c_y"))).where(F.col("distance") <= radius)
 
 
@@ -93,11 +101,31 @@ def nearest(centres: DataFrame, others: DataFrame, first: float) -> DataFrame:
         radius *= 4
 
 
-def box_pairs(a: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+def rings_near(a: DataFrame, cell: float, reach: float) -> DataFrame:
+    """Pairs a.handle < b.handle of rings at most ``reach`` apart, with their ``distance`` (0: touching, crossing or inside)."""
+    pairs = box_pairs(a, cell, reach / 2)
+    return pairs.withColumn("distance", G.ring_to_ring(F.col("a_ring"), F.col("b_ring"))).where(F.col("distance") <= reach)
+
+
+def box_matches(a: DataFrame, b: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
+    """Every pair of a row of ``a`` and one of ``b`` whose boxes, each widened by ``pad``, overlap, prefixes ``a_`` and ``b_``."""
+    both = [x.select(*x.columns, F.lit(k).alias("side")) for k, x in enumerate((a, b))]
+    boxes = [x.select(F.struct("handle", "side").alias("handle"), "minx", "miny", "maxx", "maxy") for x in both]
+    pairs = box_pairs(boxes[0].unionByName(boxes[1]), cell, pad, across="side")
+    first = F.col("a_handle.side") == 0
+    keys = pairs.select(
+        F.when(first, F.col("a_handle.handle")).otherwise(F.col("b_handle.handle")).alias("ka"), F.when(first, F.col("b_handle.handle")).otherwise(F.col("a_handle.handle")).alias("kb")
+    )
+    named = lambda x, p: x.select(*[F.col(c).alias(f"{p}_{c}") for c in x.columns])
+    return keys.join(named(a, "a"), F.col("ka") == F.col("a_handle")).join(named(b, "b"), F.col("kb") == F.col("b_handle")).drop("ka", "kb")
+
+
+def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None = None) -> DataFrame:
     """Pairs a.handle < b.handle whose boxes, each widened by ``pad``, overlap; each is found in one cell only.
 
     A box is filed on the grid that fits its width and looked up on its own and every
-    wider grid in use, so boxes of any width fill few cells.
+    wider grid in use, so boxes of any width fill few cells. ``across``: a field of the
+    handle in which the two must differ.
     """
     boxes = a.withColumn("own", _level(cell, pad))
     filed = with_cells(boxes.withColumn("level", F.col("own")), cell, pad).select("level", "gx", "gy", *[F.col(c).alias(f"f_{c}") for c in a.columns])
@@ -111,6 +139,8 @@ def box_pairs(a: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
         & (F.col("f_miny") - pad <= F.col("q_maxy") + pad)
         & (F.col("q_miny") - pad <= F.col("f_maxy") + pad)
     )
+    if across:
+        near = near.where(F.col(f"f_handle.{across}") != F.col(f"q_handle.{across}"))
     # the cell of the overlap's least corner answers for the pair
     home = lambda c: F.greatest(_cell(F.col(f"f_{c}") - pad, _width(cell)), _cell(F.col(f"q_{c}") - pad, _width(cell)))
     near = near.where((F.col("gx") == home("minx")) & (F.col("gy") == home("miny")))

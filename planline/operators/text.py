@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First number of a text: sign, digits with optional thousands commas, decimals.
@@ -52,6 +52,25 @@ def clean_cell(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[{}]", ""))
 
 
+def column_kinds(cells: DataFrame) -> DataFrame:
+    """(name, numbers, n, kind) of columns of texts (name, value): text, identifier or measure.
+
+    An identifier's values are whole numbers that never repeat and fill nine tenths of
+    their range; any other column with a number is a measure. Empty cells do not count.
+    """
+    filled = cells.where("value is not null and trim(value) <> ''").withColumn("x", as_number(F.col("value")))
+    values = filled.groupBy("name", "x").agg(F.count(F.lit(1)).alias("times"))
+    known = F.col("x").isNotNull()
+    g = values.groupBy("name").agg(
+        F.coalesce(F.sum(F.when(known, F.col("times"))), F.lit(0)).alias("numbers"), F.sum("times").alias("n"), F.count("x").alias("different"),
+        F.coalesce(F.bool_and(F.when(known, F.col("x") == F.floor("x"))), F.lit(True)).alias("whole"), (F.max("x") - F.min("x") + 1).alias("span"),
+    )
+    dense = F.col("numbers") / F.col("span") >= 0.9
+    identifier = (F.col("numbers") >= 2) & F.col("whole") & (F.col("different") == F.col("numbers")) & dense
+    kind = F.when(F.col("numbers") == 0, "text").when(identifier, "identifier").otherwise("measure")
+    return g.select("name", "numbers", "n", kind.alias("kind"))
+
+
 def says(text: Column, word: str) -> Column:
     """Whether a text states a word, at word edges; words under four letters never count."""
     if len(word) < 4:

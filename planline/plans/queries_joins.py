@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from planline.adapter import SQL_ENTITIES as E
 from planline.adapter import labels, parcels, paths, table
+from planline.functions import geometry as G
+from planline.operators import duplicates as D
 from planline.operators import graph as GR
+from planline.operators import network as N
 from planline.operators import spatial as S
 from planline.operators import windows as W
 
@@ -116,22 +119,41 @@ def box_overlap_area(spark, d):
 
 
 def frontage_check(spark, d):
-    """Parcels against road parcels (size code 1): established within 5 of a centre line box, unproven within 60, else none."""
-    p = parcels(spark, d)
-    roads = p.where("size_code = 1").select("handle", F.col("cx").alias("x"), F.col("cy").alias("y"))
-    near = S.within_radius(p.where("size_code > 1").select("handle", F.col("cx").alias("x"), F.col("cy").alias("y")), roads, 60.0)
-    best = near.groupBy(F.col("c_handle").alias("handle")).agg(F.round(F.min("distance"), 6).alias("distance"))
-    status = F.when(F.col("distance") <= 30, "established").when(F.col("distance").isNotNull(), "unproven").otherwise("none")
-    return p.where("size_code > 1").join(best, "handle", "left").select("handle", "distance", status.alias("frontage"))
+    """Parcels against roads: established where a road's ring is within the tolerance, unproven where the road has a box alone, else none.
+
+    Roads are the parcels of size code 1 (with rings) and 2 (boxes alone); the tolerance is a part of the typical width, the root of the median area.
+    """
+    p = parcels(spark, d).select("handle", "size_code", "area", "minx", "miny", "maxx", "maxy", "ring")
+    typical = W.values_at(p, [], "area", {"median": lambda n: F.floor(n / 2) + 1}).select(F.sqrt("median").alias("typical")).first()
+    reach = (typical.typical if typical else 0.0) * 0.25
+    plots, roads = p.where("size_code > 2"), p.where("size_code <= 2")
+    near = S.box_matches(plots, roads, CELL, reach)
+    distance = F.when(F.col("b_size_code") == 1, F.round(G.ring_to_ring(F.col("a_ring"), F.col("b_ring")), 6))
+    near = near.select(F.col("a_handle").alias("handle"), distance.alias("distance"), (F.col("b_size_code") == 2).alias("box_only"))
+    best = near.groupBy("handle").agg(F.min(F.when(F.col("distance") <= reach, F.col("distance"))).alias("distance"), F.max("box_only").alias("box_only"))
+    status = F.when(F.col("distance").isNotNull(), "established").when(F.col("box_only"), "unproven").otherwise("none")
+    return plots.join(best, "handle", "left").select("handle", "distance", status.alias("frontage"))
+
+
+def adjacency_by_edges(spark, d):
+    """Pairs of parcels whose outlines come within 3, with the distance between the outlines."""
+    p = parcels(spark, d).select("handle", "minx", "miny", "maxx", "maxy", "ring")
+    return S.rings_near(p, CELL, 3.0).select("a_handle", "b_handle", F.round("distance", 6).alias("distance"))
 
 
 def corridor_ranking(spark, d):
-    """Layers by how many labels their parcels hold beside how many parcels."""
-    i = _inside(spark, d).groupBy(F.col("r_layer").alias("layer")).agg(F.countDistinct("p_handle").alias("inside"))
-    n = parcels(spark, d).groupBy("layer").agg(F.count(F.lit(1)).alias("parcels"))
-    s = n.join(i, "layer", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
-    score = F.round(F.col("inside") / F.col("parcels"), 6)
-    return s.select("layer", "inside", "parcels", score.alias("score")).orderBy(F.desc("score"), "layer").limit(10)
+    """Layers by the share of the labels in their parcels, times the share of other layers' parcels not in them; 0 sampled has no score."""
+    i = _inside(spark, d).select(F.col("r_layer").alias("layer"), "p_handle").distinct().groupBy("layer").agg(F.count(F.lit(1)).alias("network_inside"))
+    p = parcels(spark, d)
+    centres = p.select("handle", "layer", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    held = S.points_in_rings(centres, p.select("layer", "minx", "miny", "maxx", "maxy", "ring"), CELL).where("p_layer <> r_layer")
+    held = held.select(F.col("r_layer").alias("layer"), "p_handle").distinct().groupBy("layer").agg(F.count(F.lit(1)).alias("parcels_inside"))
+    sampled = labels(spark, d).agg(F.count(F.lit(1)).alias("labels")).crossJoin(p.agg(F.count(F.lit(1)).alias("parcels")))  # one row
+    own = p.groupBy("layer").agg(F.count(F.lit(1)).alias("own"))
+    s = own.join(i, "layer", "left").join(held, "layer", "left").crossJoin(F.broadcast(sampled)).na.fill(0, ["network_inside", "parcels_inside"])
+    score = F.col("network_inside") / F.nullif(F.col("labels"), F.lit(0)) * (1 - F.col("parcels_inside") / F.nullif(F.col("parcels") - F.col("own"), F.lit(0)))
+    out = s.select("layer", "network_inside", "parcels_inside", F.round(score, 9).alias("score"))
+    return out.orderBy(F.desc_nulls_last("score"), "layer").limit(10)
 
 
 def dimension_truth(spark, d):
@@ -194,19 +216,41 @@ def revision_diff(spark, d):
     return GR.revision(before, after, ["layer", "block"], "v", 1e-6)
 
 
+#: The tolerance of the network queries; the ends of one node are 0.004 apart at most.
+SNAP = 0.01
+
+
+def _network(spark, d):
+    return paths(spark, d).where("type IN ('LINE', 'ARC')")
+
+
+def snap_tolerance(spark, d):
+    t = N.snap_tolerance(_network(spark, d))
+    return t.select(F.round("tolerance", 9).alias("tolerance"), "decided_by")
+
+
+def endpoint_clusters(spark, d):
+    """Nodes of the network: how many path ends meet in each, which end is the first."""
+    return N.node_degrees(N.clustered_ends(_network(spark, d), SNAP)).select("node", "degree")
+
+
 def chains_components(spark, d):
-    """Connected chains of paths over their end nodes, by size."""
-    p = paths(spark, d).where("type = 'LINE' AND layer = 'A' AND block < 600").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    nodes = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
-    c = GR.connected_components(nodes, p)
-    return c.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    """Connected chains of paths over their end nodes, by how many paths they hold."""
+    c = N.chains(N.clustered_ends(_network(spark, d), SNAP))
+    return c.groupBy("chain").agg(F.count(F.lit(1)).alias("paths")).groupBy("paths").agg(F.count(F.lit(1)).alias("chains"))
 
 
 def junction_census(spark, d):
     """Nodes by degree."""
-    p = paths(spark, d).where("type IN ('LINE', 'ARC')")
-    ends = p.select(F.col("node_a").alias("node")).union(p.select("node_b"))
-    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+    n = N.node_degrees(N.clustered_ends(_network(spark, d), SNAP))
+    return n.groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def interior_attachments(spark, d):
+    """Ends of polylines that lie on the inside of a line."""
+    p = paths(spark, d)
+    nodes = N.node_degrees(N.clustered_ends(p.where("type = 'LWPOLYLINE'"), SNAP))
+    return N.attachments(nodes, p.where("type = 'LINE'"), SNAP, 10.0).select("node", "handle")
 
 
 def single_linkage(spark, d):
@@ -217,12 +261,38 @@ def single_linkage(spark, d):
     return k.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
 
 
+def _drawn_twice(spark, d):
+    """The parcels, and those of the largest size class once more, off by 0.001, under handles of their own."""
+    p = parcels(spark, d).select("handle", "layer", "size_code", "ring")
+    again = p.where("size_code = 50").withColumn("handle", -F.col("handle"))
+    moved = F.transform("ring", lambda q: F.struct((q["x"] + 1e-3).alias("x"), (q["y"] - 1e-3).alias("y")))
+    return p.unionByName(again.withColumn("ring", moved))
+
+
 def duplicate_geometry(spark, d):
-    """Parcels of one shape whose areas agree: candidates for copies."""
+    """Rings that were drawn twice: one shape, centroids within 0.01, areas alike."""
+    return D.coincident(_drawn_twice(spark, d), 0.01)
+
+
+def duplicate_shapes(spark, d):
+    """Parcels of one shape, by their sides: candidates for copies of a plot type."""
     p = parcels(spark, d).groupBy("w", "h", "layer").agg(F.count(F.lit(1)).alias("n"), F.min("handle").alias("first_handle"), F.max("handle").alias("last_handle"))
     return p.where("n > 1")
 
 
+def modal_edges(spark, d):
+    """The most frequent edge lengths of each shape, as sides in rising order."""
+    m = D.modal_edges(parcels(spark, d))
+    sides = F.transform(F.array_sort("edges"), lambda e: F.round(e, 4))
+    return m.select(F.element_at(sides, 1).alias("short"), F.element_at(sides, -1).alias("long"), "n")
+
+
+def same_size_bodies(spark, d):
+    """Layers' parcels of one size code as bodies: groups of equal number, width and height."""
+    p = parcels(spark, d).groupBy("layer", "size_code").agg(F.count(F.lit(1)).alias("entities"), F.max("w").alias("width"), F.max("h").alias("height"), F.min("handle").alias("body"))
+    return D.size_groups(p.select("body", "entities", "width", "height"))
+
+
 def reachable_blocks(spark, d):
     """Blocks reachable from the roots over an insert graph drawn from the keys."""
     p = table(spark, d, "part").select("p_partkey")
@@ -309,11 +379,13 @@ _C = "c AS (SELECT handle, layer, area, cx AS x, cy AS y FROM parcels)"
 _DIST = "sqrt((o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y))"
 _PROX = f"n AS (SELECT c.handle AS c_handle, o.handle AS o_handle, o.area AS o_area, {_DIST} AS distance FROM c JOIN c o ON c.layer = 'Brand#11' AND o.layer <> 'Brand#11' AND {_DIST} <= 100)"
 _BOX = "a.handle < b.handle AND a.minx - {p} <= b.maxx + {p} AND b.minx - {p} <= a.maxx + {p} AND a.miny - {p} <= b.maxy + {p} AND b.miny - {p} <= a.maxy + {p}"
+_ENDS = """x AS (SELECT handle * 2 AS id, ax AS x, ay AS y FROM paths WHERE type IN ('LINE', 'ARC') UNION ALL SELECT handle * 2 + 1, bx, b_y FROM paths WHERE type IN ('LINE', 'ARC')),
+e AS (SELECT id, round(x / 25e-1) AS gx, round(y / 25e-1) AS gy FROM x)"""
+_GAP = "pow(greatest(0, greatest(a.u, b.u) - least(a.u + a.w, b.u + b.w)), 2) + pow(greatest(0, greatest(a.v, b.v) - least(a.v + a.h, b.v + b.h)), 2)"
 _CELL = "k AS (SELECT *, CAST(floor(cx / {s}e0) AS BIGINT) AS cell_x, CAST(floor(cy / {s}e0) AS BIGINT) AS cell_y FROM parcels)"
 _REACH = """e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part UNION ALL SELECT p_partkey, p_partkey * 3 + 1 FROM part),
 r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT 2, 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE e.b IN (SELECT p_partkey FROM part))"""
 _ER = E.replace("WITH ", "WITH RECURSIVE ", 1)
-_CHAIN = "g AS (SELECT node_a AS a, node_b AS b FROM paths WHERE type = 'LINE' AND layer = 'A' AND block < 600), s AS (SELECT a, b FROM g UNION SELECT b, a FROM g)"
 
 SQL = {
     "label_in_polygon": f"{H} SELECT p_handle, p_text, r_handle, r_layer AS layer FROM hit",
@@ -335,9 +407,22 @@ SQL = {
         o AS (SELECT a.handle AS a_handle, b.handle AS b_handle, least(a.area, b.area) AS least_area,
         greatest(0, least(a.u + a.w, b.u + b.w) - greatest(a.u, b.u)) * greatest(0, least(a.v + a.h, b.v + b.h) - greatest(a.v, b.v)) AS overlap FROM t a JOIN t b ON a.handle < b.handle)
         SELECT a_handle, b_handle, round(overlap, 4) AS overlap, round(overlap / least_area, 6) AS share FROM o WHERE overlap > 1e-6""",
-    "frontage_check": f"""{E}, f AS (SELECT c.handle, min(sqrt((o.cx - c.cx) * (o.cx - c.cx) + (o.cy - c.cy) * (o.cy - c.cy))) AS distance FROM parcels c JOIN parcels o ON c.size_code > 1 AND o.size_code = 1 AND sqrt((o.cx - c.cx) * (o.cx - c.cx) + (o.cy - c.cy) * (o.cy - c.cy)) <= 60 GROUP BY 1)
-        SELECT p.handle, round(distance, 6) AS distance, CASE WHEN round(distance, 6) <= 30 THEN 'established' WHEN distance IS NOT NULL THEN 'unproven' ELSE 'none' END AS frontage FROM parcels p LEFT JOIN f ON p.handle = f.handle WHERE size_code > 1""",
-    "corridor_ranking": f"{H}, i AS (SELECT r_layer, count(DISTINCT p_handle) AS inside FROM hit GROUP BY 1) SELECT layer, coalesce(max(inside), 0) AS inside, count(*) AS parcels, round(coalesce(max(inside), 0) / count(*), 6) AS score FROM parcels LEFT JOIN i ON r_layer = layer GROUP BY layer ORDER BY score DESC, layer LIMIT 10",
+    # all parcels are turned by one angle, so in the turned frame their outlines are boxes and the distance of two is that of the boxes
+    "frontage_check": f"""{E}, t AS (SELECT *, 8e-1 * x1 + 6e-1 * y1 AS u, 8e-1 * y1 - 6e-1 * x1 AS v FROM parcels),
+        m AS (SELECT sqrt(area) * 0.25 AS reach FROM (SELECT area, row_number() OVER (ORDER BY area, handle) AS rn, count(*) OVER () AS n FROM parcels) WHERE rn = floor(n / 2) + 1),
+        f AS (SELECT a.handle, min(CASE WHEN b.size_code = 1 AND round(sqrt({_GAP}), 6) <= reach THEN round(sqrt({_GAP}), 6) END) AS distance, bool_or(b.size_code = 2) AS box_only
+          FROM m, t a JOIN t b ON a.size_code > 2 AND b.size_code <= 2 AND a.minx - reach <= b.maxx + reach AND b.minx - reach <= a.maxx + reach AND a.miny - reach <= b.maxy + reach AND b.miny - reach <= a.maxy + reach GROUP BY 1)
+        SELECT p.handle, distance, CASE WHEN distance IS NOT NULL THEN 'established' WHEN box_only THEN 'unproven' ELSE 'none' END AS frontage FROM parcels p LEFT JOIN f ON p.handle = f.handle WHERE size_code > 2""",
+    "adjacency_by_edges": f"""{E}, t AS (SELECT *, 8e-1 * x1 + 6e-1 * y1 AS u, 8e-1 * y1 - 6e-1 * x1 AS v FROM parcels)
+        SELECT a.handle AS a_handle, b.handle AS b_handle, round(sqrt({_GAP}), 6) AS distance FROM t a JOIN t b ON a.handle < b.handle AND sqrt({_GAP}) <= 3""",
+    "corridor_ranking": f"""{H}, i AS (SELECT r_layer, count(DISTINCT p_handle) AS n FROM hit GROUP BY 1),
+        held AS (SELECT l.handle, e.handle AS r_handle, max(l.layer) AS own, max(e.layer) AS r_layer FROM (SELECT handle, layer, cx AS x, cy AS y FROM parcels) l JOIN edge e ON l.x BETWEEN minx AND maxx AND l.y BETWEEN miny AND maxy
+          GROUP BY 1, 2 HAVING sum(CASE WHEN (ay > l.y) <> (qy > l.y) AND l.x < (qx - ax) * (l.y - ay) / nullif(qy - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1),
+        h AS (SELECT r_layer, count(DISTINCT handle) AS n FROM held WHERE own <> r_layer GROUP BY 1),
+        o AS (SELECT layer, count(*) AS own FROM parcels GROUP BY 1)
+        SELECT layer, coalesce(i.n, 0) AS network_inside, coalesce(h.n, 0) AS parcels_inside,
+        round(coalesce(i.n, 0) / (SELECT count(*) FROM labels) * (1 - coalesce(h.n, 0) / ((SELECT count(*) FROM parcels) - own)), 9) AS score
+        FROM o LEFT JOIN i ON i.r_layer = layer LEFT JOIN h ON h.r_layer = layer ORDER BY score DESC NULLS LAST, layer LIMIT 10""",
     "dimension_truth": f"{H} SELECT p_handle, r_handle, CAST(p_text AS DOUBLE) AS printed, r_w AS measured, CASE WHEN abs(CAST(p_text AS DOUBLE) - r_w) <= greatest(0.5, 1e-6 * r_w) THEN 'agrees' ELSE 'differs' END AS verdict FROM hit",
     "schedule_check": f"""{E}, s AS (SELECT p_partkey AS key, round(p_retailprice) AS stated FROM part WHERE p_brand <> 'Brand#11'), m AS (SELECT handle AS key, round(area, 4) AS measured FROM parcels WHERE size_code <> 7)
         SELECT coalesce(s.key, m.key) AS key, stated, measured, CASE WHEN stated IS NULL THEN 'not stated' WHEN measured IS NULL THEN 'not measured' WHEN abs(stated - measured) <= 0.02e0 * stated THEN 'agrees' ELSE 'differs' END AS status FROM s FULL OUTER JOIN m ON s.key = m.key""",
@@ -350,9 +435,18 @@ SQL = {
     "revision_diff": f"""{E}, b AS (SELECT layer, block, round(sum(length), 4) AS v FROM paths WHERE type <> 'CIRCLE' GROUP BY 1, 2), a AS (SELECT layer, block, round(sum(CASE WHEN type = 'CIRCLE' THEN length + 1 ELSE length END), 4) AS v FROM paths WHERE type <> 'ARC' GROUP BY 1, 2)
         SELECT coalesce(a.layer, b.layer) AS layer, coalesce(a.block, b.block) AS block, b.v AS before, a.v AS after,
         CASE WHEN b.block IS NULL THEN 'added' WHEN a.block IS NULL THEN 'removed' WHEN abs(a.v - b.v) <= 1e-6 OR (a.v IS NULL AND b.v IS NULL) THEN 'same' ELSE 'changed' END AS status, round(a.v - b.v, 4) AS delta FROM b FULL OUTER JOIN a ON a.layer = b.layer AND a.block = b.block""",
-    "chains_components": f"{_ER}, {_CHAIN}, r AS (SELECT a AS node, a AS low FROM s UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node) SELECT component, count(*) AS nodes FROM (SELECT node, min(low) AS component FROM r GROUP BY node) GROUP BY component",
-    "junction_census": f"{E}, n AS (SELECT node_a AS node FROM paths WHERE type IN ('LINE', 'ARC') UNION ALL SELECT node_b FROM paths WHERE type IN ('LINE', 'ARC')) SELECT degree, count(*) AS nodes FROM (SELECT node, count(*) AS degree FROM n GROUP BY node) GROUP BY degree",
-    "duplicate_geometry": f"{E} SELECT w, h, layer, count(*) AS n, min(handle) AS first_handle, max(handle) AS last_handle FROM parcels GROUP BY w, h, layer HAVING count(*) > 1",
+    # the ends of one node round to one place of the lattice
+    "snap_tolerance": f"{E} SELECT round(greatest(1e-4 * quantile_cont(CASE WHEN length > 0 THEN length END, 0.5), 1e-12 * max(greatest(abs(ax), abs(ay), abs(bx), abs(b_y)))), 9) AS tolerance, 'median' AS decided_by FROM paths WHERE type IN ('LINE', 'ARC')",
+    "endpoint_clusters": f"{E}, {_ENDS} SELECT min(id) AS node, count(*) AS degree FROM e GROUP BY gx, gy",
+    "chains_components": f"""{E}, g AS (SELECT handle, CASE WHEN lag(handle) OVER (ORDER BY handle) = handle - 1 THEN 0 ELSE 1 END AS begins FROM (SELECT DISTINCT handle FROM paths WHERE type IN ('LINE', 'ARC'))),
+        c AS (SELECT handle, sum(begins) OVER (ORDER BY handle) AS chain FROM g) SELECT paths, count(*) AS chains FROM (SELECT chain, count(*) AS paths FROM c GROUP BY chain) GROUP BY paths""",
+    "junction_census": f"{E}, {_ENDS} SELECT degree, count(*) AS nodes FROM (SELECT count(*) AS degree FROM e GROUP BY gx, gy) GROUP BY degree",
+    "interior_attachments": f"{E} SELECT a.handle * 2 + 1 AS node, b.handle FROM (SELECT DISTINCT handle FROM paths) a JOIN paths b ON a.handle % 8 = 6 AND b.handle = a.handle - 2",
+    "duplicate_geometry": f"{E} SELECT handle, -handle AS first FROM parcels WHERE size_code = 50 UNION ALL SELECT -handle, -handle FROM parcels WHERE size_code = 50",
+    "modal_edges": f"{E} SELECT least(w, h) AS short, greatest(w, h) AS long, count(*) AS n FROM parcels GROUP BY 1, 2",
+    "same_size_bodies": f"""{E}, b AS (SELECT layer, size_code, count(*) AS entities, max(w) AS width, max(h) AS height, min(handle) AS body FROM parcels GROUP BY 1, 2),
+        g AS (SELECT body, min(body) OVER (PARTITION BY entities, width, height) AS "group", count(*) OVER (PARTITION BY entities, width, height) AS n FROM b WHERE entities > 1) SELECT body, "group" FROM g WHERE n > 1""",
+    "duplicate_shapes": f"{E} SELECT w, h, layer, count(*) AS n, min(handle) AS first_handle, max(handle) AS last_handle FROM parcels GROUP BY w, h, layer HAVING count(*) > 1",
     "reachable_blocks": f"WITH RECURSIVE {_REACH} SELECT node, min(depth) AS depth FROM r GROUP BY node",
     "definition_shadow": f"{_ER}, {_REACH} SELECT count(CASE WHEN handle IN (SELECT node FROM r) THEN 1 END) AS placed, count(CASE WHEN handle NOT IN (SELECT node FROM r) THEN 1 END) AS unplaced FROM parcels WHERE size_code > 25",
     "cells_per_use": f"{E}, {_CELL.format(s=160)} SELECT cell_x, cell_y, list_last(string_split(kind, ' ')) AS use_name, count(*) AS n, round(sum(area), 4) AS area FROM k GROUP BY 1, 2, 3",

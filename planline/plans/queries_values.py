@@ -77,17 +77,9 @@ def annotation_census(spark, d):
 
 
 def column_typing(spark, d):
-    """Whether a column of texts is an identifier, a measure or text."""
-    c = table(spark, d, "customer").select(F.explode(F.array(
-        F.struct(F.lit("c_name").alias("name"), F.col("c_name").alias("value")),
-        F.struct(F.lit("c_acctbal").alias("name"), F.col("c_acctbal").cast("string").alias("value")),
-        F.struct(F.lit("c_custkey").alias("name"), F.col("c_custkey").cast("string").alias("value")),
-    )).alias("cell")).select("cell.name", "cell.value")
-    g = c.groupBy("name").agg(
-        F.count_if(T.as_number(F.col("value")).isNotNull()).alias("numbers"), F.countDistinct("value").alias("different"), F.count("value").alias("n")
-    )
-    kind = F.when((F.col("numbers") == F.col("n")) & (F.col("name") == "c_custkey"), "identifier").when(F.col("numbers") == F.col("n"), "measure").otherwise("text")
-    return g.select("name", "numbers", "n", kind.alias("kind"))
+    """Whether a column of texts is an identifier (whole numbers that never repeat and fill nine tenths of their range), a measure or text."""
+    c = table(spark, d, "customer").select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in CUSTOMER_COLUMNS])).alias("cell"))
+    return T.column_kinds(c.select("cell.name", "cell.value"))
 
 
 def language_marks(spark, d):
@@ -155,6 +147,7 @@ def run_gaps(spark, d):
     return e.groupBy("user_id").agg(F.max("gap").alias("gap_us"))
 
 
+CUSTOMER_COLUMNS = ("c_name", "c_acctbal", "c_custkey", "c_nationkey")
 _N = r"([+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[+-]?[0-9]+(?:\.[0-9]+)?)"
 _SIDES = "s(handle, k, ax, ay, qx, qy) AS (SELECT handle, 0, x1, y1, x2, y2 FROM parcels UNION ALL SELECT handle, 1, x2, y2, x3, y3 FROM parcels UNION ALL SELECT handle, 2, x3, y3, x4, y4 FROM parcels UNION ALL SELECT handle, 3, x4, y4, x1, y1 FROM parcels)"
 
@@ -188,8 +181,10 @@ SQL = {
     "annotation_census": f"""{E}, t AS (SELECT CASE WHEN handle % 3 = 0 THEN text || '.5 m' WHEN handle % 7 = 0 THEN layer ELSE text END AS text FROM labels),
         c AS (SELECT text, CASE WHEN regexp_full_match(text, '[0-9]+') THEN 'integer' WHEN regexp_full_match(text, '[0-9]+\\.5 m') THEN 'dimension' ELSE 'other' END AS class FROM t)
         SELECT class, count(*) AS n, count(DISTINCT text) AS different, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS digits FROM c GROUP BY class""",
-    "column_typing": """SELECT 'c_name' AS name, CAST(0 AS BIGINT) AS numbers, count(*) AS n, 'text' AS kind FROM customer UNION ALL
-        SELECT 'c_acctbal', count(*), count(*), 'measure' FROM customer UNION ALL SELECT 'c_custkey', count(*), count(*), 'identifier' FROM customer""",
+    "column_typing": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({n} AS VARCHAR) AS value FROM customer" for n in CUSTOMER_COLUMNS) + """),
+        v AS (SELECT name, value, TRY_CAST(value AS DOUBLE) AS x FROM c)
+        SELECT name, count(x) AS numbers, count(value) AS n, CASE WHEN count(x) = 0 THEN 'text'
+          WHEN count(x) >= 2 AND bool_and(coalesce(x = floor(x), true)) AND count(DISTINCT x) = count(x) AND count(x) / (max(x) - min(x) + 1) >= 0.9e0 THEN 'identifier' ELSE 'measure' END AS kind FROM v GROUP BY name""",
     "language_marks": """SELECT lang, count(*) AS n, count(CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])with([^a-z0-9]|$)') THEN 1 END) AS english,
         count(CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])dans([^a-z0-9]|$)') THEN 1 END) AS french FROM documents GROUP BY lang""",
     "content_address": "SELECT page_id, substr(sha256(html), 1, 16) AS drawing_id FROM pages",
