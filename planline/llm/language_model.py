@@ -36,7 +36,7 @@ SPAN, DIM = 2, 15
 TOP = 6
 #: Weights of a row: DIM and a bias.
 ROW = DIM + 1
-PIECE = 3
+PIECE = 4
 LEAST_COUNT = 5
 BLOCK = 1_000_000
 ROUNDS, RATE, BATCH = 3, 0.2, 16384
@@ -64,11 +64,11 @@ def _pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     of = np.repeat(np.arange(len(start)), number)
     at = start[of] + PIECE * (np.arange(len(of)) - (np.cumsum(number) - number)[of])
     size = np.minimum(end[of] - at, PIECE)
-    wide = np.concatenate((raw, np.zeros(PIECE, dtype=np.uint8))).astype(np.uint32)
+    wide = np.concatenate((raw, np.zeros(PIECE, dtype=np.uint8))).astype(np.uint64)
     code = wide[at]
     for k in range(1, PIECE):
-        code |= np.where(size > k, wide[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
-    return code | size.astype(np.uint32) << np.uint32(8 * PIECE), number
+        code |= np.where(size > k, wide[at + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    return code | size.astype(np.uint64) << np.uint64(8 * PIECE), number
 
 
 class Vocabulary:
@@ -99,13 +99,13 @@ class Vocabulary:
         if len(rare):
             code, n = _pieces(raw, start[rare], end[rare])
             known = self.find(_piece_keys(code))
-            width = np.where(known < 0, code >> np.uint32(8 * PIECE), 1).astype(np.int64)
+            width = np.where(known < 0, code >> np.uint64(8 * PIECE), 1).astype(np.int64)
             piece = np.repeat(np.arange(len(code)), width)
             spelled = known[piece]
             lone = np.flatnonzero(spelled < 0)
             depth = lone - (np.cumsum(width) - width)[piece[lone]]
-            byte = code[piece[lone]] >> (8 * depth).astype(np.uint32) & np.uint32(255)
-            spelled[lone] = self.find(_piece_keys(byte | np.uint32(1 << 8 * PIECE)))
+            byte = code[piece[lone]] >> (8 * depth).astype(np.uint64) & np.uint64(255)
+            spelled[lone] = self.find(_piece_keys(byte | np.uint64(1 << 8 * PIECE)))
             number[rare] = np.add.reduceat(width, np.cumsum(n) - n)
             out = np.repeat(ids, number)
             out[out < 0] = spelled
@@ -196,7 +196,8 @@ class Paths:
         self.z = z * self.branch
 
     def log_probability(self) -> np.ndarray:
-        return (np.minimum(self.z, 0) - np.log1p(np.exp(-np.abs(self.z)))).sum(axis=1)
+        """The steps' log-probabilities summed: one logarithm of the product, which float64 holds at these bounds."""
+        return -np.log(np.prod(1 + np.exp(np.clip(-self.z, -40, 40)), axis=1, dtype=np.float64))
 
     def gradient(self, h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By the hidden values, and by the shared nodes; ``out`` gets that by the nodes below, a row for each weight.
@@ -224,7 +225,7 @@ def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -80, 80, out=z)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 

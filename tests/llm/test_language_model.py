@@ -16,12 +16,13 @@ def keys(*words):
 
 
 def test_rare_words_are_spelled():
-    piece = L._piece_keys(np.array([ord("a") | ord("b") << 8 | ord("c") << 16 | 3 << 24]))
+    code = sum(ord(c) << 8 * k for k, c in enumerate("abcd"))
+    piece = L._piece_keys(np.array([code | 4 << 8 * L.PIECE]))
     v = L.Vocabulary(np.concatenate((keys("the", "cat"), piece)))
     assert v.size == 3 + 256
-    ids, sizes, words = v.ids(["The CAT", None, "", "the abcd zabc!", "é"])
+    ids, sizes, words = v.ids(["The CAT", None, "", "the abcde zabc!", "é"])
     byte = lambda b: 3 + b
-    assert ids.tolist() == [0, 1, 0, 2, byte(ord("d")), byte(ord("z")), byte(ord("a")), byte(ord("b")), byte(ord("c")), byte(0xC3), byte(0xA9)]
+    assert ids.tolist() == [0, 1, 0, 2, byte(ord("e")), byte(ord("z")), byte(ord("a")), byte(ord("b")), byte(ord("c")), byte(0xC3), byte(0xA9)]
     assert sizes.tolist() == [2, 0, 0, 7, 2] and words.tolist() == [2, 0, 0, 3, 1]
 
 
