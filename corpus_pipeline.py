@@ -1,4 +1,8 @@
-"""From raw documents to token files: the stages in order, each on what the last one kept."""
+"""From raw documents to token files: the stages in order, each on what the last one kept.
+
+Each stage takes rows of documents with any further columns, which it drops, and acts by
+row: ids may be null or stand on several rows. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,11 @@ from planline.llm.shared import DOCUMENT_COLUMNS, documents, only, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the lexicon, learned from labels, scores 0.3 or more."""
+    """Drop documents that the lexicon, learned from labels, scores 0.3 or more.
+
+    Null and empty texts get the least score and stay; without labels of both kinds the
+    lexicon is empty and all stay. Texts are scored whole; equal rows share their fate.
+    """
     from planline.llm.toxicity import Lexicon, score_column, train
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -23,7 +31,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each class of near copies: of the least id (null last), then by text."""
+    """Keep one row of each class of near copies: of the least id (null last), then by text.
+
+    Equal rows are copies. Texts without words (null and empty ones too) are no copies
+    of one another and stay, and so does all that is linked to nothing.
+    """
     from planline.llm.jaccard_join import jaccard_join
 
     docs = _numbered(docs)
@@ -35,7 +47,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that benchmark windows make up a twentieth of."""
+    """Drop documents that benchmark windows make up a twentieth of.
+
+    Texts without words are clean, and so is everything where the benchmark is empty.
+    """
     from planline.llm.decontaminate import decontaminate
 
     docs = _numbered(docs)
@@ -44,7 +59,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix says."""
+    """Take each document as often as the mix says.
+
+    Null and empty texts have no tokens and are never taken; null lang or source are a
+    name of their own. Equal rows stand one after the other in the order of their leaf.
+    """
     from planline.llm.mixing import mix
     from planline.llm.queries import DOMAIN_WEIGHTS, MIX, domain
 
@@ -54,7 +73,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the ids and return what the files hold of each document."""
+    """Write the ids and return what the files hold of each document: a row for each, null texts as empty ones."""
     from planline.llm.queries import tokenizer_path
     from planline.llm.token_files import write_token_files
 
