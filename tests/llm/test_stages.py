@@ -27,3 +27,25 @@ def test_decontamination_by_row(spark):
     rows = [(None, passage), (3, passage), (3, clean), (None, clean), (4, clean)]
     out = corpus_pipeline.decontamination(spark, frame(spark, rows), SF)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, clean), (None, clean), (4, clean)])
+
+
+def test_stages_on_odd_rows(spark, odd, empty):
+    """Nulls, empty and long texts, repeats and clashing columns; and empty tables."""
+    columns = list(DOCUMENT_COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == columns, name
+        kept, all_rows = Counter(out.collect()), Counter(odd.select(*columns).collect())
+        assert set(kept) <= set(all_rows), name
+        if name != "mixing":
+            assert not kept - all_rows, name
+        if name in ("toxicity", "decontamination"):
+            assert kept == all_rows, name  # nothing here is toxic or from the benchmark
+        if name == "near_copies":  # equal rows, and the longer text of the same passage, go
+            assert sum(r.doc_id == 1 for r in kept.elements()) == 1 and all(r.doc_id is not None for r in kept)
+            assert {2, 3, 4, 7, 10} <= {r.doc_id for r in kept} and sum(r.doc_id in (8, 9) for r in kept) == 1
+        if name == "mixing":
+            assert all(r.text for r in kept)
+        assert stage(spark, empty, SF).count() == 0, name
+    rows = corpus_pipeline.token_files(spark, odd, SF)
+    assert rows.count() == odd.count() and corpus_pipeline.token_files(spark, empty, SF).count() == 0
