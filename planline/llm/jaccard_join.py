@@ -37,7 +37,9 @@ SMALL = 512
 PROBE = 8
 DEEPEST = 6
 #: Sets and bytes of one side of a block.
-BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 2048, 8 << 20
+#: Shingles of a block that are compared at once.
+SLAB = 1024
 #: A set must meet others on so many of its first paths; :func:`runs_for` counts what this may lose.
 LEAST_MEETINGS = 4
 
@@ -135,8 +137,8 @@ def similar_pairs(sets: list[np.ndarray], first: int, similarity: float) -> tupl
     n = len(sets)
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), size)
-    code, known = pd.factorize(np.concatenate(sets))
-    often = np.bincount(code, minlength=len(known)) > 1
+    code = pd.factorize(np.concatenate(sets))[0]
+    often = np.bincount(code) > 1
     keep = often[code]
     code, owner = (np.cumsum(often) - 1)[code[keep]], owner[keep]
     order = np.argsort(code, kind="stable")
@@ -145,9 +147,9 @@ def similar_pairs(sets: list[np.ndarray], first: int, similarity: float) -> tupl
     right = slice(first, n)
     both = np.zeros((left.stop, n - first), dtype=np.float32)
     total = int(code[-1]) + 1 if len(code) else 0
-    for at in range(0, total, 4096):
-        a, b = np.searchsorted(code, (at, at + 4096))
-        slab = np.zeros((n, min(4096, total - at)), dtype=np.float32)
+    for at in range(0, total, SLAB):
+        a, b = np.searchsorted(code, (at, at + SLAB))
+        slab = np.zeros((n, min(SLAB, total - at)), dtype=np.float32)
         slab[owner[a:b], code[a:b] - at] = 1
         both += slab[left] @ slab[right].T
     # both / (a + b - both) >= s, in whole numbers' exact range
