@@ -155,6 +155,24 @@ def rings_cross(a: Column, b: Column) -> Column:
     return F.exists(pairs(a), lambda e: F.exists(pairs(b), lambda f: segments_cross(e["p"], e["q"], f["p"], f["q"])))
 
 
+def is_simple(ring: Column) -> Column:
+    """Whether no two sides of a ring meet but neighbours, and these in their corner alone."""
+    sides = F.transform(ring, lambda p, k: F.struct(k.alias("k"), p.alias("p"), F.coalesce(F.get(ring, k + 1), F.get(ring, F.lit(0))).alias("q")))
+    last = F.size(ring) - 1
+
+    def meets(e: Column, f: Column) -> Column:
+        apart = (f["k"] - e["k"] > 1) & ~((e["k"] == 0) & (f["k"] == last))
+        return apart & segments_cross(e["p"], e["q"], f["p"], f["q"])
+
+    return ~F.exists(sides, lambda e: F.exists(sides, lambda f: meets(e, f)))
+
+
+def box_distance(a: list[Column], b: list[Column]) -> Column:
+    """How far two boxes (minx, miny, maxx, maxy) are apart; 0 where they meet."""
+    zero = F.lit(0.0)
+    return F.hypot(F.greatest(zero, a[0] - b[2], b[0] - a[2]), F.greatest(zero, a[1] - b[3], b[1] - a[3]))
+
+
 def ring_to_ring(a: Column, b: Column) -> Column:
     """0 where the rings touch, cross or one holds the other, else the least distance of their boundaries.
 

@@ -71,6 +71,11 @@ def column_kinds(cells: DataFrame) -> DataFrame:
     return g.select("name", "numbers", "n", kind.alias("kind"))
 
 
+def clip(text: Column, most: int) -> Column:
+    """A text of at most ``most`` characters, cut at the last white space, with an ellipsis where more follows."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""), F.lit("…")))
+
+
 def says(text: Column, word: str) -> Column:
     """Whether a text states a word, at word edges; words under four letters never count."""
     if len(word) < 4:
