@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from planline.functions import geometry as G
 from planline.operators import spatial, windows
-from planline.operators.graph import connected_components
+from planline.operators.graph import checkpointed, connected_components
 
 
 def shapes(rings: DataFrame) -> DataFrame:
     """(handle, layer, area, key, x, y) of rings (handle, layer, ring): shape key, centroid and area; rings without area are left out."""
+    # long expressions, worked out once
     c = G.centroid(F.col("ring"))
     out = rings.select("handle", "layer", F.abs(G.signed_area(F.col("ring"))).alias("area"), G.shape_key(F.col("ring")).alias("key"), c.alias("c"))
-    return out.where("c is not null").select("handle", "layer", "area", "key", "c.x", "c.y")
+    return checkpointed(out).where("c is not null").select("handle", "layer", "area", "key", "c.x", "c.y")
 
 
 def coincident(rings: DataFrame, tolerance: float) -> DataFrame:

@@ -73,7 +73,7 @@ def column_kinds(cells: DataFrame) -> DataFrame:
 
 def clip(text: Column, most: int) -> Column:
     """A text of at most ``most`` characters, cut at the last white space, with an ellipsis where more follows."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", ""), F.lit("…")))
 
 
 def says(text: Column, word: str) -> Column:

@@ -228,7 +228,7 @@ SQL = {
     # a rectangle's sides never cross; with two corners exchanged two of them do
     "simple_rings": f"{E} SELECT handle, true AS simple, w * h = 0 AS twisted FROM parcels",
     "box_gaps": f"{E} SELECT handle, round(sqrt(pow(greatest(0, minx - 300, 100 - maxx), 2) + pow(greatest(0, miny - 250, 100 - maxy), 2)), 4) AS distance FROM parcels WHERE size_code = 50",
-    "clipped_texts": r"SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE regexp_replace(substr(text, 1, 40), '\s+\S*$', '') || '…' END AS clipped, length(text) > 40 AS more FROM documents",
+    "clipped_texts": r"SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE regexp_replace(substr(text, 1, 40), '\s+\S*\z', '') || '…' END AS clipped, length(text) > 40 AS more FROM documents",
     "response_budget": f"""{E}, r AS (SELECT handle, layer || '|' || kind AS "row" FROM parcels ORDER BY handle LIMIT 500), u AS (SELECT *, CAST(sum(length("row")) OVER (ORDER BY handle) AS BIGINT) AS upto FROM r) SELECT * FROM u WHERE upto <= 2000""",
     "run_stages": """WITH m AS (SELECT max(ts) AS now_ts FROM events), l AS (SELECT user_id, event_type AS stage, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)
         SELECT stage, CASE WHEN stage = 'purchase' THEN 'done' WHEN stage = 'error' THEN 'failed' WHEN now_ts - ts > INTERVAL 4 HOUR THEN 'abandoned' WHEN now_ts - ts > INTERVAL 1 HOUR THEN 'stalled' ELSE 'running' END AS state, count(*) AS runs FROM l, m GROUP BY 1, 2""",
