@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planline.llm.shared import documents
+from planline.llm.twins import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def tokenizer_path() -> str:
@@ -107,6 +108,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("n_copies"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.spelling import counted, damaged_runs, group_spellings
+
+    return group_spellings(counted(damaged_runs(documents(spark, sf_dir))))
+
+
+N_SHARDS = 24
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.sharding import write_shards
+
+    shards = write_shards(documents(spark, sf_dir), N_SHARDS)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planline.llm.conversation import audit_conversations, damaged
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return audit_conversations(damaged(rows), rows)
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -147,6 +171,9 @@ QUERIES = {
         op8_pseudo_likelihood,
         op9_jaccard_join,
         op10_mixing,
+        op11_spelling_variants,
+        op12_sharding,
+        op13_conversation_repair,
     )
 }
-SQL = {"op4_decontamination": OP4_SQL}
+SQL = {"op4_decontamination": OP4_SQL, "op11_spelling_variants": OP11_SQL, "op12_sharding": OP12_SQL, "op13_conversation_repair": OP13_SQL}
