@@ -46,6 +46,39 @@ SQL_ENTITIES = f"""WITH parcels AS (SELECT {_PARCEL_BOX} FROM (SELECT {_PARCEL_C
 labels AS (SELECT {_LABEL} FROM orders),
 paths AS (SELECT {_PATH_ENDS} FROM (SELECT {_PATH} FROM lineitem))"""
 
+#: Outlines in their own frame, for drawings with more than rectangles: form, vertex, u, v, bulge of the span that starts there.
+_OUTLINES = """
+0,0,0,0,0 0,1,1,0,0 0,2,1,1,0 0,3,0,1,0
+1,0,0,0,0 1,1,1,0,0 1,2,1,.4,0 1,3,.4,.4,0 1,4,.4,1,0 1,5,0,1,0
+2,0,0,0,0 2,1,1,0,0 2,2,1,.3,0 2,3,.3,.3,0 2,4,.3,.7,0 2,5,1,.7,0 2,6,1,1,0 2,7,0,1,0
+3,0,0,0,0 3,1,1,0,0 3,2,.3,1,0
+4,0,0,0,0 4,1,1,0,.5 4,2,1,1,0 4,3,0,1,-.25
+5,0,0,0,0 5,1,.5,.2,0 5,2,1,0,.4 5,3,1,1,0
+6,0,0,0,0 6,1,1,0,0 6,2,1,0,0 6,3,.7,1,0 6,4,0,0,0
+7,0,0,0,0 7,1,1,.5,0
+8,0,0,0,0 8,1,1,1,0 8,2,1,0,0 8,3,0,1,0
+10,0,0,.5,0 10,1,.5,0,0 10,2,1,.5,0 10,3,.5,1,0
+11,0,0,0,0 11,1,.5,0,0 11,2,1,0,0
+"""
+_VERTICES = ", ".join("({0}, {1}, {2}e0, {3}e0, {4}e0)".format(*v.split(",")) for v in _OUTLINES.split())
+#: The extrusion turns by handle: upright, mirrored, and two that are tilted. Form 9 has no vertices, 5 is open, 11 is flat.
+_SHAPE_BASE = (
+    "SELECT p_partkey AS handle, p_brand AS layer, p_type AS kind, CAST(p_partkey % 12 AS INT) AS form, p_retailprice AS price, "
+    "(p_partkey % 50) * 22e0 AS x0, floor(p_partkey / 50e0) * 22e0 AS y0, 10e0 + 5e0 * (p_size % 7) AS w, 12e0 + 4e0 * (p_size % 5) AS h, "
+    "CASE p_partkey % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 8e-1 WHEN 2 THEN 6e-1 ELSE 28e-2 END AS turn_c, "
+    "CASE p_partkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 6e-1 WHEN 2 THEN -8e-1 ELSE 96e-2 END AS turn_s, "
+    "CASE WHEN p_partkey % 7 = 3 THEN 6e-1 WHEN p_partkey % 14 = 5 THEN 5e-3 ELSE 0e0 END AS nx, "
+    "CASE WHEN p_partkey % 14 = 5 THEN -3e-3 ELSE 0e0 END AS ny, "
+    "CASE WHEN p_partkey % 5 = 2 THEN -1e0 WHEN p_partkey % 7 = 3 THEN 8e-1 ELSE 1e0 END AS nz, "
+    "CASE WHEN p_partkey % 6 = 1 THEN 25e-1 ELSE 0e0 END AS elevation, p_partkey % 23 = 4 AS wavy FROM {part}"
+)
+_SHAPES = (
+    f"SELECT b.handle, b.layer, b.kind, b.form, b.price, b.nx, b.ny, b.nz, b.elevation, b.form <> 5 AS closed, o.k, o.bulge, "
+    "x0 + turn_c * u * w - turn_s * v * h AS x, y0 + turn_s * u * w + turn_c * v * h AS y, "
+    f"CASE WHEN wavy THEN b.elevation + o.k ELSE b.elevation END AS z FROM ({_SHAPE_BASE}) b LEFT JOIN (VALUES {_VERTICES}) AS o(form, k, u, v, bulge) ON b.form = o.form"
+)
+SQL_SHAPES = "shape_vertices AS (" + _SHAPES.format(part="part") + ")"
+
 
 def _split(text: str) -> list[str]:
     """Top-level commas cut a select list."""
@@ -77,3 +110,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open paths: handle, block, layer, layout, type, length (null: not measurable), price, end nodes and where the ends are."""
     return table(spark, sf_dir, "lineitem").selectExpr(*_split(_PATH)).selectExpr(*_split(_PATH_ENDS))
+
+
+def shape_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices as a file states them, in the frame of their extrusion: one row a vertex, and one with nulls where an entity has none."""
+    return spark.sql(_SHAPES, part=table(spark, sf_dir, "part"))
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polylines of many forms as a file states them: handle, layer, kind, form, closed, extrusion, elevation, points (x, y, z, bulge)."""
+    fields = ("handle", "layer", "kind", "form", "price", "nx", "ny", "nz", "elevation", "closed")
+    v = shape_vertices(spark, sf_dir)
+    listed = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "x", "y", "z", "bulge"))))
+    points = F.transform(listed, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["bulge"].alias("bulge")))
+    return v.groupBy(*fields).agg(F.when(F.count("k") > 0, points).alias("points"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,11 +14,19 @@ def _next(ring: Column) -> Column:
     return F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dedupe(ring: Column) -> Column:
     """Consecutive equal vertices, and a closing vertex equal to the first, dropped."""
-    kept = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
-    closed = (F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1))
-    return F.when(closed, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    def opened(kept: Column) -> Column:
+        closed = (F.size(kept) > 1) & (F.element_at(kept, 1) == F.element_at(kept, -1))
+        return F.when(closed, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    return bound(ring, lambda r: bound(F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1))), opened))
 
 
 def origin(ring: Column) -> Column:
@@ -31,31 +40,39 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
-def signed_area(ring: Column) -> Column:
-    """Shoelace, in the ring's local frame; positive for counter-clockwise rings."""
-    o = origin(ring)
+def _area_about(ring: Column, o: Column) -> Column:
     cross = F.zip_with(
         ring, _next(ring), lambda p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])
     )
     return _sum(cross) / 2.0
 
 
+def signed_area(ring: Column) -> Column:
+    """Shoelace, in the ring's local frame; positive for counter-clockwise rings."""
+    return bound(ring, lambda r: bound(origin(r), lambda o: _area_about(r, o)))
+
+
 def centroid(ring: Column) -> Column:
     """Area centroid, null where the area is zero."""
-    o = origin(ring)
-
-    def moment(axis: str) -> Column:
-        return _sum(
-            F.zip_with(
-                ring,
-                _next(ring),
-                lambda p, q: (p[axis] + q[axis] - 2 * o[axis])
-                * ((p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])),
+
+    def about(r: Column, o: Column) -> Column:
+        def moment(axis: str) -> Column:
+            return _sum(
+                F.zip_with(
+                    r,
+                    _next(r),
+                    lambda p, q: (p[axis] + q[axis] - 2 * o[axis])
+                    * ((p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"])),
+                )
             )
-        )
 
-    six = 6.0 * signed_area(ring)
-    return F.when(six != 0, F.struct((moment("x") / F.nullif(six, F.lit(0.0)) + o["x"]).alias("x"), (moment("y") / F.nullif(six, F.lit(0.0)) + o["y"]).alias("y")))
+        def middle(six: Column) -> Column:
+            part = lambda axis: (moment(axis) / F.nullif(six, F.lit(0.0)) + o[axis]).alias(axis)
+            return F.when(six != 0, F.struct(part("x"), part("y")))
+
+        return bound(6.0 * _area_about(r, o), middle)
+
+    return bound(ring, lambda r: bound(origin(r), lambda o: about(r, o)))
 
 
 def edge_lengths(ring: Column) -> Column:
@@ -114,10 +131,14 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
 
 def place_in_ring(x: Column, y: Column, ring: Column, eps_rel: float = 1e-9) -> Column:
     """'boundary' within eps_rel of the ring's diagonal, else 'inside' or 'outside'."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    diagonal = F.hypot(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    return (
-        F.when(ring_distance(x, y, ring) <= diagonal * eps_rel, "boundary").when(point_in_ring(x, y, ring), "inside").otherwise("outside")
+
+    def diagonal(r: Column) -> Column:
+        xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
+        return F.hypot(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+
+    return bound(
+        ring,
+        lambda r: F.when(ring_distance(x, y, r) <= diagonal(r) * eps_rel, "boundary").when(point_in_ring(x, y, r), "inside").otherwise("outside"),
     )
 
 

@@ -109,15 +109,17 @@ def rings_near(a: DataFrame, cell: float, reach: float) -> DataFrame:
 
 def box_matches(a: DataFrame, b: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     """Every pair of a row of ``a`` and one of ``b`` whose boxes, each widened by ``pad``, overlap, prefixes ``a_`` and ``b_``."""
-    both = [x.select(*x.columns, F.lit(k).alias("side")) for k, x in enumerate((a, b))]
-    boxes = [x.select(F.struct("handle", "side").alias("handle"), "minx", "miny", "maxx", "maxy") for x in both]
-    pairs = box_pairs(boxes[0].unionByName(boxes[1]), cell, pad, across="side")
-    first = F.col("a_handle.side") == 0
-    keys = pairs.select(
-        F.when(first, F.col("a_handle.handle")).otherwise(F.col("b_handle.handle")).alias("ka"), F.when(first, F.col("b_handle.handle")).otherwise(F.col("a_handle.handle")).alias("kb")
-    )
-    named = lambda x, p: x.select(*[F.col(c).alias(f"{p}_{c}") for c in x.columns])
-    return keys.join(named(a, "a"), F.col("ka") == F.col("a_handle")).join(named(b, "b"), F.col("kb") == F.col("b_handle")).drop("ka", "kb")
+    corners = ("minx", "miny", "maxx", "maxy")
+    kinds = [F.struct(*x.columns) for x in (a, b)]
+    empty = [F.lit(None).cast(x.select(F.struct(*x.columns).alias("s")).schema[0].dataType) for x in (a, b)]
+    # the columns travel with the boxes, a side in a struct of its own, so nothing is joined back
+    sides = [
+        x.select(F.struct("handle", F.lit(k).alias("side")).alias("handle"), *corners, *[(kinds[j] if j == k else empty[j]).alias(f"item{j}") for j in (0, 1)])
+        for k, x in enumerate((a, b))
+    ]
+    pairs = box_pairs(sides[0].unionByName(sides[1]), cell, pad, across="side")
+    found = pairs.select(*[F.coalesce(f"a_item{k}", f"b_item{k}").alias(f"item{k}") for k in (0, 1)])
+    return found.select(*[F.col(f"item0.{c}").alias(f"a_{c}") for c in a.columns], *[F.col(f"item1.{c}").alias(f"b_{c}") for c in b.columns])
 
 
 def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None = None) -> DataFrame:

@@ -36,12 +36,6 @@ def layouts_of_layer(spark, d):
     return paths(spark, d).groupBy("layer", "layout").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("blocks"))
 
 
-def skip_causes(spark, d):
-    """Why parcels are left out of a measure, each under its first cause."""
-    cause = F.when(F.col("size_code") % 10 == 0, "open").when(F.col("size_code") % 7 == 0, "bulge").when(F.col("area") < 150, "too small")
-    return parcels(spark, d).select(cause.alias("cause")).where("cause is not null").groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
-
-
 def dossier_summary(spark, d):
     """Each layer's leading family, commonest type, measure with its denominator and share of all objects."""
     p = paths(spark, d)
@@ -86,15 +80,6 @@ def labels_in_largest(spark, d):
     return inside.select("p_handle", "p_text", "r_handle")
 
 
-def gap_block(spark, d):
-    """The drawing's box less what its parcels claim, what several claim counted once."""
-    p = parcels(spark, d).select("handle", "minx", "miny", "maxx", "maxy", "ring", "area")
-    shared = S.ring_overlap_area(S.box_pairs(p, 40.0)).where("overlap > 1e-6").agg(F.coalesce(F.sum("overlap"), F.lit(0.0)).alias("shared"), F.count(F.lit(1)).alias("pairs"))
-    box = (F.max("maxx") - F.min("minx")) * (F.max("maxy") - F.min("miny"))
-    both = p.agg(box.alias("box"), F.sum("area").alias("claimed")).crossJoin(shared)  # one row each
-    return both.select(F.round("box", 2).alias("box"), F.round("claimed", 2).alias("claimed"), F.round("shared", 2).alias("shared"), "pairs", F.round(F.col("box") - F.col("claimed") + F.col("shared"), 2).alias("gap"))
-
-
 def text_census_samples(spark, d):
     """Texts by class with the three first by text of each."""
     t = labels(spark, d).select("text", T.text_class(F.concat("text", F.when(F.col("handle") % 3 == 0, ".5 m").otherwise(""))).alias("class"))
@@ -201,7 +186,6 @@ SQL = {
     "file_facts": f"{E} SELECT count(*) AS paths, count(DISTINCT layer) AS layers, count(DISTINCT layout) AS layouts, count(DISTINCT block) AS blocks, count(*) - count(length) AS unmeasured, (SELECT count(*) FROM parcels) AS rings, (SELECT count(*) FROM labels) AS texts FROM paths",
     "layout_block": f"{E} SELECT layout, count(*) AS n, " + ", ".join(f"count(CASE WHEN type = '{t}' THEN 1 END) AS {t.lower()}" for t in ("LINE", "ARC", "LWPOLYLINE", "CIRCLE")) + " FROM paths GROUP BY layout",
     "layouts_of_layer": f"{E} SELECT layer, layout, count(*) AS n, count(DISTINCT block) AS blocks FROM paths GROUP BY 1, 2",
-    "skip_causes": f"{E}, c AS (SELECT CASE WHEN size_code % 10 = 0 THEN 'open' WHEN size_code % 7 = 0 THEN 'bulge' WHEN area < 150 THEN 'too small' END AS cause FROM parcels) SELECT cause, count(*) AS n FROM c WHERE cause IS NOT NULL GROUP BY cause",
     "dossier_summary": f"""{E}, f AS (SELECT layer, {_FAM} AS family, count(*) AS n FROM paths GROUP BY 1, 2),
         r AS (SELECT layer, CAST(sum(n) AS BIGINT) AS entities, CASE WHEN max(n) >= 0.6 * sum(n) THEN arg_max(family, n) ELSE 'mixed' END AS role FROM f GROUP BY layer),
         t AS (SELECT layer, type FROM (SELECT layer, type, row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, type) AS rn FROM paths GROUP BY layer, type) WHERE rn = 1),
@@ -215,8 +199,6 @@ SQL = {
     "labels_in_largest": f"""{E}, b AS (SELECT * FROM parcels ORDER BY area DESC, handle LIMIT 1),
         q AS (SELECT l.handle AS p_handle, l.text AS p_text, b.handle AS r_handle, 8e-1 * (l.x - x1) + 6e-1 * (l.y - y1) AS u, 8e-1 * (l.y - y1) - 6e-1 * (l.x - x1) AS v, w, h FROM labels l, b)
         SELECT p_handle, p_text, r_handle FROM q WHERE u > 0 AND u < w AND v > 0 AND v < h""",
-    "gap_block": f"""{E}, {_SHARED}, s AS (SELECT coalesce(sum(overlap), 0) AS shared, count(*) AS pairs FROM o WHERE overlap > 1e-6), p AS (SELECT (max(maxx) - min(minx)) * (max(maxy) - min(miny)) AS box, sum(area) AS claimed FROM parcels)
-        SELECT round(box, 2) AS box, round(claimed, 2) AS claimed, round(shared, 2) AS shared, pairs, round(box - claimed + shared, 2) AS gap FROM p, s""",
     "text_census_samples": f"""{E}, t AS (SELECT text, CASE WHEN handle % 3 = 0 THEN 'dimension' ELSE 'integer' END AS class FROM labels), r AS (SELECT class, text, row_number() OVER (PARTITION BY class ORDER BY text) AS rn FROM (SELECT DISTINCT class, text FROM t))
         SELECT t.class, count(*) AS n, (SELECT string_agg(text, ',' ORDER BY text) FROM r WHERE rn <= 3 AND r.class = t.class) AS samples FROM t GROUP BY t.class""",
     "revision_summary": f"""{E}, a AS (SELECT block, sum(length) AS v, count(*) - count(length) AS holes FROM paths WHERE type <> 'CIRCLE' GROUP BY block), b AS (SELECT block, sum(length) AS v, count(*) - count(length) AS holes FROM paths WHERE type <> 'ARC' GROUP BY block)

@@ -156,15 +156,6 @@ def corridor_ranking(spark, d):
     return out.orderBy(F.desc_nulls_last("score"), "layer").limit(10)
 
 
-def dimension_truth(spark, d):
-    """Printed numbers (labels' texts) against the measured width of the parcel they stand in."""
-    i = S.points_in_rings(labels(spark, d).select("handle", "text", "x", "y"), parcels(spark, d).select("handle", "w", "minx", "miny", "maxx", "maxy", "ring"), CELL)
-    printed = F.col("p_text").cast("double")
-    tolerance = F.greatest(F.lit(0.5), F.lit(1e-6) * F.col("r_w"))
-    verdict = F.when(F.abs(printed - F.col("r_w")) <= tolerance, "agrees").otherwise("differs")
-    return i.select("p_handle", "r_handle", printed.alias("printed"), F.col("r_w").alias("measured"), verdict.alias("verdict"))
-
-
 def schedule_check(spark, d):
     """Stated area (price rounded) against measured area by key, both sides kept."""
     stated = table(spark, d, "part").where("p_brand <> 'Brand#11'").select(F.col("p_partkey").alias("key"), F.round("p_retailprice").alias("stated"))
@@ -423,7 +414,6 @@ SQL = {
         SELECT layer, coalesce(i.n, 0) AS network_inside, coalesce(h.n, 0) AS parcels_inside,
         round(coalesce(i.n, 0) / (SELECT count(*) FROM labels) * (1 - coalesce(h.n, 0) / ((SELECT count(*) FROM parcels) - own)), 9) AS score
         FROM o LEFT JOIN i ON i.r_layer = layer LEFT JOIN h ON h.r_layer = layer ORDER BY score DESC NULLS LAST, layer LIMIT 10""",
-    "dimension_truth": f"{H} SELECT p_handle, r_handle, CAST(p_text AS DOUBLE) AS printed, r_w AS measured, CASE WHEN abs(CAST(p_text AS DOUBLE) - r_w) <= greatest(0.5, 1e-6 * r_w) THEN 'agrees' ELSE 'differs' END AS verdict FROM hit",
     "schedule_check": f"""{E}, s AS (SELECT p_partkey AS key, round(p_retailprice) AS stated FROM part WHERE p_brand <> 'Brand#11'), m AS (SELECT handle AS key, round(area, 4) AS measured FROM parcels WHERE size_code <> 7)
         SELECT coalesce(s.key, m.key) AS key, stated, measured, CASE WHEN stated IS NULL THEN 'not stated' WHEN measured IS NULL THEN 'not measured' WHEN abs(stated - measured) <= 0.02e0 * stated THEN 'agrees' ELSE 'differs' END AS status FROM s FULL OUTER JOIN m ON s.key = m.key""",
     "label_layer_inference": f"{E} SELECT layer, count(DISTINCT text) AS n_keys FROM labels WHERE text IN (SELECT CAST(handle AS VARCHAR) FROM parcels) GROUP BY layer ORDER BY n_keys DESC, layer LIMIT 5",

@@ -129,11 +129,6 @@ def shape_fingerprint(spark, d):
     return p.where("n > 1").orderBy(F.desc("n"), "w", "h").limit(50)
 
 
-def ring_census(spark, d):
-    status = F.when(F.col("size_code") % 10 == 0, "open").when(F.col("size_code") % 7 == 0, "bulge").otherwise("complete")
-    return parcels(spark, d).groupBy("layer", status.alias("ring_status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def type_mix(spark, d):
     p = paths(spark, d).groupBy("layer", "type").agg(F.count(F.lit(1)).alias("n"))
     return W.top_n(p, ["layer"], [F.desc("n"), "type"], 2).select("layer", "type", "n", F.col("rank").cast("long").alias("place"))
@@ -290,7 +285,6 @@ SQL = {
     "residual_layers": f"{E} SELECT kind, count(*) AS parcels, round(sum(area), 4) AS area FROM parcels WHERE {_USE} END IS NULL GROUP BY kind",
     "unclassified_rank": f"{E}, c AS (SELECT layer, count(*) AS n FROM parcels WHERE {_USE} END IS NULL GROUP BY layer) SELECT layer, n, row_number() OVER (ORDER BY n DESC, layer) AS rank FROM c ORDER BY rank LIMIT 20",
     "shape_fingerprint": f"{E} SELECT w, h, count(*) AS n, min(handle) AS first_handle FROM parcels GROUP BY w, h HAVING count(*) > 1 ORDER BY n DESC, w, h LIMIT 50",
-    "ring_census": f"{E} SELECT layer, CASE WHEN size_code % 10 = 0 THEN 'open' WHEN size_code % 7 = 0 THEN 'bulge' ELSE 'complete' END AS ring_status, count(*) AS n FROM parcels GROUP BY 1, 2",
     "type_mix": f"{E}, c AS (SELECT layer, type, count(*) AS n FROM paths GROUP BY 1, 2) SELECT layer, type, n, place FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n DESC, type) AS place FROM c) WHERE place <= 2",
     "dossier_roles": f"{E}, {_ROLE} SELECT layer, layout, entities, role FROM roles",
     "dossier_coverage": f"{E} SELECT count(*) AS in_buckets, count(*) AS in_table FROM paths",
