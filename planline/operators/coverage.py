@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from planline.operators.graph import checkpointed
 
-#: Tiles with more edges are split in four, at most so many times: edges that meet in one point cannot be parted.
-EDGES_OF_TILE, MOST_SPLITS = 48, 12
+#: Tiles with more edges are split in four, until that has so many times left more than
+#: STALLED of the edges in a part: edges that lie on one another cannot be parted.
+EDGES_OF_TILE, STALLED, MOST_STALLS = 48, 0.75, 4
 
 
 def _filed(edges: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -31,42 +32,42 @@ def _tiles(rings: DataFrame, size: float) -> DataFrame:
 def covered_slabs(rings: DataFrame, size: float) -> DataFrame:
     """Strips of ground: ``area`` and, for each value of ``side``, how many of its rings lie over it.
 
-    ``rings``: ring (id), side (0 or 1), points array<struct<x,y>>, even-odd inside. Tiles
-    of width ``size`` are split while they hold more than EDGES_OF_TILE edges, so a crowded
-    place is many tiles; equal rings are told apart by id alone and may be many.
-    Returns depth0, depth1, area.
+    ``rings``: ring (id), side (0 or 1), points array<struct<x,y>>, even-odd inside. Equal
+    rings are combined to one that counts as many. Tiles of width ``size`` are split while
+    they hold more than EDGES_OF_TILE edges and that parts them, so a crowded place is many
+    tiles. Returns depth0, depth1, area.
     """
+    rings = rings.groupBy("side", "points").agg(F.min("ring").alias("ring"), F.count(F.lit(1)).alias("times"))
     after = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
     pairs = F.arrays_zip(F.col("points").alias("p"), after.alias("q"))
-    edges = rings.where(F.size("points") >= 3).select("ring", "side", F.explode(pairs).alias("e"))
+    edges = rings.where(F.size("points") >= 3).select("ring", "side", "times", F.explode(pairs).alias("e"))
     p, q = F.col("e.p"), F.col("e.q")
     swap = p["x"] > q["x"]
     pick = lambda a, b, c: F.when(swap, b[c]).otherwise(a[c])
     edges = edges.where(p["x"] != q["x"]).select(
-        "ring", "side", pick(p, q, "x").alias("x1"), pick(p, q, "y").alias("y1"), pick(q, p, "x").alias("x2"), pick(q, p, "y").alias("y2")
+        "ring", "side", "times", pick(p, q, "x").alias("x1"), pick(p, q, "y").alias("y1"), pick(q, p, "x").alias("x2"), pick(q, p, "y").alias("y2")
     )
     edges = checkpointed(edges)
     boxes = edges.groupBy("ring").agg(
         F.min("x1").alias("minx"), F.max("x2").alias("maxx"), F.min(F.least("y1", "y2")).alias("miny"), F.max(F.greatest("y1", "y2")).alias("maxy")
     )
-    tiles = _tiles(boxes, size)
-    done = None
-    for split in range(MOST_SPLITS + 1):
+    tiles = _tiles(boxes, size).withColumns({"stalls": F.lit(0), "above": F.lit(None).cast("long")})
+    key, done = ["size", "tx", "ty"], None
+    while True:
         filed = checkpointed(_filed(edges, tiles))
-        crowded = filed.groupBy("size", "tx", "ty").count().where(F.col("count") > EDGES_OF_TILE).select("size", "tx", "ty")
-        crowded = checkpointed(crowded.limit(0) if split == MOST_SPLITS else crowded)
-        fine = filed.join(crowded, ["size", "tx", "ty"], "left_anti")
+        counts = filed.groupBy(*key).agg(F.count(F.lit(1)).alias("held"), F.max("above").alias("was"), F.max("stalls").alias("stalls"))
+        stalls = F.col("stalls") + F.coalesce(F.col("held") > STALLED * F.col("was"), F.lit(False)).cast("int")
+        crowded = checkpointed(counts.select(*key, F.col("held").alias("above"), stalls.alias("stalls")).where((F.col("above") > EDGES_OF_TILE) & (F.col("stalls") < MOST_STALLS)))
+        fine = filed.join(crowded, key, "left_anti").drop("minx", "maxx", "miny", "maxy", "stalls", "above")
         done = fine if done is None else done.unionByName(fine)
         if crowded.isEmpty():
             break
-        halves = tiles.join(crowded, ["size", "tx", "ty"]).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(3))))
-        halves = halves.select(
-            "ring", "minx", "maxx", "miny", "maxy", (F.col("size") / 2).alias("size"), (F.col("tx") * 2 + F.col("h") % 2).alias("tx"), (F.col("ty") * 2 + F.floor(F.col("h") / 2)).alias("ty")
-        )
-        meets = (F.col("minx") < (F.col("tx") + 1) * F.col("size")) & (F.col("maxx") > F.col("tx") * F.col("size"))
+        parts = tiles.drop("stalls", "above").join(crowded, key).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        parts = parts.withColumns({"size": F.col("size") / 2, "tx": F.col("tx") * 2 + F.col("h") % 2, "ty": F.col("ty") * 2 + F.floor(F.col("h") / 2)}).drop("h")
+        wide = (F.col("minx") < (F.col("tx") + 1) * F.col("size")) & (F.col("maxx") > F.col("tx") * F.col("size"))
         tall = (F.col("miny") < (F.col("ty") + 1) * F.col("size")) & (F.col("maxy") > F.col("ty") * F.col("size"))
-        tiles = checkpointed(halves.where(meets & tall))
-    return _slabs(done.drop("minx", "maxx", "miny", "maxy"))
+        tiles = checkpointed(parts.where(wide & tall))
+    return _slabs(done)
 
 
 def _slabs(filed: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def _slabs(filed: DataFrame) -> DataFrame:
     y = F.col("y1") + F.col("slope") * (F.col("middle") - F.col("x1"))
     over = over.withColumn("y", F.greatest(low, F.least(high, y)))
     slab = [*key, "from", "width"]
-    turn = F.when(F.row_number().over(Window.partitionBy(*slab, "ring").orderBy("y")) % 2 == 1, 1).otherwise(-1)
+    turn = F.col("times") * F.when(F.row_number().over(Window.partitionBy(*slab, "ring", "side").orderBy("y")) % 2 == 1, 1).otherwise(-1)
     steps = over.select(*slab, "side", "y", turn.alias("turn")).groupBy(*slab, "y").agg(
         F.sum(F.when(F.col("side") == 0, F.col("turn")).otherwise(0)).alias("turn0"), F.sum(F.when(F.col("side") == 1, F.col("turn")).otherwise(0)).alias("turn1")
     )
