@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Levels:
+    """Rows that a loop finds level by level, each kept in the shared folder once and merged seldom.
+
+    Eight parts of a rank become one of the next, so a row is written anew about once for
+    each power of eight of the levels and the plan stays short.
+    """
+
+    def __init__(self) -> None:
+        self._parts: list[tuple[int, DataFrame]] = []
+
+    def add(self, rows: DataFrame, rank: int = 0) -> None:
+        """``rows``: already checkpointed."""
+        self._parts.append((rank, rows))
+        same = [part for r, part in self._parts if r == rank]
+        if len(same) == 8:
+            self._parts = [x for x in self._parts if x[0] != rank]
+            self.add(checkpointed(reduce(DataFrame.unionByName, same)), rank + 1)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [part for _, part in self._parts])
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over edges (a, b) either way.
 
@@ -48,16 +71,18 @@ def reachable(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     until there are none; every round is checkpointed in the shared folder.
     """
     edges = checkpointed(edges.select("a", "b").distinct())
-    reached = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    last, depth = reached, 0
+    last, depth = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0))), 0
+    reached = Levels()
+    reached.add(last)
     while True:
         depth += 1
         step = edges.join(last.select(F.col("node").alias("a")), "a").select(F.col("b").alias("next")).distinct()
-        fresh = step.join(reached.select("node"), F.col("next").eqNullSafe(F.col("node")), "left_anti")
+        fresh = step.join(reached.all().select("node"), F.col("next").eqNullSafe(F.col("node")), "left_anti")
         last = checkpointed(fresh.select(F.col("next").alias("node"), F.lit(depth).alias("depth")))
         if not last.limit(1).count():
-            return reached
-        reached = checkpointed(reached.unionByName(last))
+            return reached.all()
+        reached.add(last)
+
 
 
 def revision(before: DataFrame, after: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

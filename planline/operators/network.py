@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planline.functions import geometry as G
 from planline.operators import spatial, windows
-from planline.operators.graph import connected_components
+from planline.operators.graph import checkpointed, connected_components
 
 #: The tolerance is this part of the median length, or of the greatest coordinate where that is more.
 SNAP_FRACTION, NOISE = 1e-4, 1e-12
@@ -74,3 +74,52 @@ def attachments(nodes: DataFrame, paths: DataFrame, tolerance: float, cell: floa
     near = near.withColumn("distance", G.point_segment_distance(F.col("p_x"), F.col("p_y"), a, b))
     inside = (F.col("distance") <= tolerance) & (away(a) > tolerance) & (away(b) > tolerance)
     return near.where(inside).select(F.col("p_node").alias("node"), F.col("r_handle").alias("handle"), "distance")
+
+
+#: Ends that meet in a node from which it is a junction.
+JUNCTION = 3
+
+
+def junction_spacings(clustered: DataFrame, paths: DataFrame) -> DataFrame:
+    """(handle, length, kind) of each path: spacing where both its ends are at junctions, else why it says nothing of them.
+
+    one_end (an end has no node), not_between (a node of fewer than JUNCTION ends),
+    unmeasured (both are junctions, no length).
+    """
+    degrees = clustered.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    ends_of = clustered.join(degrees, "node").groupBy("handle").agg(F.count(F.lit(1)).alias("ends"), F.min("degree").alias("least"))
+    rows = paths.select("handle", "length").join(ends_of, "handle", "left")
+    kind = (
+        F.when(F.coalesce("ends", F.lit(0)) < 2, "one_end").when(F.col("least") < JUNCTION, "not_between").when(F.col("length").isNull(), "unmeasured").otherwise("spacing")
+    )
+    return rows.select("handle", "length", kind.alias("kind"))
+
+
+def road_hierarchy(paths: DataFrame, tolerance: float) -> DataFrame:
+    """One row on a network: spacings between junctions (count, least, quartiles, most, mean, total), paths that say none, dead ends."""
+    clustered = clustered_ends(paths, tolerance)
+    rows = checkpointed(junction_spacings(clustered, paths))
+    spacing = rows.where("kind = 'spacing'")
+    sums = spacing.agg(
+        F.count(F.lit(1)).alias("spacings"), F.min("length").alias("least"), F.max("length").alias("most"), F.avg("length").alias("mean"), F.sum("length").alias("total")
+    )
+    quartiles = windows.quantiles(spacing, [], "length", {"p25": 0.25, "median": 0.5, "p75": 0.75}).drop("n")
+    excluded = rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("one_end", "not_between", "unmeasured")])
+    dead = node_degrees(clustered).agg(F.count_if(F.col("degree") == 1).alias("dead_ends"))
+    # one row each
+    return sums.join(quartiles, F.lit(True), "left").crossJoin(excluded).crossJoin(dead)
+
+
+def corridor_widths(rings: DataFrame, group: list[str]) -> DataFrame:
+    """Widths of a layer of strips by rings' area and perimeter: (group, rings, least, median, mean, most, median_length).
+
+    Of a long strip area is width times length and the perimeter twice their sum, so twice
+    the area over the perimeter is its mean width. ``median_length`` (area over width) tells
+    where that does not hold: near the width, the shape is no corridor. Rings without an
+    area or a perimeter are not measured.
+    """
+    width = 2 * F.col("area") / F.col("perimeter")
+    rows = checkpointed(rings.where("area > 0 and perimeter > 0").select(*group, width.alias("width"), (F.col("area") / width).alias("length")))
+    sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rings"), F.min("width").alias("least"), F.avg("width").alias("mean"), F.max("width").alias("most"))
+    at = windows.quantiles(rows, group, "width", {"median": 0.5}).drop("n").join(windows.quantiles(rows, group, "length", {"median_length": 0.5}).drop("n"), group)
+    return sums.join(at, group)

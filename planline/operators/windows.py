@@ -85,7 +85,7 @@ def values_at(df: DataFrame, group: list[str], value: str, ranks: dict[str, Call
     at = _beside(at, approximate, group)
 
     def bound(k: str, step: int) -> Column:
-        place = F.floor((F.col(f"rank_{k}") - 1) / F.col("n") / MARGIN).cast("int") + step
+        place = F.floor((F.col(f"rank_{k}") - 1) / F.nullif(F.col("n"), F.lit(0)) / MARGIN).cast("int") + step
         return F.get("quantiles", F.least(F.greatest(place, F.lit(0)), F.size("quantiles") - 1))
 
     lows, highs = {k: bound(k, -1).alias(f"low_{k}") for k in ranks}, {k: bound(k, 2).alias(f"high_{k}") for k in ranks}

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planline.adapter import SQL_ENTITIES as E
-from planline.adapter import SQL_SHAPES, parcels, paths, shapes, table
+from planline.adapter import SQL_SHAPES, labels, parcels, paths, shapes, table
 from planline.functions import frames
 from planline.functions import geometry as G
 from planline.functions import hexagons as X
+from planline.operators import blocks as B
 from planline.operators import copies as C
 from planline.operators import coverage as V
+from planline.operators import network as N
 from planline.operators import truth as T
+from planline.plans.queries_sources import _WAYS, _inserts, _roots
 
 _STATED = ("points", "closed", "nx", "ny", "nz", "elevation")
 
@@ -168,6 +171,33 @@ def hex_vicinity(spark, d):
     return near.join(others, ["q", "r"]).groupBy("handle", F.col("steps").cast("long").alias("steps")).agg(F.sum("n").alias("n"), F.round(F.sum("area"), 4).alias("area"))
 
 
+def _network(spark, d):
+    """Lines and arcs whose handle stands on one row, folded into a strip of 2,560 so that many meet."""
+    p = paths(spark, d)
+    lone = p.where("type in ('LINE', 'ARC')").join(p.groupBy("handle").count().where("count = 1").select("handle"), "handle")
+    return lone.withColumns({c: F.col(c) - F.floor(F.col(c) / 2560.0) * 2560.0 for c in ("ax", "bx")})
+
+
+def road_hierarchy(spark, d):
+    """Spacings between the network's junctions, and its dead ends."""
+    h = N.road_hierarchy(_network(spark, d), 0.1)
+    return h.select(*[F.round(c, 6).alias(c) if c in ("mean", "total", "p25", "median", "p75") else c for c in h.columns])
+
+
+def corridor_widths(spark, d):
+    """Widths of every layer of rings, as if they were strips."""
+    r = _ringed(spark, d).where("block.ring is not null and form <> 4").select("layer", F.abs(G.signed_area(F.col("block.ring"))).alias("area"), G.perimeter(F.col("block.ring")).alias("perimeter"))
+    w = N.corridor_widths(r, ["layer"])
+    return w.select(*[F.round(c, 6).alias(c) if c not in ("layer", "rings") else c for c in w.columns])
+
+
+def world_placement(spark, d):
+    """Texts in blocks and in the model: which coordinates are positions of the drawing, by the chain of inserts."""
+    t = labels(spark, d).select("handle", (F.col("handle") % 700).alias("container"), (F.col("handle") % 5 != 0).alias("in_block"), "x", F.when(F.col("handle") % 31 != 0, F.col("y")).alias("y"))
+    w = B.world_placed(t, B.placements(_inserts(spark, d), _roots(spark), 10_000), (0.0, 0.0, 1500.0, 1900.0))
+    return w.groupBy("space", "world").agg(F.count(F.lit(1)).alias("n"), F.sum("handle").alias("handles"))
+
+
 _WORLD = f"""WITH {SQL_SHAPES},
 unit AS (SELECT *, nx / sqrt(nx * nx + ny * ny + nz * nz) AS ux, ny / sqrt(nx * nx + ny * ny + nz * nz) AS uy, nz / sqrt(nx * nx + ny * ny + nz * nz) AS uz FROM shape_vertices),
 axis AS (SELECT *, nx = 0 AND ny = 0 AND nz = 1 AS plain, CASE WHEN abs(ux) < 1 / 64e0 AND abs(uy) < 1 / 64e0 THEN uz ELSE -uy END AS a1,
@@ -331,6 +361,20 @@ SQL = {
     "claimed_depths": _SWEPT.format(boundary="") + " SELECT CAST(depth0 AS BIGINT) AS depth, round(sum(area), 2) AS area FROM ground WHERE depth0 > 0 GROUP BY 1 HAVING round(sum(area), 2) > 0",
     "dimension_truth": _TRUTH,
     "copies_partition": _COPIES_SQL,
+    "road_hierarchy": f"""{E}, u AS (SELECT * FROM paths WHERE type IN ('LINE', 'ARC') AND handle IN (SELECT handle FROM paths GROUP BY handle HAVING count(*) = 1)),
+        x AS (SELECT handle, ax - floor(ax / 2560e0) * 2560e0 AS x, ay AS y FROM u UNION ALL SELECT handle, bx - floor(bx / 2560e0) * 2560e0, b_y FROM u), e AS (SELECT handle, round(x / 25e-1) AS gx, round(y / 25e-1) AS gy FROM x),
+        n AS (SELECT gx, gy, count(*) AS degree FROM e GROUP BY gx, gy), p AS (SELECT e.handle, min(degree) AS low FROM e JOIN n ON e.gx = n.gx AND e.gy = n.gy GROUP BY e.handle),
+        k AS (SELECT u.handle, length, low FROM u JOIN p ON u.handle = p.handle), s AS (SELECT length FROM k WHERE low >= 3 AND length IS NOT NULL)
+        SELECT count(*) AS spacings, min(length) AS least, max(length) AS most, round(avg(length), 6) AS mean, round(sum(length), 6) AS total, round(quantile_cont(length, 25e-2), 6) AS p25, round(quantile_cont(length, 5e-1), 6) AS median,
+        round(quantile_cont(length, 75e-2), 6) AS p75, CAST(0 AS BIGINT) AS one_end, (SELECT count(*) FROM k WHERE low < 3) AS not_between, (SELECT count(*) FROM k WHERE low >= 3 AND length IS NULL) AS unmeasured,
+        (SELECT count(*) FROM n WHERE degree = 1) AS dead_ends FROM s""",
+    "corridor_widths": f"""{_WORLD}, s AS (SELECT layer, 2 * abs(j.area) / round AS width, round / 2 AS length FROM judged j JOIN sums ON j.handle = sums.handle WHERE ring_status = 'complete' AND form <> 4)
+        SELECT layer, count(*) AS rings, round(min(width), 6) AS least, round(avg(width), 6) AS mean, round(max(width), 6) AS most, round(quantile_cont(width, 5e-1), 6) AS median, round(quantile_cont(length, 5e-1), 6) AS median_length FROM s GROUP BY layer""",
+    "world_placement": f"""WITH RECURSIVE {_WAYS}, q AS (SELECT DISTINCT block, s, x FROM w WHERE level > 0),
+        st AS (SELECT block, CASE WHEN bool_and(s = 1 AND x = 0) THEN 'identity' WHEN count(*) = 1 THEN 'placed' ELSE 'ambiguous' END AS status FROM q GROUP BY block),
+        {E.split(" ", 1)[1]}, t AS (SELECT l.handle, handle % 5 <> 0 AS in_block, x, CASE WHEN handle % 31 <> 0 THEN y END AS y, st.status FROM labels l LEFT JOIN st ON st.block = handle % 700)
+        SELECT CASE WHEN NOT in_block THEN 'layout' ELSE coalesce(status, 'unplaced') END AS space, NOT in_block OR (coalesce(status, '') = 'identity' AND x BETWEEN 0 AND 1500 AND coalesce(y, -1) BETWEEN 0 AND 1900) AS world,
+        count(*) AS n, CAST(sum(handle) AS BIGINT) AS handles FROM t GROUP BY 1, 2""",
     "hex_ring_cells": _HEX_RINGS,
     "hex_path_cells": _HEX_PATHS,
     "hex_use_rollup": _HEX_ROLLUP,
