@@ -89,14 +89,14 @@ def label_candidates(labels: DataFrame, shapes: DataFrame, cell: float) -> DataF
     ).select("label", "handle", "distance", "measured", "contains", "in_reach")
 
 
-def label_truth(labels: DataFrame, shapes: DataFrame, cell: float, drawing_unit: str | None = None) -> DataFrame:
+def label_truth(labels: DataFrame, shapes: DataFrame, cell: float, drawing_unit: str | None = None, given: float | None = None) -> DataFrame:
     """A row for each label: status, what it prints, what was measured, and why.
 
     ``status``: skipped (``reason`` says why; a unit other than the drawing's is not
     converted), unplaced (no point), unassociated (nothing measurable in reach), ambiguous
     (candidates differ by more than the tolerance), agrees or differs. ``tolerance`` is the
     widest of half the last printed place, what the label states, and a millionth of the
-    measure (null where nothing was measured). ``nearest`` and ``runner_up`` are the first two candidates by distance, handle
+    measure (null where nothing was measured), or the one ``given`` in the drawing's units. ``nearest`` and ``runner_up`` are the first two candidates by distance, handle
     and length; ``enclosing`` counts rings that hold the label without an edge in reach.
     """
     p = F.col("printed")
@@ -116,7 +116,7 @@ def label_truth(labels: DataFrame, shapes: DataFrame, cell: float, drawing_unit:
         at(2, "handle").alias("runner_up"), at(2, "distance").alias("runner_up_distance"), F.max("candidates").alias("candidates"), F.max("spread").alias("spread"),
     )
     rows = read.join(best.withColumnRenamed("label", "handle"), "handle", "left").join(aside.withColumnRenamed("label", "handle"), "handle", "left")
-    rows = rows.withColumn("tolerance", F.when(F.col("measured").isNotNull(), tolerance(p["decimals"], F.col("measured"), p["stated"])))
+    rows = rows.withColumn("tolerance", F.when(F.col("measured").isNotNull(), tolerance(p["decimals"], F.col("measured"), p["stated"]) if given is None else F.lit(float(given))))
     ambiguous = (F.col("candidates") > 1) & (F.col("spread") > F.col("tolerance"))
     status = (
         F.when(F.col("reason").isNotNull(), "skipped").when(F.col("x").isNull() | F.col("y").isNull(), "unplaced").when(F.col("candidates").isNull(), "unassociated")

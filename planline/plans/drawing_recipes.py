@@ -7,7 +7,7 @@ layout, type, length, ends).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,6 +19,7 @@ from planline.operators import aggregates as A
 from planline.operators import duplicates as D
 from planline.operators import network as N
 from planline.operators import spatial as S
+from planline.operators import truth as T
 from planline.operators import windows as W
 from planline.plans.recipes import Param, Recipe, Registry, default_registry
 
@@ -72,22 +73,20 @@ def junction_census(d: Drawing, layers: str, snap_tolerance: float) -> DataFrame
 
 
 def road_hierarchy(d: Drawing, layers: str, snap_tolerance: float) -> DataFrame:
-    """Layers of paths by measured length, with how many of their ends are dead: main roads come first."""
+    """How far apart the network's junctions are along its paths, what says nothing of that, and the dead ends."""
     some = _layers(d["paths"], layers)
     tolerance = N.snap_tolerance(some).first().tolerance if snap_tolerance < 0 else snap_tolerance
-    ends = N.clustered_ends(some, tolerance)
-    dead = ends.join(N.node_degrees(ends).where("degree = 1").select("node"), "node").join(some.select("handle", "layer").distinct(), "handle")
-    dead = dead.groupBy("layer").agg(F.count(F.lit(1)).alias("dead_ends"))
-    sums = A.measure(some, ["layer"], "length").select("layer", "matched", "measured", "sum_measured_only")
-    return sums.join(dead, "layer", "left").withColumn("dead_ends", F.coalesce("dead_ends", F.lit(0)))
+    return N.road_hierarchy(some, tolerance)
 
 
-def dimension_truth(d: Drawing, label_layers: str, geometry_layers: str, tolerance: float) -> DataFrame:
-    labels = _layers(d["labels"], label_layers).select("handle", "text", "x", "y")
-    rings = _layers(d["parcels"], geometry_layers).select("handle", "w", "h", *RING[3:])
-    pairs = S.points_in_rings(labels, rings, CELL).withColumn("printed", F.col("p_text").try_cast("double")).where("printed is not null")
-    away = F.least(F.abs(F.col("printed") - F.col("r_w")), F.abs(F.col("printed") - F.col("r_h")))
-    return pairs.select("p_handle", "r_handle", "printed", F.when(away <= tolerance, "agrees").otherwise("differs").alias("verdict"))
+def dimension_truth(d: Drawing, label_layers: str, geometry_layers: str, search_radius: float, tolerance: float) -> DataFrame:
+    """Every label against the edges and paths within the radius; a tolerance below 0 is taken from what each label prints."""
+    labels = _layers(d["labels"], label_layers).select("handle", "text", "x", "y", F.lit(search_radius).alias("radius"))
+    rings = _layers(d["parcels"], geometry_layers).select("handle", F.col("ring").alias("points"), G.edge_lengths(F.col("ring")).alias("edges"), G.perimeter(F.col("ring")).alias("length"), *RING[3:7])
+    box = (("minx", F.least("ax", "bx")), ("miny", F.least("ay", "b_y")), ("maxx", F.greatest("ax", "bx")), ("maxy", F.greatest("ay", "b_y")))
+    none = lambda c: F.lit(None).cast(dict(rings.dtypes)[c]).alias(c)
+    lines = _layers(d["paths"], geometry_layers).select((-F.col("handle") - 1).alias("handle"), none("points"), none("edges"), "length", *[v.alias(c) for c, v in box])
+    return T.label_truth(labels, rings.unionByName(lines), CELL, given=None if tolerance < 0 else tolerance)
 
 
 def drafting_hygiene(d: Drawing, working_layer: str) -> DataFrame:
@@ -137,8 +136,8 @@ def drawing_registry() -> Registry:
         ("coverage_gap", coverage_gap, (layers("number_layer"), layers("parcel_layers")), "handle", "Labels that stand in no parcel."),
         ("frontage_check", frontage_check, (layers("parcel_layers"), Param("road_layers"), Param("touch_tolerance", "number", 1.0)), None, "Whether each parcel's outline comes to a road's."),
         ("junction_census", junction_census, (layers("layers"), tolerance), None, "Nodes of the network by how many ends meet."),
-        ("road_hierarchy", road_hierarchy, (layers("layers"), tolerance), None, "Layers of paths by length and dead ends."),
-        ("dimension_truth", dimension_truth, (layers("label_layers"), layers("geometry_layers"), Param("tolerance", "number", 0.5)), None, "Printed numbers against the sides of the parcel they stand in."),
+        ("road_hierarchy", road_hierarchy, (layers("layers"), tolerance), None, "How far apart junctions are along the network, and its dead ends."),
+        ("dimension_truth", dimension_truth, (layers("label_layers"), layers("geometry_layers"), Param("search_radius", "number", 2.0), Param("tolerance", "number", -1.0)), None, "Printed numbers against the edges and paths in reach; paths have handles below 0."),
         ("drafting_hygiene", drafting_hygiene, (Param("working_layer", "text", "0"),), None, "What was left on the working layer."),
         ("cross_check_classification", cross_check_classification, (layers("layers"), Param("least_area", "number", 0.0), Param("most_area", "number", 1e12)), "handle", "Parcels found by shape, by layer or by both."),
         ("vicinity", vicinity, (Param("subject_layers"), Param("radius", "number", 100.0)), "handle", "Parcels near those of some layers."),
@@ -172,21 +171,29 @@ class Envelope:
         return self
 
 
-#: Where a finding is empty another recipe may settle the question: the recipe and its parameters.
-RETRY: dict[str, tuple[str, dict]] = {"outliers": ("outliers", {"z": 2.0}), "containment": ("adjacency", {"gap_max": 0.0})}
+#: Where a finding is empty another recipe may settle the question: the recipe and what it is asked, given what the first
+#: was (None: there is nothing wider to ask).
+RETRY: dict[str, tuple[str, Callable[[dict], dict | None]]] = {
+    "outliers": ("outliers", lambda was: {**was, "z": 2.0} if was["z"] > 2.0 else None),
+    "containment": ("adjacency", lambda was: {"layers": was["outer_layer"], "gap_max": 0.0}),
+}
 
 
 def answer(registry: Registry, drawing: Drawing, name: str, params: dict | None = None, scope_note: str = "the whole drawing", heal: bool = True) -> Envelope:
     """Run a recipe and audit its envelope; an empty finding runs its retry once, and both answers are kept.
 
-    The answer of a retry is marked as not settled: it was asked with other parameters.
+    The answer of a retry is marked as not settled: it was asked with other parameters. A
+    retry that would ask for less than the first answer gave is not run.
     """
     recipe, bound = registry.bind(name, params or {})
     first = Envelope(name, recipe.says, dict(sorted(bound.items())), scope_note, recipe.run(drawing, **bound)).audit()
     if not heal or recipe.finding is None or name not in RETRY or first.rows.limit(1).count():
         return first
-    other, changed = RETRY[name]
-    again = answer(registry, drawing, other, {**({k: v for k, v in (params or {}).items()} if other == name else {}), **changed}, scope_note, heal=False)
+    other, asked = RETRY[name]
+    wider = asked(bound)
+    if wider is None:
+        return first
+    again = answer(registry, drawing, other, wider, scope_note, heal=False)
     first.settled = again.settled = False
     again.before = first
     return again

@@ -42,6 +42,18 @@ def test_an_empty_finding_is_asked_once_more(drawing):
     assert R.answer(registry, drawing, "outliers", {"z": 1.0}).before is None
 
 
+def test_a_retry_never_asks_for_less(drawing):
+    few = {"parcels": drawing["parcels"].limit(1)}
+    said = R.answer(R.drawing_registry(), few, "outliers", {"z": 1.5})
+    assert said.before is None and said.settled and said.params_used["z"] == 1.5
+
+
+def test_dimensions_with_a_given_tolerance(drawing):
+    registry = R.drawing_registry()
+    said = [R.answer(registry, drawing, "dimension_truth", {"search_radius": 3.0, "tolerance": t}).rows for t in (-1.0, 1e9)]
+    assert said[0].count() == drawing["labels"].count() and said[1].where("status in ('differs', 'ambiguous')").count() == 0
+
+
 def test_bad_envelopes_are_refused(drawing):
     good = R.Envelope("a", "b", {}, "c", drawing["labels"])
     assert good.audit() is good
