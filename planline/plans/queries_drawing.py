@@ -15,6 +15,7 @@ from planline.operators import coverage as V
 from planline.operators import network as N
 from planline.operators import truth as T
 from planline.plans.queries_sources import _WAYS, _inserts, _roots
+from planline.streaming import arrivals
 
 _STATED = ("points", "closed", "nx", "ny", "nz", "elevation")
 
@@ -198,6 +199,19 @@ def world_placement(spark, d):
     return w.groupBy("space", "world").agg(F.count(F.lit(1)).alias("n"), F.sum("handle").alias("handles"))
 
 
+#: Stages that end a run, and how.
+ENDED = {"purchase": "done", "error": "failed"}
+
+
+def closed_runs(spark, d):
+    """Runs (users' events) parted where nothing is heard for half an hour, those that the last event's time leaves closed."""
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    runs = arrivals.closed_runs(e, "user_id", "event_type", "30 minutes", ENDED)
+    now = e.agg((F.max("ts") - F.expr("INTERVAL 30 MINUTES")).alias("now"))
+    closed = runs.join(now, F.col("last") <= F.col("now"))  # one row
+    return closed.select("user_id", F.unix_seconds("began").alias("began"), F.unix_seconds("last").alias("last"), "events", "stage", "state")
+
+
 _WORLD = f"""WITH {SQL_SHAPES},
 unit AS (SELECT *, nx / sqrt(nx * nx + ny * ny + nz * nz) AS ux, ny / sqrt(nx * nx + ny * ny + nz * nz) AS uy, nz / sqrt(nx * nx + ny * ny + nz * nz) AS uz FROM shape_vertices),
 axis AS (SELECT *, nx = 0 AND ny = 0 AND nz = 1 AS plain, CASE WHEN abs(ux) < 1 / 64e0 AND abs(uy) < 1 / 64e0 THEN uz ELSE -uy END AS a1,
@@ -375,6 +389,11 @@ SQL = {
         {E.split(" ", 1)[1]}, t AS (SELECT l.handle, handle % 5 <> 0 AS in_block, x, CASE WHEN handle % 31 <> 0 THEN y END AS y, st.status FROM labels l LEFT JOIN st ON st.block = handle % 700)
         SELECT CASE WHEN NOT in_block THEN 'layout' ELSE coalesce(status, 'unplaced') END AS space, NOT in_block OR (coalesce(status, '') = 'identity' AND x BETWEEN 0 AND 1500 AND coalesce(y, -1) BETWEEN 0 AND 1900) AS world,
         count(*) AS n, CAST(sum(handle) AS BIGINT) AS handles FROM t GROUP BY 1, 2""",
+    "closed_runs": """WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior FROM events),
+        r AS (SELECT *, sum(CASE WHEN prior IS NULL OR ts - prior >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM l),
+        g AS (SELECT user_id, min(ts) AS began, max(ts) AS last, count(*) AS events, arg_max(event_type, (ts, event_id)) AS stage, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('purchase', 'error')) AS said FROM r GROUP BY user_id, run)
+        SELECT user_id, CAST(floor(epoch(began)) AS BIGINT) AS began, CAST(floor(epoch(last)) AS BIGINT) AS last, events, stage, CASE said WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'abandoned' END AS state
+        FROM g WHERE last <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""",
     "hex_ring_cells": _HEX_RINGS,
     "hex_path_cells": _HEX_PATHS,
     "hex_use_rollup": _HEX_ROLLUP,

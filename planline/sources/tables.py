@@ -67,7 +67,7 @@ def write_entities(entities: DataFrame, path: str, facts: dict[str, str] | None
     part = F.pmod(F.xxhash64("handle"), F.lit(PARTS_OF_DRAWING))
     ordered = entities.repartition("drawing_id", part).sortWithinPartitions("drawing_id", "layout", "layer", "type", "handle")
     ordered.write.mode("error").partitionBy("drawing_id").parquet(f"{path}/rows/version={version}")
-    counts = spark.read.parquet(f"{path}/rows/version={version}").groupBy(F.col("drawing_id").cast("string").alias("drawing_id")).count()
+    counts = spark.read.schema(entities.schema).parquet(f"{path}/rows/version={version}").groupBy(F.col("drawing_id").cast("string").alias("drawing_id")).count()
     facts = facts or {}
     # a row for each drawing of one write
     changes = [{"drawing_id": r.drawing_id, "version": version, "entities": r["count"], "catalog": facts.get(r.drawing_id)} for r in counts.toLocalIterator()]
