@@ -47,11 +47,23 @@ class Levels:
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over edges (a, b) either way.
 
-    Labels fall to the least neighbour's, and then to that label's own label, so paths
-    halve in each round; every round is checkpointed in the shared folder.
+    Nodes without an edge, and pairs that hang on nothing else, are settled at once; only
+    what is left goes round: labels fall to the least neighbour's, and then to that label's
+    own label, so paths halve in each round, and every round is checkpointed in the shared folder.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(nodes.select("node", F.col("node").alias("component")))
+    apart = edges.where("a <> b")
+    both = checkpointed(apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("low"))
+    other = degrees.select(F.col("a").alias("low"), F.col("degree").alias("low_degree"))
+    known = nodes.select("node").join(degrees, F.col("node") == F.col("a"), "left").join(other, "low", "left")
+    pair = (F.col("degree") == 1) & (F.col("low_degree") == 1)
+    known = checkpointed(known.select("node", F.when(F.col("degree").isNull(), F.col("node")).when(pair, F.least("node", "low")).alias("component")))
+    settled = known.where("component is not null")
+    label = known.where("component is null").select("node", F.col("node").alias("component"))
+    if not label.limit(1).count():
+        return settled
+    label = checkpointed(label)
+    both = checkpointed(both.join(label.select(F.col("node").alias("a")), "a", "left_semi"))
     while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("low"))
         fresh = label.join(near, label.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
@@ -61,7 +73,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         changed = after.where("after <> component").limit(1).count()
         label = after.select("node", F.col("after").alias("component"))
         if not changed:
-            return label
+            return settled.unionByName(label)
 
 
 def reachable(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
