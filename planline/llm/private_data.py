@@ -215,22 +215,24 @@ def _date(text: str, key: bytes) -> str | None:
 
 def _email(text: str, key: bytes) -> str:
     name, _, host = text.rpartition("@")
-    return f"{_letters(name, key, b'email')}@{_letters(host[: host.rindex('.')], key, b'host')}{host[host.rindex('.') :]}"
+    name = _blocks(name, b"email", lambda t, tweak: _letters(t, key, tweak))
+    return f"{name}@{_letters(host[: host.rindex('.')], key, b'host')}{host[host.rindex('.') :]}"
 
 
 _FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24})"
-    r"|(?P<secret_at>(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?))(?P<secret>[A-Za-z0-9_\-+/.]{8,})"
+    # a name is the whole run before the @, of any length and in any script; signs before it stay
+    r"(?P<mail_at>(?<![\w.%+\-])[.%+\-]*+)(?P<email>\w[\w.%+\-]*+(?<=\w)@(?:[\w\-]+\.)+[^\W\d_]{2,24})"
+    r"|(?P<secret_at>(?i:\b(?:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)\b[\"']?\s*+[=:]\s*+[\"']?))(?P<secret>[A-Za-z0-9_\-+/.]{8,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
     r"|(?P<date>(?<!\d)(?:\d{4}(?P<mark1>[\-/.])\d{1,2}(?P=mark1)\d{1,2}|\d{1,2}(?P<mark2>[\-/.])\d{1,2}(?P=mark2)\d{4})(?!\d))"
     r"|(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
     r"|(?P<phone>(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|(?<!\d)\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<!\d)\+\d{10,14}(?!\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<mark3>[ \-])\d{4}(?P=mark3)\d{4}(?P=mark3)\d{1,7}|\d{4}(?P<mark4>[ \-])\d{6}(?P=mark4)\d{5})(?!\d))"
-    r"|(?P<access>(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9\-]{16,}(?![A-Za-z0-9]))"
+    r"|(?P<access>(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-)[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{8,}){2}))"
 )
 #: The start of an access key names its kind and stays.
-_KEY_START = re.compile(r"AKIA|ASIA|ghp_|sk-|xox[bp]-")
+_KEY_START = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|eyJ")
 
 
 def _access(text: str, key: bytes) -> str:
@@ -240,7 +242,7 @@ def _access(text: str, key: bytes) -> str:
 
 _WORK = {"access": _access, "email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
 #: Without one of these no pattern can match.
-_HINT = re.compile(r"[@0-9]|(?i:token|secret|passw|key)|AKIA|ASIA|ghp_|sk-|xox")
+_HINT = re.compile(r"[@0-9]|(?i:token|secret|passw|key)|AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox|eyJ")
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple[str, int, int]]]:
@@ -259,7 +261,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int], list[tuple
             return m[0]
         counts[kind] = counts.get(kind, 0) + 1
         spans.append((kind, m.start(group), m.end(group)))
-        return (m["secret_at"] or "") + new
+        return (m["secret_at"] or m["mail_at"] or "") + new
 
     return _FIND.sub(put, text), counts, spans
 

@@ -89,3 +89,31 @@ def test_wide_values_are_permuted_whole():
             new = private_data.permute(v, 1 << bits, b"k", b"t")
             assert private_data.permute(new, 1 << bits, b"k", b"t", back=True) == v
             assert bits * 0.35 < (new ^ v).bit_count() < bits * 0.65 and (new ^ v) >> (bits - 100)
+
+
+LONGEST = [
+    ("sk-", "proj-AbCdEfGhIjKlMnOpQrSt_UvWxYz0123456789abcd"), ("github_pat_", "11ABCDEFG0abcdefghij_KLMNOPqrstuvwxyz0123456789ABCD"), ("ghs_", "a1B2" * 20), ("", "name" * 40 + "@example.com"),
+    ("", "müllersmann.johannes@example.com"), ("token    = ", "Abc123Def456Ghi789"), ("Bearer eyJ", "hbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP_mB92K27uhbUJU1p1r"), ("", "x." * 3000 + "y@example.com"),
+]
+
+
+def test_no_found_value_keeps_a_run_of_its_letters():
+    from planline.llm.private_data import pseudonymise
+
+    for start, value in LONGEST:
+        text = f"see {start}{value} now"
+        new, counts, _ = pseudonymise(text, b"k")
+        assert len(new) == len(text) and sum(counts.values()) == 1 and new.startswith(f"see {start}") and new.endswith(" now")
+        kept = value.split("@")[0]
+        own = new[len(f"see {start}") :]
+        same = [a == b and a.isalnum() and a.isascii() for a, b in zip(kept, own)]
+        assert not any(all(same[k : k + 6]) for k in range(len(same) - 6)), new
+
+
+def test_signs_before_a_mailbox_stay_and_long_runs_take_linear_time():
+    from planline.llm.private_data import pseudonymise
+
+    new, counts, spans = pseudonymise("-- ..anna.b@example.org, __", b"k")
+    assert new.startswith("-- ..") and counts == {"email": 1} and spans[0][1] == 5
+    for text in ("a." * 300_000 + "1", "-" * 500_000 + "1", "é" * 500_000 + "1@", "token" + " " * 300_000 + "1"):
+        assert pseudonymise(text, b"k")[0] == text
