@@ -13,6 +13,7 @@ from planline.operators import blocks as B
 from planline.operators import copies as C
 from planline.operators import coverage as V
 from planline.operators import network as N
+from planline.operators import schedules as H
 from planline.operators import truth as T
 from planline.plans.queries_sources import _WAYS, _inserts, _roots
 from planline.streaming import arrivals
@@ -212,6 +213,17 @@ def closed_runs(spark, d):
     return closed.select("user_id", F.unix_seconds("began").alias("began"), F.unix_seconds("last").alias("last"), "events", "stage", "state")
 
 
+_CELLS = """SELECT CAST(b % 3 AS BIGINT) AS drawing_id, CAST(floor(b / 3) AS BIGINT) AS "table", CAST(floor(j) AS BIGINT) AS "row", CAST(v.k AS BIGINT) AS "column",
+CASE v.k WHEN 0 THEN concat(' P-', CAST(c_custkey % 400 AS VARCHAR(9)), ' ') WHEN 1 THEN c_mktsegment WHEN 2 THEN CASE WHEN j = 0 THEN 'AREA' ELSE concat('1,', CAST(100 + c_custkey % 800 AS VARCHAR(9)), '.5') END ELSE CAST(c_nationkey AS VARCHAR(9)) END AS text
+FROM (SELECT *, floor(c_custkey / 24e0) AS b, c_custkey % 24 AS j FROM {customer}) c JOIN (VALUES (0), (1), (2), (3)) AS v(k) ON v.k < CASE WHEN b % 5 = 1 THEN 4 ELSE 3 END"""
+
+
+def schedules(spark, d):
+    """What the drawings' schedules, each drawn as several tables, say of every item."""
+    cells = spark.sql(_CELLS.replace('"', "`"), customer=table(spark, d, "customer"))
+    return H.schedule(H.merged_grids(cells))
+
+
 _WORLD = f"""WITH {SQL_SHAPES},
 unit AS (SELECT *, nx / sqrt(nx * nx + ny * ny + nz * nz) AS ux, ny / sqrt(nx * nx + ny * ny + nz * nz) AS uy, nz / sqrt(nx * nx + ny * ny + nz * nz) AS uz FROM shape_vertices),
 axis AS (SELECT *, nx = 0 AND ny = 0 AND nz = 1 AS plain, CASE WHEN abs(ux) < 1 / 64e0 AND abs(uy) < 1 / 64e0 THEN uz ELSE -uy END AS a1,
@@ -394,6 +406,14 @@ SQL = {
         g AS (SELECT user_id, min(ts) AS began, max(ts) AS last, count(*) AS events, arg_max(event_type, (ts, event_id)) AS stage, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('purchase', 'error')) AS said FROM r GROUP BY user_id, run)
         SELECT user_id, CAST(floor(epoch(began)) AS BIGINT) AS began, CAST(floor(epoch(last)) AS BIGINT) AS last, events, stage, CASE said WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'abandoned' END AS state
         FROM g WHERE last <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""",
+    "schedules": f"""WITH cells AS ({_CELLS.format(customer='customer')}),
+        t AS (SELECT drawing_id, "table", max("column") + 1 AS width, max("row") + 1 AS n FROM cells GROUP BY 1, 2),
+        u AS (SELECT drawing_id, width, row_number() OVER (PARTITION BY drawing_id ORDER BY sum(n) DESC, min("table")) AS rn FROM t GROUP BY 1, 2),
+        s AS (SELECT t.drawing_id, "table", coalesce(sum(n) OVER (PARTITION BY t.drawing_id ORDER BY "table" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t JOIN u ON t.drawing_id = u.drawing_id AND t.width = u.width AND rn = 1),
+        g AS (SELECT c.drawing_id, start + "row" AS place, "column" AS k, text, TRY_CAST(replace(trim(text), ',', '') AS DOUBLE) AS v FROM cells c JOIN s ON c.drawing_id = s.drawing_id AND c."table" = s."table"),
+        m AS (SELECT drawing_id, k, row_number() OVER (PARTITION BY drawing_id ORDER BY count(v) DESC, k) AS rn FROM g WHERE k > 0 GROUP BY 1, 2),
+        r AS (SELECT a.drawing_id, a.place, trim(a.text) AS item, b.v FROM g a JOIN g b ON a.drawing_id = b.drawing_id AND a.place = b.place AND a.k = 0 AND b.v IS NOT NULL JOIN m ON m.drawing_id = b.drawing_id AND m.k = b.k AND rn = 1)
+        SELECT drawing_id, item, arg_min(v, place) AS value, CAST(min(place) AS BIGINT) AS place, count(*) AS times FROM r GROUP BY 1, 2""",
     "hex_ring_cells": _HEX_RINGS,
     "hex_path_cells": _HEX_PATHS,
     "hex_use_rollup": _HEX_ROLLUP,
