@@ -1,8 +1,8 @@
-"""DXF text files as entity rows, one file a task.
+"""DXF text files as entity rows.
 
-A DXF file is pairs of lines, a group code and a value. ``read_dxf`` reads files through
-Spark (any store it can open), parses each whole file in one task and returns one row
-for each top-level entity of the ENTITIES section and of named blocks.
+A DXF file is pairs of lines, a group code and a value. ``read_dxf`` deals files to tasks by
+byte ranges (:mod:`planline.sources.ranges`) and returns one row for each top-level entity
+of the ENTITIES section and of named blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from planline.sources import ranges
+
 ENTITY_DDL = (
     "drawing_id string, path string, handle string, type string, layer string, layout string, block_name string, text string, "
     "length double, area double, ring_status string, ring array<struct<x:double,y:double>>, anchor_point struct<x:double,y:double>, "
@@ -136,10 +138,21 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def read_dxf(spark: SparkSession, path: str) -> DataFrame:
-    """Entity rows of all files under a path or glob."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_parse, ENTITY_DDL)
+#: Kinds that are no entities of their own.
+_FRAMES = ("SECTION", "BLOCK", "ENDBLK", "ENDSEC", "SEQEND", "VERTEX")
+
+
+def entity_rows(f: ranges.Fragment) -> Iterator[dict]:
+    """The row of a fragment of the ENTITIES section or of a block; values that cannot be read are left out of it."""
+    if f.section in ("ENTITIES", "BLOCKS") and f.kind not in _FRAMES and (f.section == "ENTITIES" or f.block):
+        yield entity(f.kind, ranges.repaired(f).items, "Model" if f.section == "ENTITIES" else f"[block] {f.block}")
+
+
+def read_dxf(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
+    """Entity rows of all files under a path or glob, by byte ranges; damage is read past (:func:`ranges.read_issues`)."""
+    ddl = ENTITY_DDL.replace("drawing_id string, path string, ", "")
+    rows = ranges.read_fragments(spark, path, entity_rows, ddl, split_bytes)
+    return rows.join(ranges.drawing_ids(spark, path), "path").select("drawing_id", *rows.columns)
 
 
 def drawn_tables(text: str) -> Iterator[tuple[int, int, int, str]]:
