@@ -8,7 +8,6 @@ of the ENTITIES section and of named blocks.
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 from collections.abc import Iterator
 
@@ -155,153 +154,90 @@ def read_dxf(spark: SparkSession, path: str, split_bytes: int = ranges.SPLIT_BYT
     return rows.join(ranges.drawing_ids(spark, path), "path").select("drawing_id", *rows.columns)
 
 
-def drawn_tables(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(table, row, column, text) of ACAD_TABLE cells: 91 rows, 92 columns, 302 or 1 the cells in row order."""
-    number, kind, rows, columns, cell = -1, None, 0, 0, 0
-    for code, value in pairs(text):
-        if code == 0:
-            kind = value
-            if kind == "ACAD_TABLE":
-                number, rows, columns, cell = number + 1, 0, 0, 0
-        elif kind == "ACAD_TABLE":
-            if code == 91 and not rows:
-                rows = int(value)
-            elif code == 92 and not columns:
-                columns = int(value)
-            elif code in (1, 302) and columns and cell < rows * columns:
-                yield number, cell // columns, cell % columns, value
-                cell += 1
-
-
 # Group codes of the dictionary tables. 70 of a layer: 1 frozen, 4 locked; a negative colour (62) is off; 290 = 0 is not plotted.
 _TABLES = ("LAYER", "STYLE", "LTYPE", "DIMSTYLE")
 
 
-def dictionary(text: str) -> Iterator[dict]:
-    """Layers, text styles, linetypes and dimension styles: kind, name, font, frozen, off, locked, plots."""
-    section, kind, items = None, None, []
+def _whole(text: str | None, missing: int) -> int:
+    """A whole number, ``missing`` where none can be read."""
+    return int(text) if text is not None and text.lstrip("-").isdigit() else missing
 
-    def done():
-        first = lambda code: next((v for c, v in items if c == code), None)
-        if section == "TABLES" and kind in _TABLES and first(2) is not None:
-            flags = int(first(70) or 0)
-            layer = kind == "LAYER"
-            yield {
-                "kind": kind, "name": first(2), "font": first(3) if kind == "STYLE" else None, "frozen": bool(flags & 1) if layer else None,
-                "off": int(first(62) or 7) < 0 if layer else None, "locked": bool(flags & 4) if layer else None, "plots": first(290) != "0" if layer else None,
-            }
 
-    for code, value in pairs(text):
-        if code == 0:
-            yield from done()
-            kind, items = value, []
-            if value == "ENDSEC":
-                section = None
-            continue
-        if kind == "SECTION" and code == 2:
-            section = value
-        items.append((code, value))
-    yield from done()
-
-
-def header(text: str) -> dict[str, str]:
-    """Header variables by name; of a point the coordinates, joined by blanks."""
-    out: dict[str, str] = {}
-    section, kind, name = None, None, None
-    for code, value in pairs(text):
-        if code == 0:
-            kind = value
-            if value == "ENDSEC" and section == "HEADER":
-                break
-        elif kind == "SECTION" and code == 2 and section is None:
-            section = value
-        elif section == "HEADER" and code == 9:
-            name = value
-        elif section == "HEADER" and name:
-            out[name] = f"{out[name]} {value}" if name in out else value
-        elif section != "HEADER" and code == 2 and kind == "SECTION":
-            section = value
-    return out
+def dictionary(f: ranges.Fragment) -> Iterator[dict]:
+    """Layers, text styles, linetypes and dimension styles: kind, name, font, frozen, off, locked, plots."""
+    if f.section == "TABLES" and f.kind in _TABLES and f.first(2) is not None:
+        flags, layer = _whole(f.first(70), 0), f.kind == "LAYER"
+        yield {
+            "kind": f.kind, "name": f.first(2), "font": f.first(3) if f.kind == "STYLE" else None, "frozen": bool(flags & 1) if layer else None,
+            "off": _whole(f.first(62), 7) < 0 if layer else None, "locked": bool(flags & 4) if layer else None, "plots": f.first(290) != "0" if layer else None,
+        }
+
+
+def header(f: ranges.Fragment) -> Iterator[dict]:
+    """Header variables, name and value; of a point the coordinates, joined by blanks."""
+    if f.kind != "SECTION" or f.section != "HEADER":
+        return
+    name, values = None, []
+    for code, value in [*f.items, (9, "")]:
+        if code == 9:
+            if name and values:
+                yield {"name": name, "value": " ".join(values)}
+            name, values = value, []
+        else:
+            values.append(value)
 
 
-def block_records(text: str) -> Iterator[dict]:
+def block_records(f: ranges.Fragment) -> Iterator[dict]:
     """Block definitions: name, base point, and the file of an external reference (flags 4 or 8) with whether it is an overlay."""
-    kind, items = None, []
-
-    def done():
-        first = lambda code: next((v for c, v in items if c == code), None)
-        if kind == "BLOCK" and first(2) is not None:
-            flags = int(first(70) or 0)
-            yield {"name": first(2), "x": float(first(10) or 0), "y": float(first(20) or 0), "xref": first(1) or None if flags & 12 else None, "overlay": bool(flags & 8)}
+    if f.kind == "BLOCK" and f.first(2) is not None:
+        f = ranges.repaired(f)
+        flags = _whole(f.first(70), 0)
+        yield {"name": f.first(2), "x": float(f.first(10) or 0), "y": float(f.first(20) or 0), "xref": f.first(1) or None if flags & 12 else None, "overlay": bool(flags & 8)}
 
-    for code, value in pairs(text):
-        if code == 0:
-            yield from done()
-            kind, items = value, []
-        else:
-            items.append((code, value))
-    yield from done()
 
-
-def inserts(text: str) -> Iterator[dict]:
+def inserts(f: ranges.Fragment) -> Iterator[dict]:
     """INSERTs with their move: container, block, x, y, angle (radians), sx, sy; one for each row and column of an array."""
-    section, block, kind, items = None, None, None, []
-
-    def done():
-        if kind != "INSERT" or section not in ("ENTITIES", "BLOCKS"):
-            return
-        number = lambda code, missing=0.0: float(next((v for c, v in items if c == code), missing))
-        name = next((v for c, v in items if c == 2), None)
-        angle = math.radians(number(50))
-        container = "Model" if section == "ENTITIES" else f"[block] {block}"
-        for i in range(max(1, int(number(71, 1)))):
-            for j in range(max(1, int(number(70, 1)))):
-                across, up = j * number(44), i * number(45)
-                x = number(10) + across * math.cos(angle) - up * math.sin(angle)
-                y = number(20) + across * math.sin(angle) + up * math.cos(angle)
-                yield {"container": container, "block": f"[block] {name}", "x": x, "y": y, "angle": angle, "sx": number(41, 1.0), "sy": number(42, 1.0)}
-
-    for code, value in pairs(text):
-        if code == 0:
-            yield from done()
-            kind, items = value, []
-            if value in ("ENDSEC", "EOF"):
-                section = None
-            continue
-        if kind == "SECTION" and code == 2:
-            section = value
-        elif kind == "BLOCK" and code == 2 and not any(c == 2 for c, _ in items):
-            block = value
-        items.append((code, value))
-    yield from done()
+    if f.kind != "INSERT" or f.section not in ("ENTITIES", "BLOCKS"):
+        return
+    f = ranges.repaired(f)
+    number = lambda code, missing=0.0: float(f.first(code) or missing)
+    angle = math.radians(number(50))
+    container = "Model" if f.section == "ENTITIES" else f"[block] {f.block}"
+    for i in range(max(1, _whole(f.first(71), 1))):
+        for j in range(max(1, _whole(f.first(70), 1))):
+            across, up = j * number(44), i * number(45)
+            x = number(10) + across * math.cos(angle) - up * math.sin(angle)
+            y = number(20) + across * math.sin(angle) + up * math.cos(angle)
+            yield {"container": container, "block": f"[block] {f.first(2)}", "x": x, "y": y, "angle": angle, "sx": number(41, 1.0), "sy": number(42, 1.0)}
+
+
+def table_cells(f: ranges.Fragment) -> Iterator[dict]:
+    """Cells of an ACAD_TABLE (91 rows, 92 columns, 302 or 1 the cells in row order) with the line where the table begins."""
+    if f.kind != "ACAD_TABLE":
+        return
+    rows, columns, cell = 0, 0, 0
+    for code, value in f.items:
+        if code == 91 and not rows:
+            rows = _whole(value, 0)
+        elif code == 92 and not columns:
+            columns = _whole(value, 0)
+        elif code in (1, 302) and columns and cell < rows * columns:
+            yield {"number": f.line, "row": cell // columns, "column": cell % columns, "text": value}
+            cell += 1
 
 
 #: What each reader of :func:`read_parts` yields.
 _PARTS = {
     "dictionary": (dictionary, "kind string, name string, font string, frozen boolean, off boolean, locked boolean, plots boolean"),
-    "header": (lambda text: ({"name": k, "value": v} for k, v in header(text).items()), "name string, value string"),
+    "header": (header, "name string, value string"),
     "blocks": (block_records, "name string, x double, y double, xref string, overlay boolean"),
     "inserts": (inserts, "container string, block string, x double, y double, angle double, sx double, sy double"),
-    "tables": (lambda text: (dict(zip(("number", "row", "column", "text"), c)) for c in drawn_tables(text)), "number int, row int, column int, text string"),
+    "tables": (table_cells, "number long, row int, column int, text string"),
 }
 
 
-def read_parts(spark: SparkSession, path: str, part: str) -> DataFrame:
-    """drawing_id, path and the rows of one part of all files: dictionary, header, blocks, inserts or tables."""
+def read_parts(spark: SparkSession, path: str, part: str, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
+    """drawing_id, path and the rows of one part of all files: dictionary, header, blocks, inserts or tables (numbered by the line where they begin)."""
     rows_of, ddl = _PARTS[part]
-    ddl = f"drawing_id string, path string, {ddl}"
-    schema = spark.createDataFrame([], ddl)._jdf.schema().json()
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        arrow = to_arrow_schema(StructType.fromJson(json.loads(schema)))
-        for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                base = {"drawing_id": drawing_id(data), "path": file}
-                rows = [base | r for r in rows_of(data.decode("utf-8", "replace"))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, ddl)
+    rows = ranges.read_fragments(spark, path, rows_of, ddl, split_bytes)
+    return rows.join(ranges.drawing_ids(spark, path), "path").select("drawing_id", *rows.columns)

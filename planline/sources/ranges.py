@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 SPLIT_BYTES = 16 << 20
 #: Tasks a pass is dealt to at most; beyond, a task reads several ranges one after the other.
 MOST_TASKS = 100_000
+#: Bytes of binary columns that a task gathers before it hands rows on.
+MOST_HELD = 8 << 20
 _BLOCK = 1 << 20
 
 #: Drawing errors: what is wrong with a pair, and whether it was read all the same.
@@ -57,7 +59,7 @@ def open_file(path: str):
         return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/") if scheme == "file" else path)
     from urllib.parse import quote
 
-    store, place = fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+    store, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
     return store.open_input_file(place)
 
 
@@ -230,12 +232,15 @@ def read_fragments(spark: SparkSession, path: str, rows_of: Callable[[Fragment],
         for batch in batches:
             for r in batch.to_pylist():
                 rows: list[dict] = []
+                held = 0
                 with open_file(r["path"]) as file:
                     for f in fragments(file, r["start"], r["end"], r["before"], r["section"], r["block"]):
-                        rows += [{"path": r["path"]} | row for row in rows_of(f)]
-                        if len(rows) >= 4096:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows = []
+                        for row in rows_of(f):
+                            rows.append({"path": r["path"]} | row)
+                            held += len(row.get("data") or b"")
+                            if len(rows) >= 4096 or held >= MOST_HELD:
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                                rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

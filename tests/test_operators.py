@@ -167,9 +167,10 @@ def test_dxf(spark, tmp_path):
     assert dxf.truncated(DXF) is None and dxf.truncated(DXF[:80])
 
 
-def test_drawn_table():
-    text = "0\nACAD_TABLE\n91\n2\n92\n2\n302\na\n302\nb\n302\nc\n302\nd\n0\nEOF\n"
-    assert list(dxf.drawn_tables(text)) == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "c"), (0, 1, 1, "d")]
+def test_drawn_table(spark, tmp_path):
+    (tmp_path / "a.dxf").write_text("0\nACAD_TABLE\n91\n2\n92\n2\n302\na\n302\nb\n302\nc\n302\nd\n0\nEOF\n")
+    cells = dxf.read_parts(spark, str(tmp_path), "tables", 17).select("number", "row", "column", "text")
+    assert sorted(map(tuple, cells.collect())) == [(0, 0, 0, "a"), (0, 0, 1, "b"), (0, 1, 0, "c"), (0, 1, 1, "d")]
 
 
 def test_partitions_are_replaced(spark, tmp_path):
