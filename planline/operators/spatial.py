@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planline.errors import refuse_oversize
@@ -82,23 +80,48 @@ def within_radius(centres: DataFrame, others: DataFrame, radius: float, same: li
 def nearest(centres: DataFrame, others: DataFrame, first: float) -> DataFrame:
     """For each of ``centres`` (handle, x, y) the nearest of ``others`` with another handle, the least handle on a tie.
 
-    (handle, nearest, distance, rounded to 6.) Looks within ``first``, and for those that
-    found none within four times as far, until that spans everything; one without any
-    other is left out.
+    (handle, nearest, distance, rounded to 6.) Looks within ``first``; those that found none
+    there descend from cells that span everything to cells of width ``first``, and keep at
+    each step the cells that may hold a nearer one than some cell surely holds. So a far
+    centre meets the points of a few cells, however many lie within four times its
+    distance. One without any other is left out.
     """
-    points = centres.select("x", "y").unionByName(others.select("x", "y"))
-    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    span = math.hypot(box.x1 - box.x0, box.y1 - box.y0) if box.x0 is not None else 0.0
-    left, out, radius = centres.select("handle", "x", "y"), None, first
-    while True:
-        pairs = within_radius(left, others.select("handle", "x", "y"), radius).where("c_handle <> o_handle")
-        best = pairs.groupBy(F.col("c_handle").alias("handle")).agg(F.min(F.struct(F.round("distance", 6).alias("distance"), F.col("o_handle").alias("nearest"))).alias("best"))
-        best = checkpointed(best.select("handle", "best.nearest", "best.distance"))
-        out = best if out is None else out.unionByName(best)
-        left = checkpointed(left.join(best.select("handle"), "handle", "left_anti"))
-        if radius > span or not left.limit(1).count():
-            return out
-        radius *= 4
+    o = others.select("handle", "x", "y")
+    near = within_radius(centres.select("handle", "x", "y"), o, first).where("c_handle <> o_handle").select(F.col("c_handle").alias("handle"), F.col("o_handle").alias("nearest"), "distance")
+    least = F.min(F.struct(F.round("distance", 6).alias("distance"), "nearest")).alias("best")
+    best = checkpointed(near.groupBy("handle").agg(least).select("handle", "best.nearest", "best.distance"))
+    far = checkpointed(centres.select("handle", "x", "y").join(best.select("handle"), "handle", "left_anti"))
+    if far.isEmpty() or o.isEmpty():
+        return best
+    cells = o.withColumns({"gx": _cell(F.col("x"), first), "gy": _cell(F.col("y"), first)})
+    level = checkpointed(cells.groupBy("gx", "gy").agg(F.min("handle").alias("lo"), F.max("handle").alias("hi")))
+    tower = [level]
+    while len(top := level.limit(5).collect()) > 4:  # four cells at most stay
+        up = level.groupBy(F.shiftright("gx", 1).alias("gx"), F.shiftright("gy", 1).alias("gy"))
+        level = checkpointed(up.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        tower.append(level)
+    roots = [F.struct(*[F.lit(r[c]).cast(level.schema[c].dataType).alias(c) for c in ("gx", "gy", "lo", "hi")]) for r in top]
+    held = far.withColumn("cell", F.explode(F.array(*roots))).select("handle", "x", "y", "cell.*")
+    for k in range(len(tower) - 1, -1, -1):
+        if k < len(tower) - 1:
+            under = tower[k].select(F.shiftright("gx", 1).alias("px"), F.shiftright("gy", 1).alias("py"), *tower[k].columns)
+            held = held.select("handle", "x", "y", F.col("gx").alias("px"), F.col("gy").alias("py")).join(under, ["px", "py"]).drop("px", "py")
+        held = checkpointed(_may_hold(held, first * 2**k))
+    met = held.select(F.col("handle").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), "gx", "gy").join(cells, ["gx", "gy"]).where("c <> handle")
+    found = met.select(F.col("c").alias("handle"), F.col("handle").alias("nearest"), F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("distance"))
+    return best.unionByName(found.groupBy("handle").agg(least).select("handle", "best.nearest", "best.distance"))
+
+
+def _may_hold(held: DataFrame, width: float) -> DataFrame:
+    """Of each centre's cells (gx, gy; lo, hi: least and greatest handle inside) those that may hold the nearest other."""
+    low, high = [F.col(c) * F.lit(width) for c in ("gx", "gy")], [(F.col(c) + 1) * F.lit(width) for c in ("gx", "gy")]
+    at = [F.col("x"), F.col("y")]
+    out = [F.greatest(a - p, p - b, F.lit(0.0)) for p, a, b in zip(at, low, high)]
+    across = [F.greatest(p - a, b - p) for p, a, b in zip(at, low, high)]
+    others = held.where("not (lo = handle and hi = handle)")  # a cell that holds more than the centre itself
+    bounded = others.withColumn("surely", F.min(F.hypot(*across)).over(Window.partitionBy("handle")))
+    # what rounds to the same distance stays
+    return bounded.where(F.hypot(*out) <= F.col("surely") + 1e-6).drop("surely")
 
 
 def rings_near(a: DataFrame, cell: float, reach: float) -> DataFrame:

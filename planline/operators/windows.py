@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +42,16 @@ def cumulative_share(counts: DataFrame, n: str, key: str, share: float) -> DataF
 def islands(df: DataFrame, group: list[str], low: str, high: str, order: list[str], gap: float, ranges: int = 1024) -> DataFrame:
     """Number runs of intervals: a new one begins where low exceeds every earlier high by more than gap.
 
-    Rows are put in order within ranges of ``low`` alone; what a range needs of the
-    earlier ones (their greatest high, and how many runs they begin) comes from one row
+    Rows are put in order within ranges of ``low`` alone, cut at its approximate quantiles,
+    so clustered values are spread (rows of one group with one ``low`` share a range); what
+    a range needs of the earlier ones (their greatest high, and how many runs they begin) comes from one row
     for each range.
     """
-    least, most = df.agg(F.min(low), F.max(low)).first()
-    width = ((most or 0) - (least or 0)) / ranges or 1.0
-    df = df.withColumn("range", F.coalesce(F.floor((F.col(low) - F.lit(least or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    borders = sorted({float(b) for b in df.approxQuantile(low, [k / ranges for k in range(1, ranges)], 0.25 / ranges)})
+    cut = Bucketizer(splits=[-math.inf, *borders, math.inf] if borders else [-math.inf, 0.0, math.inf], inputCol="range", outputCol="part", handleInvalid="keep")
+    numbered = cut.transform(df.withColumn("range", F.col(low).cast("double")))
+    # nulls come first
+    df = numbered.withColumn("range", F.when(F.col(low).isNull(), F.lit(-1)).otherwise(F.col("part")).cast("long")).drop("part")
     keys = [*group, "range"]
     earlier = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     reach = df.groupBy(*keys).agg(F.max(high).alias("reach")).withColumn("reach", F.max("reach").over(earlier))

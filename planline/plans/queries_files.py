@@ -1,4 +1,4 @@
-"""Tables written as drawing files and read back."""
+"""Tables written as drawing files, embedded documents and stored dossiers, and read back."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from planline.adapter import SQL_ENTITIES as E
-from planline.adapter import labels, parcels, table
+from planline.adapter import labels, parcels, paths, table
+from planline.operators import dossier
 from planline.session import shared_folder
-from planline.sources import dxf, embedded, export
+from planline.sources import dxf, embedded, export, tables
 
 
 def _written(spark, entities):
@@ -43,6 +44,18 @@ def embedded_payloads(spark, d):
     return back.select(F.conv("handle", 16, 10).cast("long").alias("handle"), "format", "media_type", "bytes", "width", "height", F.md5("data").alias("content"))
 
 
+def dossier_backfill(spark, d):
+    """Seven drawings entered in an entity table; the dossiers made from it and read back, each bucket with its drawing's verdict."""
+    base = f"{shared_folder(spark)}/dossiers-{uuid.uuid4().hex}"
+    p = paths(spark, d).select((F.col("block") % 7).cast("string").alias("drawing_id"), "layer", "layout", "type", F.col("handle").cast("string").alias("handle"), F.when(F.col("type") == "CIRCLE", F.col("price")).alias("area"), F.col("length").cast("double").alias("length"))
+    tables.write_entities(p, f"{base}/entities")
+    dossier.backfill(spark, f"{base}/entities", f"{base}/made")
+    head = dossier.heads(spark, f"{base}/entities", f"{base}/made").select("drawing_id", "status", "accounted", "complete")
+    types = F.array_join(F.transform("types", lambda t: F.concat(t["type"], F.lit(":"), t["n"].cast("string"))), ",")
+    rows = dossier.read_buckets(spark, f"{base}/made").withColumn("types", types).withColumns({c: F.round(c, 2) for c in ("area_sum", "length_sum", "length_total")})
+    return rows.join(head, "drawing_id").drop("area_total")
+
+
 _KINDS = ("rtf", "pdf", "png", "bmp", "none")
 _FORMAT = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_KINDS)) + " END"
 _MEDIA = "CASE p_partkey % 5 WHEN 0 THEN 'application/rtf' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/bmp' ELSE 'application/octet-stream' END"
@@ -56,4 +69,11 @@ SQL = {
             WHEN 3 THEN '424D560000000000000036000000' || '28000000' || lpad(hex(p_size), 2, '0') || '000000' || '02000000' || '0100' || '1800' || repeat('00', 24) || repeat('00', 32) END AS hexed FROM part)
         SELECT CAST(p_partkey AS BIGINT) AS handle, format, media_type, bytes, CAST(CASE WHEN format = 'bmp' THEN p_size END AS BIGINT) AS width, CAST(CASE WHEN format = 'bmp' THEN 2 END AS BIGINT) AS height, md5(unhex(hexed)) AS content FROM h""",
 }
+SQL["dossier_backfill"] = f"""{E}, e AS (SELECT CAST(block % 7 AS VARCHAR) AS drawing_id, layer, layout, type, CASE WHEN type = 'CIRCLE' THEN price END AS area, length FROM paths),
+    t AS (SELECT drawing_id, layer, layout, type, count(*) AS n, count(CASE WHEN type = 'CIRCLE' THEN 1 END) AS points, count(CASE WHEN type IN ('LINE', 'ARC') THEN 1 END) AS network, count(CASE WHEN type = 'LWPOLYLINE' THEN 1 END) AS region,
+      count(area) AS am, sum(area) AS a, count(length) AS lm, sum(length) AS l FROM e GROUP BY 1, 2, 3, 4),
+    b AS (SELECT drawing_id, layer, layout, CAST(sum(n) AS BIGINT) AS entities, string_agg(type || ':' || n, ',' ORDER BY type) AS types, sum(points) AS points, sum(network) AS network, sum(region) AS region,
+      CAST(sum(am) AS BIGINT) AS area_measured, round(CAST(sum(a) AS DOUBLE), 2) AS area_sum, CAST(sum(lm) AS BIGINT) AS length_measured, round(CAST(sum(l) AS DOUBLE), 2) AS length_sum FROM t GROUP BY 1, 2, 3)
+    SELECT drawing_id, layer, layout, entities, types, CASE WHEN network >= 0.6 * entities THEN 'network' WHEN region >= 0.6 * entities THEN 'region' WHEN points >= 0.6 * entities THEN 'points' ELSE 'mixed' END AS role,
+      area_measured, area_sum, length_measured, length_sum, CASE WHEN length_measured = entities THEN length_sum END AS length_total, 'computed' AS status, CAST(sum(entities) OVER (PARTITION BY drawing_id) AS BIGINT) AS accounted, true AS complete FROM b"""
 QUERIES = {name: globals()[name] for name in SQL}

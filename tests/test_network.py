@@ -72,6 +72,21 @@ def test_nearest_at_any_distance(spark):
     assert S.nearest(df.limit(1), df.limit(1), 0.1).count() == 0
 
 
+def test_nearest_to_far_clusters(spark):
+    rnd = random.Random(5)
+    cluster = [(k, -3000 + rnd.random() / 10, 40 + rnd.random() / 10) for k in range(300)]
+    lattice = [(1000 + k, 500.0 * (k % 4), -500.0 * (k // 4)) for k in range(16)]  # ties on every side
+    points = cluster + lattice + [(2000, 9000.0, 9000.0), (2001, 9000.0, 9000.0)]
+    df = spark.createDataFrame(points, "handle long, x double, y double")
+    got = {r.handle: (r.distance, r.nearest) for r in S.nearest(df.where("handle >= 1000"), df, 0.02).collect()}
+    want = {h: min((round(math.hypot(x - a, y - b), 6), o) for o, a, b in points if o != h) for h, x, y in points if h >= 1000}
+    assert got == {h: (pytest.approx(d), o) for h, (d, o) in want.items()}
+    # a handle of the other table that stands elsewhere is not the centre's neighbour
+    alone = spark.createDataFrame([(7, 0.0, 0.0)], df.schema)
+    few = spark.createDataFrame([(7, 50.0, 0.0), (8, 60.0, 0.0)], df.schema)
+    assert [tuple(r) for r in S.nearest(alone, few, 1.0).collect()] == [(7, 8, 60.0)]
+
+
 def test_boxes_of_any_width(spark):
     rnd = random.Random(5)
     boxes = []
