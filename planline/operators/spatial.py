@@ -11,6 +11,7 @@ from planline.errors import refuse_oversize
 from planline.functions import geometry as G
 from planline.operators.graph import checkpointed
 
+
 def _cell(v: Column, size: Column | float) -> Column:
     return F.floor(v / size).cast("long")
 

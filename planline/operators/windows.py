@@ -47,7 +47,8 @@ def islands(df: DataFrame, group: list[str], low: str, high: str, order: list[st
     a range needs of the earlier ones (their greatest high, and how many runs they begin) comes from one row
     for each range.
     """
-    borders = sorted({float(b) for b in df.approxQuantile(low, [k / ranges for k in range(1, ranges)], 0.25 / ranges)})
+    shares = [k / ranges for k in range(1, ranges)]
+    borders = sorted({float(b) for b in df.approxQuantile(low, shares, 0.25 / ranges)}) if shares else []
     cut = Bucketizer(splits=[-math.inf, *borders, math.inf] if borders else [-math.inf, 0.0, math.inf], inputCol="range", outputCol="part", handleInvalid="keep")
     numbered = cut.transform(df.withColumn("range", F.col(low).cast("double")))
     # nulls come first
