@@ -25,8 +25,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a range. A task holds the lines of one range in its first pass.
 SPLIT_BYTES = 16 << 20
-#: Tasks a pass is dealt to at most; beyond, a task reads several ranges one after the other.
-MOST_TASKS = 100_000
+#: Tasks for each core of the session, if the bytes ask for no more.
+TASKS_A_CORE = 4
 #: Bytes of binary columns that a task gathers before it hands rows on.
 MOST_HELD = 8 << 20
 _BLOCK = 1 << 20
@@ -181,13 +181,19 @@ def fragments(file, start: int, end: int, lines_before: int, section: str | None
         yield now
 
 
+def _tasks(spark: SparkSession, pieces: DataFrame, size: str, split_bytes: int) -> int:
+    """Into how many tasks to deal pieces: one for ``split_bytes`` bytes, so that small files share tasks, but enough for all cores."""
+    n = pieces.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return max(1, min(n.pieces, max(n.bytes // split_bytes + 1, TASKS_A_CORE * spark.sparkContext.defaultParallelism)))
+
+
 def _ranges(spark: SparkSession, path: str, split_bytes: int) -> tuple[DataFrame, int]:
-    """path, start, end of each range, one a task; contents are not read for the listing."""
+    """path, start, end of each range and the number of tasks; contents are not read for the listing."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     cut = files.select("path", "length", F.explode(starts).alias("start"))
     cut = cut.select("path", "length", "start", F.least(F.col("start") + split_bytes, F.col("length")).alias("end"))
-    return cut, max(1, min(cut.count(), MOST_TASKS))
+    return cut, _tasks(spark, cut.withColumn("bytes", F.col("end") - F.col("start")), "bytes", split_bytes)
 
 
 _SCAN = "path string, length long, start long, end long, lines long, section0 string, block0 string, section1 string, block1 string"
@@ -260,8 +266,8 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drawing_ids(spark: SparkSession, path: str) -> DataFrame:
     """path, drawing_id: the first 16 digits of SHA-256 of the content, which is one chain and so one task a file, a megabyte at a time."""
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.repartition(max(1, min(files.count(), MOST_TASKS))).mapInArrow(_hash, "path string, drawing_id string")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.select("path").repartition(_tasks(spark, files, "length", SPLIT_BYTES)).mapInArrow(_hash, "path string, drawing_id string")
 
 
 def number(text: str) -> float | None:
