@@ -85,22 +85,28 @@ def perimeter(ring: Column) -> Column:
 
 def turn_angles(ring: Column) -> Column:
     """Signed turn at each vertex, in (-pi, pi]."""
-    way = F.zip_with(ring, _next(ring), lambda p, q: F.atan2(q["y"] - p["y"], q["x"] - p["x"]))
-    turned = F.concat(F.slice(way, -1, 1), F.slice(way, 1, F.size(way) - 1))
     full = 2 * math.pi
-    return F.zip_with(turned, way, lambda a, b: b - a - full * F.ceil((b - a - math.pi) / full))
+
+    def turns(way: Column) -> Column:
+        turned = F.concat(F.slice(way, -1, 1), F.slice(way, 1, F.size(way) - 1))
+        return F.zip_with(turned, way, lambda a, b: b - a - full * F.ceil((b - a - math.pi) / full))
+
+    return bound(F.zip_with(ring, _next(ring), lambda p, q: F.atan2(q["y"] - p["y"], q["x"] - p["x"])), turns)
 
 
 def shape_key(ring: Column, quantum: float = 1e-3, turn_quantum: float = 1e-3) -> Column:
     """16 hex digits that name a shape whatever its place, rotation, start and winding-preserving order."""
-    steps = F.zip_with(
-        edge_lengths(ring),
-        turn_angles(ring),
-        lambda e, t: F.concat_ws(":", F.round(e / quantum).cast("long"), F.round(t / turn_quantum).cast("long")),
-    )
-    n = F.size(steps)
-    rotations = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.concat(F.slice(steps, i + 1, n), F.slice(steps, F.lit(1), i)), ";"))
-    return F.substring(F.sha1(F.array_min(rotations)), 1, 16)
+
+    def steps(r: Column) -> Column:
+        step = lambda e, t: F.concat_ws(":", F.round(e / quantum).cast("long"), F.round(t / turn_quantum).cast("long"))
+        return F.zip_with(edge_lengths(r), turn_angles(r), step)
+
+    def least(s: Column) -> Column:
+        n = F.size(s)
+        return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.concat(F.slice(s, i + 1, n), F.slice(s, F.lit(1), i)), ";")))
+
+    # the steps are worked out once, not for each rotation
+    return F.substring(F.sha1(bound(bound(ring, steps), least)), 1, 16)
 
 
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -151,14 +157,16 @@ def segments_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
     def within(p: Column, q: Column, r: Column) -> Column:
         return r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
 
-    s1, s2, s3, s4 = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
-    return (
-        ((s1 * s2 < 0) & (s3 * s4 < 0))
-        | ((s1 == 0) & within(a, b, c))
-        | ((s2 == 0) & within(a, b, d))
-        | ((s3 == 0) & within(c, d, a))
-        | ((s4 == 0) & within(c, d, b))
-    )
+    def meet(s: Column) -> Column:
+        return (
+            ((s["s1"] * s["s2"] < 0) & (s["s3"] * s["s4"] < 0))
+            | ((s["s1"] == 0) & within(a, b, c))
+            | ((s["s2"] == 0) & within(a, b, d))
+            | ((s["s3"] == 0) & within(c, d, a))
+            | ((s["s4"] == 0) & within(c, d, b))
+        )
+
+    return bound(F.struct(side(a, b, c).alias("s1"), side(a, b, d).alias("s2"), side(c, d, a).alias("s3"), side(c, d, b).alias("s4")), meet)
 
 
 def literal_ring(points: list[tuple[float, float]]) -> Column:
@@ -173,7 +181,7 @@ def box_ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 def rings_cross(a: Column, b: Column) -> Column:
     """Whether any edge of one ring meets an edge of the other."""
     pairs = lambda r: F.arrays_zip(r.alias("p"), _next(r).alias("q"))
-    return F.exists(pairs(a), lambda e: F.exists(pairs(b), lambda f: segments_cross(e["p"], e["q"], f["p"], f["q"])))
+    return bound(pairs(b), lambda sides: F.exists(pairs(a), lambda e: F.exists(sides, lambda f: segments_cross(e["p"], e["q"], f["p"], f["q"]))))
 
 
 def is_simple(ring: Column) -> Column:
@@ -199,13 +207,21 @@ def ring_to_ring(a: Column, b: Column) -> Column:
 
     Both are moved to the first corner of ``a`` before, so that large coordinates cost no digits.
     """
-    x0, y0 = F.get(a, F.lit(0))["x"], F.get(a, F.lit(0))["y"]
-    moved = lambda r: F.transform(r, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y")))
-    a, b = moved(a), moved(b)
     corner = lambda r, c: F.get(r, F.lit(0))[c]
-    meet = rings_cross(a, b) | point_in_ring(corner(a, "x"), corner(a, "y"), b) | point_in_ring(corner(b, "x"), corner(b, "y"), a)
+    moved = lambda r, o: F.transform(r, lambda p: F.struct((p["x"] - o["x"]).alias("x"), (p["y"] - o["y"]).alias("y")))
     away = lambda r, s: F.array_min(F.transform(r, lambda p: ring_distance(p["x"], p["y"], s)))
-    return F.when(meet, 0.0).otherwise(F.least(away(a, b), away(b, a)))
+
+    def apart(t: Column) -> Column:
+        a, b = t["a"], t["b"]
+        meet = rings_cross(a, b) | point_in_ring(corner(a, "x"), corner(a, "y"), b) | point_in_ring(corner(b, "x"), corner(b, "y"), a)
+        return F.when(meet, 0.0).otherwise(F.least(away(a, b), away(b, a)))
+
+    # each ring is moved once a pair
+    def placed(t: Column) -> Column:
+        o = F.get(t["a"], F.lit(0))
+        return bound(F.struct(moved(t["a"], o).alias("a"), moved(t["b"], o).alias("b")), apart)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), placed)
 
 
 def box_crosses_polygon(minx: Column, miny: Column, maxx: Column, maxy: Column, ring: Column) -> Column:

@@ -22,6 +22,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join by key that grows with the input: both sides are dealt by key.
+
+    Spark guesses a side's size from its compressed files, and a few megabytes of keys
+    become gigabytes of cells and rings; a side guessed too small would go through the
+    driver and whole into every task.
+    """
+    return df.hint("merge")
+
+
 class Levels:
     """Rows that a loop finds level by level, each kept in the shared folder once and merged seldom.
 
@@ -55,7 +65,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = checkpointed(apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("low"))
     other = degrees.select(F.col("a").alias("low"), F.col("degree").alias("low_degree"))
-    known = nodes.select("node").join(degrees, F.col("node") == F.col("a"), "left").join(other, "low", "left")
+    known = nodes.select("node").join(shuffled(degrees), F.col("node") == F.col("a"), "left").join(shuffled(other), "low", "left")
     pair = (F.col("degree") == 1) & (F.col("low_degree") == 1)
     known = checkpointed(known.select("node", F.when(F.col("degree").isNull(), F.col("node")).when(pair, F.least("node", "low")).alias("component")))
     settled = known.where("component is not null")
@@ -63,12 +73,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not label.limit(1).count():
         return settled
     label = checkpointed(label)
-    both = checkpointed(both.join(label.select(F.col("node").alias("a")), "a", "left_semi"))
+    both = checkpointed(both.join(shuffled(label.select(F.col("node").alias("a"))), "a", "left_semi"))
     while True:
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("low"))
-        fresh = label.join(near, label.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
+        near = both.join(shuffled(label), both.b == label.node).groupBy("a").agg(F.min("component").alias("low"))
+        fresh = label.join(shuffled(near), label.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("next"))
-        after = fresh.join(jump, "low", "left").select("node", F.coalesce("next", "low").alias("after"), "component")
+        after = fresh.join(shuffled(jump), "low", "left").select("node", F.coalesce("next", "low").alias("after"), "component")
         after = checkpointed(after)
         changed = after.where("after <> component").limit(1).count()
         label = after.select("node", F.col("after").alias("component"))
@@ -88,8 +98,8 @@ def reachable(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
     reached.add(last)
     while True:
         depth += 1
-        step = edges.join(last.select(F.col("node").alias("a")), "a").select(F.col("b").alias("next")).distinct()
-        fresh = step.join(reached.all().select("node"), F.col("next").eqNullSafe(F.col("node")), "left_anti")
+        step = edges.join(shuffled(last.select(F.col("node").alias("a"))), "a").select(F.col("b").alias("next")).distinct()
+        fresh = step.join(shuffled(reached.all().select("node")), F.col("next").eqNullSafe(F.col("node")), "left_anti")
         last = checkpointed(fresh.select(F.col("next").alias("node"), F.lit(depth).alias("depth")))
         if not last.limit(1).count():
             return reached.all()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planline.errors import refuse_oversize
 from planline.functions import geometry as G
-from planline.operators.graph import checkpointed
+from planline.operators.graph import checkpointed, shuffled
 
 
 def _cell(v: Column, size: Column | float) -> Column:
@@ -52,7 +52,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 40.0, pad
     filed = with_cells(boxes.withColumn("level", _level(cell, pad)), cell, pad).select("level", "gx", "gy", *named)
     at = p.withColumn("level", F.explode(F.lit(levels)))
     at = at.withColumns({"gx": _cell(F.col("p_x"), _width(cell)), "gy": _cell(F.col("p_y"), _width(cell))})
-    near = at.join(filed, ["level", "gx", "gy"]).drop("level", "gx", "gy")
+    near = at.join(shuffled(filed), ["level", "gx", "gy"]).drop("level", "gx", "gy")
     inside = lambda v, low, high: F.col(v).between(F.col(low) - pad, F.col(high) + pad)
     return near.where(inside("p_x", "r_minx", "r_maxx") & inside("p_y", "r_miny", "r_maxy"))
 
@@ -74,7 +74,7 @@ def within_radius(centres: DataFrame, others: DataFrame, radius: float, same: li
     o = o.withColumns({"gx": _cell(F.col("o_x"), radius), "gy": _cell(F.col("o_y"), radius)})
     keys = {f"same{k}": x for k, x in enumerate(same or [])}
     c, o = c.withColumns({k: F.col(f"c_{x}") for k, x in keys.items()}), o.withColumns({k: F.col(f"o_{x}") for k, x in keys.items()})
-    near = c.join(o, ["gx", "gy", *keys]).drop("gx", "gy", "d", *keys)
+    near = c.join(shuffled(o), ["gx", "gy", *keys]).drop("gx", "gy", "d", *keys)
     return near.withColumn("distance", F.hypot(F.col("o_x") - F.col("c_x"), F.col("o_y") - F.col("c_y"))).where(F.col("distance") <= radius)
 
 
@@ -91,7 +91,7 @@ def nearest(centres: DataFrame, others: DataFrame, first: float) -> DataFrame:
     near = within_radius(centres.select("handle", "x", "y"), o, first).where("c_handle <> o_handle").select(F.col("c_handle").alias("handle"), F.col("o_handle").alias("nearest"), "distance")
     least = F.min(F.struct(F.round("distance", 6).alias("distance"), "nearest")).alias("best")
     best = checkpointed(near.groupBy("handle").agg(least).select("handle", "best.nearest", "best.distance"))
-    far = checkpointed(centres.select("handle", "x", "y").join(best.select("handle"), "handle", "left_anti"))
+    far = checkpointed(centres.select("handle", "x", "y").join(shuffled(best.select("handle")), "handle", "left_anti"))
     if far.isEmpty() or o.isEmpty():
         return best
     cells = o.withColumns({"gx": _cell(F.col("x"), first), "gy": _cell(F.col("y"), first)})
@@ -106,9 +106,9 @@ def nearest(centres: DataFrame, others: DataFrame, first: float) -> DataFrame:
     for k in range(len(tower) - 1, -1, -1):
         if k < len(tower) - 1:
             under = tower[k].select(F.shiftright("gx", 1).alias("px"), F.shiftright("gy", 1).alias("py"), *tower[k].columns)
-            held = held.select("handle", "x", "y", F.col("gx").alias("px"), F.col("gy").alias("py")).join(under, ["px", "py"]).drop("px", "py")
+            held = held.select("handle", "x", "y", F.col("gx").alias("px"), F.col("gy").alias("py")).join(shuffled(under), ["px", "py"]).drop("px", "py")
         held = checkpointed(_may_hold(held, first * 2**k))
-    met = held.select(F.col("handle").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), "gx", "gy").join(cells, ["gx", "gy"]).where("c <> handle")
+    met = held.select(F.col("handle").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), "gx", "gy").join(shuffled(cells), ["gx", "gy"]).where("c <> handle")
     found = met.select(F.col("c").alias("handle"), F.col("handle").alias("nearest"), F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")).alias("distance"))
     return best.unionByName(found.groupBy("handle").agg(least).select("handle", "best.nearest", "best.distance"))
 
@@ -128,7 +128,9 @@ def _may_hold(held: DataFrame, width: float) -> DataFrame:
 def rings_near(a: DataFrame, cell: float, reach: float) -> DataFrame:
     """Pairs a.handle < b.handle of rings at most ``reach`` apart, with their ``distance`` (0: touching, crossing or inside)."""
     pairs = box_pairs(a, cell, reach / 2)
-    return pairs.withColumn("distance", G.ring_to_ring(F.col("a_ring"), F.col("b_ring"))).where(F.col("distance") <= reach)
+    # as rows of a generator the distance is worked out once, for pairs whose boxes met
+    distance = F.array(G.ring_to_ring(F.col("a_ring"), F.col("b_ring")))
+    return pairs.withColumn("distance", F.explode(F.filter(distance, lambda d: d <= reach)))
 
 
 def box_matches(a: DataFrame, b: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
@@ -158,7 +160,7 @@ def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None =
     levels = _levels(a, cell, pad)
     wider = boxes.withColumn("level", F.explode(F.filter(F.lit(levels or [0]), lambda x: x >= F.col("own"))))
     asked = with_cells(wider, cell, pad).select("level", "gx", "gy", "own", *[F.col(c).alias(f"q_{c}") for c in a.columns])
-    near = asked.join(filed, ["level", "gx", "gy"]).where(
+    near = asked.join(shuffled(filed), ["level", "gx", "gy"]).where(
         ((F.col("own") < F.col("level")) | (F.col("f_handle") < F.col("q_handle")))
         & (F.col("f_minx") - pad <= F.col("q_maxx") + pad)
         & (F.col("q_minx") - pad <= F.col("f_maxx") + pad)
