@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from planline.functions import geometry as G
 from planline.operators import spatial, windows
-from planline.operators.graph import checkpointed, connected_components
+from planline.operators.graph import checkpointed, connected_components, shuffled
 
 
 def shapes(rings: DataFrame) -> DataFrame:
     """(handle, layer, area, key, x, y) of rings (handle, layer, ring): shape key, centroid and area; rings without area are left out."""
     # long expressions, worked out once
     c = G.centroid(F.col("ring"))
+    rings = rings.select("handle", "layer", "ring").repartition("handle")  # one small file is one task
     out = rings.select("handle", "layer", F.abs(G.signed_area(F.col("ring"))).alias("area"), G.shape_key(F.col("ring")).alias("key"), c.alias("c"))
     return checkpointed(out).where("c is not null").select("handle", "layer", "area", "key", "c.x", "c.y")
 
@@ -31,15 +32,16 @@ def coincident(rings: DataFrame, tolerance: float) -> DataFrame:
     near = near.where(F.abs(F.col("c_area") - F.col("o_area")) <= tolerance * tolerance)
     edges = near.select(F.col("c_handle").alias("a"), F.col("o_handle").alias("b"))
     group = connected_components(place.select(F.col("handle").alias("node")), edges)
-    placed = place.join(group, F.col("handle") == F.col("node")).select("key", "x6", "y6", "a6", F.col("component").alias("first"))
-    out = s.join(placed, ["key", "x6", "y6", "a6"]).select("handle", "first")
+    placed = place.join(shuffled(group), F.col("handle") == F.col("node")).select("key", "x6", "y6", "a6", F.col("component").alias("first"))
+    out = s.join(shuffled(placed), ["key", "x6", "y6", "a6"]).select("handle", "first")
     several = out.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
-    return out.join(several, "first").select("handle", "first")
+    return out.join(shuffled(several), "first").select("handle", "first")
 
 
 def modal_edges(rings: DataFrame) -> DataFrame:
     """(key, edges, times, n): for each shape its most frequent edge lengths (a whole tuple, rounded to 6), the least on a tie."""
     edges = F.transform(G.edge_lengths(F.col("ring")), lambda e: F.round(e, 6))
+    rings = rings.select("handle", "ring").repartition("handle")  # one small file is one task
     counts = rings.select(G.shape_key(F.col("ring")).alias("key"), edges.alias("edges")).groupBy("key", "edges").agg(F.count(F.lit(1)).alias("times"))
     best = counts.groupBy("key").agg(F.min(F.struct((-F.col("times")).alias("rank"), "edges")).alias("b"), F.sum("times").alias("n"))
     return best.select("key", "b.edges", (-F.col("b.rank")).alias("times"), "n")

@@ -38,7 +38,8 @@ def turn_angles(spark, d):
 
 def shape_key(spark, d):
     """Parcels by their shape key: those of one key have one pair of sides."""
-    k = parcels(spark, d).select("handle", "w", "h", G.shape_key(F.col("ring")).alias("key"))
+    p = parcels(spark, d).select("handle", "w", "h", "ring").repartition("handle")  # one small file is one task
+    k = p.select("w", "h", G.shape_key(F.col("ring")).alias("key"))
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("w", "h")).alias("short"), F.max(F.greatest("w", "h")).alias("long")).drop("key")
 
 
