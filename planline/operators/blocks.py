@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planline.errors import Refusal
-from planline.operators.graph import Levels, checkpointed, reachable
+from planline.operators.graph import Levels, checkpointed, reachable, shuffled
 
 #: A block's own frame, column by column: x' = a x + c y + e, y' = b x + d y + f.
 MATRIX = ("a", "b", "c", "d", "e", "f")
@@ -28,11 +28,11 @@ def refuse_circles(edges: DataFrame, roots: DataFrame) -> None:
     left = edges.select("container", "block")
     count = left.count()
     while count:
-        inner = checkpointed(left.join(left.select(F.col("container").alias("block")).distinct(), "block", "left_semi"))
+        inner = checkpointed(left.join(shuffled(left.select(F.col("container").alias("block")).distinct()), "block", "left_semi"))
         kept = inner.count()
         if kept == count:
             reached = reachable(edges.sparkSession, edges.select(F.col("container").alias("a"), F.col("block").alias("b")), roots.select(F.col("root").alias("node")))
-            if left.join(reached, left["container"] == reached["node"], "left_semi").limit(1).count():
+            if left.join(shuffled(reached), left["container"] == reached["node"], "left_semi").limit(1).count():
                 raise Refusal("circular_inserts", "blocks insert one another in a circle", "mend the drawing")
             return
         left, count = inner, kept
@@ -52,7 +52,7 @@ def multiplicity(inserts: DataFrame, roots: DataFrame, blocks: int) -> DataFrame
     for depth in range(blocks + 1):
         if depth == DEEP:
             refuse_circles(edges, roots)
-        step = level.withColumnRenamed("block", "container").join(edges, "container").select("root", "block", F.try_multiply("times", F.col("n").cast("decimal(38,0)")).cast("decimal(38,0)").alias("times"))
+        step = level.withColumnRenamed("block", "container").join(shuffled(edges), "container").select("root", "block", F.try_multiply("times", F.col("n").cast("decimal(38,0)")).cast("decimal(38,0)").alias("times"))
         # a sum is null where it has no room, and so are the products that go into it
         level = checkpointed(step.groupBy("root", "block").agg(F.when(F.count_if(F.col("times").isNull()) == 0, F.try_sum("times")).cast("decimal(38,0)").alias("times")))
         found = level.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("times").isNull()).alias("beyond")).first()
@@ -67,7 +67,7 @@ def multiplicity(inserts: DataFrame, roots: DataFrame, blocks: int) -> DataFrame
 def expanded_counts(entities: DataFrame, inserts: DataFrame, roots: DataFrame, blocks: int) -> DataFrame:
     """(root, entities): objects drawn below each root; the inserts themselves do not count (entities: container)."""
     own = entities.groupBy(F.col("container").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    drawn = multiplicity(inserts, roots, blocks).join(own, "block")
+    drawn = multiplicity(inserts, roots, blocks).join(shuffled(own), "block")
     return drawn.groupBy("root").agg(F.sum(F.col("times") * F.col("n")).cast("long").alias("entities"))
 
 
@@ -102,7 +102,7 @@ def placements(inserts: DataFrame, roots: DataFrame, blocks: int) -> DataFrame:
         if depth == DEEP:
             refuse_circles(edges, roots)
         outer = level.select(F.col("block").alias("at"), *[F.col(m).alias(f"o_{m}") for m in MATRIX])
-        step = outer.join(edges, F.col("at") == F.col("container")).select("block", *_after("o_", "i_"))
+        step = outer.join(shuffled(edges), F.col("at") == F.col("container")).select("block", *_after("o_", "i_"))
         level = checkpointed(step.select("block", *[F.round(m, 6).alias(m) for m in MATRIX]).distinct())
         if not level.limit(1).count():
             break
@@ -131,7 +131,7 @@ def world_placed(entities: DataFrame, placed: DataFrame, extents: tuple[float, f
     that is never placed. Extents (minx, miny, maxx, maxy) only corroborate: a point beyond
     them, or none, is refused, and without extents nothing in a block is placed.
     """
-    rows = entities.join(placed.select(F.col("block").alias("container"), "status"), "container", "left")
+    rows = entities.join(shuffled(placed.select(F.col("block").alias("container"), "status")), "container", "left")
     inside = F.lit(False)
     if extents is not None:
         inside = F.coalesce(F.col("x").between(extents[0], extents[2]) & F.col("y").between(extents[1], extents[3]), F.lit(False))

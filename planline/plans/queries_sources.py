@@ -8,6 +8,7 @@ from planline.adapter import SQL_ENTITIES as E
 from planline.adapter import parcels, paths, table
 from planline.operators import aggregates as A
 from planline.operators import blocks as B
+from planline.operators import graph as GR
 from planline.operators import landuse as L
 from planline.plans.queries_measures import RULES
 
@@ -20,7 +21,7 @@ def _inserts(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("container"))
     twice = p.select("container", (F.col("container") * 2).alias("block"), F.lit(0.0).alias("x"), F.lit(0.0).alias("angle"))
     thrice = p.select("container", (F.col("container") * 3 + 1).alias("block"), F.lit(10.0).alias("x"), F.lit(3.141592653589793).alias("angle"))
-    both = twice.unionByName(thrice).join(p.select(F.col("container").alias("block")), "block", "left_semi")
+    both = twice.unionByName(thrice).join(GR.shuffled(p.select(F.col("container").alias("block"))), "block", "left_semi")
     return both.select("container", "block", "x", F.lit(0.0).alias("y"), "angle", F.lit(1.0).alias("sx"), F.lit(1.0).alias("sy"))
 
 

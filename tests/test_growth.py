@@ -70,3 +70,23 @@ def test_components_and_reach_are_not_broadcast(spark, plans):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5, 7: 7}
     assert graph.reachable(spark, edges, nodes.where("node = 0")).count() == 4
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_wide_cells_find_the_same_pairs_by_fewer_rows(spark):
+    points = spark.range(400).select(F.col("id").alias("handle"), (F.pmod(F.hash("id"), F.lit(1000)) / 100 - 5).alias("x"), (F.pmod(F.hash("id", F.lit(1)), F.lit(1000)) / 100 - 5).alias("y"))
+    pairs = lambda cell: {(r.c_handle, r.o_handle) for r in S.within_radius(points, points, 0.5, cell=cell).collect()}
+    assert pairs(2.0) == pairs(None) == pairs(0.5) and len(pairs(2.0)) > 400
+
+
+def test_inserts_are_not_broadcast(spark, plans):
+    inserts = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "container long, block long")
+    times = blocks.multiplicity(inserts, spark.createDataFrame([(1,)], "root long"), 10)
+    assert {r.block: int(r.times) for r in times.collect()} == {1: 1, 2: 1, 3: 1, 4: 2}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_ends_are_not_broadcast(spark, plans):
+    paths = spark.createDataFrame([(1, 0.0, 0.0, 5.0, 0.0), (2, 5.001, 0.0, 9.0, 0.0)], "handle long, ax double, ay double, bx double, b_y double")
+    nodes = network.node_degrees(network.clustered_ends(paths, 0.01))
+    assert {(r.node, r.degree) for r in nodes.collect()} == {(2, 1), (3, 2), (5, 1)}
+    assert plans and not any("Broadcast" in p for p in [*plans, planned(nodes)])
