@@ -28,7 +28,7 @@ def label_in_polygon(spark, d):
 def label_coverage(spark, d):
     """Parcels by layer: how many have a label, how many have several."""
     n = _inside(spark, d).groupBy(F.col("r_handle").alias("handle")).agg(F.count(F.lit(1)).alias("n"))
-    p = parcels(spark, d).join(n, "handle", "left")
+    p = parcels(spark, d).join(GR.shuffled(n), "handle", "left")
     return p.groupBy("layer").agg(
         F.count(F.lit(1)).alias("parcels"), F.count("n").alias("labelled"), F.count_if(F.col("n") > 1).alias("shared"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels")
     )
@@ -55,7 +55,7 @@ def coverage_gap(spark, d):
     """Texts that stand in some parcel and those that stand in none, by layer."""
     l = labels(spark, d)
     placed = _inside(spark, d).select(F.col("p_handle").alias("handle")).distinct().withColumn("placed", F.lit(1))
-    return l.join(placed, "handle", "left").groupBy("layer").agg(F.count("placed").alias("placed"), F.count_if(F.col("placed").isNull()).alias("unplaced"))
+    return l.join(GR.shuffled(placed), "handle", "left").groupBy("layer").agg(F.count("placed").alias("placed"), F.count_if(F.col("placed").isNull()).alias("unplaced"))
 
 
 def duplicate_labels_in_polygon(spark, d):
@@ -132,7 +132,7 @@ def frontage_check(spark, d):
     near = near.select(F.col("a_handle").alias("handle"), distance.alias("distance"), (F.col("b_size_code") == 2).alias("box_only"))
     best = near.groupBy("handle").agg(F.min(F.when(F.col("distance") <= reach, F.col("distance"))).alias("distance"), F.max("box_only").alias("box_only"))
     status = F.when(F.col("distance").isNotNull(), "established").when(F.col("box_only"), "unproven").otherwise("none")
-    return plots.join(best, "handle", "left").select("handle", "distance", status.alias("frontage"))
+    return plots.join(GR.shuffled(best), "handle", "left").select("handle", "distance", status.alias("frontage"))
 
 
 def adjacency_by_edges(spark, d):
