@@ -288,7 +288,7 @@ def reachable_blocks(spark, d):
     """Blocks reachable from the roots over an insert graph drawn from the keys."""
     p = table(spark, d, "part").select("p_partkey")
     edges = p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 2).alias("b")).union(p.select("p_partkey", F.col("p_partkey") * 3 + 1))
-    edges = edges.join(p, F.col("b") == F.col("p_partkey"), "left_semi")
+    edges = edges.join(GR.shuffled(p), F.col("b") == F.col("p_partkey"), "left_semi")
     roots = spark.range(1, 3).select(F.col("id").alias("node"))
     return GR.reachable(spark, edges, roots).select("node", F.col("depth").cast("long").alias("depth"))
 
@@ -296,7 +296,7 @@ def reachable_blocks(spark, d):
 def definition_shadow(spark, d):
     """The same filter inside block definitions: placed (reachable) against unplaced."""
     reach = reachable_blocks(spark, d).select(F.col("node").alias("handle"))
-    placed = parcels(spark, d).where("size_code > 25").join(reach.withColumn("placed", F.lit(1)), "handle", "left")
+    placed = parcels(spark, d).where("size_code > 25").join(GR.shuffled(reach.withColumn("placed", F.lit(1))), "handle", "left")
     return placed.agg(F.count("placed").alias("placed"), F.count_if(F.col("placed").isNull()).alias("unplaced"))
 
 
