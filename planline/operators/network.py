@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planline.functions import geometry as G
 from planline.operators import spatial, windows
-from planline.operators.graph import checkpointed, connected_components
+from planline.operators.graph import checkpointed, connected_components, shuffled
 
 #: The tolerance is this part of the median length, or of the greatest coordinate where that is more.
 SNAP_FRACTION, NOISE = 1e-4, 1e-12
@@ -39,13 +39,13 @@ def clustered_ends(paths: DataFrame, tolerance: float) -> DataFrame:
     never paired; a tolerance of 0 joins equal places alone.
     """
     all_ends = ends(paths)
-    places = all_ends.groupBy("x", "y").agg(F.min("id").alias("id"))
+    places = checkpointed(all_ends.groupBy("x", "y").agg(F.min("id").alias("id")))
     if tolerance <= 0:
-        return all_ends.join(places.withColumnRenamed("id", "node"), ["x", "y"])
-    near = spatial.within_radius(places, places, tolerance).where("c_id < o_id").select(F.col("c_id").alias("a"), F.col("o_id").alias("b"))
+        return all_ends.join(shuffled(places.withColumnRenamed("id", "node")), ["x", "y"])
+    near = spatial.within_radius(places, places, tolerance, cell=4 * tolerance).where("c_id < o_id").select(F.col("c_id").alias("a"), F.col("o_id").alias("b"))
     nodes = connected_components(places.select(F.col("id").alias("node")), near)
-    placed = places.join(nodes.withColumnRenamed("node", "id"), "id").select("x", "y", F.col("component").alias("node"))
-    return all_ends.join(placed, ["x", "y"])
+    placed = places.join(shuffled(nodes.withColumnRenamed("node", "id")), "id").select("x", "y", F.col("component").alias("node"))
+    return all_ends.join(shuffled(placed), ["x", "y"])
 
 
 def node_degrees(clustered: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def chains(clustered: DataFrame) -> DataFrame:
     """(handle, chain): the least node of the paths that hang together at their nodes."""
     two = clustered.groupBy("handle").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     nodes = connected_components(clustered.select("node").distinct(), two.where("a < b").select("a", "b"))
-    return two.join(nodes, F.col("a") == F.col("node")).select("handle", F.col("component").alias("chain"))
+    return two.join(shuffled(nodes), F.col("a") == F.col("node")).select("handle", F.col("component").alias("chain"))
 
 
 def attachments(nodes: DataFrame, paths: DataFrame, tolerance: float, cell: float) -> DataFrame:
@@ -87,8 +87,8 @@ def junction_spacings(clustered: DataFrame, paths: DataFrame) -> DataFrame:
     unmeasured (both are junctions, no length).
     """
     degrees = clustered.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    ends_of = clustered.join(degrees, "node").groupBy("handle").agg(F.count(F.lit(1)).alias("ends"), F.min("degree").alias("least"))
-    rows = paths.select("handle", "length").join(ends_of, "handle", "left")
+    ends_of = clustered.join(shuffled(degrees), "node").groupBy("handle").agg(F.count(F.lit(1)).alias("ends"), F.min("degree").alias("least"))
+    rows = paths.select("handle", "length").join(shuffled(ends_of), "handle", "left")
     kind = (
         F.when(F.coalesce("ends", F.lit(0)) < 2, "one_end").when(F.col("least") < JUNCTION, "not_between").when(F.col("length").isNull(), "unmeasured").otherwise("spacing")
     )

@@ -65,13 +65,23 @@ def points_in_rings(points: DataFrame, rings: DataFrame, cell: float = 40.0, bud
     return pairs.where(G.point_in_ring(F.col("p_x"), F.col("p_y"), F.col("r_ring")))
 
 
-def within_radius(centres: DataFrame, others: DataFrame, radius: float, same: list[str] | None = None) -> DataFrame:
-    """Pairs (c_*, o_*) of points at most ``radius`` apart, and equal in the columns ``same``; cells are as wide as the radius."""
+def within_radius(centres: DataFrame, others: DataFrame, radius: float, same: list[str] | None = None, cell: float | None = None) -> DataFrame:
+    """Pairs (c_*, o_*) of points at most ``radius`` apart, and equal in the columns ``same``.
+
+    Cells are as wide as the radius, so each centre asks nine. Where few points lie so near
+    each other, give a ``cell`` several times as wide: most centres then ask one.
+    """
     c = centres.select(*[F.col(x).alias(f"c_{x}") for x in centres.columns])
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    c = c.withColumn("d", around).withColumns({"gx": _cell(F.col("c_x"), radius) + F.col("d.i"), "gy": _cell(F.col("c_y"), radius) + F.col("d.j")})
+    width = radius if cell is None else cell
+    if cell is None:
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        c = c.withColumn("d", around).withColumns({"gx": _cell(F.col("c_x"), width) + F.col("d.i"), "gy": _cell(F.col("c_y"), width) + F.col("d.j")})
+    else:
+        reach = radius * 1.001  # what rounding adds stays in
+        meets = lambda v: F.explode(F.sequence(_cell(F.col(v) - reach, width), _cell(F.col(v) + reach, width)))
+        c = c.withColumn("gx", meets("c_x")).withColumn("gy", meets("c_y"))
     o = others.select(*[F.col(x).alias(f"o_{x}") for x in others.columns])
-    o = o.withColumns({"gx": _cell(F.col("o_x"), radius), "gy": _cell(F.col("o_y"), radius)})
+    o = o.withColumns({"gx": _cell(F.col("o_x"), width), "gy": _cell(F.col("o_y"), width)})
     keys = {f"same{k}": x for k, x in enumerate(same or [])}
     c, o = c.withColumns({k: F.col(f"c_{x}") for k, x in keys.items()}), o.withColumns({k: F.col(f"o_{x}") for k, x in keys.items()})
     near = c.join(shuffled(o), ["gx", "gy", *keys]).drop("gx", "gy", "d", *keys)
