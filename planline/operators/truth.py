@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from planline.functions import geometry as G
 from planline.operators import spatial
-from planline.operators.graph import checkpointed
+from planline.operators.graph import checkpointed, shuffled
 from planline.operators.text import NUMBER, tolerance
 
 # Units a label may end with, and which of them state no length.
@@ -115,7 +115,7 @@ def label_truth(labels: DataFrame, shapes: DataFrame, cell: float, drawing_unit:
         at(1, "handle").alias("nearest"), at(1, "distance").alias("distance"), at(1, "measured").alias("measured"), at(1, "contains").alias("contains"),
         at(2, "handle").alias("runner_up"), at(2, "distance").alias("runner_up_distance"), F.max("candidates").alias("candidates"), F.max("spread").alias("spread"),
     )
-    rows = read.join(best.withColumnRenamed("label", "handle"), "handle", "left").join(aside.withColumnRenamed("label", "handle"), "handle", "left")
+    rows = read.join(shuffled(best.withColumnRenamed("label", "handle")), "handle", "left").join(shuffled(aside.withColumnRenamed("label", "handle")), "handle", "left")
     rows = rows.withColumn("tolerance", F.when(F.col("measured").isNotNull(), tolerance(p["decimals"], F.col("measured"), p["stated"]) if given is None else F.lit(float(given))))
     ambiguous = (F.col("candidates") > 1) & (F.col("spread") > F.col("tolerance"))
     status = (
