@@ -62,7 +62,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own label, so paths halve in each round, and every round is checkpointed in the shared folder.
     """
     apart = edges.where("a <> b")
-    both = checkpointed(apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # both ways from one row, so that what finds the edges runs once
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpointed(apart.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
     degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("low"))
     other = degrees.select(F.col("a").alias("low"), F.col("degree").alias("low_degree"))
     known = nodes.select("node").join(shuffled(degrees), F.col("node") == F.col("a"), "left").join(shuffled(other), "low", "left")
