@@ -41,7 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _numbered(docs)
     classes = jaccard_join(docs.select(F.col("row").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.md5("text").alias("text"), "row")
-    linked = written(docs.join(classes, "row").select("row", "class_id", order.alias("place")), "linked")
+    placed = docs.select("row", order.alias("place"))  # hashes go to the join, not texts
+    linked = written(placed.join(classes, "row").select("row", "class_id", "place"), "linked")
     kept = linked.groupBy("class_id").agg(F.min("place").alias("place")).select("place.row")
     return docs.join(linked.select("row").join(kept, "row", "left_anti"), "row", "left_anti").select(*DOCUMENT_COLUMNS)
 

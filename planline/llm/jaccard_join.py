@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planline.llm.components import components
-from planline.llm.shared import mix64, only, shingles, slices, written
+from planline.llm.shared import dropped, mix64, only, shingles, slices, written
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -242,6 +242,7 @@ def jaccard_join(
     tokens = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("doc_id", "want", "text").dropDuplicates()
     tokens = written(tokens.select("want", "text").mapInArrow(_sets(width), "key binary, tokens binary"), "tokens")
 
+    working = [alive, tokens]
     final = None
     depth = 1
     while True:
@@ -261,6 +262,8 @@ def jaccard_join(
         final = kept if final is None else final.unionByName(kept)
         split = written(_below(large.join(stays, "path", "left_anti"), tokens, branch), "split")
         alive = written(_shared(split.select("path", "key")), "members")
+        dropped(split)
+        working += [stays, alive]
         depth += 1
 
     # buckets of the same sets are one
@@ -297,6 +300,8 @@ def jaccard_join(
     )
     least = classed.groupBy("root").agg(F.min("rep").alias("class_id"))
     classed = written(classed.join(least, "root").select("key", "class_id", "copies", "links", "text_links"), "classes")
+    for table in (*working, reps, kept, found):
+        dropped(table)
     zero = F.lit(0).cast("long")
     return (
         sketched.select("doc_id", "key")

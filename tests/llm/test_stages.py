@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from planline.llm import jaccard_join
 from planline.llm.shared import DOCUMENT_COLUMNS
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,23 @@ def test_stages_on_odd_rows(spark, odd, empty):
         assert stage(spark, empty, SF).count() == 0, name
     rows = corpus_pipeline.token_files(spark, odd, SF)
     assert rows.count() == odd.count() and corpus_pipeline.token_files(spark, empty, SF).count() == 0
+
+
+def test_near_copies_joins_hashes_not_texts(spark, monkeypatch):
+    """Texts cross a shuffle where they leave, not where copies are put in order; and working tables go."""
+    plans, tables = {}, []
+    real = corpus_pipeline.written
+
+    def watched(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name, *more)
+
+    monkeypatch.setattr(corpus_pipeline, "written", watched)
+    real_drop = jaccard_join.dropped
+    monkeypatch.setattr(jaccard_join, "dropped", lambda df: (tables.append(df.planline_path.rpartition("/")[2].partition("-")[0]), real_drop(df)))
+    text = " ".join(f"w{k}" for k in range(60))
+    out = corpus_pipeline.near_copies(spark, frame(spark, [(1, text), (2, text + " more"), (3, "other words")]), SF)
+    assert {r.doc_id for r in out.collect()} == {1, 3}
+    join = plans["linked"].split("Join", 1)
+    assert "md5" not in join[0] and "md5" in join[1]
+    assert {"members", "tokens", "sets", "buckets", "links"} <= set(tables)
