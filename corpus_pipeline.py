@@ -30,6 +30,22 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(only(docs, *DOCUMENT_COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
+#: Words of 64 rows' bits that go to every task, 16 bytes each: what a hundred gigabytes of documents need.
+MOST_WORDS = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The numbered documents but for the rows ``gone`` (row), a bit for each, so that no text crosses a shuffle.
+
+    Beyond ``MOST_WORDS`` the join is left to Spark.
+    """
+    word, bit = F.shiftright("row", 6), F.expr("shiftleft(1L, CAST(row & 63 AS INT))")
+    bits = written(gone.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")), "gone")
+    held = F.broadcast(bits) if bits.count() <= MOST_WORDS else bits
+    kept = docs.withColumn("word", word).join(held, "word", "left")
+    return kept.where(F.coalesce("bits", F.lit(0).cast("long")).bitwiseAND(bit) == 0).select(*DOCUMENT_COLUMNS)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of near copies: of the least id (null last), then by text.
 
@@ -44,7 +60,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = docs.select("row", order.alias("place"))  # hashes go to the join, not texts
     linked = written(placed.join(classes, "row").select("row", "class_id", "place"), "linked")
     kept = linked.groupBy("class_id").agg(F.min("place").alias("place")).select("place.row")
-    return docs.join(linked.select("row").join(kept, "row", "left_anti"), "row", "left_anti").select(*DOCUMENT_COLUMNS)
+    return _without(docs, linked.select("row").join(kept, "row", "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +72,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     docs = _numbered(docs)
     found = decontaminate(docs.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select(*DOCUMENT_COLUMNS)
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,17 @@ def test_near_copies_joins_hashes_not_texts(spark, monkeypatch):
     join = plans["linked"].split("Join", 1)
     assert "md5" not in join[0] and "md5" in join[1]
     assert {"members", "tokens", "sets", "buckets", "links"} <= set(tables)
+
+
+def test_rows_go_by_their_bits(spark, monkeypatch):
+    """Every place of a word of 64 bits, numbers of several partitions, and both joins; the texts stay where they are."""
+    docs = frame(spark, [(k, f"text {k}") for k in range(300)]).repartition(3)
+    numbered = corpus_pipeline._numbered(docs)
+    gone = numbered.where("doc_id % 3 = 0 or doc_id between 100 and 199").select("row")
+    left = {k for k in range(300) if k % 3 and not 100 <= k <= 199}
+    for most in (corpus_pipeline.MOST_WORDS, 0):
+        monkeypatch.setattr(corpus_pipeline, "MOST_WORDS", most)
+        out = corpus_pipeline._without(numbered, gone)
+        assert {(r.doc_id, r.text) for r in out.collect()} == {(k, f"text {k}") for k in left}
+        assert most == 0 or "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert corpus_pipeline._without(numbered, gone.limit(0)).count() == 300
