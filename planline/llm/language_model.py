@@ -58,17 +58,22 @@ def _piece_keys(code: np.ndarray) -> np.ndarray:
     return mix64(code.astype(np.uint64) ^ np.uint64(0x5D1C3A7700000000))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the place of each key among them; Arrow hashes, where numpy would sort."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the pieces of byte spans, in order, and the number of pieces of each span."""
     number = -(-(end - start) // PIECE)
     of = np.repeat(np.arange(len(start)), number)
     at = start[of] + PIECE * (np.arange(len(of)) - (np.cumsum(number) - number)[of])
     size = np.minimum(end[of] - at, PIECE)
-    wide = np.concatenate((raw, np.zeros(PIECE, dtype=np.uint8))).astype(np.uint64)
-    code = wide[at]
-    for k in range(1, PIECE):
-        code |= np.where(size > k, wide[at + k], 0).astype(np.uint64) << np.uint64(8 * k)
-    return code | size.astype(np.uint64) << np.uint64(8 * PIECE), number
+    padded = np.concatenate((raw, np.zeros(PIECE, dtype=np.uint8)))
+    wide = np.ndarray(len(raw) + 1, dtype=f"<u{PIECE}", buffer=padded, strides=(1,))
+    size = size.astype(np.uint64)
+    return wide[at] & ((np.uint64(1) << 8 * size) - np.uint64(1)) | size << np.uint64(8 * PIECE), number
 
 
 class Vocabulary:
@@ -84,8 +89,9 @@ class Vocabulary:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ids, -1 for keys that are no token."""
-        at = np.minimum(np.searchsorted(self.keys, keys), self.size - 1)
-        return np.where(self.keys[at] == keys, self.order[at], -1).astype(np.int32)
+        each, of = _distinct(keys)  # words repeat, and a search among all keys costs more than a hash
+        at = np.minimum(np.searchsorted(self.keys, each), self.size - 1)
+        return np.where(self.keys[at] == each, self.order[at], -1).astype(np.int32)[of]
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other; tokens and words of each text."""
@@ -117,9 +123,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n, words): counts of words and pieces; words is n for words and 0 for pieces."""
     for batch in slices(batches, 4000):
         raw, start, end = folded_spans(b" ".join((t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()))
-        words, first, n = np.unique(span_hashes(raw, start, end), return_index=True, return_counts=True)
-        code, number = _pieces(raw, start[first], end[first])
-        code, at = np.unique(code, return_inverse=True)
+        words, of = _distinct(span_hashes(raw, start, end))
+        n = np.bincount(of, minlength=len(words))
+        one = np.empty(len(words), dtype=np.int64)
+        one[of] = np.arange(len(of))  # a span of each word
+        code, number = _pieces(raw, start[one], end[one])
+        code, at = _distinct(code)
         each = np.bincount(at, np.repeat(n, number), len(code)).astype(np.int64)
         keys = np.concatenate((words, _piece_keys(code))).astype(np.int64)
         counts = np.concatenate((n, each))
@@ -179,25 +188,28 @@ class Paths:
     """The steps from the root of class k down to each id: nodes and branches (-1, 1), and the scores that decide.
 
     All ids share the first ``TOP`` levels, so these are dense products; the levels below are looked up.
+    A row holds one level of all ids, so that numpy's loops are as long as the ids.
     """
 
     def __init__(self, net: Network, h: np.ndarray, ids: np.ndarray, k: int):
         self.h, top = h, min(k, TOP)
-        inner = ids[:, None] + np.int32(1 - (1 << k))
-        depth = np.arange(k, dtype=np.int32)
+        inner = ids + np.int32(1 - (1 << k))
+        depth = np.arange(k, dtype=np.int32)[:, None]
         self.branch = (2 * (inner >> (k - 1 - depth) & 1) - 1).astype(np.float32)
         heap = (1 << depth) + (inner >> (k - depth))
         self.first, self.shared = (1 << k) + 1, net.tree[(1 << k) + 1 : (1 << k) + (1 << top)]
-        self.column, self.node = heap[:, :top] - 1, heap[:, top:] + (1 << k)
-        z = np.take_along_axis(h @ self.shared.T, self.column, axis=1)
+        self.column = heap[:top] + (np.arange(len(ids)) * len(self.shared) - 1)
+        self.node = heap[top:] + (1 << k)
+        self.z = np.empty((k, len(ids)), dtype=np.float32)
+        np.take(h @ self.shared.T, self.column, out=self.z[:top], mode="clip")  # with a mode numpy needs no copy of out
         if k > top:
             self.below = np.take(net.tree, self.node, axis=0)
-            z = np.concatenate((z, np.matmul(self.below, h[:, :, None])[:, :, 0]), axis=1)
-        self.z = z * self.branch
+            np.einsum("knd,nd->kn", self.below, h, out=self.z[top:])
+        self.z *= self.branch
 
     def log_probability(self) -> np.ndarray:
         """The steps' log-probabilities summed: one logarithm of the product, which float64 holds at these bounds."""
-        return -np.log(np.prod(1 + np.exp(np.clip(-self.z, -40, 40)), axis=1, dtype=np.float64))
+        return -np.log(np.prod(1 + np.exp(np.clip(-self.z, -40, 40)), axis=0, dtype=np.float64))
 
     def gradient(self, h: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By the hidden values, and by the shared nodes; ``out`` gets that by the nodes below, a row for each weight.
@@ -205,14 +217,14 @@ class Paths:
         ``h``: the hidden values as columns.
         """
         e = -self.branch / (1 + np.exp(np.minimum(self.z, 60)))
-        top = self.column.shape[1]
-        spread = np.zeros((len(e), len(self.shared)), dtype=np.float32)
-        np.put_along_axis(spread, self.column, e[:, :top], axis=1)
+        top = len(self.column)
+        spread = np.zeros((e.shape[1], len(self.shared)), dtype=np.float32)
+        spread.ravel()[self.column] = e[:top]
         back = spread @ self.shared
-        if self.node.shape[1]:
-            e = e[:, top:]
-            back += np.matmul(e[:, None, :], self.below)[:, 0, :]
-            np.multiply(h[:, :, None], e, out=out.reshape(ROW, *e.shape))
+        if len(self.node):
+            e = e[top:]
+            back += np.einsum("kn,knd->nd", e, self.below)
+            np.multiply(h[:, None, :], e.astype(np.float64), out=out.reshape(ROW, *e.shape))
         return back, spread.T @ self.h
 
 
@@ -224,9 +236,13 @@ def _by_class(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, [(k, edge[k], edge[k + 1]) for k in range(len(edge) - 1) if edge[k] < edge[k + 1]]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    np.clip(z, -80, 80, out=z)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+_ONES = np.ones(64, dtype=np.float32)
+
+
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z), z clipped in place, and its sum by row: as a product, since rows are short."""
+    e = np.exp(np.clip(z, -80, 80, out=z))
+    return e, e @ _ONES[: z.shape[1]]
 
 
 def log_probabilities(net: Network, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -236,10 +252,11 @@ def log_probabilities(net: Network, ids: np.ndarray, near: np.ndarray) -> np.nda
         order, classes = _by_class(ids[s : s + BATCH])
         own = ids[s : s + BATCH][order]
         h = net.hidden(near[s : s + BATCH][order])[1]
-        p = _log_softmax(h @ net.of_class.T)
+        z = h @ net.of_class.T
+        rest = np.log(_exponentials(z)[1])
         sums = np.empty(len(own), dtype=np.float32)
         for k, a, b in classes:
-            sums[a:b] = p[a:b, k]
+            sums[a:b] = z[a:b, k] - rest[a:b]
             if k:
                 sums[a:b] += Paths(net, h[a:b], own[a:b], k).log_probability()
         out[s + order] = sums
@@ -252,7 +269,7 @@ def _sums(rows: np.ndarray, columns: np.ndarray, most: int) -> tuple[np.ndarray,
     place = np.zeros(most, dtype=np.int64)
     place[distinct] = np.arange(len(distinct))
     at = place[rows]
-    return distinct, np.stack([np.bincount(at, c, len(distinct)) for c in columns], axis=1).astype(np.float32)
+    return distinct, np.array([np.bincount(at, c, len(distinct)) for c in columns], dtype=np.float32).T
 
 
 def moves(net: Network, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +278,9 @@ def moves(net: Network, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
     order, classes = _by_class(ids)
     ids, near = ids[order], near[order]
     x, h = net.hidden(near)
-    columns = h.T.astype(np.float64)
-    g = np.exp(_log_softmax(h @ net.of_class.T))
+    columns = h.T.astype(np.float64, order="C")
+    g, total = _exponentials(h @ net.of_class.T)
+    g /= total[:, None]
     back = np.zeros_like(h)
     rows, grads = [net.dense], []
     steps = np.cumsum([0, *((b - a) * max(k - TOP, 0) for k, a, b in classes)])
@@ -277,26 +295,35 @@ def moves(net: Network, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray,
             grads.append(of_shared)
     back += g @ net.of_class
     back *= 1 - h * h  # 0 for the bias, whose h is 1
-    by_weight = net.place.reshape(len(_AROUND), ROW, ROW).transpose(1, 0, 2).reshape(-1, ROW).astype(np.float64) @ back.T.astype(np.float64)
+    by_weight = net.place.reshape(len(_AROUND), ROW, ROW).transpose(1, 0, 2).reshape(-1, ROW) @ back.T
     words, of_word = _sums(near.T.ravel(), by_weight.reshape(ROW, -1), net.size + 1)
     trees, of_tree = _sums(nodes, of_nodes, 1 << net.bits)
     rows = np.concatenate((*rows, words, trees + net.tree_at))
     return rows, np.concatenate((g.T @ h, x.T @ back, *grads, of_word, of_tree)) / np.float32(n)
 
 
+def _mixed(n: int) -> np.ndarray:
+    """0 to n - 1 in a fixed mixed order: sorted by a hash, whose low bits make way for the number, so that a plain sort does."""
+    number, bits = np.arange(n, dtype=np.uint64), np.uint64(n.bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort(mix64(number) & ~low | number) & low).astype(np.int64)
+
+
 def train_block(net: Network, ids: np.ndarray, sizes: np.ndarray, rate: float) -> np.ndarray:
     """Train the network in place on one block, tokens in a fixed mixed order; the rows that moved."""
     every, squares = net.every, np.full(len(net.every), 1e-8, dtype=np.float32)
+    whole = every.view(f"V{every.strides[0]}")[:, 0]  # a row as one value, which numpy puts faster than ROW of them
     moved = np.zeros(len(every), dtype=bool)
     row, place = padded(ids, sizes, net.size)
-    mixed = np.argsort(mix64(np.arange(len(ids), dtype=np.uint64)), kind="stable")
+    mixed = _mixed(len(ids))
     for s in range(0, len(ids), BATCH):
         at = place[mixed[s : s + BATCH]]
         rows, g = moves(net, row[at], row[at[:, None] + _AROUND])
         square = np.take(squares, rows) + np.einsum("nd,nd->n", g, g) / np.float32(ROW)
         squares[rows] = square  # steps shrink with what each row has seen (Adagrad by row)
-        g *= (np.float32(rate) / np.sqrt(square))[:, None]
-        every[rows] -= g
+        g *= (np.float32(-rate) / np.sqrt(square))[:, None]
+        g += np.take(every, rows, axis=0)
+        whole[rows] = g.view(whole.dtype)[:, 0]
         moved[rows] = True
     return np.flatnonzero(moved)
 

@@ -110,3 +110,46 @@ def test_vocabulary_grows_with_the_corpus():
     assert L.least_count(0) == L.least_count(1_000_000) == L.LEAST_COUNT
     most = [n / L.least_count(n) for n in (10**k for k in range(6, 14))]  # words that can be that frequent
     assert all(b > 2 * a for a, b in zip(most, most[1:]))
+
+
+def test_a_word_is_looked_up_once_however_often_it_occurs(monkeypatch):
+    v = L.Vocabulary(keys("the", "cat"))
+    asked, real = [], np.searchsorted
+
+    def watched(a, x, *more, **named):
+        if a is v.keys:
+            asked.append(len(x))
+        return real(a, x, *more, **named)
+
+    monkeypatch.setattr(L.np, "searchsorted", watched)
+    assert v.ids(["the cat " * 1000])[0].tolist() == [0, 1] * 1000
+    assert asked == [2]
+
+
+def test_counts_equal_the_plain_ones():
+    texts = ["The cat, the dog", None, "", "catalogue zoë", "dog"]
+    got = {}
+    for b in L._counts(iter([L.pa.RecordBatch.from_arrays([L.pa.array(texts)], ["text"])])):
+        got |= {k % 2**64: (n, w) for k, n, w in zip(*(c.to_pylist() for c in b.columns))}
+    words = [w for t in texts for w in re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())]
+    want = {int(keys(w.decode())[0]): (words.count(w), words.count(w)) for w in words}
+    pieces = [w[k : k + L.PIECE] for w in words for k in range(0, len(w), L.PIECE)]
+    code = lambda p: L._piece_keys(np.array([int.from_bytes(p, "little") | len(p) << 8 * L.PIECE], dtype=np.uint64))
+    assert got == want | {int(code(p)[0]): (pieces.count(p), 0) for p in pieces}
+
+
+def test_a_block_trains_as_plain_steps_do():
+    for n in (0, 1, 7, 100_000):
+        assert (L._mixed(n) == np.argsort(L.mix64(np.arange(n, dtype=np.uint64)), kind="stable")).all()
+    ids, sizes = np.random.default_rng(3).integers(0, 600, 20_000).astype(np.int32), np.array([12_000, 8_000])
+    net, plain = random_net(600), random_net(600)
+    squares = np.full(len(plain.every), 1e-8)
+    row, place = L.padded(ids, sizes, net.size)
+    mixed = np.argsort(L.mix64(np.arange(len(ids), dtype=np.uint64)), kind="stable")
+    for s in range(0, len(ids), L.BATCH):
+        at = place[mixed[s : s + L.BATCH]]
+        rows, g = L.moves(plain, row[at], row[at[:, None] + L._AROUND])
+        squares[rows] += (g**2).sum(axis=1) / L.ROW
+        plain.every[rows] -= 0.2 * g / np.sqrt(squares[rows])[:, None]
+    L.train_block(net, ids, sizes, 0.2)
+    assert net.flat == pytest.approx(plain.flat, abs=1e-4)
