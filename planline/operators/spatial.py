@@ -33,9 +33,38 @@ def with_cells(df: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     return df.withColumn("gx", F.explode(xs)).withColumn("gy", F.explode(ys))
 
 
-def _levels(df: DataFrame, cell: float, pad: float = 0.0) -> list[int]:
-    """The levels in use: some fifty at most, as each doubles the last."""
-    return sorted(r[0] for r in df.select(_level(cell, pad)).distinct().collect() if r[0] is not None)
+def _levels(df: DataFrame, cell: float, pad: float = 0.0) -> dict[int, int]:
+    """The levels in use and their boxes: some fifty at most, as each doubles the last."""
+    counted = df.groupBy(_level(cell, pad).alias("level")).agg(F.count(F.lit(1)).alias("n")).where("level is not null")
+    return dict(sorted(tuple(r) for r in counted.collect()))
+
+
+#: Rows that one task sorts for a join by cells, some 100 MB of them.
+TASK_ROWS = 1_000_000
+
+
+def _meet(asked: DataFrame, filed: DataFrame, rows: int) -> DataFrame:
+    """``asked`` and ``filed`` joined by cell; ``rows``: about how many both are.
+
+    Where the session's partitions would hold more than ``TASK_ROWS`` each, there are as many
+    tasks as the rows need, and a cell that ``asked`` fills with more is dealt over several.
+    """
+    keys = ["level", "gx", "gy"]
+    tasks = -(-rows // TASK_ROWS)
+    if tasks > int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        shares = F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("shares")
+        full = asked.groupBy(*keys).agg(shares).where("shares > 1")
+        found = full.collect()  # fewer than the tasks
+        if found:
+            full = F.broadcast(asked.sparkSession.createDataFrame(found, full.schema))
+            hashed = [c for c, kind in asked.dtypes if "map<" not in kind]
+            of = F.pmod(F.xxhash64(*hashed), F.col("shares")).cast("int")
+            asked = asked.join(full, keys, "left").withColumn("share", F.coalesce(of, F.lit(0))).drop("shares")
+            filed = filed.join(full, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+            keys = [*keys, "share"]
+        # the number is given, since no session knows what its files become as cells
+        asked, filed = asked.repartition(tasks, *keys), filed.repartition(tasks, *keys)
+    return asked.join(shuffled(filed), keys).drop("share")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 40.0, pad: float = 0.0) -> DataFrame:
@@ -50,9 +79,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 40.0, pad
     if not levels:
         return p.crossJoin(boxes.select(*named).limit(0))
     filed = with_cells(boxes.withColumn("level", _level(cell, pad)), cell, pad).select("level", "gx", "gy", *named)
-    at = p.withColumn("level", F.explode(F.lit(levels)))
+    at = p.withColumn("level", F.explode(F.lit(list(levels))))
     at = at.withColumns({"gx": _cell(F.col("p_x"), _width(cell)), "gy": _cell(F.col("p_y"), _width(cell))})
-    near = at.join(shuffled(filed), ["level", "gx", "gy"]).drop("level", "gx", "gy")
+    rows = points.count() * len(levels) + 4 * sum(levels.values())
+    near = _meet(at, filed, rows).drop("level", "gx", "gy")
     inside = lambda v, low, high: F.col(v).between(F.col(low) - pad, F.col(high) + pad)
     return near.where(inside("p_x", "r_minx", "r_maxx") & inside("p_y", "r_miny", "r_maxy"))
 
@@ -168,7 +198,7 @@ def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None =
     boxes = a.withColumn("own", _level(cell, pad))
     filed = with_cells(boxes.withColumn("level", F.col("own")), cell, pad).select("level", "gx", "gy", *[F.col(c).alias(f"f_{c}") for c in a.columns])
     levels = _levels(a, cell, pad)
-    wider = boxes.withColumn("level", F.explode(F.filter(F.lit(levels or [0]), lambda x: x >= F.col("own"))))
+    wider = boxes.withColumn("level", F.explode(F.filter(F.lit(list(levels) or [0]), lambda x: x >= F.col("own"))))
     asked = with_cells(wider, cell, pad).select("level", "gx", "gy", "own", *[F.col(c).alias(f"q_{c}") for c in a.columns])
     near = asked.join(shuffled(filed), ["level", "gx", "gy"]).where(
         ((F.col("own") < F.col("level")) | (F.col("f_handle") < F.col("q_handle")))

@@ -1,5 +1,7 @@
 """Work that must not grow faster than its input: expressions worked out once, joins dealt by key."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,23 @@ def test_ends_are_not_broadcast(spark, plans):
     nodes = network.node_degrees(network.clustered_ends(paths, 0.01))
     assert {(r.node, r.degree) for r in nodes.collect()} == {(2, 1), (3, 2), (5, 1)}
     assert plans and not any("Broadcast" in p for p in [*plans, planned(nodes)])
+
+
+def tasks(df):
+    return {int(n) for n in re.findall(r"hashpartitioning\(level.*?, (\d+)\)", planned(df))}
+
+
+def most_in_a_task(df):
+    return df.select(F.spark_partition_id().alias("task")).groupBy("task").count().agg(F.max("count")).first()[0]
+
+
+def test_points_meet_boxes_in_as_many_tasks_as_their_rows_need(spark, squares, monkeypatch):
+    at = lambda k, wide: F.pmod(F.hash("id", F.lit(k)), F.lit(wide)) / 100
+    # nine tenths of the points lie in the cell of the first two squares
+    points = spark.range(400).select(F.col("id").alias("handle"), F.when(F.col("id") % 10 == 0, at(0, 2400)).otherwise(at(0, 800)).alias("x"), at(1, 800).alias("y"))
+    ask = lambda: S.points_in_boxes(points, squares, 8.0)
+    want = sorted((r.p_handle, r.r_handle) for r in ask().collect())
+    assert tasks(ask()) == {4} and len(want) > 80
+    monkeypatch.setattr(S, "TASK_ROWS", 40)
+    assert sorted((r.p_handle, r.r_handle) for r in ask().collect()) == want
+    assert min(tasks(ask())) >= 10 and most_in_a_task(ask()) < len(want) / 2
