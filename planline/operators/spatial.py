@@ -200,7 +200,8 @@ def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None =
     levels = _levels(a, cell, pad)
     wider = boxes.withColumn("level", F.explode(F.filter(F.lit(list(levels) or [0]), lambda x: x >= F.col("own"))))
     asked = with_cells(wider, cell, pad).select("level", "gx", "gy", "own", *[F.col(c).alias(f"q_{c}") for c in a.columns])
-    near = asked.join(shuffled(filed), ["level", "gx", "gy"]).where(
+    rows = 4 * sum(n * (1 + sum(x >= own for x in levels)) for own, n in levels.items())
+    near = _meet(asked, filed, rows).where(
         ((F.col("own") < F.col("level")) | (F.col("f_handle") < F.col("q_handle")))
         & (F.col("f_minx") - pad <= F.col("q_maxx") + pad)
         & (F.col("q_minx") - pad <= F.col("f_maxx") + pad)

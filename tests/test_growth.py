@@ -112,3 +112,13 @@ def test_points_meet_boxes_in_as_many_tasks_as_their_rows_need(spark, squares, m
     monkeypatch.setattr(S, "TASK_ROWS", 40)
     assert sorted((r.p_handle, r.r_handle) for r in ask().collect()) == want
     assert min(tasks(ask())) >= 10 and most_in_a_task(ask()) < len(want) / 2
+
+
+def test_boxes_meet_in_as_many_tasks_as_their_rows_need(spark, squares, monkeypatch):
+    boxes = squares.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("handle", F.col("handle") * 10 + F.col("copy")).drop("copy")
+    ask = lambda: S.box_pairs(boxes, 8.0, 1.0)
+    want = sorted((r.a_handle, r.b_handle) for r in ask().collect())
+    assert tasks(ask()) == {4} and len(want) == 6 * 45 + 5 * 100
+    monkeypatch.setattr(S, "TASK_ROWS", 15)
+    assert sorted((r.a_handle, r.b_handle) for r in ask().collect()) == want
+    assert min(tasks(ask())) >= 10 and most_in_a_task(ask()) < len(want) / 2
