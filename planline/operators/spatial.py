@@ -43,28 +43,38 @@ def _levels(df: DataFrame, cell: float, pad: float = 0.0) -> dict[int, int]:
 TASK_ROWS = 1_000_000
 
 
-def _meet(asked: DataFrame, filed: DataFrame, rows: int) -> DataFrame:
+def _dealt(asked: DataFrame, filed: DataFrame, keys: list[str], share: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and their keys, each cell that ``asked`` fills with more than ``TASK_ROWS`` dealt over several ``share``s."""
+    shares = F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("shares")
+    full = asked.groupBy(*keys).agg(shares).where("shares > 1")
+    found = full.collect()  # fewer than the tasks
+    if not found:
+        return asked, filed, keys
+    full = F.broadcast(asked.sparkSession.createDataFrame(found, full.schema))
+    hashed = [c for c, kind in asked.dtypes if "map<" not in kind]
+    of = F.pmod(F.xxhash64(*hashed), F.col("shares")).cast("int")
+    asked = asked.join(full, keys, "left").withColumn(share, F.coalesce(of, F.lit(0))).drop("shares")
+    filed = filed.join(full, keys, "left").withColumn(share, F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return asked, filed, [*keys, share]
+
+
+def _meet(asked: DataFrame, filed: DataFrame, rows: int, by: tuple[str, ...] = ()) -> DataFrame:
     """``asked`` and ``filed`` joined by cell; ``rows``: about how many both are.
 
     Where the session's partitions would hold more than ``TASK_ROWS`` each, there are as many
     tasks as the rows need, and a cell that ``asked`` fills with more is dealt over several.
+    ``by``: further keys, of two sides that are not the same rows; then a cell that ``filed``
+    fills is dealt too.
     """
-    keys = ["level", "gx", "gy"]
+    keys = ["level", "gx", "gy", *by]
     tasks = -(-rows // TASK_ROWS)
     if tasks > int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        shares = F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("shares")
-        full = asked.groupBy(*keys).agg(shares).where("shares > 1")
-        found = full.collect()  # fewer than the tasks
-        if found:
-            full = F.broadcast(asked.sparkSession.createDataFrame(found, full.schema))
-            hashed = [c for c, kind in asked.dtypes if "map<" not in kind]
-            of = F.pmod(F.xxhash64(*hashed), F.col("shares")).cast("int")
-            asked = asked.join(full, keys, "left").withColumn("share", F.coalesce(of, F.lit(0))).drop("shares")
-            filed = filed.join(full, keys, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-            keys = [*keys, "share"]
+        asked, filed, keys = _dealt(asked, filed, keys, "share")
+        if by:
+            filed, asked, keys = _dealt(filed, asked, keys, "back")
         # the number is given, since no session knows what its files become as cells
         asked, filed = asked.repartition(tasks, *keys), filed.repartition(tasks, *keys)
-    return asked.join(shuffled(filed), keys).drop("share")
+    return asked.join(shuffled(filed), keys).drop("share", "back")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 40.0, pad: float = 0.0) -> DataFrame:
@@ -173,27 +183,58 @@ def rings_near(a: DataFrame, cell: float, reach: float) -> DataFrame:
     return pairs.withColumn("distance", F.explode(F.filter(distance, lambda d: d <= reach)))
 
 
-def box_matches(a: DataFrame, b: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
-    """Every pair of a row of ``a`` and one of ``b`` whose boxes, each widened by ``pad``, overlap, prefixes ``a_`` and ``b_``."""
+def _extent(df: DataFrame, cell: float, pad: float) -> tuple[dict[int, int], list[float]]:
+    """:func:`_levels`, and the box around all boxes of ``df`` (minx, miny, maxx, maxy)."""
+    bounds = [F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")]
+    found = df.groupBy(_level(cell, pad).alias("level")).agg(F.count(F.lit(1)).alias("n"), *bounds).where("level is not null").collect()
+    around = [f(v, default=0.0) for f, v in zip((min, min, max, max), ([r[k] for r in found if r[k] is not None] for k in range(2, 6)))]
+    return dict(sorted((r.level, r.n) for r in found)), around
+
+
+def _boxes_meet(a: list[Column], b: list[Column], pad: float) -> Column:
+    """Whether two boxes (minx, miny, maxx, maxy), each widened by ``pad``, overlap."""
+    return (a[0] - pad <= b[2] + pad) & (b[0] - pad <= a[2] + pad) & (a[1] - pad <= b[3] + pad) & (b[1] - pad <= a[3] + pad)
+
+
+def box_matches(a: DataFrame, b: DataFrame, cell: float, pad: float = 0.0, within: DataFrame | None = None) -> DataFrame:
+    """Every pair of a row of ``a`` and one of ``b`` whose boxes, each widened by ``pad``, overlap, prefixes ``a_`` and ``b_``.
+
+    A pair meets on the grid of its wider box, in one cell. Rows of one table never meet
+    each other, however many lie in a cell. Rows of ``b`` outside the whole extent of ``a``
+    are left out before they are filed, and the rest is worked out once. ``within``: boxes
+    that hold those of ``a`` and cost less to read, for the extent.
+    """
     corners = ("minx", "miny", "maxx", "maxy")
-    kinds = [F.struct(*x.columns) for x in (a, b)]
-    empty = [F.lit(None).cast(x.select(F.struct(*x.columns).alias("s")).schema[0].dataType) for x in (a, b)]
-    # the columns travel with the boxes, a side in a struct of its own, so nothing is joined back
-    sides = [
-        x.select(F.struct("handle", F.lit(k).alias("side")).alias("handle"), *corners, *[(kinds[j] if j == k else empty[j]).alias(f"item{j}") for j in (0, 1)])
-        for k, x in enumerate((a, b))
-    ]
-    pairs = box_pairs(sides[0].unionByName(sides[1]), cell, pad, across="side")
-    found = pairs.select(*[F.coalesce(f"a_item{k}", f"b_item{k}").alias(f"item{k}") for k in (0, 1)])
-    return found.select(*[F.col(f"item0.{c}").alias(f"a_{c}") for c in a.columns], *[F.col(f"item1.{c}").alias(f"b_{c}") for c in b.columns])
-
-
-def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None = None) -> DataFrame:
+    boxed = lambda prefix="": [F.col(f"{prefix}{c}") for c in corners]
+    named = lambda x, prefix: [F.col(c).alias(f"{prefix}_{c}") for c in x.columns]
+    a_levels, a_extent = _extent(a if within is None else within, cell, pad)
+    b = checkpointed(b.where(_boxes_meet(boxed(), [F.lit(v) for v in a_extent], pad)))
+    b_levels = _levels(b, cell, pad)
+    if not a_levels or not b_levels:
+        return a.select(*named(a, "a")).crossJoin(b.select(*named(b, "b")).limit(0))
+
+    def placed(x: DataFrame, prefix: str, levels: list[Column]) -> DataFrame:
+        rows = x.withColumn("own", _level(cell, pad)).withColumn("at", F.explode(F.concat(*levels)))
+        return with_cells(rows.withColumns({"level": F.col("at.level"), "wide": F.col("at.wide")}), cell, pad).select("level", "gx", "gy", "wide", *named(x, prefix))
+
+    own = F.col("own")
+    # wide: whose grid it is, b's where both boxes are of one level
+    on = lambda wide, levels: F.transform(levels, lambda k: F.struct(k.alias("level"), F.lit(wide).alias("wide")))
+    used = lambda levels, test: F.filter(F.lit(list(levels)), test)
+    asked = placed(a, "a", [on("b", used(b_levels, lambda k: k >= own)), on("a", F.when(own > min(b_levels), F.array(own)).otherwise(F.array().cast("array<int>")))])
+    filed = placed(b, "b", [on("b", F.array(own)), on("a", used(a_levels, lambda k: k > own))])
+    rows = 4 * sum(n * (1 + sum(x >= k for x in b_levels)) for k, n in a_levels.items()) + 4 * sum(n * (1 + sum(x > k for x in a_levels)) for k, n in b_levels.items())
+    near = _meet(asked, filed, rows, by=("wide",)).where(_boxes_meet(boxed("a_"), boxed("b_"), pad))
+    # the cell of the overlap's least corner answers for the pair
+    home = lambda c: F.greatest(_cell(F.col(f"a_{c}") - pad, _width(cell)), _cell(F.col(f"b_{c}") - pad, _width(cell)))
+    return near.where((F.col("gx") == home("minx")) & (F.col("gy") == home("miny"))).drop("level", "gx", "gy", "wide")
+
+
+def box_pairs(a: DataFrame, cell: float, pad: float = 0.0) -> DataFrame:
     """Pairs a.handle < b.handle whose boxes, each widened by ``pad``, overlap; each is found in one cell only.
 
     A box is filed on the grid that fits its width and looked up on its own and every
-    wider grid in use, so boxes of any width fill few cells. ``across``: a field of the
-    handle in which the two must differ.
+    wider grid in use, so boxes of any width fill few cells.
     """
     boxes = a.withColumn("own", _level(cell, pad))
     filed = with_cells(boxes.withColumn("level", F.col("own")), cell, pad).select("level", "gx", "gy", *[F.col(c).alias(f"f_{c}") for c in a.columns])
@@ -208,8 +249,6 @@ def box_pairs(a: DataFrame, cell: float, pad: float = 0.0, across: str | None =
         & (F.col("f_miny") - pad <= F.col("q_maxy") + pad)
         & (F.col("q_miny") - pad <= F.col("f_maxy") + pad)
     )
-    if across:
-        near = near.where(F.col(f"f_handle.{across}") != F.col(f"q_handle.{across}"))
     # the cell of the overlap's least corner answers for the pair
     home = lambda c: F.greatest(_cell(F.col(f"f_{c}") - pad, _width(cell)), _cell(F.col(f"q_{c}") - pad, _width(cell)))
     near = near.where((F.col("gx") == home("minx")) & (F.col("gy") == home("miny")))

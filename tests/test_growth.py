@@ -122,3 +122,25 @@ def test_boxes_meet_in_as_many_tasks_as_their_rows_need(spark, squares, monkeypa
     monkeypatch.setattr(S, "TASK_ROWS", 15)
     assert sorted((r.a_handle, r.b_handle) for r in ask().collect()) == want
     assert min(tasks(ask())) >= 10 and most_in_a_task(ask()) < len(want) / 2
+
+
+def test_boxes_of_two_tables_meet_no_box_of_their_own(spark, squares, monkeypatch):
+    """Pairs that the join by cell looks at: 300 boxes in one cell against 6, not against each other."""
+    crowd = spark.range(300).select(F.col("id").alias("handle"), (F.col("id") % 20).cast("double").alias("minx"), F.lit(1.0).alias("miny"))
+    crowd = crowd.select("*", (F.col("minx") + 0.5).alias("maxx"), F.lit(1.5).alias("maxy"))
+    far = squares.withColumns({"handle": F.col("handle") + 100, "minx": F.col("minx") + 1e6, "maxx": F.col("maxx") + 1e6})
+    looked = []
+    real = S._meet
+
+    def watched(*sides, **more):
+        near = real(*sides, **more)
+        looked.append(near.count())
+        return near
+
+    monkeypatch.setattr(S, "_meet", watched)
+    fields = ("handle", "minx", "miny", "maxx", "maxy")
+    ask = lambda: sorted((r.a_handle, r.b_handle) for r in S.box_matches(crowd, squares.select(*fields).union(far.select(*fields)), 64.0, 0.1).collect())
+    want = sorted((k, j) for k in range(300) for j in range(6) if k % 20 - 0.1 <= 4 * j + 3.1 and 4 * j - 0.1 <= k % 20 + 0.6)
+    assert ask() == want and looked[-1] <= 4 * 300 * 6
+    monkeypatch.setattr(S, "TASK_ROWS", 40)  # full cells of either side are dealt
+    assert ask() == want
