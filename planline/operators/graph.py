@@ -54,37 +54,54 @@ class Levels:
         return reduce(DataFrame.unionByName, [part for _, part in self._parts])
 
 
+def forgotten(df: DataFrame) -> None:
+    """Delete the files of :func:`checkpointed` rows that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over edges (a, b) either way.
+    """(node, component): the least node reachable over edges (a, b) either way; a node without an edge is its own."""
+    return nodes.select("node").join(shuffled(linked(edges)), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that edges (a, b) lead from or to: the least node reachable either way.
 
-    Nodes without an edge, and pairs that hang on nothing else, are settled at once; only
-    what is left goes round: labels fall to the least neighbour's, and then to that label's
-    own label, so paths halve in each round, and every round is checkpointed in the shared folder.
+    Pairs that hang on nothing else are settled at once; only what is left goes round:
+    labels fall to the least neighbour's, and then to that label's own label, so paths
+    halve in each round. Every round is checkpointed in the shared folder, and the last
+    one's files are deleted then.
     """
     apart = edges.where("a <> b")
     # both ways from one row, so that what finds the edges runs once
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpointed(apart.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
-    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("low"))
+    every = checkpointed(apart.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
+    degrees = every.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("low"))
     other = degrees.select(F.col("a").alias("low"), F.col("degree").alias("low_degree"))
-    known = nodes.select("node").join(shuffled(degrees), F.col("node") == F.col("a"), "left").join(shuffled(other), "low", "left")
     pair = (F.col("degree") == 1) & (F.col("low_degree") == 1)
-    known = checkpointed(known.select("node", F.when(F.col("degree").isNull(), F.col("node")).when(pair, F.least("node", "low")).alias("component")))
+    known = checkpointed(degrees.join(shuffled(other), "low").select(F.col("a").alias("node"), F.when(pair, F.least("a", "low")).alias("component")))
     settled = known.where("component is not null")
     label = known.where("component is null").select("node", F.col("node").alias("component"))
     if not label.limit(1).count():
+        forgotten(every)
         return settled
-    label = checkpointed(label)
-    both = checkpointed(both.join(shuffled(label.select(F.col("node").alias("a"))), "a", "left_semi"))
+    label = last = checkpointed(label)
+    both = checkpointed(every.join(shuffled(label.select(F.col("node").alias("a"))), "a", "left_semi"))
+    forgotten(every)
     while True:
         near = both.join(shuffled(label), both.b == label.node).groupBy("a").agg(F.min("component").alias("low"))
         fresh = label.join(shuffled(near), label.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("next"))
         after = fresh.join(shuffled(jump), "low", "left").select("node", F.coalesce("next", "low").alias("after"), "component")
         after = checkpointed(after)
+        forgotten(last)
         changed = after.where("after <> component").limit(1).count()
-        label = after.select("node", F.col("after").alias("component"))
+        label, last = after.select("node", F.col("after").alias("component")), after
         if not changed:
+            forgotten(both)
             return settled.unionByName(label)
 
 

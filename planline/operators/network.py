@@ -5,12 +5,16 @@ Paths are rows of handle, ax, ay, bx, b_y (their two ends) and length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planline.functions import geometry as G
 from planline.operators import spatial, windows
-from planline.operators.graph import checkpointed, connected_components, shuffled
+from planline.operators.graph import checkpointed, connected_components, linked, shuffled
 
 #: The tolerance is this part of the median length, or of the greatest coordinate where that is more.
 SNAP_FRACTION, NOISE = 1e-4, 1e-12
@@ -32,20 +36,153 @@ def ends(paths: DataFrame) -> DataFrame:
     return both.select("handle", "e.side", (F.col("handle") * 2 + F.col("e.side")).alias("id"), "e.x", "e.y").where("x is not null and y is not null")
 
 
+#: Tiles are this many tolerances wide, and begin at this part of their width, so that drawn lattices seldom lie on their sides.
+TILE, SHIFT = 64, 0.37
+#: Pairs of places that a task compares at once.
+PAIRS = 1_000_000
+
+
+def _near_places(x: np.ndarray, y: np.ndarray, tolerance: float, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of places at most ``tolerance`` apart, by cells as wide; each pair once."""
+    wide = tolerance * 1.001  # what rounding adds stays in
+    with np.errstate(invalid="ignore", over="ignore"):
+        across, up = (np.floor(v / wide).astype(np.int64).view(np.uint64) for v in (x, y))
+    # cells that share a key by chance only add pairs that the distance refuses
+    steps = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    key = across * np.uint64(steps[0]) + up * np.uint64(steps[1])
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    for i, j in ((0, 0), (0, 1), (1, 0), (1, 1), (1, -1)):
+        there = held + np.uint64((i * steps[0] + j * steps[1]) % 2**64)
+        low = np.arange(1, len(held) + 1) if i == j == 0 else np.searchsorted(held, there, "left")
+        n = np.searchsorted(held, there, "right") - low
+        asked = np.flatnonzero(n > 0)
+        total = np.cumsum(n[asked])
+        at = 0
+        while at < len(asked):
+            # rows of one place are compared whole or in parts of ``most``
+            before = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+            some = asked[at:end]
+            for part in range(0, int(n[some[0]]) if len(some) == 1 else 1, most):
+                size = np.minimum(n[some] - part, most) if len(some) == 1 else n[some]
+                a = np.repeat(some, size)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[some] + part, size)
+                a, b = order[a], order[b]
+                with np.errstate(invalid="ignore"):
+                    near = np.hypot(x[a] - x[b], y[a] - y[b]) <= tolerance
+                yield a[near], b[near]
+            at = end
+
+
+def _rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers 0 to n - 1 that hang together by pairs (a, b), for each number."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        for side in (a, b):
+            np.minimum.at(after, side, low)
+            np.minimum.at(after, root[side], low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+def _linking(tolerance: float, most: int):
+    """Arrow batches (id, x, y) to links (a, b): b is the first end at a's place, or the least place that a's hangs on here.
+
+    Only places that differ are held, so many ends at a place take no room; ``most`` rows wait
+    until they are merged.
+    """
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, rows = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            """One row a place in ``held``; the ends that go, and which stay for them."""
+            ids, x, y = (np.concatenate(c) for c in zip(held, *waiting))
+            # equal as bits, with one zero and one NaN
+            bits = [np.where(np.isnan(v), np.nan, v + 0.0).view(np.int64) for v in (x, y)]
+            order = np.lexsort((ids, *bits))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (bits[0][order][1:] != bits[0][order][:-1]) | (bits[1][order][1:] != bits[1][order][:-1])
+            first = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            gone = ids[order] != first
+            keep = order[new]
+            held[:] = ids[keep], x[keep], y[keep]
+            waiting.clear()
+            return ids[order][gone], first[gone]
+
+        for batch in batches:
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows > max(most, len(held[0])):
+                yield links(*merged())
+                rows = 0
+        if waiting:
+            yield links(*merged())
+        ids, x, y = held
+        if tolerance > 0 and len(ids):
+            found = [np.stack(pair) for pair in _near_places(x, y, tolerance) if len(pair[0])]
+            if found:
+                order = np.argsort(ids)
+                rank = np.empty(len(ids), np.int64)
+                rank[order] = np.arange(len(ids))
+                a, b = rank[np.concatenate(found, axis=1)]
+                root = _rooted(len(ids), a, b)
+                moved = np.flatnonzero(root != np.arange(len(ids)))
+                yield links(ids[order][moved], ids[order][root[moved]])
+
+    return run
+
+
+def end_links(all_ends: DataFrame, tolerance: float) -> DataFrame:
+    """(a, b): links that hold together the ends (id, x, y) that hang together by steps of at most ``tolerance``; an end alone has none.
+
+    Ends are dealt by tiles, each to every tile within its reach, and go over the network
+    once; what is linked in a tile comes out as one link an end. A tolerance of 0 links
+    equal places alone.
+    """
+    rows = all_ends.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y")])
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // spatial.TASK_ROWS))
+    if tolerance > 0:
+        wide, reach = TILE * tolerance, tolerance * 1.001  # what rounding adds stays in
+        tile = lambda v: F.floor(v / wide + SHIFT).cast("long")
+        meets = lambda v: F.explode(F.sequence(tile(F.col(v) - reach), tile(F.col(v) + reach)))
+        rows = rows.withColumn("tx", meets("x")).withColumn("ty", meets("y"))
+        place = F.xxhash64("tx", "ty")
+    else:
+        place = F.xxhash64("x", "y")
+    # a small number goes along instead of the tile
+    dealt = rows.select("id", "x", "y", F.pmod(place, F.lit(64 * tasks)).cast("int").alias("deal")).repartition(tasks, "deal")
+    return dealt.select("id", "x", "y").mapInArrow(_linking(tolerance, spatial.TASK_ROWS), "a long, b long")
+
+
 def clustered_ends(paths: DataFrame, tolerance: float) -> DataFrame:
     """:func:`ends` with ``node``: the least id of the ends that hang together by steps of at most ``tolerance``.
 
-    Ends at one place are one point from the start, so that many ends at a place are
-    never paired; a tolerance of 0 joins equal places alone.
+    A tolerance of 0 joins equal places alone.
     """
     all_ends = ends(paths)
-    places = checkpointed(all_ends.groupBy("x", "y").agg(F.min("id").alias("id")))
-    if tolerance <= 0:
-        return all_ends.join(shuffled(places.withColumnRenamed("id", "node")), ["x", "y"])
-    near = spatial.within_radius(places, places, tolerance, cell=4 * tolerance).where("c_id < o_id").select(F.col("c_id").alias("a"), F.col("o_id").alias("b"))
-    nodes = connected_components(places.select(F.col("id").alias("node")), near)
-    placed = places.join(shuffled(nodes.withColumnRenamed("node", "id")), "id").select("x", "y", F.col("component").alias("node"))
-    return all_ends.join(shuffled(placed), ["x", "y"])
+    nodes = linked(end_links(all_ends, tolerance)).withColumnRenamed("node", "id")
+    return all_ends.join(shuffled(nodes), "id", "left").select(*all_ends.columns, F.coalesce("component", "id").alias("node"))
+
+
+def path_chains(paths: DataFrame, tolerance: float) -> DataFrame:
+    """(handle, chain) of the paths with an end: the least handle of those that hang together by ends within ``tolerance``.
+
+    :func:`chains` of :func:`clustered_ends` without the nodes: links of ends are links of paths.
+    """
+    of = lambda c: F.shiftright(c, 1).alias(c)
+    found = linked(end_links(ends(paths), tolerance).select(of("a"), of("b"))).withColumnRenamed("node", "handle")
+    handles = paths.where("(ax is not null and ay is not null) or (bx is not null and b_y is not null)").select("handle").distinct()
+    return handles.join(shuffled(found), "handle", "left").select("handle", F.coalesce("component", "handle").alias("chain"))
 
 
 def node_degrees(clustered: DataFrame) -> DataFrame:

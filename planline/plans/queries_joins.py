@@ -227,7 +227,7 @@ def endpoint_clusters(spark, d):
 
 def chains_components(spark, d):
     """Connected chains of paths over their end nodes, by how many paths they hold."""
-    c = N.chains(N.clustered_ends(_network(spark, d), SNAP))
+    c = N.path_chains(_network(spark, d), SNAP)
     return c.groupBy("chain").agg(F.count(F.lit(1)).alias("paths")).groupBy("paths").agg(F.count(F.lit(1)).alias("chains"))
 
 

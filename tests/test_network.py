@@ -1,13 +1,16 @@
 """Networks, copies, nearest neighbours, quantiles, islands and joins of boxes against plain versions."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from planline.adapter import parcels
+from planline.operators import graph
 from planline.operators import network as N
 from planline.operators import spatial as S
 from planline.operators import windows as W
@@ -148,3 +151,63 @@ def test_overlap_of_any_rings(spark):
     df = spark.createDataFrame(rows, "a_ring array<struct<x:double,y:double>>, b_ring array<struct<x:double,y:double>>")
     got = [r.overlap for r in S.ring_overlap_area(df).collect()]
     assert got == pytest.approx([2.25, 2.25, 0.0, 0.0])
+
+
+def test_near_places_in_parts():
+    rnd = random.Random(11)
+    points = [(rnd.choice([0.0, 5e6, -3.0]) + rnd.uniform(-0.05, 0.05), rnd.uniform(-0.05, 0.05)) for _ in range(300)]
+    x, y = (np.array(c) for c in zip(*points))
+    want = {(i, j) for i in range(300) for j in range(i) if math.hypot(x[i] - x[j], y[i] - y[j]) <= 0.02}
+    for most in (1, 7, 10**6):
+        got = [tuple(sorted((int(a), int(b)), reverse=True)) for part in N._near_places(x, y, 0.02, most) for a, b in zip(*part)]
+        assert set(got) == want and len(got) == len(want)
+    root = components(300, want)
+    assert N._rooted(300, *(np.array(c) for c in zip(*want))).tolist() == root
+
+
+def test_chains_over_tiles_and_crowds(spark, monkeypatch):
+    """Long chains over many tiles, many ends at a place, places along a tile's side, batches merged early."""
+    rnd = random.Random(13)
+    wide = N.TILE * 0.01
+    side = (np.arange(-40, 40) - N.SHIFT) * wide  # where tiles meet
+    paths = [(k, side[k] + rnd.uniform(-0.012, 0.012), 0.0, side[k + 1] + rnd.uniform(-0.012, 0.012), rnd.uniform(-0.012, 0.012)) for k in range(79)]
+    paths += [(100 + k, 7.0, 7.0, 9.0 + 0.008 * k, 9.0) for k in range(60)]  # one place, and a row of places that hang together
+    paths += [(200 + k, 50.0 + k, 50.0, None, None) for k in range(5)] + [(300, None, None, None, None), (301, 50.0, 50.0, 50.0, 50.0)]
+    df = spark.createDataFrame([(h, *(None if v is None else float(v) for v in p)) for h, *p in paths], "handle long, ax double, ay double, bx double, b_y double")
+    points = [(2 * h + s, *p) for h, ax, ay, bx, b_y in paths for s, p in ((0, (ax, ay)), (1, (bx, b_y))) if p[0] is not None]
+    near = [(i, j) for i in range(len(points)) for j in range(i) if math.dist(points[i][1:], points[j][1:]) <= 0.01]
+    node = components(len(points), near)
+    one = {p[0]: k for k, p in enumerate(points)}
+    own = [(one[2 * h], one[2 * h + 1]) for h, *_ in paths if 2 * h in one and 2 * h + 1 in one]
+    chain = components(len(points), near + own)
+    for rows in (S.TASK_ROWS, 25):
+        monkeypatch.setattr(S, "TASK_ROWS", rows)
+        assert {r.id: r.node for r in N.clustered_ends(df, 0.01).collect()} == {p[0]: points[node[k]][0] for k, p in enumerate(points)}
+        got = {r.handle: r.chain for r in N.path_chains(df, 0.01).collect()}
+        assert got == {p[0] // 2: points[chain[k]][0] // 2 for k, p in enumerate(points)}
+
+
+def test_paths_that_meet_none_are_not_checkpointed(spark, monkeypatch):
+    held = []
+    real = graph.checkpointed
+
+    def watched(df):
+        out = real(df)
+        held.append(out.count())
+        return out
+
+    for module in (graph, N):
+        monkeypatch.setattr(module, "checkpointed", watched)
+    paths = spark.range(500).select(F.col("id").alias("handle"), (F.col("id") * 5.0).alias("ax"), F.lit(0.0).alias("ay"), (F.col("id") * 5.0 + F.when(F.col("id") == 7, 5.0).otherwise(2.0)).alias("bx"), F.lit(0.0).alias("b_y"))
+    assert N.clustered_ends(paths, 0.01).groupBy("node").count().where("count > 1").count() == 1
+    assert sorted(r.n for r in N.path_chains(paths, 0.01).groupBy("chain").agg(F.count("*").alias("n")).where("n > 1").collect()) == [2]
+    assert 0 < sum(held) < 20
+
+
+def test_rounds_leave_no_files(spark):
+    folder = lambda: spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    graph.linked(edges).count()
+    before = set(os.listdir(folder()))
+    assert {r.component for r in graph.linked(edges).collect()} == {0}
+    assert len(set(os.listdir(folder())) - before) <= 2  # what is settled, and the last round
